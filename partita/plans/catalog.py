@@ -1,15 +1,15 @@
-"""The registered queries of the library's own operators, and their SQL."""
+"""All registered queries of the library's own operators, and the flagship."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from partita.plans import analysis, models, preparation  # noqa: F401  they register their queries
+from partita.plans.registry import ORACLE_SQL, QUERIES, Tables
+
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean and spread of event values by type."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.groupBy("event_type").agg(F.avg("value").alias("mean_value"), F.stddev_samp("value").alias("sd_value"))
+    """Do the clusters of events differ in value? A latent class model, labels, and their means."""
+    return models.event_clusters(Tables(spark, sf_dir))
