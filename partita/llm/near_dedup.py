@@ -164,7 +164,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
         .join(roots, "root")
         .select(F.col("node").alias("fp"), "_least")
     )
-    classes = nodes.join(tops, "fp", "left").select("fp", F.coalesce("_least", "first_id").alias("component_id"))
+    # written, so that the join below is a plain one, whose hot fingerprints Spark can split
+    classes = stored(nodes.join(tops, "fp", "left").select("fp", F.coalesce("_least", "first_id").alias("component_id")), "classes")
     return marks.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
