@@ -5,19 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from partita.llm.common import stored
+from partita.llm.common import WORD_PATTERN, stored
 
-#: Bytes that part words, as characters.
-_BLANKS = " \t\n\x0b\x0c\r"
 
 
 def word_count(text: Column) -> Column:
-    """How many words `[^\\x20\\x09-\\x0D]+` a text has; null: 0.
-
-    A word ends where a blank follows another character. Once blanks are one character, the ends are what
-    removing the pairs of a blank and its predecessor would count; a regular expression does it in one pass.
-    """
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    """How many words `[^\\x20\\x09-\\x0D]+` a text has; null: 0."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -108,9 +102,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     """(doc_id, size, source_size, target, rate, copies, taken) for every row of docs (doc_id, text, source).
 
     Rates come from balance(). They become copies within groups of about `group` documents of a source, dealt by a
-    hash of the doc_id: from the longest document down, each takes the floor or the ceiling of its rate that keeps
-    the group's words nearest its due, and hands the difference on, so a source misses its target by no more than
-    a few short documents. No document is taken more than `most` times. A null text has size 0 and its copies are
+    hash of the doc_id: from the longest document down, each takes the copies that keep the group's words nearest
+    its due, and hands the difference on to the next shorter one, so a group misses its due by half of a short
+    document or so. No document is taken more than `most` times. A null text has size 0 and its copies are
     0; so have sources whose every text is empty. Null is a source of its own. Repeated rows are mixed one by one
     (equal rows in turn), reruns agree. An empty table gives no rows.
     """
@@ -141,7 +135,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     def hand_on(state: Column, doc: Column) -> Column:
         size = -doc["minus"]
         want = F.when(size > 0, doc["rate"] + state["due"] / size).otherwise(F.lit(0.0))
-        copies = F.greatest(F.floor(doc["rate"]), F.least(F.ceil(doc["rate"]), F.round(want).cast("long")))
+        copies = F.greatest(F.lit(0), F.least(F.lit(most), F.round(want).cast("long"))).cast("long")
         row = F.struct(doc["doc_id"].alias("doc_id"), size.alias("size"), doc["rate"].alias("rate"), copies.alias("copies"))
         due = state["due"] + (doc["rate"] - copies) * size
         return F.struct(due.alias("due"), F.concat(state["done"], F.array(row)).alias("done"))
