@@ -127,7 +127,7 @@ def count_edited(docs: DataFrame, edits: DataFrame, tokenizer: str) -> DataFrame
     An edit list belongs to one document and is read with it. Columns with clashing names are ignored. An empty
     table gives no rows.
     """
-    one = F.struct(F.col("seq").cast("long"), F.col("start").cast("long"), F.col("stop").cast("long"), F.col("replacement").cast("string"))
+    one = F.struct(*[F.col(c).cast(kind).alias(c) for c, kind in (("seq", "long"), ("start", "long"), ("stop", "long"), ("replacement", "string"))])
     by_doc = edits.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.sort_array(F.collect_list(one)).alias("edits"))
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     return count_with_edits(rows.join(by_doc, rows["doc_id"] == by_doc["_id"], "left").select("doc_id", "text", "edits"), tokenizer)
