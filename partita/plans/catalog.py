@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from partita.plans import analysis, models, preparation  # noqa: F401  they register their queries
+from partita.plans import analysis, models, preparation, streams  # noqa: F401  they register their queries
 from partita.plans.registry import ORACLE_SQL, QUERIES, Tables
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
