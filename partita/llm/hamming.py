@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,3 +59,24 @@ def buckets(rows: DataFrame, limit: int = 64, most: int = 1024) -> DataFrame:
     )
     alone = few.unionByName(some).withColumns({"part_a": F.lit(0), "part_b": F.lit(0)})
     return alone.unionByName(many)
+
+
+def owned(key: int, differing: np.ndarray) -> np.ndarray:
+    """Which pairs of a bucket, given by their differing bits, belong to it: those that agree on no earlier block.
+
+    Pairs share up to four blocks (and up to four finer ones within each); this leaves each pair one bucket.
+    """
+    fine = key >= 1 << 40
+    path = (key - (1 << 40)) >> 12 if fine else key << 2
+    k, j = (path >> 2) % BLOCKS, path & 3
+    d = differing.astype(np.uint64)
+    mine = np.ones(len(d), dtype=bool)
+    for b in range(k):
+        mine &= (d >> np.uint64(b * BITS)) & np.uint64((1 << BITS) - 1) != 0
+    if fine:
+        low = d & np.uint64((1 << (k * BITS)) - 1)
+        high = d >> np.uint64((k + 1) * BITS) if k < BLOCKS - 1 else np.zeros_like(d)
+        rest = low | high << np.uint64(k * BITS)
+        for b in range(j):
+            mine &= (rest >> np.uint64(b * 12)) & np.uint64(4095) != 0
+    return mine

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from partita.llm.common import bit_counts, fingerprints, mixed, stored
 from partita.llm.graph import connected_components
-from partita.llm.hamming import RADIUS, buckets
+from partita.llm.hamming import RADIUS, buckets, owned
 
 #: Digits become 0, ASCII marks go, blanks beside the line end become spaces.
 _FORM = bytes(48 if 48 <= c <= 57 else 32 if c in b"\t\x0b\x0c\r" else c for c in range(256))
@@ -189,45 +189,46 @@ def _bitmap(lids: DataFrame, kilobytes: int) -> bytes:
 
 
 def _near_pairs(fps: np.ndarray, radius: int):
-    """Index pairs within the radius, in blocks of rows."""
+    """(rows, columns, differing bits) of index pairs within the radius, in blocks of rows."""
     x = fps.astype(np.int64).view(np.uint64)
     for at in range(0, len(x), 256):
-        near = np.bitwise_count(x[at : at + 256, None] ^ x[None, :]) <= radius
-        rows, cols = np.nonzero(near)
-        keep = rows + at < cols
-        yield rows[keep] + at, cols[keep]
+        apart = x[at : at + 256, None] ^ x[None, at:]
+        rows, cols = np.nonzero(np.bitwise_count(apart) <= radius)
+        keep = rows < cols
+        rows, cols = rows[keep], cols[keep]
+        yield rows + at, cols + at, apart[rows, cols]
 
 
-def similar_lines(docs: DataFrame, lines: DataFrame, radius: int = RADIUS, least: float = 0.8, min_words: int = 5, bitmap_kb: int = 2048) -> DataFrame:
-    """(a, b): links, as hex digests, that join every two different lines within the radius whose edit similarity is at least `least`.
+def similar_lines(docs: DataFrame, each: DataFrame, radius: int = RADIUS, least: float = 0.8, min_words: int = 5, bitmap_kb: int = 2048) -> DataFrame:
+    """(a, b): links, as hex digests, that join every two lines of `each` (lid, fp: distinct lines) within the radius whose edit similarity is at least `least`.
 
     Two passes over the blocks: the first, without texts, finds the fingerprints that have a neighbour; only their
-    lines' texts move to the second, which verifies. A bitmap of fixed size says which texts to send; when it fills
-    up at scale, texts are sent in vain, none is missed.
+    lines' texts move to the second, which verifies each pair in the first of the blocks that it shares. A bitmap of
+    fixed size says which texts to send; when it fills up at scale, texts are sent in vain, none is missed.
     """
-    marks = lines.groupBy("fp").agg(F.min("lid").alias("_first"), F.max("lid").alias("_last"))
-    marks = stored(marks.select("fp", (F.col("_first") != F.col("_last")).alias("twice")), "line-marks")
+    marks = stored(each.groupBy("fp").agg((F.count("*") > 1).alias("twice")), "line-marks")
 
     def mates(batches):
         for b in batches:
             out = []
             for v in b["fps"]:
                 v = np.asarray(v)
-                for i, j in _near_pairs(v, radius):
+                for i, j, _ in _near_pairs(v, radius):
                     out += [v[i], v[j]]
             yield pd.DataFrame({"fp": np.unique(np.concatenate(out)) if out else np.array([], dtype=np.int64)})
 
-    dealt = buckets(marks.select("fp")).groupBy("key", "part_a", "part_b").agg(F.collect_list("fp").alias("fps"))
+    # comparing a bucket's numbers costs less than dealing them out again until there are some thousands
+    dealt = buckets(marks.select("fp"), 2048, 2048).groupBy("key", "part_a", "part_b").agg(F.collect_list("fp").alias("fps"))
     lively = dealt.filter(F.size("fps") > 1).select("fps").mapInPandas(mates, "fp long")
     lively = lively.unionByName(marks.filter("twice").select("fp")).distinct()
-    ids = stored(lines.select("lid", "fp").join(lively, "fp", "left_semi").distinct(), "line-candidates")
+    ids = stored(each.select("lid", "fp").join(lively, "fp", "left_semi"), "line-candidates")
     texts = _texts_of(docs, _bitmap(ids, bitmap_kb), min_words).groupBy("lid").agg(F.first("norm").alias("norm"))
     full = stored(ids.join(texts, "lid").select("lid", "fp", "norm"), "line-texts")
 
     def verify(batches):
         for b in batches:
             links = []
-            for group in b["rows"]:
+            for key, group in zip(b["key"], b["rows"], strict=True):
                 rows = sorted((r["lid"], r["fp"], r["norm"]) for r in group)
                 root = list(range(len(rows)))
 
@@ -237,8 +238,9 @@ def similar_lines(docs: DataFrame, lines: DataFrame, radius: int = RADIUS, least
                         i = root[i]
                     return i
 
-                for left, right in _near_pairs(np.array([r[1] for r in rows], dtype=np.int64), radius):
-                    for i, j in zip(left.tolist(), right.tolist(), strict=True):
+                for left, right, apart in _near_pairs(np.array([r[1] for r in rows], dtype=np.int64), radius):
+                    mine = owned(int(key), apart)
+                    for i, j in zip(left[mine].tolist(), right[mine].tolist(), strict=True):
                         p, q = top(i), top(j)
                         if p != q and edit_similar(rows[i][2], rows[j][2], least):
                             root[max(p, q)] = min(p, q)
@@ -246,23 +248,23 @@ def similar_lines(docs: DataFrame, lines: DataFrame, radius: int = RADIUS, least
             yield pd.DataFrame(links, columns=["a", "b"])
 
     member = F.struct("lid", "fp", "norm")
-    groups = buckets(full, 64, 256).groupBy("key", "part_a", "part_b").agg(F.collect_list(member).alias("rows"))
-    return groups.filter(F.size("rows") > 1).select("rows").mapInPandas(verify, "a string, b string")
+    groups = buckets(full, 512, 512).groupBy("key", "part_a", "part_b").agg(F.collect_list(member).alias("rows"))
+    return groups.filter(F.size("rows") > 1).select("key", "rows").mapInPandas(verify, "a string, b string")
 
 
 def line_decisions(docs: DataFrame, radius: int = RADIUS, least: float = 0.8, min_words: int = 5) -> DataFrame:
     """(doc_id, text_hash, gone): for each text that loses lines, their numbers (from 0), by groups over all documents."""
     lines = stored(line_table(docs, min_words), "lines")
-    links = similar_lines(docs, lines, radius, least, min_words)
-    roots = stored(connected_components(links), "line-roots").select(F.unhex("node").alias("lid"), F.unhex("root").alias("root"))
     seen = F.struct("doc_id", "text_hash", "line")
-    each = lines.groupBy("lid").agg(F.min(seen).alias("first"), F.count("*").alias("n"))
-    classed = each.join(roots, "lid", "left").filter("n > 1 or root is not null").select("lid", "first", "n", F.coalesce("root", "lid").alias("root"))
+    each = stored(lines.groupBy("lid").agg(F.min(seen).alias("first"), F.count("*").alias("n"), F.min("fp").alias("fp")), "distinct-lines")
+    links = similar_lines(docs, each, radius, least, min_words)
+    roots = stored(connected_components(links), "line-roots").select(F.unhex("node").alias("lid"), F.unhex("root").alias("root"))
+    classed = each.join(roots, "lid", "left").filter("n > 1 or root is not null").select("lid", "first", F.coalesce("root", "lid").alias("root"))
     classed = stored(classed, "line-classes")
     kept = classed.groupBy("root").agg(F.min("first").alias("kept"))
     # only lines of classes with a second occurrence are joined with the class's first
     ruled = classed.select("lid", "root").join(kept, "root").select("lid", "kept")
-    gone = lines.join(ruled, "lid").filter(~seen.eqNullSafe(F.col("kept")))
+    gone = lines.select("lid", "doc_id", "text_hash", "line").join(ruled, "lid").filter(~seen.eqNullSafe(F.col("kept")))
     return gone.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("gone"))
 
 

@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import xxhash
 
 from partita.llm.graph import connected_components
-from partita.llm.hamming import buckets
+from partita.llm.hamming import buckets, owned
 from partita.llm.near_dedup import BKTree, fingerprint_links, keep_one_each, near_duplicates, shingle_hashes
 
 
@@ -90,6 +91,13 @@ def test_split_buckets_keep_every_near_pair_together(spark):
         held.setdefault((r["key"], r["part_a"], r["part_b"]), set()).add(r["fp"])
     together = {(a, b) for s in held.values() for a in s for b in s if a < b}
     assert {(a, b) for a in values for b in values if a < b and near(a, b)} <= together
+    owners = {}
+    for (key, *_), s in held.items():
+        for a in s:
+            for b in s:
+                if a < b and near(a, b) and owned(key, np.array([a ^ b], dtype=np.uint64))[0]:
+                    owners.setdefault((a, b), set()).add(key)
+    assert set(owners) >= {(a, b) for a in values for b in values if a < b and near(a, b)} and all(len(k) == 1 for k in owners.values())
     want = brute_components(sorted(values), [(a, b) for a in values for b in values if a < b and near(a, b)])
     links = [(r["a"], r["b"]) for r in fingerprint_links(rows).collect()]
     assert all(near(a, b) for a, b in links)
