@@ -44,7 +44,7 @@ def mann_whitney_stat(df: DataFrame, group: str, value: str, first, second) -> D
     u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2
     half = F.col("n1") * F.col("n2") / 2
     var = F.col("n1") * F.col("n2") / 12 * ((F.col("n") + 1) - F.col("tie") / (F.col("n") * (F.col("n") - 1)))
-    z = F.greatest(F.abs(u - half) - 0.5, F.lit(0.0)) / F.sqrt(var)
+    z = F.greatest(F.abs(u - half) - 0.5, F.lit(0.0)) / F.nullif(F.sqrt(var), F.lit(0.0))  # null where all values are equal
     return wide.select("n1", "n2", u.alias("u"), z.alias("z"))
 
 
@@ -58,7 +58,7 @@ def kruskal_wallis_stat(df: DataFrame, group: str, value: str, by: Sequence[str]
     sums = rank_sums(df, group, value, by)
     n = F.max("total").cast("double")
     h = 12 / (n * (n + 1)) * F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("n")) - 3 * (n + 1)
-    return sums.groupBy(*by).agg(F.count("*").alias("groups"), F.max("total").alias("total"), (h / (1 - F.max("tie_term") / (n * n * n - n))).alias("h"))
+    return sums.groupBy(*by).agg(F.count("*").alias("groups"), F.max("total").alias("total"), (h / F.nullif(1 - F.max("tie_term") / F.nullif(n * n * n - n, F.lit(0.0)), F.lit(0.0))).alias("h"))
 
 
 def kruskal_wallis(df: DataFrame, group: str, value: str) -> dict:
@@ -72,12 +72,12 @@ def tukey_stat(df: DataFrame, group: str, value: str) -> DataFrame:
     parts = present.groupBy(group).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), (F.var_pop(value) * F.count("*")).alias("ss"))
     pooled = Window.partitionBy()
     parts = parts.withColumns({"groups": F.count("*").over(pooled), "dof": F.sum("n").over(pooled) - F.count("*").over(pooled)})
-    parts = parts.withColumn("mse", F.sum("ss").over(pooled) / F.col("dof"))
+    parts = parts.withColumn("mse", F.sum("ss").over(pooled) / F.nullif(F.col("dof"), F.lit(0)))
     everyone = parts.groupBy("groups", "dof", "mse").agg(F.collect_list(F.struct(group, "n", "mean")).alias("all"))
     one, two = F.explode("all").alias("x"), F.explode("all").alias("y")
     pairs = everyone.select("groups", "dof", "mse", "all", one).select("groups", "dof", "mse", "x", two).filter(F.col("x")[group] < F.col("y")[group])
     gap = F.col("y.mean") - F.col("x.mean")
-    q = F.abs(gap) / F.sqrt(F.col("mse") / 2 * (1 / F.col("x.n") + 1 / F.col("y.n")))
+    q = F.abs(gap) / F.nullif(F.sqrt(F.col("mse") / 2 * (1 / F.col("x.n") + 1 / F.col("y.n"))), F.lit(0.0))
     return pairs.select(F.col("x")[group].alias("a"), F.col("y")[group].alias("b"), gap.alias("difference"), q.alias("q"), "groups", "dof")
 
 
