@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partita.operators import dependence, describe, parameters, scoring, search
+from partita.operators import dependence, describe, forest, parameters, scoring, search
 from partita.operators.scoring import MixtureModel
 from partita.plans.preparation import HOLED, _round, holed
 from partita.plans.registry import Tables, query
@@ -215,11 +215,49 @@ def j2_hill_climb(t: Tables) -> DataFrame:
     return n.withColumns({"score": F.lit(float(score)), "arcs": F.lit(",".join(arcs))})
 
 
+DOMAINS = {"o_orderstatus": ["F", "O", "P"], "o_orderpriority": PRIORITIES, "late": ["n", "y"], "big": ["n", "y"]}
+
+
+def marked_orders(t: Tables) -> DataFrame:
+    """orders with two columns that depend on others."""
+    late, big = F.col("o_orderstatus") == "F", F.col("o_totalprice") > 250_000
+    return t.orders.withColumns({"late": F.when(late, "y").otherwise("n"), "big": F.when(big, "y").otherwise("n")})
+
+
+def _forest_rows(rows: DataFrame, model: forest.Forest) -> DataFrame:
+    """One row per arc of a model, with its bound and the rows it was learnt from."""
+    arcs = [F.struct(F.lit(p).alias("parent"), F.lit(c).alias("child")) for p, c in forest.forest_edges(model)]
+    none = F.array(F.struct(F.lit(forest.ALONE).alias("parent"), F.lit("none").alias("child")))
+    n = rows.agg(F.count("*").alias("n"))
+    return n.select("n", F.lit(float(model.elbo)).alias("elbo"), F.lit(len(model.structure.cards)).alias("latents"), F.inline(F.array(*arcs) if arcs else none))
+
+
+@query()
+def g8_latent_forest(t: Tables) -> DataFrame:
+    structure = forest.Structure({"a": 2, "b": 2}, {"b": "a"}, {"o_totalprice": "a", "big": "a", "o_orderstatus": "b", "late": "b", "o_orderpriority": forest.ALONE})
+    rows = marked_orders(t)
+    model = forest.fit_latent_forest(rows, structure, ["o_totalprice"], DOMAINS, candidates=2, steps=12)
+    labels = forest.assign(rows, model, ["o_totalprice"], DOMAINS, "o_orderkey")
+    return labels.groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
+@query()
+def j6_learn_partitions(t: Tables) -> DataFrame:
+    rows = marked_orders(t)
+    return _forest_rows(rows, forest.learn_partitions(rows, ["o_totalprice"], DOMAINS, alpha=4, rounds=4, screen=3, keep=2, steps=10))
+
+
+@query()
+def j9_refine_partitions(t: Tables) -> DataFrame:
+    rows = marked_orders(t)
+    first = forest.learn_partitions(rows, (), DOMAINS, alpha=2, rounds=1, screen=2, keep=1, steps=6)
+    return _forest_rows(rows, forest.learn_partitions(rows, (), DOMAINS, "refine", start=first, alpha=2, rounds=3, screen=2, keep=2, steps=8))
+
+
 @query()
 def j5_group_attributes(t: Tables) -> DataFrame:
-    domains = {"o_orderstatus": ["F", "O", "P"], "o_orderpriority": PRIORITIES, "late": ["n", "y"], "big": ["n", "y"]}
-    rows = t.orders.withColumns({"late": F.when(F.col("o_orderstatus") == "F", "y").otherwise("n"), "big": F.when(F.col("o_totalprice") > 250_000, "y").otherwise("n")})
-    groups, fits = search.group_attributes(rows, domains, candidates=2, steps=12)
+    rows = marked_orders(t)
+    groups, fits = search.group_attributes(rows, DOMAINS, candidates=2, steps=12)
     named = [(i, ",".join(g), m.states, float(m.elbo)) for i, (g, m) in enumerate(zip(groups, fits, strict=True))]
     n = rows.agg(F.count("*").alias("n"))
     return n.select(F.inline(F.array(*[F.struct(F.lit(i).alias("island"), F.lit(g).alias("attributes"), F.lit(s).alias("states"), F.lit(e).alias("elbo"), F.col("n")) for i, g, s, e in named])))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from partita.functions import special
-from partita.operators import compare, dependence, describe, missing, parameters, prepare, scoring, search
+from partita.operators import compare, dependence, describe, forest, missing, parameters, prepare, scoring, search
 from partita.operators.scoring import MixtureModel
 from partita.sources import tables as io
 from partita.streaming import updates
@@ -155,3 +155,48 @@ def test_structures(spark):
     assert score > empty
     mi = dependence.mutual_info_continuous(df.withColumn("k", F.monotonically_increasing_id()), "k", "x", "y")
     assert abs(mi - (-0.5 * math.log(1 - 4 / 4.01))) < 0.25
+
+
+@pytest.fixture(scope="module")
+def two_partitions(spark):
+    """Two independent hidden clusterings, each with three attributes, and one column of noise."""
+    rng = np.random.default_rng(6)
+    n = 1500
+    u, v = rng.integers(0, 2, n), rng.integers(0, 2, n)
+    flip = lambda z: np.where(rng.random(n) < 0.1, 1 - z, z)
+    cols = {f"a{i}": flip(u) for i in range(3)} | {f"b{i}": flip(v) for i in range(3)}
+    rows = [(i, *[str(c[i]) for c in cols.values()], float(rng.standard_normal())) for i in range(n)]
+    return spark.createDataFrame(rows, ", ".join(["k long", *[f"{c} string" for c in cols], "x double"])).cache()
+
+
+FOREST_DOMAINS = {c: ["0", "1"] for c in ("a0", "a1", "a2", "b0", "b1", "b2")}
+
+
+def test_forest_bounds_rise_and_one_latent_is_a_latent_class(two_partitions, planted):
+    structure = forest.Structure({"p": 2, "q": 2}, {"q": "p"}, {**{c: "p" if c[0] == "a" else "q" for c in FOREST_DOMAINS}, "x": forest.ALONE})
+    model = forest.fit_latent_forest(two_partitions, structure, ["x"], FOREST_DOMAINS, candidates=1, steps=10)
+    assert all(b - a > -1e-3 for a, b in zip(model.trace, model.trace[1:]))
+    one = forest.Structure({"z": 2}, {}, {"x": "z", "y": "z", "c": "z"})
+    a = forest.fit_latent_forest(planted, one, ["x", "y"], {"c": ["a", "b"]}, candidates=3, steps=60)
+    b = parameters.fit_latent_class(planted, 2, ["x", "y"], {"c": ["a", "b"]}, candidates=3, steps=60)[2]
+    assert abs(a.elbo - b.elbo) < 0.5
+
+
+def test_partitions_are_learnt(two_partitions):
+    model = forest.learn_partitions(two_partitions, ["x"], FOREST_DOMAINS, alpha=4, rounds=8, screen=3, keep=2, steps=12)
+    groups = {}
+    for c, z in model.structure.of.items():
+        groups.setdefault(z, set()).add(c)
+    assert {"a0", "a1", "a2"} in groups.values() and {"b0", "b1", "b2"} in groups.values()
+    labels = forest.assign(two_partitions, model, ["x"], FOREST_DOMAINS, "k")
+    z = model.structure.of["a0"]
+    same = labels.join(two_partitions, "k").filter(F.col(z) == F.col("a0").cast("int")).count() / 1500
+    assert max(same, 1 - same) > 0.85
+
+
+def test_moves_keep_structures_sound():
+    s = forest.Structure({"p": 3, "q": 2}, {"q": "p"}, {"a": "p", "b": "p", "c": "q", "d": "q", "e": forest.ALONE})
+    for t in [*forest.remove_latents(s), *forest.insert_latents(s), *forest.relocate(s), *forest.change_cards(s), *forest.add_latents(s, [("a", "e"), ("e", "p")]), *forest.add_arcs(s)]:
+        assert not t.cyclic() and set(t.of) == set(s.of) and all(p in (*t.cards, forest.ALONE) for p in [*t.of.values(), *t.up.values()])
+    assert forest.add_arcs(s) == []
+    assert forest.remove_latents(s)[0].of["a"] == forest.ALONE
