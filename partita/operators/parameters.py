@@ -319,16 +319,22 @@ def select_cardinality(features: DataFrame, numeric: Sequence[str] = (), domains
     return best
 
 
-def fit_mixture(features: DataFrame, states: int, numeric: Sequence[str], full: bool = False, candidates: int = 4, steps: int = 60, threshold: float = 0.01, limit: float = 20.0, seed: int = 0) -> dict:
+def fit_mixture(features: DataFrame, states: int, numeric: Sequence[str], full: bool = False, candidates: int = 4, steps: int = 60, threshold: float = 0.01, limit: float = 20.0, seed: int = 0, blocks: Sequence[Sequence[str]] | None = None) -> dict:
     """EM of a Gaussian mixture, all restarts in one pass: weights, means, covariances, log_likelihood, bic.
 
-    full: one covariance matrix per state, its eigenvalues kept within total variance / limit and times limit.
+    full: one covariance matrix per state, its eigenvalues, in units of the table's deviations, kept within 1 / limit^2 and limit.
+    blocks: groups of attributes that have joint covariances, others are independent within a state.
     Rows with a missing cell are left out. Statistics are n, sums and sums of products about the table's mean.
     """
     rows = features.dropna(subset=list(numeric)).select(*[F.col(c).cast("double").alias(c) for c in numeric])
     one = rows.agg(F.count("*").alias("n"), *[f(c).alias(f"{p}{c}") for c in numeric for p, f in (("m", F.avg), ("v", F.var_pop))]).first()
     n, d = one["n"], len(numeric)
     centre, var = np.array([one[f"m{c}"] for c in numeric]), np.array([max(one[f"v{c}"], 1e-12) for c in numeric])
+    groups = blocks if blocks is not None else [list(numeric)] if full else [[c] for c in numeric]
+    joint = np.zeros((d, d), dtype=bool)
+    for g in groups:
+        at = [list(numeric).index(c) for c in g]
+        joint[np.ix_(at, at)] = True
     rng = np.random.default_rng(seed)
     live = [(np.full(states, 1 / states), rng.standard_normal((states, d)) * np.sqrt(var), np.stack([np.diag(var)] * states)) for _ in range(candidates)]
     best, past = None, np.full(candidates, -np.inf)
@@ -363,11 +369,14 @@ def fit_mixture(features: DataFrame, states: int, numeric: Sequence[str], full:
             mu = v[1 + states : 1 + states + states * d].reshape(states, d) / r[:, None]
             cov = v[1 + states + states * d :].reshape(states, d, d) / r[:, None, None] - np.einsum("si,sj->sij", mu, mu)
             for s in range(states):
-                if full:
-                    values, vectors = np.linalg.eigh((cov[s] + cov[s].T) / 2)
-                    cov[s] = (vectors * np.clip(values, var.min() / limit, var.max() * limit)) @ vectors.T
+                kept = np.where(joint, (cov[s] + cov[s].T) / 2, 0.0)
+                if joint.sum() > d:  # in units of the table's deviations, so that one limit fits all attributes
+                    unit = np.sqrt(np.outer(var, var))
+                    values, vectors = np.linalg.eigh(kept / unit)
+                    kept = np.where(joint, (vectors * np.clip(values, 1 / limit**2, limit)) @ vectors.T, 0.0) * unit
                 else:
-                    cov[s] = np.diag(np.clip(np.diag(cov[s]), var / limit**2, var * limit))
+                    kept = np.diag(np.clip(np.diag(kept), var / limit**2, var * limit))
+                cov[s] = kept
             after.append((r / r.sum(), mu, cov))
             scores.append(v[0])
         top = int(np.argmax(scores))
@@ -378,5 +387,5 @@ def fit_mixture(features: DataFrame, states: int, numeric: Sequence[str], full:
         if (gains < threshold).all():
             break
         live = after
-    dim = states - 1 + states * (d + (d * (d + 1) // 2 if full else d))
+    dim = states - 1 + states * (d + (int(joint.sum()) + d) // 2)
     return best | {"n": n, "dim": dim, "bic": best["log_likelihood"] - dim * math.log(n) / 2}

@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partita.operators.dependence import mutual_info_matrix
-from partita.operators.parameters import LatentClass, fit_latent_class, select_cardinality
+from partita.operators import forest
+from partita.operators.parameters import LatentClass, fit_latent_class, fit_mixture, select_cardinality
+from partita.operators.scoring import hard_assign
 
 Family = tuple[str, frozenset]
 
@@ -63,8 +65,33 @@ def gaussian_family_scores(df: DataFrame, families: Sequence[Family]) -> dict[Fa
     return out
 
 
+def conditional_family_scores(df: DataFrame, families: Sequence[Family]) -> dict[Family, float]:
+    """BIC of numeric children with discrete parents: a mean and a variance per occurring configuration, one shuffle for all.
+
+    Children are centred about their means first, so sums of squares keep their digits.
+    """
+    children = sorted({c for c, _ in families})
+    means = df.agg(*[F.avg(c).alias(c) for c in children]).first()
+    cells = []
+    for child, parents in families:
+        some = sorted(parents)
+        there = F.col(child).isNotNull()
+        for p in some:
+            there = there & F.col(p).isNotNull()
+        config = F.concat_ws("|", *[F.col(p).cast("string") for p in some])
+        x = F.col(child).cast("double") - F.lit(means[child] or 0.0)
+        cells.append(F.when(there, F.struct(F.lit(child).alias("child"), F.lit(",".join(some)).alias("parents"), config.alias("config"), x.alias("x"))))
+    stats = df.select(F.inline(F.filter(F.array(*cells), lambda s: s.isNotNull()))).groupBy("child", "parents", "config").agg(F.count("*").alias("n"), F.var_pop("x").alias("v"))
+    ll = F.sum(-F.col("n") / 2 * (F.ln(2 * math.pi * F.greatest("v", F.lit(1e-12))) + 1))
+    out = stats.groupBy("child", "parents").agg(ll.alias("ll"), F.count("*").alias("configs"), F.sum("n").alias("n")).collect()
+    return {(r["child"], frozenset(r["parents"].split(","))): r["ll"] - 2 * r["configs"] * math.log(r["n"]) / 2 for r in out}
+
+
 class FamilyScores:
-    """Scores remembered by family; a call scores all unknown families of a round in one job."""
+    """Scores remembered by family; a call scores all unknown families of a round in one job of each kind.
+
+    Numeric children may have numeric parents or discrete ones, not both.
+    """
 
     def __init__(self, df: DataFrame, discrete: Iterable[str], numeric: Iterable[str]) -> None:
         self.df, self.discrete, self.numeric, self.known = df, set(discrete), set(numeric), {}
@@ -75,7 +102,9 @@ class FamilyScores:
         if d := [f for f in new if f[0] in self.discrete]:
             for r in discrete_family_scores(self.df, d).collect():
                 self.known[r["child"], frozenset(filter(None, r["parents"].split(",")))] = r["bic"]
-        if g := [f for f in new if f[0] in self.numeric]:
+        if m := [f for f in new if f[0] in self.numeric and f[1] & self.discrete]:
+            self.known |= conditional_family_scores(self.df, m)
+        if g := [f for f in new if f[0] in self.numeric and not f[1] & self.discrete]:
             self.known |= gaussian_family_scores(self.df, g)
         return {f: self.known[f] for f in families}
 
@@ -90,25 +119,37 @@ def _cyclic(parents: Mapping[str, frozenset]) -> bool:
     return bool(left)
 
 
-def hill_climb(df: DataFrame, discrete: Sequence[str] = (), numeric: Sequence[str] = (), most_parents: int = 3, threshold: float = 1e-6, steps: int = 100, forbidden: Iterable[tuple[str, str]] = ()) -> tuple[dict[str, frozenset], float]:
+def hill_climb(
+    df: DataFrame, discrete: Sequence[str] = (), numeric: Sequence[str] = (), most_parents: int = 3, threshold: float = 1e-6, steps: int = 100,
+    forbidden: Iterable[tuple[str, str]] = (), fixed: Iterable[tuple[str, str]] = (), mixed: bool = False,
+) -> tuple[dict[str, frozenset], float]:
     """(parents of each node, score): the best of adding, removing or turning an arc until none gains.
 
-    Arcs stay acyclic and join columns of a kind; forbidden arcs (parent, child) are left out.
+    Arcs stay acyclic and join columns of a kind, or with `mixed` also lead from discrete to numeric ones; forbidden
+    arcs (parent, child) are left out, fixed ones are there from the start, stay, and do not count as parents.
     """
     nodes = [*discrete, *numeric]
     kind = {**dict.fromkeys(discrete, "d"), **dict.fromkeys(numeric, "n")}
-    barred, scores = set(forbidden), FamilyScores(df, discrete, numeric)
-    graph = {v: frozenset() for v in nodes}
+    barred, held, scores = set(forbidden), set(fixed), FamilyScores(df, discrete, numeric)
+    graph = {v: frozenset(p for p, c in held if c == v) for v in nodes}
+    room = {v: most_parents + len(graph[v]) for v in nodes}
+
+    def allowed(a: str, b: str) -> bool:
+        """Whether a may become a parent of b beside its present ones."""
+        if kind[a] == kind[b] == "n":
+            return all(kind[p] == "n" for p in graph[b])
+        return kind[a] == kind[b] or (mixed and kind[a] == "d" and all(kind[p] == "d" for p in graph[b]))
+
     for _ in range(steps):
         moves = []
         for a, b in itertools.permutations(nodes, 2):
-            if kind[a] != kind[b]:
-                continue
             if a in graph[b]:
+                if (a, b) in held:
+                    continue
                 moves.append({b: graph[b] - {a}})
-                if (b, a) not in barred and len(graph[a]) < most_parents:
+                if (b, a) not in barred and len(graph[a]) < room[a] and allowed(b, a):
                     moves.append({b: graph[b] - {a}, a: graph[a] | {b}})
-            elif (a, b) not in barred and len(graph[b]) < most_parents and b not in graph[a]:
+            elif (a, b) not in barred and len(graph[b]) < room[b] and b not in graph[a] and allowed(a, b):
                 moves.append({b: graph[b] | {a}})
         moves = [m for m in moves if not _cyclic(graph | m)]
         got = scores([*((v, p) for v, p in graph.items()), *((v, p) for m in moves for v, p in m.items())])
@@ -148,3 +189,113 @@ def group_attributes(df: DataFrame, domains: Mapping[str, Sequence[str]], seed:
             groups.append(left)
     models = [select_cardinality(df, (), {c: domains[c] for c in g}, most=4, seed=seed, **options) for g in groups]
     return groups, models
+
+
+def augmented_latent_class(df: DataFrame, numeric: Sequence[str], domains: Mapping[str, Sequence[str]], states: int = 2, most_parents: int = 3, **options) -> tuple[dict[str, frozenset], float]:
+    """One latent parent of all attributes, and up to `most_parents` discrete or numeric parents among them.
+
+    The latent's labels complete the table; its arcs are fixed, others are climbed. Numeric attributes that hang on
+    the latent take discrete parents only.
+    """
+    model = fit_latent_class(df, states, numeric, domains, **options)[states].expected("latent")
+    whole = hard_assign(df, model).withColumn("latent", F.col("latent").cast("string"))
+    names = [*domains, *numeric]
+    return hill_climb(whole, ["latent", *domains], numeric, most_parents, forbidden=[(c, "latent") for c in names], fixed=[("latent", c) for c in names], mixed=True)
+
+
+def structural_em(df: DataFrame, start: forest.Forest, key: str, numeric: Sequence[str], domains: Mapping[str, Sequence[str]], rounds: int = 5, steps: int = 20, seed: int = 0) -> forest.Forest:
+    """Complete the latents, climb the structure on the completed table, fit it again, until the bound does not rise.
+
+    In the completed table latents may become the parent of attributes and of each other; the result is a forest.
+    """
+    rng, best = np.random.default_rng(seed), start
+    base = parameters_prior(df, numeric, domains)
+    for _ in range(rounds):
+        latents = list(best.structure.cards)
+        labels = forest.assign(df, best, numeric, domains, key)
+        whole = df.join(labels, key).withColumns({z: F.col(z).cast("string") for z in latents}).persist()
+        names = [*domains, *numeric]
+        try:
+            graph, _ = hill_climb(whole, [*latents, *domains], numeric, 1, forbidden=[(a, b) for a in names for b in [*names, *latents] if a != b], mixed=True)
+        finally:
+            whole.unpersist()
+        up = {z: next(iter(graph[z])) for z in latents if graph[z]}
+        structure = forest.Structure(best.structure.cards, up, {c: next(iter(graph[c]), forest.ALONE) for c in names})
+        kept = {z: k for z, k in structure.cards.items() if structure.children(z)}
+        structure = forest.Structure(kept, {z: p for z, p in up.items() if z in kept and p in kept}, structure.of)
+        prior = forest.forest_prior(base, structure)
+        new = forest.fit_forests(df, [forest.forest_start(prior, rng, best)], [prior], numeric, domains, steps)[0]
+        if new.elbo <= best.elbo + 0.01:
+            break
+        best = new
+    return best
+
+
+def parameters_prior(df: DataFrame, numeric: Sequence[str], domains: Mapping[str, Sequence[str]]) -> LatentClass:
+    return forest.class_prior(df, 1, numeric, domains)
+
+
+def learn_binary_forest(df: DataFrame, key: str, domains: Mapping[str, Sequence[str]], linkage: str = "average", rounds: int = 10, steps: int = 20, seed: int = 0) -> forest.Forest:
+    """Binary trees over discrete attributes: each round puts a latent over the two roots of highest dependence.
+
+    The dependence of a new latent is the average, smallest (complete) or largest (single) of its parts', or with
+    linkage `labels` measured on its hard labels. Stops when the bound does not rise.
+    """
+    rng = np.random.default_rng(seed)
+    base = parameters_prior(df, (), domains)
+    mi = {frozenset((r["a"], r["b"])): r["mi"] for r in mutual_info_matrix(df, list(domains)).collect()}
+    now = forest.Structure({}, {}, dict.fromkeys(domains, forest.ALONE))
+    prior = forest.forest_prior(base, now)
+    best = forest.fit_forests(df, [prior], [prior], (), domains, 2)[0]
+    roots = list(domains)
+    for _ in range(rounds):
+        if len(roots) < 2:
+            break
+        a, b = max(itertools.combinations(roots, 2), key=lambda p: mi.get(frozenset(p), 0.0))
+        structure = forest.add_latents(best.structure, [(a, b)])[0]
+        prior = forest.forest_prior(base, structure)
+        new = max(forest.fit_forests(df, [forest.forest_start(prior, rng, best) for _ in range(2)], [prior] * 2, (), domains, steps), key=lambda m: m.elbo)
+        if new.elbo <= best.elbo + 0.01:
+            break
+        best, z = new, next(x for x in new.structure.cards if x not in best.structure.cards)
+        roots = [r for r in roots if r not in (a, b)]
+        if linkage == "labels":
+            labels = forest.assign(df, best, (), domains, key)
+            found = mutual_info_matrix(df.join(labels, key), [z, *roots]).filter(F.col("a") == z).collect() if roots else []
+            mi |= {frozenset((z, r["b"])): r["mi"] for r in found}
+        else:
+            pick = {"average": lambda x, y: (x + y) / 2, "complete": min, "single": max}[linkage]
+            mi |= {frozenset((z, r)): pick(mi.get(frozenset((a, r)), 0.0), mi.get(frozenset((b, r)), 0.0)) for r in roots}
+        roots.append(z)
+    return best
+
+
+def search_pouches(df: DataFrame, numeric: Sequence[str], most_states: int = 5, rounds: int = 6, screen: int = 6, steps: int = 30, moves: Sequence[str] = ("more", "less", "combine", "separate"), seed: int = 0) -> dict:
+    """A Gaussian mixture whose leaves are joint groups of attributes, by BIC: states added or dropped, groups joined or parted.
+
+    Every candidate is screened with few steps, the best is fitted on; stops when BIC does not rise. Fewer moves give
+    the plainer learners: `more` alone a mixture with independent leaves, `combine` a multi-leaf mixture.
+    """
+    now = {"states": 1, "blocks": [[c] for c in numeric]}
+    best = now | fit_mixture(df, 1, numeric, blocks=now["blocks"], candidates=1, steps=2, seed=seed)
+    for _ in range(rounds):
+        k, blocks = best["states"], best["blocks"]
+        options = []
+        if "more" in moves and k < most_states:
+            options.append((k + 1, blocks))
+        if "less" in moves and k > 1:
+            options.append((k - 1, blocks))
+        if "combine" in moves:
+            options += [(k, [b for b in blocks if b not in (x, y)] + [x + y]) for x, y in itertools.combinations(blocks, 2)]
+        if "separate" in moves:
+            options += [(k, [b for b in blocks if b is not x] + [[c], [d for d in x if d != c]]) for x in blocks if len(x) > 1 for c in x]
+        if not options:
+            break
+        tried = [fit_mixture(df, s, numeric, blocks=b, candidates=2, steps=screen, seed=seed) for s, b in options]
+        top = int(np.argmax([t["bic"] for t in tried]))
+        s, b = options[top]
+        new = {"states": s, "blocks": b} | fit_mixture(df, s, numeric, blocks=b, candidates=3, steps=steps, seed=seed)
+        if new["bic"] <= best["bic"]:
+            break
+        best = new
+    return best

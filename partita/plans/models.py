@@ -263,3 +263,48 @@ def j5_group_attributes(t: Tables) -> DataFrame:
     return n.select(F.inline(F.array(*[F.struct(F.lit(i).alias("island"), F.lit(g).alias("attributes"), F.lit(s).alias("states"), F.lit(e).alias("elbo"), F.col("n")) for i, g, s, e in named])))
 
 
+
+
+@query()
+def g7_multi_restart(t: Tables) -> DataFrame:
+    n = t.events.agg(F.count("*").alias("n"))
+    out = None
+    for how in ("pyramid", "random"):
+        best = parameters.fit_latent_class(t.events, 2, ["value"], {"event_type": TYPES}, candidates=4, steps=12, restart=how, warm=2)[2]
+        row = n.withColumns({"restart": F.lit(how), "elbo": F.lit(float(best.elbo)), "steps": F.lit(best.steps)})
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query()
+def j3_structural_em(t: Tables) -> DataFrame:
+    rows = marked_orders(t)
+    start = forest.fit_latent_forest(rows, forest.Structure({"a": 2}, {}, dict.fromkeys([*DOMAINS], "a")), (), DOMAINS, candidates=2, steps=8)
+    return _forest_rows(rows, search.structural_em(rows.select("o_orderkey", *DOMAINS), start, "o_orderkey", (), DOMAINS, rounds=2, steps=8))
+
+
+@query()
+def j4_augmented_latent_class(t: Tables) -> DataFrame:
+    rows = marked_orders(t)
+    graph, score = search.augmented_latent_class(rows, ["o_totalprice"], DOMAINS, candidates=2, steps=8)
+    arcs = ",".join(sorted(f"{p}>{c}" for c, ps in graph.items() for p in ps))
+    return rows.agg(F.count("*").alias("n")).withColumns({"score": F.lit(float(score)), "arcs": F.lit(arcs)})
+
+
+@query()
+def j7_binary_forest(t: Tables) -> DataFrame:
+    rows = marked_orders(t)
+    return _forest_rows(rows, search.learn_binary_forest(rows, "o_orderkey", DOMAINS, "labels", rounds=2, steps=8))
+
+
+@query()
+def j8_latent_tree(t: Tables) -> DataFrame:
+    rows = marked_orders(t)
+    return _forest_rows(rows, forest.learn_partitions(rows, (), DOMAINS, "tree", alpha=3, rounds=3, screen=2, keep=1, steps=6))
+
+
+@query()
+def j10_pouches(t: Tables) -> DataFrame:
+    best = search.search_pouches(t.lineitem, ["l_quantity", "l_extendedprice", "l_discount"], most_states=3, rounds=3, screen=3, steps=8)
+    groups = ";".join(",".join(sorted(b)) for b in sorted(best["blocks"]))
+    return t.lineitem.agg(F.count("*").alias("n")).withColumns({"states": F.lit(best["states"]), "blocks": F.lit(groups), "bic": F.lit(float(best["bic"]))})

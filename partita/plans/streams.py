@@ -102,3 +102,11 @@ def h5_drift(t: Tables) -> DataFrame:
 def i6_forward_sample(t: Tables) -> DataFrame:
     """As many rows as there are orders, drawn from the given model."""
     return scoring.forward_sample(t.spark, t.orders.count(), GIVEN, hide=0.05)
+
+
+@query("SELECT count(*) AS n, round(avg(o_totalprice), 4) AS mean FROM orders")
+def a6_metrics(t: Tables) -> DataFrame:
+    path = shared_path(t.spark, "runs")
+    one = t.orders.agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean")).first()
+    io.write_metrics(t.spark, path, n=one["n"], mean=one["mean"])
+    return t.spark.read.json(path).select("n", "mean")
