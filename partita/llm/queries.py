@@ -114,14 +114,14 @@ ORACLE_SQL = {
           SELECT page_id, coalesce(html, '') AS payload, lower(trim(coalesce(url, ''))) AS u FROM pages),
         hashed AS (
           SELECT *, sha1(payload) AS sha, max(page_id) OVER (PARTITION BY payload) AS top,
-                 list_reduce(list_reverse(string_split(regexp_extract(u, '^[a-z]+://([^/:?#]*)', 1), '.')), (a, b) -> a || ',' || b) AS host,
+                 list_reduce(list_reverse(string_split(regexp_extract(u, '^[a-z]+://([^/:?#]*)', 1), '.')), lambda a, b: a || ',' || b) AS host,
                  regexp_extract(u, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path,
                  regexp_extract(u, '[?]([^#]*)', 1) AS q FROM named),
         keyed AS (
           SELECT *, host || ')' || CASE WHEN path = '' THEN '/' ELSE path END
                     || CASE WHEN q = '' THEN '' ELSE '?' || array_to_string(list_sort(string_split(q, '&')), '&') END AS url_key FROM hashed)
         SELECT page_id, strlen(payload) AS payload_bytes,
-               array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
                  1 + CAST((CAST('0x' || substr(sha, 1 + 5 * CAST(i // 4 AS INT), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INT), 1)), '') AS payload_digest,
                CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> top THEN top END AS refers_to, url_key,
