@@ -59,15 +59,24 @@ class Centroids:
 
     def predict(self, texts) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score (cosine with the nearest centroid, 0 to 1) and rejection of each text."""
-        counts = [ngram_counts(t if isinstance(t, str) else None) for t in texts]
-        score, best = np.zeros(len(counts)), ["und"] * len(counts)
-        there = [i for i, c in enumerate(counts) if c is not None]
-        if there and len(self.rows):
-            near = np.stack([vector(counts[i], self.idf) for i in there]) @ self.rows.T
-            at = near.argmax(axis=1)
-            score[there] = np.clip(near[np.arange(len(there)), at], 0, 1)
-            for i, k in zip(there, at, strict=True):
-                best[i] = self.langs[k]
+        score, best = np.zeros(len(texts)), ["und"] * len(texts)
+        held: list[tuple[int, np.ndarray]] = []
+
+        def settle() -> None:
+            near = np.stack([v for _, v in held]) @ self.rows.T
+            for (i, _), row in zip(held, near, strict=True):
+                k = int(row.argmax())
+                score[i], best[i] = min(1.0, max(0.0, float(row[k]))), self.langs[k]
+            held.clear()
+
+        for i, text in enumerate(texts):
+            counts = ngram_counts(text if isinstance(text, str) else None)
+            if counts is not None and len(self.rows):
+                held.append((i, vector(counts, self.idf)))
+                if len(held) == 128:  # few vectors are held at a time, however many texts come
+                    settle()
+        if held:
+            settle()
         return best, score, (1 - score > self.max_distance) | np.array([x == "und" for x in best], dtype=bool)
 
 
@@ -124,9 +133,9 @@ def fit(docs: DataFrame, centroids: int = 4, sample_per_lang: int = 1500, max_di
 
     def run(batches):
         for b in batches:
-            got = [(lang, h, i, c) for lang, h, i, t in zip(b["lang"], b["h"], b["doc_id"], b["text"], strict=True) if (c := ngram_counts(t)) is not None]
-            vs = [vector(c, idf).astype(np.float16).tobytes() for *_, c in got]
-            yield pd.DataFrame({"lang": [g[0] for g in got], "h": [g[1] for g in got], "doc_id": [g[2] for g in got], "v": vs})
+            rows = zip(b["lang"], b["h"], b["doc_id"], b["text"], strict=True)
+            got = [(lang, h, i, vector(c, idf).astype(np.float16).tobytes()) for lang, h, i, t in rows if (c := ngram_counts(t)) is not None]
+            yield pd.DataFrame(got, columns=["lang", "h", "doc_id", "v"])
 
     sample = known.filter(some & F.col("text").isNotNull()).withColumn("h", spread).mapInPandas(run, "lang string, h long, doc_id long, v binary")
     by_lang: dict[str, list] = {}
