@@ -43,7 +43,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, room: int = 2048, end_id: int
                     continue
                 waiting.append((doc_id, words_of(text)))
                 size += len(text)
-                if size > 8_000_000:
+                if size > 4_000_000:
                     settle()
                     size = 0
             settle()

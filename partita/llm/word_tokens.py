@@ -27,7 +27,7 @@ class WordEncoder:
     them in one call, where the word-end suffix tells them apart. Other words go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, room: int = 400_000) -> None:
+    def __init__(self, path: str, room: int = 200_000) -> None:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
