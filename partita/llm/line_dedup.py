@@ -38,46 +38,70 @@ def _word_hashes(block: bytes) -> tuple[np.ndarray, np.ndarray]:
     return mixed((sums[stop] - sums[start]) * _DOWN[start]), start
 
 
+#: Bits of a word's hash that tell it from the line's other words; the bits above hold the line's place.
+_OWN = np.uint64(46)
+
+
+def _distinct(hashes: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each owner's distinct hashes, owner by owner, and where each owner starts. Every owner has one at least."""
+    key = owners.astype(np.uint64) << _OWN | hashes & np.uint64((1 << int(_OWN)) - 1)
+    key.sort()
+    key = key[np.append(True, key[1:] != key[:-1])]
+    own = key >> _OWN
+    return mixed(key & np.uint64((1 << int(_OWN)) - 1)), np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+
+
 def line_simhashes(lines: list[bytes]) -> np.ndarray:
-    """SimHash of the words of each normalised, non-empty line."""
+    """SimHash of the distinct words of each normalised, non-empty line.
+
+    A word counts once however often it occurs: the few words that every line of a language repeats would else make
+    unrelated lines alike, and their pairs grow with the square of the lines.
+    """
     counts, totals = np.zeros((len(lines), 64), dtype=np.int64), np.zeros(len(lines), dtype=np.int64)
 
-    def add(owners: list[int], block: list[bytes]) -> None:
-        hashes, at = _word_hashes(b"\n".join(block))
+    def add(at: list[int], block: list[bytes]) -> None:
+        hashes, starts = _word_hashes(b"\n".join(block))
         sizes = np.fromiter(map(len, block), dtype=np.int64, count=len(block))
-        first = np.searchsorted(at, np.cumsum(sizes + 1) - sizes - 1)
-        np.add.at(counts, owners, bit_counts(hashes, first))
-        np.add.at(totals, owners, np.diff(np.append(first, len(hashes))))
-
-    owners, block, size = [], [], 0
+        first = np.searchsorted(starts, np.cumsum(sizes + 1) - sizes - 1)
+        features, cuts = _distinct(hashes, np.repeat(np.arange(len(block)), np.diff(np.append(first, len(hashes)))))
+        counts[at] = bit_counts(features, cuts)
+        totals[at] = np.diff(np.append(cuts, len(features)))
+
+    def add_long(i: int, line: bytes) -> None:
+        """A line of over half a chunk: its words are hashed in parts; a word of over half a chunk is cut."""
+        parts, held, room = [], b"", _CHUNK // 2
+        for w in line.split(b" "):
+            for k in range(0, len(w), room):
+                cut = w[k : k + room]
+                if held and len(held) + len(cut) >= room:
+                    parts.append(_word_hashes(held)[0])
+                    held = b""
+                held = held + b" " + cut if held else cut
+        hashes = np.concatenate([*parts, _word_hashes(held)[0]])
+        features, cuts = _distinct(hashes, np.zeros(len(hashes), dtype=np.uint64))
+        counts[i], totals[i] = bit_counts(features, cuts)[0], len(features)
+
+    at, block, size = [], [], 0
     for i, line in enumerate(lines):
-        parts = [line]
-        if len(line) > _CHUNK // 2:  # a very long line: words in parts, a word of over half a part is cut
-            parts, held, room = [], b"", _CHUNK // 2
-            for w in line.split(b" "):
-                for k in range(0, len(w), room):
-                    cut = w[k : k + room]
-                    if held and len(held) + len(cut) >= room:
-                        parts.append(held)
-                        held = b""
-                    held = held + b" " + cut if held else cut
-            parts.append(held)
-        for part in parts:
-            if size + len(part) >= _CHUNK - 1:
-                add(owners, block)
-                owners, block, size = [], [], 0
-            owners.append(i)
-            block.append(part)
-            size += len(part) + 1
+        if len(line) > _CHUNK // 2:
+            add_long(i, line)
+            continue
+        if size + len(line) >= _CHUNK - 1:
+            add(at, block)
+            at, block, size = [], [], 0
+        at.append(i)
+        block.append(line)
+        size += len(line) + 1
     if block:
-        add(owners, block)
+        add(at, block)
     return fingerprints(counts, totals)
 
 
 def edit_similar(a: bytes, b: bytes, least: float) -> bool:
-    """1 - (edit distance of characters) / (longer length) >= least, by bit-parallel dynamic programming.
+    """1 - (edit distance of characters) / (longer length) >= least, exactly.
 
-    Equal ends are cut off first; the distance can only come from what lies between.
+    Equal ends are cut off first; the distance can only come from what lies between. Two upper bounds accept most
+    pairs, bit-parallel dynamic programming decides the others.
     """
     s, t = a.decode("utf-8", "surrogatepass"), b.decode("utf-8", "surrogatepass")
     longest = max(len(s), len(t))
@@ -91,8 +115,13 @@ def edit_similar(a: bytes, b: bytes, least: float) -> bool:
     off = np.flatnonzero(x[len(x) - n + head :][::-1] != y[len(y) - n + head :][::-1])
     tail = int(off[0]) if len(off) else n - head
     s, t = s[head : len(s) - tail], t[head : len(t) - tail]
+    if max(len(s), len(t)) <= most:
+        return True
     if not s or not t:
-        return max(len(s), len(t)) <= most
+        return False
+    words, others = s.split(" "), t.split(" ")
+    if len(words) == len(others) and sum(max(len(v), len(w)) for v, w in zip(words, others, strict=True) if v != w) <= most:
+        return True  # replacing the words that differ, place by place, is cheap enough
     if len(s) > len(t):
         s, t = t, s
     peq: dict[str, int] = {}
