@@ -308,14 +308,14 @@ def dedup_lines(docs: DataFrame, radius: int = RADIUS, least: float = 0.8, min_w
     texts do. Other columns stay as they are; input columns named n_lines or removed_lines are replaced. An empty
     table gives no rows.
     """
-    gone = line_decisions(docs, radius, least, min_words).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "gone")
-    keyed = docs.drop("n_lines", "removed_lines").withColumn("_key", F.xxhash64("text"))
-    joined = keyed.join(gone, keyed["doc_id"].cast("long").eqNullSafe(gone["_id"]) & (keyed["_key"] == gone["_hash"]), "left")
-    parts = F.split("text", "\n", -1)
-    some = F.filter(parts, lambda x, i: ~F.array_contains(F.col("gone"), i))
-    # a long document's lines are looked up once each
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(some, "\n"))
-    removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone"))
-    return joined.withColumns(
-        {"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)), "removed_lines": removed, "text": text}
-    ).drop("_id", "_hash", "_key", "gone")
+    gone = line_decisions(docs, radius, least, min_words).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("gone").alias("_gone"))
+    d, g = docs.drop("n_lines", "removed_lines").alias("d"), gone.alias("g")  # aliases keep input columns of any name apart
+    joined = d.join(g, F.col("d.doc_id").cast("long").eqNullSafe(F.col("g._id")) & (F.xxhash64("d.text") == F.col("g._hash")), "left")
+    parts, lost = F.split("d.text", "\n", -1), F.col("g._gone")
+    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(lost, i)), "\n")
+    text = F.when(lost.isNull(), F.col("d.text")).otherwise(kept)
+    return joined.select(
+        *[text.alias(c) if c == "text" else F.col(f"d.`{c}`") for c in d.columns],
+        F.when(F.col("d.text").isNull(), 0).otherwise(F.size(parts)).alias("n_lines"),
+        F.when(lost.isNull(), 0).otherwise(F.size(lost)).alias("removed_lines"),
+    )

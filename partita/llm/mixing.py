@@ -151,7 +151,8 @@ def take_mix(docs: DataFrame, **options) -> DataFrame:
 
     Where a doc_id repeats, each of its rows is taken as often as the first of them.
     """
-    copies = mix(docs, **options).groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    d, c = docs.alias("d"), copies.filter("_copies > 0").select(F.col("doc_id").alias("_id"), "_copies").alias("c")
-    joined = d.join(c, F.col("d.doc_id").cast("long").eqNullSafe(F.col("c._id")))
-    return joined.select("d.*", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).drop("_copy")
+    copies = mix(docs, **options).groupBy("doc_id").agg(F.max("copies").alias("_copies")).filter("_copies > 0")
+    d, c = docs.alias("d"), copies.alias("c")  # aliases keep input columns of any name apart
+    joined = d.join(c, F.col("d.doc_id").cast("long").eqNullSafe(F.col("c.doc_id")))
+    names = [F.col(f"d.`{n}`") for n in docs.columns]
+    return joined.select(F.struct(*names).alias("row"), F.explode(F.sequence(F.lit(1), F.col("c._copies").cast("int"))).alias("turn")).select("row.*")

@@ -80,7 +80,7 @@ def test_matches_all_pairs_on_documents(spark, sf):
 def test_edges(spark):
     line = "one two three four five six"
     rows = [(1, None), (2, ""), (3, line), (4, f"{line}\nshort\n\nshort"), (4, f"{line}\nshort\n\nshort"), (None, line), (5, "ONE, two three; four five six 9\nx" + "y " * 90_000), (6, f"{line}\r\n{line}")]
-    docs = spark.createDataFrame([(i, t, 0, "k", i) for i, t in rows], "doc_id long, text string, n_lines int, fp string, lid long")
+    docs = spark.createDataFrame([(i, t, 0, "k", i, 1, 2) for i, t in rows], "doc_id long, text string, n_lines int, fp string, lid long, gone int, _gone int")
     out = L.dedup_lines(docs)
     got = {(r["doc_id"], r["text"], r["n_lines"], r["removed_lines"]) for r in out.collect()}
     assert out.count() == len(rows)

@@ -1,6 +1,8 @@
 import math
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from partita.llm import mixing
 
 
@@ -62,6 +64,7 @@ def test_edges(spark):
 
 def test_rows_are_taken_as_often_as_the_mix_says(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = docs.withColumns({"copies": F.lit(5), "turn": F.lit(6), "_copies": F.lit(7)})
     copies = {r["doc_id"]: r["copies"] for r in mixing.mix(docs).collect()}
     taken = defaultdict(int)
     out = mixing.take_mix(docs)
