@@ -10,24 +10,24 @@ from pyspark.sql import functions as F
 
 from partita.functions import special
 from partita.operators.describe import contingency_table
+from partita.operators.ranks import running_total
 
 
 def average_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by, value, rank, ties) per distinct value: the mean rank of its rows. Values are counted before they are ranked."""
+    """(by, value, ties, rank) per distinct value: the mean rank of its rows. Values are counted before they are ranked."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("ties"))
-    before = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("rank", F.coalesce(F.sum("ties").over(before), F.lit(0)) + (F.col("ties") + 1) / 2)
+    ranked = running_total(counts, [value], "ties", by)
+    return ranked.withColumn("rank", F.col("before") + (F.col("ties") + 1) / 2).drop("before")
 
 
 def rank_sums(df: DataFrame, group: str, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Per group: n, rank_sum; and of the whole test: total, tie_term = sum of t^3 - t.
 
-    Counts per (group, value) are joined with the ranks of the values, so rows are shuffled once.
+    Counts per group and value are joined with the ranks of the values; the ranks come from range partitions.
     """
     cells = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(*by, group, value).agg(F.count("*").alias("n"))
     ties = cells.groupBy(*by, value).agg(F.sum("n").alias("ties"))
-    before = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = ties.withColumn("rank", F.coalesce(F.sum("ties").over(before), F.lit(0)) + (F.col("ties") + 1) / 2)
+    ranks = running_total(ties, [value], "ties", by).withColumn("rank", F.col("before") + (F.col("ties") + 1) / 2)
     t = F.col("ties").cast("double")
     whole = ranks.groupBy(*by).agg(F.sum("ties").alias("total"), F.sum(t * t * t - t).alias("tie_term"))
     sums = cells.join(ranks, [*by, value]).groupBy(*by, group).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("rank")).alias("rank_sum"))

@@ -199,6 +199,8 @@ def mutual_info_mixed(df: DataFrame, state: str, x: str, k: int = 3) -> DataFram
     gaps = F.array_sort(F.transform(F.filter(around, lambda v: v.isNotNull()), lambda v: F.abs(v - F.col("x"))))
     each = values.withColumns({"eps": F.get(gaps, F.lit(k - 1)), "distinct": F.count("*").over(Window.partitionBy("g"))})
     # strict counts on the whole axis: a range frame would need one task, so the sorted distinct axis is searched
+    if values.count() > 50_000_000:
+        raise ValueError("over 50 million distinct values: the axis does not fit a task")
     axis = rows.groupBy("x").count().orderBy("x").toPandas()
     points, sums = axis["x"].to_numpy(), np.concatenate(([0], axis["count"].cumsum().to_numpy()))
     shared, total = df.sparkSession.sparkContext.broadcast((points, sums)), int(sums[-1])

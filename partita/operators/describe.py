@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from partita.operators.ranks import quantiles
+
 
 def unpivot(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), name: str = "attribute", value: str = "value") -> DataFrame:
     """Long form: one row per row and column."""
@@ -17,14 +19,12 @@ def unpivot(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), nam
 def describe_table(df: DataFrame, columns: Sequence[str], digits: int = 2) -> DataFrame:
     """Count, mean, sample deviation, minimum, median and maximum of each column."""
     r = lambda c: F.round(c, digits)
-    return unpivot(df, columns).groupBy("attribute").agg(
-        F.count("value").alias("n"),
-        r(F.avg("value")).alias("mean"),
-        r(F.stddev_samp("value")).alias("sd"),
-        r(F.min("value")).alias("low"),
-        r(F.percentile("value", F.lit(0.5))).alias("median"),
-        r(F.max("value")).alias("high"),
+    long = unpivot(df, columns)
+    one = long.groupBy("attribute").agg(
+        F.count("value").alias("n"), r(F.avg("value")).alias("mean"), r(F.stddev_samp("value")).alias("sd"), r(F.min("value")).alias("low"), r(F.max("value")).alias("high")
     )
+    middle = quantiles(long, "value", {"median": 0.5}, ["attribute"])
+    return one.join(middle, "attribute", "left").select("attribute", "n", "mean", "sd", "low", r(F.col("median")).alias("median"), "high")
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -62,8 +62,8 @@ def boxplot_stats(df: DataFrame, group: str, value: str) -> DataFrame:
 
     The second pass joins the quartiles of the groups back to the rows; hot groups split like any skewed join.
     """
-    q = df.groupBy(group).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.avg(value).alias("mean"))
-    q = q.select(group, *[F.col("q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))], "mean")
+    means = df.groupBy(group).agg(F.avg(value).alias("mean"))
+    q = quantiles(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, [group]).join(means, group)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = df.select(group, value).join(q, group).filter((F.col(value) >= F.col("q1") - reach) & (F.col(value) <= F.col("q3") + reach))
     return inside.groupBy(group, "q1", "median", "q3", "mean").agg(F.min(value).alias("low"), F.max(value).alias("high"))

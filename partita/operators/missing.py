@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partita.operators.describe import unpivot
+from partita.operators.ranks import smallest
 
 
 def locate_missing(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
@@ -30,7 +31,7 @@ def hide_cells(df: DataFrame, key: str, columns: Sequence[str], share: float, se
     cells = df.select(key, F.explode(F.array(*[F.lit(c) for c in columns])).alias("attribute"))
     for s in range(seed, seed + 100):
         digest = F.md5(F.concat_ws(":", F.col(key).cast("string"), "attribute", F.lit(str(s))).cast("binary"))
-        chosen = cells.orderBy(digest, key, "attribute").limit(n)
+        chosen = smallest(cells.withColumn("_digest", digest), ["_digest", key, "attribute"], n).drop("_digest")
         if n < rows or chosen.groupBy("attribute").count().filter(F.col("count") >= rows).isEmpty():
             return chosen
     raise ValueError("a column loses every cell under every seed tried")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from partita.operators.ranks import running_total, smallest
+
 
 def project(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The columns in the given order; a missing one is an error that names it."""
@@ -90,25 +92,16 @@ def split_weighted(df: DataFrame, key: str, weight: str, n: int, seed: int = 0)
     """(train, test): n cases drawn without replacement in proportion to integer weights, and the rest, with their weights."""
     cases = df.select("*", F.explode(F.sequence(F.lit(1), F.col(weight).cast("int"))).alias("_case")).filter(F.col(weight) >= 1)
     digest = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("_case").cast("string"), F.lit(str(seed))).cast("binary"))
-    drawn = cases.orderBy(digest, key, "_case").limit(n).groupBy(key).agg(F.count("*").alias("_drawn"))
+    drawn = smallest(cases.select(key, "_case", digest.alias("_digest")), ["_digest", key, "_case"], n).groupBy(key).agg(F.count("*").alias("_drawn"))
     both = df.join(drawn, key, "left").withColumn("_drawn", F.coalesce("_drawn", F.lit(0)))
     train = both.filter("_drawn > 0").withColumn(weight, F.col("_drawn")).drop("_drawn")
     rest = F.col(weight) - F.col("_drawn")
     return train, both.filter(rest > 0).withColumn(weight, rest).drop("_drawn")
 
 
-def fixed_batches(df: DataFrame, key: str, n: int, parts: int = 64) -> DataFrame:
-    """df with the number (from 0) of its batch of n rows in key order.
-
-    Rows are range-partitioned by the key; a row's place is its place in its partition plus the rows before it,
-    so no task sorts the whole table.
-    """
-    ranged = df.repartitionByRange(parts, key).withColumn("_part", F.spark_partition_id())
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
-    placed = ranged.withColumn("_place", place).join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part")  # one row per partition
-    return placed.withColumn("batch", F.floor((F.col("_place") + F.col("_before")) / n)).drop("_part", "_place", "_before")
+def fixed_batches(df: DataFrame, key: str, n: int) -> DataFrame:
+    """df with the number (from 0) of its batch of n rows in the order of a unique key; no task sorts the whole table."""
+    return running_total(df, [key]).withColumn("batch", F.floor(F.col("before") / n)).drop("before")
 
 
 def weighted_moments(df: DataFrame, columns: Sequence[str], weight: str) -> DataFrame:
