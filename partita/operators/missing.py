@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partita.operators.describe import unpivot
@@ -44,35 +44,45 @@ def apply_mask(df: DataFrame, key: str, columns: Sequence[str], mask: DataFrame)
     return df.join(lost, key, "left").withColumns({c: F.when(~gone(c), F.col(c)) for c in columns}).drop("_lost")
 
 
+def state_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, list[tuple[str, int]]]:
+    """(state as text, count) of each discrete column, in the order of states, from one job. A row per state reaches the driver."""
+    if not columns:
+        return {}
+    cells = F.array(*[F.struct(F.lit(c).alias("attribute"), F.col(c).cast("string").alias("state")) for c in columns])
+    counts = df.select(F.inline(cells)).filter("state is not null").groupBy("attribute", "state").agg(F.count("*").alias("n"))
+    out: dict[str, list] = {c: [] for c in columns}
+    for r in counts.collect():
+        out[r["attribute"]].append((r["state"], r["n"]))
+    return {c: sorted(v) for c, v in out.items()}
+
+
 def impute_expected(df: DataFrame, numeric: Sequence[str] = (), discrete: Sequence[str] = ()) -> DataFrame:
-    """Nulls become the column's mean or most frequent state (the smallest of equals). The statistics are one row."""
-    means = [F.avg(c).alias(c) for c in numeric]
-    fill = df.agg(*means).first().asDict() if numeric else {}
-    for c in discrete:
-        top = df.filter(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).limit(1).collect()
-        if top:
-            fill[c] = top[0][c]
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in fill.items() if v is not None})
+    """Nulls become the column's mean or most frequent state (the smallest of equals, as text). Two jobs, whatever the columns."""
+    fill = {c: F.lit(v) for c, v in (df.agg(*[F.avg(c).alias(c) for c in numeric]).first().asDict() if numeric else {}).items() if v is not None}
+    for c, counts in state_counts(df, discrete).items():
+        if counts:
+            top = min(counts, key=lambda x: (-x[1], x[0]))[0]
+            fill[c] = F.lit(top).cast(df.schema[c].dataType)
+    return df.withColumns({c: F.coalesce(F.col(c), v) for c, v in fill.items()})
 
 
 def impute_marginal(df: DataFrame, key: str, numeric: Sequence[str] = (), discrete: Sequence[str] = (), seed: int = 0) -> DataFrame:
-    """Nulls become draws: from the column's normal, or from its states with add-one weights. Seeded by row key."""
+    """Nulls become draws: from the column's normal, or from its states with add-one weights. Seeded by row key; two jobs."""
     uniform = lambda c, s: (F.pmod(F.xxhash64(F.col(key), F.lit(c), F.lit(seed + s)), F.lit(1 << 40)).cast("double") + 0.5) / (1 << 40)
     out = {}
+    moments = df.agg(*[f(c).alias(f"{n}_{c}") for c in numeric for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first() if numeric else {}
     for c in numeric:
-        m, s = df.agg(F.avg(c), F.coalesce(F.stddev_pop(c), F.lit(0.0))).first()
-        if m is not None:
+        if moments[f"m_{c}"] is not None:
             draw = F.sqrt(-2 * F.log(uniform(c, 0))) * F.cos(2 * F.pi() * uniform(c, 1))
-            out[c] = F.coalesce(F.col(c).cast("double"), F.lit(m) + F.lit(s) * draw)
-    for c in discrete:
-        counts = sorted((r[c], r["count"] + 1) for r in df.filter(F.col(c).isNotNull()).groupBy(c).count().collect())
-        total, reached, pick = sum(n for _, n in counts), 0, None
+            out[c] = F.coalesce(F.col(c).cast("double"), F.lit(moments[f"m_{c}"]) + F.lit(moments[f"s_{c}"] or 0.0) * draw)
+    for c, counts in state_counts(df, discrete).items():
+        kind, total, reached, pick = df.schema[c].dataType, sum(n + 1 for _, n in counts), 0, None
         for state, n in counts[:-1]:
-            reached += n
-            test = uniform(c, 0) < reached / total
-            pick = F.when(test, F.lit(state)) if pick is None else pick.when(test, F.lit(state))
+            reached += n + 1
+            test, value = uniform(c, 0) < reached / total, F.lit(state).cast(kind)
+            pick = F.when(test, value) if pick is None else pick.when(test, value)
         if counts:
-            last = F.lit(counts[-1][0])
+            last = F.lit(counts[-1][0]).cast(kind)
             out[c] = F.coalesce(F.col(c), last if pick is None else pick.otherwise(last))
     return df.withColumns(out)
 
@@ -117,8 +127,3 @@ def impute_avg_error(truth: DataFrame, imputed: DataFrame, mask: DataFrame, key:
     shares = _cells(truth, imputed, mask, key, discrete, True).groupBy("attribute").agg(F.avg(wrong).alias("error"))
     both = _nrmse(truth, imputed, mask, key, numeric).unionByName(shares)
     return both.agg((F.sum("error") / F.lit(len(numeric) + len(discrete))).alias("avg_error"))
-
-
-def mode_of(column: str, by: Sequence[str]) -> Column:
-    """Window expression: 1 for the most frequent state within `by` (smallest of equals) over a counted table."""
-    return F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), column))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from partita.functions import special
-from partita.operators import compare, dependence, describe, forest, missing, parameters, prepare, scoring, search
+from partita.operators import compare, dependence, describe, forest, missing, parameters, prepare, ranks, scoring, search
 from partita.operators.scoring import MixtureModel
 from partita.sources import tables as io
 from partita.streaming import updates
@@ -200,3 +200,23 @@ def test_moves_keep_structures_sound():
         assert not t.cyclic() and set(t.of) == set(s.of) and all(p in (*t.cards, forest.ALONE) for p in [*t.of.values(), *t.up.values()])
     assert forest.add_arcs(s) == []
     assert forest.remove_latents(s)[0].of["a"] == forest.ALONE
+
+
+def test_places_totals_and_quantiles(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, "ab"[i % 2], float(v) if i % 9 else None) for i, v in enumerate(rng.integers(0, 40, 500))]
+    df = spark.createDataFrame(rows, "k long, g string, v double")
+    placed = {r["k"]: r["before"] for r in ranks.running_total(df, ["k"]).collect()}
+    assert placed == {i: i for i in range(500)}
+    assert sorted(r["k"] for r in ranks.smallest(df.repartition(5), ["v", "k"], 77).collect()) == sorted(
+        k for k, *_ in sorted(rows, key=lambda r: (r[2] is not None, r[2] or 0, r[0]))[:77]
+    )
+    got = {r["g"]: (r["q"], r["m"]) for r in ranks.quantiles(df, "v", {"q": 0.3, "m": 0.5}, ["g"]).collect()}
+    for g in "ab":
+        v = [x for _, h, x in rows if h == g and x is not None]
+        assert np.allclose(got[g], np.quantile(v, [0.3, 0.5]))
+    whole = ranks.quantiles(df, "v", {"m": 0.5}).first()["m"]
+    assert math.isclose(whole, np.median([x for *_, x in rows if x is not None]))
+    assert ranks.quantiles(df.limit(0), "v", {"m": 0.5}, ["g"]).count() == 0
+    batches = prepare.fixed_batches(df, "k", 64).groupBy("batch").count().collect()
+    assert sorted((r["batch"], r["count"]) for r in batches) == [(i, 64) for i in range(7)] + [(7, 52)]
