@@ -311,6 +311,14 @@ def _useful(s: Structure) -> bool:
 
 def search(features: DataFrame, start: Structure, moves, numeric: Sequence[str], domains: Mapping[str, Sequence[str]], rounds: int = 20, screen: int = 4, keep: int = 3, steps: int = 30, seed: int = 0) -> Forest:
     """Hill climbing: all candidates of a round are screened in shared passes, the best few are fitted on, the best is taken while the bound rises."""
+    features = features.select(*numeric, *domains).persist()  # every pass reads it
+    try:
+        return _search(features, start, moves, numeric, domains, rounds, screen, keep, steps, seed)
+    finally:
+        features.unpersist()
+
+
+def _search(features, start, moves, numeric, domains, rounds, screen, keep, steps, seed) -> Forest:
     rng = np.random.default_rng(seed)
     base = class_prior(features, 1, numeric, domains)
     prior = forest_prior(base, start)

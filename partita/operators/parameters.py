@@ -279,6 +279,14 @@ def fit_latent_class(
     """
     domains = dict(domains or {})
     sizes = [states] if isinstance(states, int) else list(states)
+    features = features.select(*numeric, *domains, *([weight] if weight else [])).persist()  # every step reads it
+    try:
+        return _fit_latent_class(features, sizes, numeric, domains, candidates, steps, threshold, restart, warm, seed, weight)
+    finally:
+        features.unpersist()
+
+
+def _fit_latent_class(features, sizes, numeric, domains, candidates, steps, threshold, restart, warm, seed, weight) -> dict[int, LatentClass]:
     priors = {k: class_prior(features, k, numeric, domains) for k in sizes}
     rng = np.random.default_rng(seed)
     live = [(k, _start(priors[k], rng)) for k in sizes for _ in range(candidates if k > 1 else 1)]
@@ -338,6 +346,7 @@ def fit_mixture(features: DataFrame, states: int, numeric: Sequence[str], full:
     rng = np.random.default_rng(seed)
     live = [(np.full(states, 1 / states), rng.standard_normal((states, d)) * np.sqrt(var), np.stack([np.diag(var)] * states)) for _ in range(candidates)]
     best, past = None, np.full(candidates, -np.inf)
+    rows = rows.persist()  # every step reads it
     for _ in range(steps):
         shared = rows.sparkSession.sparkContext.broadcast(live)
 
@@ -387,5 +396,6 @@ def fit_mixture(features: DataFrame, states: int, numeric: Sequence[str], full:
         if (gains < threshold).all():
             break
         live = after
+    rows.unpersist()
     dim = states - 1 + states * (d + (int(joint.sum()) + d) // 2)
     return best | {"n": n, "dim": dim, "bic": best["log_likelihood"] - dim * math.log(n) / 2}
