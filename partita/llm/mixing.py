@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from partita.llm.common import WORD_PATTERN, stored
 
+#: Sources up to which their table of a few numbers each is sent to every task.
+MOST_SOURCES = 10_000
+
 
 
 def word_count(text: Column) -> Column:
@@ -118,6 +121,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
         .join(sized.groupBy("source").agg(F.count("*").alias("n_docs")).alias("c"), F.col("t.source").eqNullSafe(F.col("c.source")))
         .select("t.*", "tilt", "scale", "n_docs")
     )
+    plan = stored(plan, "mix-plan")
+    if plan.count() <= MOST_SOURCES:  # a row per source; where they are more, a shuffle join that Spark can split
+        plan = F.broadcast(plan)
     rate = F.when(F.col("tilt").isNull(), F.lit(float(most))).otherwise(
         F.least(F.lit(float(most)), F.exp(F.least(F.col("tilt") * F.col("size") / F.col("scale"), F.lit(50.0))))
     )
