@@ -290,7 +290,8 @@ def line_decisions(docs: DataFrame, radius: int = RADIUS, least: float = 0.8, mi
     roots = stored(connected_components(links), "line-roots").select(F.unhex("node").alias("lid"), F.unhex("root").alias("root"))
     classed = each.join(roots, "lid", "left").filter("n > 1 or root is not null").select("lid", "first", F.coalesce("root", "lid").alias("root"))
     classed = stored(classed, "line-classes")
-    kept = classed.groupBy("root").agg(F.min("first").alias("kept"))
+    # written, so that the join below is a plain one, whose hot classes Spark can split
+    kept = stored(classed.groupBy("root").agg(F.min("first").alias("kept")), "line-kept")
     # only lines of classes with a second occurrence are joined with the class's first
     ruled = classed.select("lid", "root").join(kept, "root").select("lid", "kept")
     gone = lines.select("lid", "doc_id", "text_hash", "line").join(ruled, "lid").filter(~seen.eqNullSafe(F.col("kept")))
