@@ -1,4 +1,4 @@
-"""Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, one occurrence per group."""
+"""Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, bands of letter n-grams, edit similarity, one occurrence per group."""
 
 from __future__ import annotations
 
@@ -97,6 +97,100 @@ def line_simhashes(lines: list[bytes]) -> np.ndarray:
     return fingerprints(counts, totals)
 
 
+#: Letter n-grams are of 8 bytes; a band is the least hashes in 3 bins; of each bin 3 bits make the sketch.
+_GRAM, _ROWS, _SKETCH = 8, 3, 3
+_NONE = np.uint64(2**64 - 1)
+
+
+def _least_hashes(block: bytes, n: int, bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of n lines, parted by line ends: the least n-gram hash that falls in each bin, and the least of a hash of its own per bin.
+
+    The second serves bins that stay empty (only lines that have such are computed).
+    """
+    b = np.frombuffer(block + b"\n" * _GRAM, dtype=np.uint8)
+    m = len(b) - _GRAM + 1
+    grams = np.zeros(m, dtype=np.uint64)
+    for j in range(_GRAM):
+        grams |= b[j : m + j].astype(np.uint64) << np.uint64(8 * j)
+    ends = np.append(0, np.cumsum(b == 10))
+    inside = ends[_GRAM:] == ends[:m]
+    owner, h = ends[:m][inside], mixed(grams[inside])
+    least, other = np.full((n, bins), _NONE), np.full((n, bins), _NONE)
+    key = (owner.astype(np.uint64) * np.uint64(bins) + (h >> np.uint64(40)) % np.uint64(bins)) << np.uint64(36) | h & np.uint64((1 << 36) - 1)
+    key.sort()
+    slot = (key >> np.uint64(36)).astype(np.int64)
+    first = np.flatnonzero(np.append(True, slot[1:] != slot[:-1])) if len(slot) else slot
+    least.reshape(-1)[slot[first]] = key[first] & np.uint64((1 << 36) - 1)
+    short = (least == _NONE).any(axis=1)[owner]
+    h, owner = h[short], owner[short]
+    if len(h):
+        start = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+        odd = mixed(np.arange(1, bins + 1, dtype=np.uint64)) | np.uint64(1)
+        for k in range(bins):
+            other[owner[start], k] = np.minimum.reduceat(h * odd[k], start) | np.uint64(1 << 63)
+    return least, other
+
+
+def line_bands(lines: list[bytes], bands: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (lines x bands) and sketches (lines x 2) of normalised lines: MinHash of the letter n-grams in bins.
+
+    Lines with a Jaccard similarity J of n-grams share each key with a chance of J^3, and each 3 bits of the sketch with
+    J + (1 - J) / 8. Lines shorter than an n-gram share keys only with each other.
+    """
+    bins = bands * _ROWS
+    out = np.empty((len(lines), bins), dtype=np.uint64)
+
+    def add(at: list[int], block: list[bytes]) -> None:
+        least, other = _least_hashes(b"\n".join(block), len(block), bins)
+        out[at] = np.where(least == _NONE, other, least)
+
+    def add_long(i: int, line: bytes) -> None:
+        least, other = np.full(bins, _NONE), np.full(bins, _NONE)
+        for k in range(0, len(line), _CHUNK // 2):
+            a, _ = _least_hashes(line[k : k + _CHUNK // 2 + _GRAM - 1], 1, bins)
+            least = np.minimum(least, a[0])
+        if (least == _NONE).any():
+            odd = mixed(np.arange(1, bins + 1, dtype=np.uint64)) | np.uint64(1)
+            grams = np.array(sorted({int.from_bytes(line[k : k + _GRAM], "little") for k in range(len(line) - _GRAM + 1)}), dtype=np.uint64)
+            other = np.array([(mixed(grams) * x).min() | np.uint64(1 << 63) for x in odd], dtype=np.uint64)
+        out[i] = np.where(least == _NONE, other, least)
+
+    at, block, size = [], [], 0
+    for i, line in enumerate(lines):
+        if len(line) > _CHUNK // 2:
+            add_long(i, line)
+            continue
+        if size + len(line) >= _CHUNK - 1:
+            add(at, block)
+            at, block, size = [], [], 0
+        at.append(i)
+        block.append(line)
+        size += len(line) + 1
+    if block:
+        add(at, block)
+    keys = np.repeat(np.arange(1, bands + 1, dtype=np.uint64)[None, :], len(lines), axis=0)
+    sketch = np.zeros((len(lines), 2), dtype=np.uint64)
+    for k in range(bins):
+        band, half = k // _ROWS, k * 2 // bins
+        keys[:, band] = mixed(keys[:, band] * _BASE + out[:, k])
+        sketch[:, half] = sketch[:, half] << np.uint64(_SKETCH) | mixed(out[:, k]) & np.uint64((1 << _SKETCH) - 1)
+    return keys.view(np.int64), sketch.view(np.int64)
+
+
+def _alike(sketches: np.ndarray, bands: int):
+    """Index pairs (rows, columns) whose sketches agree in at least a third of the bins, in blocks of rows."""
+    x, bins = sketches.astype(np.int64).view(np.uint64), bands * _ROWS
+    low = np.uint64(sum(1 << (_SKETCH * k) for k in range(bins // 2 + 1)))
+    for at in range(0, len(x), 256):
+        differ = np.zeros((min(256, len(x) - at), len(x) - at), dtype=np.int64)
+        for half in range(2):
+            d = x[at : at + 256, None, half] ^ x[None, at:, half]
+            differ += np.bitwise_count((d | d >> np.uint64(1) | d >> np.uint64(2)) & low)
+        rows, cols = np.nonzero(differ <= bins - -(-bins // 3))
+        keep = rows < cols
+        yield rows[keep] + at, cols[keep] + at
+
+
 def edit_similar(a: bytes, b: bytes, least: float) -> bool:
     """1 - (edit distance of characters) / (longer length) >= least, exactly.
 
@@ -177,7 +271,7 @@ def line_table(docs: DataFrame, min_words: int = 5) -> DataFrame:
 
 
 def _texts_of(docs: DataFrame, bits: bytes, min_words: int) -> DataFrame:
-    """(lid, norm) of the lines whose digest hits the bitmap: all candidates, and what shares their bits."""
+    """(lid, half, norm) of the lines whose digest hits the bitmap: all candidates, and what shares their bits."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
@@ -193,24 +287,26 @@ def _texts_of(docs: DataFrame, bits: bytes, min_words: int) -> DataFrame:
                 at = np.frombuffer(b"".join(lids), dtype=np.uint64)[::2] & mask
                 for i in np.flatnonzero(bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1):
                     found[lids[i]] = lines[i]
-            yield pd.DataFrame({"lid": list(found), "norm": list(found.values())})
+            half = np.frombuffer(b"".join(found), dtype=np.int64)[::2]
+            yield pd.DataFrame({"lid": list(found), "half": half, "norm": list(found.values())})
 
-    return docs.filter(F.col("text").isNotNull()).select("text").mapInPandas(run, "lid binary, norm binary")
+    return docs.filter(F.col("text").isNotNull()).select("text").mapInPandas(run, "lid binary, half long, norm binary")
 
 
-def _bitmap(lids: DataFrame, kilobytes: int) -> bytes:
-    """A bitmap of fixed size of the digests: partial bitmaps by task, joined by bitwise or."""
+def _bitmap(lids: DataFrame, kilobytes: int, name: str = "lid") -> bytes:
+    """A bitmap of fixed size of the digests or of numbers: partial bitmaps by task, joined by bitwise or."""
     size = kilobytes * 1024
 
     def run(batches):
         bits = np.zeros(size, dtype=np.uint8)
         for b in batches:
             if len(b):
-                at = np.frombuffer(b"".join(b["lid"]), dtype=np.uint64)[::2] & np.uint64(8 * size - 1)
+                of = np.frombuffer(b"".join(b[name]), dtype=np.uint64)[::2] if name == "lid" else b[name].to_numpy().view(np.uint64)
+                at = of & np.uint64(8 * size - 1)
                 np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
         yield pd.DataFrame({"word": np.arange(size // 8), "bits": bits.view(np.int64)}).query("bits != 0")
 
-    joined = lids.select("lid").mapInPandas(run, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    joined = lids.select(name).mapInPandas(run, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
     words = np.zeros(size // 8, dtype=np.int64)
     for part in joined.toLocalIterator():
         words[part["word"]] = part["bits"]
@@ -228,9 +324,110 @@ def _near_pairs(fps: np.ndarray, radius: int):
         yield rows + at, cols + at, apart[rows, cols]
 
 
-def similar_lines(docs: DataFrame, each: DataFrame, radius: int = RADIUS, least: float = 0.8, min_words: int = 5, bitmap_kb: int = 2048) -> DataFrame:
+def _bucket_keys(docs: DataFrame, bands: int, bits: bytes | None, min_words: int) -> DataFrame:
+    """(key, half) of every line and band; with a bitmap of keys, only those in it, each once a batch, with the line's sketch (s0, s1)."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits) if bits else None
+
+    def run(batches):
+        bitmap = np.frombuffer(shared.value, dtype=np.uint8) if shared else None
+        for b in batches:
+            lines: set[bytes] = set()
+            for text in b["text"]:
+                lines.update(x for x in normalised_lines(text) if x.count(b" ") >= min_words - 1 and x)
+            if not lines:
+                continue
+            block = list(lines)
+            half = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x) for x in block), dtype=np.int64)[::2]
+            keys, sketch = line_bands(block, bands)
+            if bitmap is None:
+                yield pd.DataFrame({"key": keys.ravel(), "half": np.repeat(half, bands)})
+                continue
+            at = keys.view(np.uint64) & np.uint64(8 * len(bitmap) - 1)
+            i, k = np.nonzero(bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+            yield pd.DataFrame({"key": keys[i, k], "half": half[i], "s0": sketch[i, 0], "s1": sketch[i, 1]})
+
+    out = "key long, half long" + ", s0 long, s1 long" * bool(bits)
+    return docs.filter(F.col("text").isNotNull()).select("text").mapInPandas(run, out)
+
+
+def _shards(rows: DataFrame, most: int = 512) -> DataFrame:
+    """rows (key, half, ...) with (part_a, part_b): keys of over `most` rows are dealt to shards, and each pair of shards is a bucket."""
+    packed = rows.groupBy("key").agg(F.count("*").alias("_n")).filter(F.col("_n") > most)
+    shards = F.ceil(F.col("_n") / most).cast("int")
+    many = (
+        rows.join(packed, "key")
+        .withColumn("_s", F.pmod(F.xxhash64("half"), shards).cast("int"))
+        .select(*rows.columns, "_s", F.explode(F.sequence(F.lit(0), shards - 1)).alias("_o"))
+        .select(*rows.columns, F.least("_s", "_o").alias("part_a"), F.greatest("_s", "_o").alias("part_b"))
+    )
+    alone = rows.join(packed.select("key"), "key", "left_anti").withColumns({"part_a": F.lit(0), "part_b": F.lit(0)})
+    return alone.unionByName(many)
+
+
+def band_candidates(docs: DataFrame, bands: int, min_words: int = 5, bitmap_kb: int = 8192) -> DataFrame:
+    """(key, half, s0, s1): lines, by half their digest, that share a band's key with another line of a like sketch.
+
+    Keys that two different lines have are found first, with two numbers a key; a bitmap of fixed size says which keys'
+    lines to send with their sketches. When it fills up at scale, lines are sent in vain, none is missed.
+    """
+    pairs = _bucket_keys(docs, bands, None, min_words).groupBy("key").agg(F.min("half").alias("a"), F.max("half").alias("b"))
+    live = stored(pairs.filter("a < b").select("key"), "band-keys")
+    rows = stored(_bucket_keys(docs, bands, _bitmap(live, bitmap_kb, "key"), min_words).distinct(), "band-rows")
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for key, group in zip(b["key"], b["rows"], strict=True):
+                if len(group) < 2:
+                    continue
+                x = np.array([(r["half"], r["s0"], r["s1"]) for r in group], dtype=np.int64)
+                found = np.zeros(len(x), dtype=bool)
+                for i, j in _alike(x[:, 1:], bands):
+                    found[i] = found[j] = True
+                out += [(key, *r) for r in x[found].tolist()]
+            yield pd.DataFrame(out, columns=["key", "half", "s0", "s1"], dtype=np.int64)
+
+    groups = _shards(rows).groupBy("key", "part_a", "part_b").agg(F.collect_list(F.struct("half", "s0", "s1")).alias("rows"))
+    found = groups.filter(F.size("rows") > 1).select("key", "rows").mapInPandas(run, "key long, half long, s0 long, s1 long")
+    return stored(found.distinct(), "band-candidates")
+
+
+def band_links(candidates: DataFrame, texts: DataFrame, bands: int, least: float) -> DataFrame:
+    """(a, b): links, as hex digests, between candidates (key, half, s0, s1) of one key whose texts (lid, half, norm) are similar."""
+
+    def run(batches):
+        for b in batches:
+            links = []
+            for key, group in zip(b["key"], b["rows"], strict=True):
+                rows = sorted((r["lid"], r["norm"], r["s0"], r["s1"], frozenset(r["keys"])) for r in group)
+                root = list(range(len(rows)))
+
+                def top(i: int) -> int:
+                    while root[i] != i:
+                        root[i] = root[root[i]]
+                        i = root[i]
+                    return i
+
+                for left, right in _alike(np.array([r[2:4] for r in rows], dtype=np.int64), bands):
+                    for i, j in zip(left.tolist(), right.tolist(), strict=True):
+                        p, q = top(i), top(j)
+                        # a pair is compared in the least of the keys that it shares
+                        if p != q and min(rows[i][4] & rows[j][4]) == key and edit_similar(rows[i][1], rows[j][1], least):
+                            root[max(p, q)] = min(p, q)
+                            links.append((rows[i][0].hex(), rows[j][0].hex()))
+            yield pd.DataFrame(links, columns=["a", "b"])
+
+    member = F.struct("lid", "norm", "s0", "s1", "keys")
+    held = texts.join(candidates.groupBy("half").agg(F.collect_list("key").alias("keys")), "half")
+    groups = _shards(candidates).join(held, "half").groupBy("key", "part_a", "part_b").agg(F.collect_list(member).alias("rows"))
+    return groups.filter(F.size("rows") > 1).select("key", "rows").mapInPandas(run, "a string, b string")
+
+
+def similar_lines(docs: DataFrame, each: DataFrame, radius: int = RADIUS, least: float = 0.8, min_words: int = 5, bitmap_kb: int = 2048, bands: int = 0) -> DataFrame:
     """(a, b): links, as hex digests, that join every two lines of `each` (lid, fp: distinct lines) within the radius whose edit similarity is at least `least`.
 
+    With `bands`, lines whose letter n-grams share a band and a like sketch are compared as well.
+
     Two passes over the blocks: the first, without texts, finds the fingerprints that have a neighbour; only their
     lines' texts move to the second, which verifies each pair in the first of the blocks that it shares. A bitmap of
     fixed size says which texts to send; when it fills up at scale, texts are sent in vain, none is missed.
@@ -251,7 +448,14 @@ def similar_lines(docs: DataFrame, each: DataFrame, radius: int = RADIUS, least:
     lively = dealt.filter(F.size("fps") > 1).select("fps").mapInPandas(mates, "fp long")
     lively = lively.unionByName(marks.filter("twice").select("fp")).distinct()
     ids = stored(each.select("lid", "fp").join(lively, "fp", "left_semi"), "line-candidates")
-    texts = _texts_of(docs, _bitmap(ids, bitmap_kb), min_words).groupBy("lid").agg(F.first("norm").alias("norm"))
+    bits = _bitmap(ids, bitmap_kb)
+    if bands:
+        near = band_candidates(docs, bands, min_words)
+        more = _bitmap(near, bitmap_kb, "half")
+        bits = (np.frombuffer(bits, dtype=np.uint8) | np.frombuffer(more, dtype=np.uint8)).tobytes()
+    texts = _texts_of(docs, bits, min_words).groupBy("lid", "half").agg(F.first("norm").alias("norm"))
+    if bands:
+        texts = stored(texts, "candidate-texts")
     full = stored(ids.join(texts, "lid").select("lid", "fp", "norm"), "line-texts")
 
     def verify(batches):
@@ -278,15 +482,16 @@ def similar_lines(docs: DataFrame, each: DataFrame, radius: int = RADIUS, least:
 
     member = F.struct("lid", "fp", "norm")
     groups = buckets(full, 512, 512).groupBy("key", "part_a", "part_b").agg(F.collect_list(member).alias("rows"))
-    return groups.filter(F.size("rows") > 1).select("key", "rows").mapInPandas(verify, "a string, b string")
+    links = groups.filter(F.size("rows") > 1).select("key", "rows").mapInPandas(verify, "a string, b string")
+    return links.unionByName(band_links(near, texts, bands, least)) if bands else links
 
 
-def line_decisions(docs: DataFrame, radius: int = RADIUS, least: float = 0.8, min_words: int = 5) -> DataFrame:
+def line_decisions(docs: DataFrame, radius: int = RADIUS, least: float = 0.8, min_words: int = 5, bands: int = 0) -> DataFrame:
     """(doc_id, text_hash, gone): for each text that loses lines, their numbers (from 0), by groups over all documents."""
     lines = stored(line_table(docs, min_words), "lines")
     seen = F.struct("doc_id", "text_hash", "line")
     each = stored(lines.groupBy("lid").agg(F.min(seen).alias("first"), F.count("*").alias("n"), F.min("fp").alias("fp")), "distinct-lines")
-    links = similar_lines(docs, each, radius, least, min_words)
+    links = similar_lines(docs, each, radius, least, min_words, bands=bands)
     roots = stored(connected_components(links), "line-roots").select(F.unhex("node").alias("lid"), F.unhex("root").alias("root"))
     classed = each.join(roots, "lid", "left").filter("n > 1 or root is not null").select("lid", "first", F.coalesce("root", "lid").alias("root"))
     classed = stored(classed, "line-classes")
@@ -298,18 +503,18 @@ def line_decisions(docs: DataFrame, radius: int = RADIUS, least: float = 0.8, mi
     return gone.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, radius: int = RADIUS, least: float = 0.8, min_words: int = 5) -> DataFrame:
+def dedup_lines(docs: DataFrame, radius: int = RADIUS, least: float = 0.8, min_words: int = 5, bands: int = 0) -> DataFrame:
     """docs with repeated lines removed from text, and (n_lines, removed_lines) as further columns.
 
     A line is compared after normalisation (lower case, no ASCII marks, digits as 0, single spaces). Lines are
-    linked if their SimHashes differ in at most `radius` bits and their edit similarity is at least `least`; of
-    each connected group the first occurrence by (doc_id, text, line) stays. Lines of fewer than `min_words` words,
+    linked if their SimHashes differ in at most `radius` bits, or they share one of `bands` bands of letter n-grams and
+    a like sketch, and their edit similarity is at least `least`; of each connected group the first occurrence by (doc_id, text, line) stays. Lines of fewer than `min_words` words,
     and blank ones, always stay. A null text stays null with 0 lines; a text that loses every line is ''. Rows that
     repeat a doc_id and its text count as one document and get the same result; of rows with a null doc_id equal
     texts do. Other columns stay as they are; input columns named n_lines or removed_lines are replaced. An empty
     table gives no rows.
     """
-    gone = line_decisions(docs, radius, least, min_words).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("gone").alias("_gone"))
+    gone = line_decisions(docs, radius, least, min_words, bands).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("gone").alias("_gone"))
     d, g = docs.drop("n_lines", "removed_lines").alias("d"), gone.alias("g")  # aliases keep input columns of any name apart
     joined = d.join(g, F.col("d.doc_id").cast("long").eqNullSafe(F.col("g._id")) & (F.xxhash64("d.text") == F.col("g._hash")), "left")
     parts, lost = F.split("d.text", "\n", -1), F.col("g._gone")

@@ -114,3 +114,36 @@ def test_a_line_has_the_hash_of_its_distinct_words():
     got = [int(x) & (2**64 - 1) for x in L.line_simhashes(lines)]
     assert got[:-1] == [expected(x) for x in lines[:-1]]
     assert L.line_simhashes([b"a b a c"])[0] == L.line_simhashes([b"c b a"])[0]
+
+
+def test_bands_find_lines_of_edit_similarity(spark):
+    rng = random.Random(8)
+    rows, pairs = [], 0
+    for i in range(120):
+        line = words(rng, rng.randint(12, 60)).split()
+        new = list(line)
+        for k in rng.sample(range(len(line)), max(1, len(line) // 10)):
+            new[k] = words(rng, 1)
+        similar = L.edit_similar(" ".join(line).encode(), " ".join(new).encode(), 0.8)
+        pairs += similar
+        rows += [(2 * i, " ".join(line)), (2 * i + 1, " ".join(new))] if similar else []
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"] for r in L.dedup_lines(docs, bands=12).filter("removed_lines = 1").collect()}
+    assert all(i % 2 for i in found)  # lines of other pairs are not alike
+    assert len(found) >= 0.95 * pairs > 100
+    assert L.dedup_lines(docs).filter("removed_lines = 1").count() < 0.5 * pairs
+
+
+def test_bands_of_parts_and_hot_keys(spark):
+    rng = random.Random(9)
+    long = words(rng, 150_000).encode()
+    whole, _ = L.line_bands([long, long[:-3] + b"xyz"], 12)
+    assert (whole[0] == whole[1]).sum() >= 11
+    base = words(rng, 30).split()
+    rows = []
+    for i in range(1200):
+        w = list(base)
+        w[i % 30] = words(rng, 1)
+        rows.append((i, " ".join(w)))
+    got = L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), bands=12)
+    assert got.filter("removed_lines = 0").count() == 1
