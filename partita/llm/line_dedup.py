@@ -29,6 +29,13 @@ def normalised_lines(text: str) -> list[bytes]:
     return [b" ".join(line.split()) for line in raw.split(b"\n")]
 
 
+def _fuzzy(line: bytes, min_words: int, min_chars: int | None) -> bool:
+    """Whether a normalised line is long enough to be compared with others that are not equal to it."""
+    if line.count(b" ") >= min_words - 1 and line:
+        return True
+    return min_chars is not None and len(line) >= min_chars and len(line.decode("utf-8", "surrogatepass")) >= max(min_chars, 1)
+
+
 def _word_hashes(block: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of a block, and where they start. Words are parted by single bytes of 32 or less."""
     b = np.frombuffer(block, dtype=np.uint8)
@@ -241,8 +248,11 @@ def edit_similar(a: bytes, b: bytes, least: float) -> bool:
     return score <= most
 
 
-def line_table(docs: DataFrame, min_words: int = 5) -> DataFrame:
-    """(doc_id, text_hash, line, lid, fp): each line of at least `min_words` normalised words; lid is its 128-bit digest."""
+def line_table(docs: DataFrame, min_words: int = 5, min_chars: int | None = None) -> DataFrame:
+    """(doc_id, text_hash, line, lid, fp): each line of at least `min_words` normalised words; lid is its 128-bit digest.
+
+    With `min_chars` each line that is not blank; fp is null where it has neither the words nor the characters.
+    """
 
     def run(batches):
         for b in batches:
@@ -251,11 +261,14 @@ def line_table(docs: DataFrame, min_words: int = 5) -> DataFrame:
 
             def out() -> pd.DataFrame:
                 lids = [xxhash.xxh3_128_digest(x) for x in lines]
-                return pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "text_hash": hashes, "line": at, "lid": lids, "fp": line_simhashes(lines)})
+                fps = pd.array(line_simhashes(lines), dtype="Int64")
+                if min_chars is not None:
+                    fps[[not _fuzzy(x, min_words, min_chars) for x in lines]] = pd.NA
+                return pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "text_hash": hashes, "line": at, "lid": lids, "fp": fps})
 
             for doc_id, text_hash, text in zip(b["doc_id"], b["text_hash"], b["text"], strict=True):
                 for k, line in enumerate(normalised_lines(text)):
-                    if line.count(b" ") >= min_words - 1 and line:
+                    if line and (min_chars is not None or _fuzzy(line, min_words, None)):
                         ids.append(None if pd.isna(doc_id) else int(doc_id))
                         hashes.append(text_hash)
                         at.append(k)
@@ -270,7 +283,7 @@ def line_table(docs: DataFrame, min_words: int = 5) -> DataFrame:
     return rows.mapInPandas(run, "doc_id long, text_hash long, line int, lid binary, fp long")
 
 
-def _texts_of(docs: DataFrame, bits: bytes, min_words: int) -> DataFrame:
+def _texts_of(docs: DataFrame, bits: bytes, min_words: int, min_chars: int | None = None) -> DataFrame:
     """(lid, half, norm) of the lines whose digest hits the bitmap: all candidates, and what shares their bits."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
@@ -280,7 +293,7 @@ def _texts_of(docs: DataFrame, bits: bytes, min_words: int) -> DataFrame:
         for b in batches:
             found: dict[bytes, bytes] = {}
             for text in b["text"]:
-                lines = [x for x in normalised_lines(text) if x.count(b" ") >= min_words - 1 and x]
+                lines = [x for x in normalised_lines(text) if _fuzzy(x, min_words, min_chars)]
                 if not lines:
                     continue
                 lids = [xxhash.xxh3_128_digest(x) for x in lines]
@@ -324,7 +337,7 @@ def _near_pairs(fps: np.ndarray, radius: int):
         yield rows + at, cols + at, apart[rows, cols]
 
 
-def _bucket_keys(docs: DataFrame, bands: int, bits: bytes | None, min_words: int) -> DataFrame:
+def _bucket_keys(docs: DataFrame, bands: int, bits: bytes | None, min_words: int, min_chars: int | None) -> DataFrame:
     """(key, half) of every line and band; with a bitmap of keys, only those in it, each once a batch, with the line's sketch (s0, s1)."""
     shared = docs.sparkSession.sparkContext.broadcast(bits) if bits else None
 
@@ -333,7 +346,7 @@ def _bucket_keys(docs: DataFrame, bands: int, bits: bytes | None, min_words: int
         for b in batches:
             lines: set[bytes] = set()
             for text in b["text"]:
-                lines.update(x for x in normalised_lines(text) if x.count(b" ") >= min_words - 1 and x)
+                lines.update(x for x in normalised_lines(text) if _fuzzy(x, min_words, min_chars))
             if not lines:
                 continue
             block = list(lines)
@@ -364,15 +377,15 @@ def _shards(rows: DataFrame, most: int = 512) -> DataFrame:
     return alone.unionByName(many)
 
 
-def band_candidates(docs: DataFrame, bands: int, min_words: int = 5, bitmap_kb: int = 8192) -> DataFrame:
+def band_candidates(docs: DataFrame, bands: int, min_words: int = 5, min_chars: int | None = None, bitmap_kb: int = 8192) -> DataFrame:
     """(key, half, s0, s1): lines, by half their digest, that share a band's key with another line of a like sketch.
 
     Keys that two different lines have are found first, with two numbers a key; a bitmap of fixed size says which keys'
     lines to send with their sketches. When it fills up at scale, lines are sent in vain, none is missed.
     """
-    pairs = _bucket_keys(docs, bands, None, min_words).groupBy("key").agg(F.min("half").alias("a"), F.max("half").alias("b"))
+    pairs = _bucket_keys(docs, bands, None, min_words, min_chars).groupBy("key").agg(F.min("half").alias("a"), F.max("half").alias("b"))
     live = stored(pairs.filter("a < b").select("key"), "band-keys")
-    rows = stored(_bucket_keys(docs, bands, _bitmap(live, bitmap_kb, "key"), min_words).distinct(), "band-rows")
+    rows = stored(_bucket_keys(docs, bands, _bitmap(live, bitmap_kb, "key"), min_words, min_chars).distinct(), "band-rows")
 
     def run(batches):
         for b in batches:
@@ -423,7 +436,7 @@ def band_links(candidates: DataFrame, texts: DataFrame, bands: int, least: float
     return groups.filter(F.size("rows") > 1).select("key", "rows").mapInPandas(run, "a string, b string")
 
 
-def similar_lines(docs: DataFrame, each: DataFrame, radius: int = RADIUS, least: float = 0.8, min_words: int = 5, bitmap_kb: int = 2048, bands: int = 0) -> DataFrame:
+def similar_lines(docs: DataFrame, each: DataFrame, radius: int = RADIUS, least: float = 0.8, min_words: int = 5, bitmap_kb: int = 2048, bands: int = 0, min_chars: int | None = None) -> DataFrame:
     """(a, b): links, as hex digests, that join every two lines of `each` (lid, fp: distinct lines) within the radius whose edit similarity is at least `least`.
 
     With `bands`, lines whose letter n-grams share a band and a like sketch are compared as well.
@@ -432,7 +445,7 @@ def similar_lines(docs: DataFrame, each: DataFrame, radius: int = RADIUS, least:
     lines' texts move to the second, which verifies each pair in the first of the blocks that it shares. A bitmap of
     fixed size says which texts to send; when it fills up at scale, texts are sent in vain, none is missed.
     """
-    marks = stored(each.groupBy("fp").agg((F.count("*") > 1).alias("twice")), "line-marks")
+    marks = stored(each.filter("fp is not null").groupBy("fp").agg((F.count("*") > 1).alias("twice")), "line-marks")
 
     def mates(batches):
         for b in batches:
@@ -450,10 +463,10 @@ def similar_lines(docs: DataFrame, each: DataFrame, radius: int = RADIUS, least:
     ids = stored(each.select("lid", "fp").join(lively, "fp", "left_semi"), "line-candidates")
     bits = _bitmap(ids, bitmap_kb)
     if bands:
-        near = band_candidates(docs, bands, min_words)
+        near = band_candidates(docs, bands, min_words, min_chars)
         more = _bitmap(near, bitmap_kb, "half")
         bits = (np.frombuffer(bits, dtype=np.uint8) | np.frombuffer(more, dtype=np.uint8)).tobytes()
-    texts = _texts_of(docs, bits, min_words).groupBy("lid", "half").agg(F.first("norm").alias("norm"))
+    texts = _texts_of(docs, bits, min_words, min_chars).groupBy("lid", "half").agg(F.first("norm").alias("norm"))
     if bands:
         texts = stored(texts, "candidate-texts")
     full = stored(ids.join(texts, "lid").select("lid", "fp", "norm"), "line-texts")
@@ -486,12 +499,12 @@ def similar_lines(docs: DataFrame, each: DataFrame, radius: int = RADIUS, least:
     return links.unionByName(band_links(near, texts, bands, least)) if bands else links
 
 
-def line_decisions(docs: DataFrame, radius: int = RADIUS, least: float = 0.8, min_words: int = 5, bands: int = 0) -> DataFrame:
+def line_decisions(docs: DataFrame, radius: int = RADIUS, least: float = 0.8, min_words: int = 5, bands: int = 0, min_chars: int | None = None) -> DataFrame:
     """(doc_id, text_hash, gone): for each text that loses lines, their numbers (from 0), by groups over all documents."""
-    lines = stored(line_table(docs, min_words), "lines")
+    lines = stored(line_table(docs, min_words, min_chars), "lines")
     seen = F.struct("doc_id", "text_hash", "line")
     each = stored(lines.groupBy("lid").agg(F.min(seen).alias("first"), F.count("*").alias("n"), F.min("fp").alias("fp")), "distinct-lines")
-    links = similar_lines(docs, each, radius, least, min_words, bands=bands)
+    links = similar_lines(docs, each, radius, least, min_words, bands=bands, min_chars=min_chars)
     roots = stored(connected_components(links), "line-roots").select(F.unhex("node").alias("lid"), F.unhex("root").alias("root"))
     classed = each.join(roots, "lid", "left").filter("n > 1 or root is not null").select("lid", "first", F.coalesce("root", "lid").alias("root"))
     classed = stored(classed, "line-classes")
@@ -503,18 +516,19 @@ def line_decisions(docs: DataFrame, radius: int = RADIUS, least: float = 0.8, mi
     return gone.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, radius: int = RADIUS, least: float = 0.8, min_words: int = 5, bands: int = 0) -> DataFrame:
+def dedup_lines(docs: DataFrame, radius: int = RADIUS, least: float = 0.8, min_words: int = 5, bands: int = 0, min_chars: int | None = None) -> DataFrame:
     """docs with repeated lines removed from text, and (n_lines, removed_lines) as further columns.
 
     A line is compared after normalisation (lower case, no ASCII marks, digits as 0, single spaces). Lines are
     linked if their SimHashes differ in at most `radius` bits, or they share one of `bands` bands of letter n-grams and
     a like sketch, and their edit similarity is at least `least`; of each connected group the first occurrence by (doc_id, text, line) stays. Lines of fewer than `min_words` words,
-    and blank ones, always stay. A null text stays null with 0 lines; a text that loses every line is ''. Rows that
+    and blank ones, always stay; with `min_chars` only blank ones do: equal lines of any length are a group, and lines
+    of `min_words` words or `min_chars` characters are compared with similar ones. A null text stays null with 0 lines; a text that loses every line is ''. Rows that
     repeat a doc_id and its text count as one document and get the same result; of rows with a null doc_id equal
     texts do. Other columns stay as they are; input columns named n_lines or removed_lines are replaced. An empty
     table gives no rows.
     """
-    gone = line_decisions(docs, radius, least, min_words, bands).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("gone").alias("_gone"))
+    gone = line_decisions(docs, radius, least, min_words, bands, min_chars).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("gone").alias("_gone"))
     d, g = docs.drop("n_lines", "removed_lines").alias("d"), gone.alias("g")  # aliases keep input columns of any name apart
     joined = d.join(g, F.col("d.doc_id").cast("long").eqNullSafe(F.col("g._id")) & (F.xxhash64("d.text") == F.col("g._hash")), "left")
     parts, lost = F.split("d.text", "\n", -1), F.col("g._gone")

@@ -53,7 +53,7 @@ def op6_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that repeat others."""
-    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"), bands=12).select("doc_id", "n_lines", "removed_lines", "text")
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"), bands=12, min_chars=20).select("doc_id", "n_lines", "removed_lines", "text")
 
 
 def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:

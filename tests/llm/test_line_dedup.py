@@ -147,3 +147,11 @@ def test_bands_of_parts_and_hot_keys(spark):
         rows.append((i, " ".join(w)))
     got = L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), bands=12)
     assert got.filter("removed_lines = 0").count() == 1
+
+
+def test_short_lines_are_grouped_exactly(spark):
+    wide = "\u4eca\u65e5\u306f\u5929\u6c17\u304c\u826f\u3044\u306e\u3067\u6563\u6b69\u306b\u884c\u304d\u307e\u3057\u305f\u3068\u5f7c\u5973\u306f\u8a00\u3044\u307e\u3057\u305f\u3088"
+    rows = [(1, f"Menu\n\nRead more!\n{wide}"), (2, f"menu\n\nread MORE\n{wide}\nmenus"), (3, wide[:20] + "x" + wide[20:]), (4, "\n\n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in L.dedup_lines(docs, bands=12, min_chars=20).collect()}
+    assert got == {1: rows[0][1], 2: "\nmenus", 3: "", 4: "\n\n"}
