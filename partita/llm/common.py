@@ -6,16 +6,20 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes that separate words: space and the control characters 9 to 13.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (single-machine tests) a temporary one."""
+    """The folder in spark.checkpoint.dir; where that is unset a temporary one on a local master, else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="partita-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -39,6 +43,62 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread_join(rows: DataFrame, each: DataFrame, on: list[str], total: int, how: str = "inner") -> DataFrame:
+    """rows joined with each (one row per key, its number of rows in column n, dropped here), hot keys without a shuffle.
+
+    Keys above total / (4 x shuffle partitions) rows number at most 4 x shuffle partitions, so they are broadcast; all
+    others are joined by a shuffle, where none fills a task. how: inner or left (null keys find nothing).
+    """
+    cut = max(total // (4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 1)
+    hot = F.broadcast(each.filter(F.col("n") > cut).drop("n"))
+    warm = rows.join(hot, on)
+    cold = rows.join(hot.select(*on), on, "left_anti").join(each.filter(F.col("n") <= cut).drop("n"), on, how)
+    return warm.unionByName(cold)
+
+
+def whole_groups(batches, keys: list[str]):
+    """Frames of whole groups from batches that are sorted by keys; what is held back is one group and one batch at most."""
+    held = None
+    for b in batches:
+        if not len(b):
+            continue
+        b = b if held is None else pd.concat([held, b], ignore_index=True)
+        same = np.ones(len(b), dtype=bool)
+        for k in keys:
+            v = b[k].to_numpy()
+            same &= v == v[-1]
+        first = len(b) - int(same[::-1].argmin()) if not same.all() else 0
+        if first:
+            yield b.iloc[:first].reset_index(drop=True)
+        held = b.iloc[first:].reset_index(drop=True)
+    if held is not None:
+        yield held
+
+
+def group_numbers(frame: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    """0, 1, ... by group of a frame that is sorted by keys."""
+    new = np.zeros(len(frame), dtype=bool)
+    for k in keys:
+        v = frame[k].to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return np.cumsum(new)
+
+
+def pairs_by_offset(group: np.ndarray):
+    """(i, j) arrays of all index pairs within groups (numbers in ascending order), nearest neighbours first.
+
+    A generator: the pairs of one offset at a time, so memory stays at one number a row.
+    """
+    at, d = np.arange(len(group)), 1
+    while True:
+        at = at[at + d < len(group)]
+        at = at[group[at] == group[at + d]]
+        if not len(at):
+            return
+        yield at, at + d
+        d += 1
+
+
 def slices(text: str, size: int = 1_000_000):
     """Consecutive parts of text of about `size` characters, cut only after a space or line end."""
     at, n = 0, len(text)

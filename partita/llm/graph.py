@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partita.llm.common import stored
+from partita.llm.common import spread_join, stored
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
     """One star step over (a, b), a > b. Large: each node's larger neighbours go to its least neighbour; small: the smaller ones do."""
     pairs = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         pairs = pairs.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-    joined = pairs.join(least, "u")
+    least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("m", "u"))
+    joined = spread_join(pairs, least, ["u"], total)
     if large:
         moved = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
@@ -28,8 +28,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root): root is the least node that a node reaches; only nodes with an edge are listed.
 
     edges: (a, b) of any orderable type; loops, null ends, repeated and turned edges are allowed. Alternating
-    large and small star steps: each is an aggregate with partial sums and a join back, so a hub is never
-    gathered in one task. Every round is written to the shared folder; the driver sees a count and a checksum.
+    large and small star steps: each is an aggregate with partial sums and a join back, in which hubs (nodes with so
+    many edges that there can be few of them) are broadcast, so none is gathered in one task. Every round is written to the shared folder; the driver sees a count and a checksum.
     An empty table gives an empty table.
     """
     low, high = F.least("a", "b"), F.greatest("a", "b")
@@ -39,7 +39,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if before[0] == 0:
             break
-        now = stored(_star(_star(now, True), False), "edges")
+        now = stored(_star(stored(_star(now, True, before[0]), "edges"), False, before[0]), "edges")
         after = sign(now)
         if after == before:
             break

@@ -61,22 +61,24 @@ def buckets(rows: DataFrame, limit: int = 64, most: int = 1024) -> DataFrame:
     return alone.unionByName(many)
 
 
-def owned(key: int, differing: np.ndarray) -> np.ndarray:
-    """Which pairs of a bucket, given by their differing bits, belong to it: those that agree on no earlier block.
+def owned(key, differing: np.ndarray) -> np.ndarray:
+    """Which pairs of buckets (key: one or one a pair), given by their differing bits, belong there: those that agree on no earlier block.
 
     Pairs share up to four blocks (and up to four finer ones within each); this leaves each pair one bucket.
     """
+    d = differing.astype(np.uint64)
+    key = np.broadcast_to(np.asarray(key, dtype=np.int64), d.shape)
     fine = key >= 1 << 40
-    path = (key - (1 << 40)) >> 12 if fine else key << 2
+    path = np.where(fine, (key - (1 << 40)) >> 12, key << 2)
     k, j = (path >> 2) % BLOCKS, path & 3
-    d = differing.astype(np.uint64)
     mine = np.ones(len(d), dtype=bool)
-    for b in range(k):
-        mine &= (d >> np.uint64(b * BITS)) & np.uint64((1 << BITS) - 1) != 0
-    if fine:
-        low = d & np.uint64((1 << (k * BITS)) - 1)
-        high = d >> np.uint64((k + 1) * BITS) if k < BLOCKS - 1 else np.zeros_like(d)
-        rest = low | high << np.uint64(k * BITS)
-        for b in range(j):
-            mine &= (rest >> np.uint64(b * 12)) & np.uint64(4095) != 0
+    for b in range(BLOCKS - 1):
+        mine &= (b >= k) | ((d >> np.uint64(b * BITS)) & np.uint64((1 << BITS) - 1) != 0)
+    for block in range(BLOCKS):
+        at = np.flatnonzero(fine & (k == block))
+        low = d[at] & np.uint64((1 << (block * BITS)) - 1)
+        high = d[at] >> np.uint64((block + 1) * BITS) if block < BLOCKS - 1 else np.zeros(len(at), dtype=np.uint64)
+        rest = low | high << np.uint64(block * BITS)
+        for b in range(3):
+            mine[at] &= (b >= j[at]) | ((rest >> np.uint64(b * 12)) & np.uint64(4095) != 0)
     return mine

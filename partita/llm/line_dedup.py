@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partita.llm.common import bit_counts, fingerprints, mixed, stored
+from partita.llm.common import bit_counts, fingerprints, group_numbers, mixed, pairs_by_offset, spread_join, stored, whole_groups
 from partita.llm.graph import connected_components
 from partita.llm.hamming import RADIUS, buckets, owned
 
@@ -184,18 +184,15 @@ def line_bands(lines: list[bytes], bands: int) -> tuple[np.ndarray, np.ndarray]:
     return keys.view(np.int64), sketch.view(np.int64)
 
 
-def _alike(sketches: np.ndarray, bands: int):
-    """Index pairs (rows, columns) whose sketches agree in at least a third of the bins, in blocks of rows."""
-    x, bins = sketches.astype(np.int64).view(np.uint64), bands * _ROWS
+def _alike(s0: np.ndarray, s1: np.ndarray, i: np.ndarray, j: np.ndarray, bands: int) -> np.ndarray:
+    """Which of the pairs (i, j) have sketches (halves s0, s1) that agree in at least a third of the bins."""
+    bins = bands * _ROWS
     low = np.uint64(sum(1 << (_SKETCH * k) for k in range(bins // 2 + 1)))
-    for at in range(0, len(x), 256):
-        differ = np.zeros((min(256, len(x) - at), len(x) - at), dtype=np.int64)
-        for half in range(2):
-            d = x[at : at + 256, None, half] ^ x[None, at:, half]
-            differ += np.bitwise_count((d | d >> np.uint64(1) | d >> np.uint64(2)) & low)
-        rows, cols = np.nonzero(differ <= bins - -(-bins // 3))
-        keep = rows < cols
-        yield rows[keep] + at, cols[keep] + at
+    differ = np.zeros(len(i), dtype=np.int64)
+    for s in (s0, s1):
+        d = s[i].view(np.uint64) ^ s[j].view(np.uint64)
+        differ += np.bitwise_count((d | d >> np.uint64(1) | d >> np.uint64(2)) & low)
+    return differ <= bins - -(-bins // 3)
 
 
 def edit_similar(a: bytes, b: bytes, least: float) -> bool:
@@ -248,11 +245,17 @@ def edit_similar(a: bytes, b: bytes, least: float) -> bool:
     return score <= most
 
 
-def line_table(docs: DataFrame, min_words: int = 5, min_chars: int | None = None) -> DataFrame:
-    """(doc_id, text_hash, line, lid, fp): each line of at least `min_words` normalised words; lid is its 128-bit digest.
+def _band_columns(bands: int) -> list[str]:
+    return ["s0", "s1", *(f"k{i}" for i in range(bands))] if bands else []
 
-    With `min_chars` each line that is not blank; fp is null where it has neither the words nor the characters.
+
+def line_table(docs: DataFrame, min_words: int = 5, min_chars: int | None = 20, bands: int = 0) -> DataFrame:
+    """(doc_id, text_hash, line, h1, h2, fp, s0, s1, k0, ...): each line that is not blank; h1 and h2 are its 128-bit digest.
+
+    fp and what follows (two halves of the sketch, a key per band) are null where the line has neither `min_words` words
+    nor `min_chars` characters. Without min_chars such lines are left out.
     """
+    names = _band_columns(bands)
 
     def run(batches):
         for b in batches:
@@ -260,11 +263,19 @@ def line_table(docs: DataFrame, min_words: int = 5, min_chars: int | None = None
             held = 0
 
             def out() -> pd.DataFrame:
-                lids = [xxhash.xxh3_128_digest(x) for x in lines]
-                fps = pd.array(line_simhashes(lines), dtype="Int64")
-                if min_chars is not None:
-                    fps[[not _fuzzy(x, min_words, min_chars) for x in lines]] = pd.NA
-                return pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "text_hash": hashes, "line": at, "lid": lids, "fp": fps})
+                digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x) for x in lines), dtype=np.int64).reshape(-1, 2)
+                frame = {"doc_id": pd.array(ids, dtype="Int64"), "text_hash": hashes, "line": at, "h1": digests[:, 0], "h2": digests[:, 1]}
+                mine = np.array([_fuzzy(x, min_words, min_chars) for x in lines], dtype=bool)
+                fuzzy = [x for x, m in zip(lines, mine, strict=True) if m]
+                values = [line_simhashes(fuzzy)]
+                if bands:
+                    keys, sketch = line_bands(fuzzy, bands)
+                    values += [*sketch.T, *keys.T]
+                for name, v in zip(["fp", *names], values, strict=True):
+                    full = np.zeros(len(lines), dtype=np.int64)
+                    full[mine] = v
+                    frame[name] = pd.arrays.IntegerArray(full, ~mine)
+                return pd.DataFrame(frame)
 
             for doc_id, text_hash, text in zip(b["doc_id"], b["text_hash"], b["text"], strict=True):
                 for k, line in enumerate(normalised_lines(text)):
@@ -277,174 +288,84 @@ def line_table(docs: DataFrame, min_words: int = 5, min_chars: int | None = None
                 if held > 8_000_000:
                     yield out()
                     ids, hashes, at, lines, held = [], [], [], [], 0
-            yield out()
+            if lines:
+                yield out()
 
     rows = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInPandas(run, "doc_id long, text_hash long, line int, lid binary, fp long")
-
-
-def _texts_of(docs: DataFrame, bits: bytes, min_words: int, min_chars: int | None = None) -> DataFrame:
-    """(lid, half, norm) of the lines whose digest hits the bitmap: all candidates, and what shares their bits."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    return rows.mapInPandas(run, "doc_id long, text_hash long, line int, h1 long, h2 long, fp long" + "".join(f", {c} long" for c in names))
 
-    def run(batches):
-        bitmap = np.frombuffer(shared.value, dtype=np.uint8)
-        mask = np.uint64(8 * len(bitmap) - 1)
-        for b in batches:
-            found: dict[bytes, bytes] = {}
-            for text in b["text"]:
-                lines = [x for x in normalised_lines(text) if _fuzzy(x, min_words, min_chars)]
-                if not lines:
-                    continue
-                lids = [xxhash.xxh3_128_digest(x) for x in lines]
-                at = np.frombuffer(b"".join(lids), dtype=np.uint64)[::2] & mask
-                for i in np.flatnonzero(bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1):
-                    found[lids[i]] = lines[i]
-            half = np.frombuffer(b"".join(found), dtype=np.int64)[::2]
-            yield pd.DataFrame({"lid": list(found), "half": half, "norm": list(found.values())})
 
-    return docs.filter(F.col("text").isNotNull()).select("text").mapInPandas(run, "lid binary, half long, norm binary")
+#: A bitmap of candidates has 8 to 16 bits for each, and this many bytes at most; above that nothing is sent ahead.
+_BITMAP = 64 << 20
 
 
-def _bitmap(lids: DataFrame, kilobytes: int, name: str = "lid") -> bytes:
-    """A bitmap of fixed size of the digests or of numbers: partial bitmaps by task, joined by bitwise or."""
-    size = kilobytes * 1024
+def _bitmap(candidates: DataFrame) -> bytes | None:
+    """Of the candidates' h1 a bitmap: partial bitmaps by task, joined by bitwise or. None where it would be too large."""
+    size = 1 << max(candidates.count() - 1, 1).bit_length()
+    if size > _BITMAP:
+        return None
 
     def run(batches):
         bits = np.zeros(size, dtype=np.uint8)
         for b in batches:
-            if len(b):
-                of = np.frombuffer(b"".join(b[name]), dtype=np.uint64)[::2] if name == "lid" else b[name].to_numpy().view(np.uint64)
-                at = of & np.uint64(8 * size - 1)
-                np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-        yield pd.DataFrame({"word": np.arange(size // 8), "bits": bits.view(np.int64)}).query("bits != 0")
-
-    joined = lids.select(name).mapInPandas(run, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    words = np.zeros(size // 8, dtype=np.int64)
+            at = b["h1"].to_numpy().view(np.uint64) & np.uint64(8 * size - 1)
+            np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        words = np.concatenate([bits, np.zeros(-size % 8, dtype=np.uint8)]).view(np.int64)
+        yield pd.DataFrame({"word": np.arange(len(words)), "bits": words}).query("bits != 0")
+
+    joined = candidates.select("h1").mapInPandas(run, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    words = np.zeros(-(-size // 8), dtype=np.int64)
     for part in joined.toLocalIterator():
         words[part["word"]] = part["bits"]
-    return words.tobytes()
-
-
-def _near_pairs(fps: np.ndarray, radius: int):
-    """(rows, columns, differing bits) of index pairs within the radius, in blocks of rows."""
-    x = fps.astype(np.int64).view(np.uint64)
-    for at in range(0, len(x), 256):
-        apart = x[at : at + 256, None] ^ x[None, at:]
-        rows, cols = np.nonzero(np.bitwise_count(apart) <= radius)
-        keep = rows < cols
-        rows, cols = rows[keep], cols[keep]
-        yield rows + at, cols + at, apart[rows, cols]
+    return words.tobytes()[:size]
 
 
-def _bucket_keys(docs: DataFrame, bands: int, bits: bytes | None, min_words: int, min_chars: int | None) -> DataFrame:
-    """(key, half) of every line and band; with a bitmap of keys, only those in it, each once a batch, with the line's sketch (s0, s1)."""
+def _texts_of(docs: DataFrame, candidates: DataFrame, min_words: int, min_chars: int | None) -> DataFrame:
+    """(h1, h2, norm): the texts of candidate lines (h1, h2). A bitmap of theirs, where it is small, keeps most others at home."""
+    bits = _bitmap(candidates)
     shared = docs.sparkSession.sparkContext.broadcast(bits) if bits else None
 
     def run(batches):
         bitmap = np.frombuffer(shared.value, dtype=np.uint8) if shared else None
         for b in batches:
-            lines: set[bytes] = set()
+            found: dict[bytes, bytes] = {}
             for text in b["text"]:
-                lines.update(x for x in normalised_lines(text) if _fuzzy(x, min_words, min_chars))
-            if not lines:
-                continue
-            block = list(lines)
-            half = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x) for x in block), dtype=np.int64)[::2]
-            keys, sketch = line_bands(block, bands)
-            if bitmap is None:
-                yield pd.DataFrame({"key": keys.ravel(), "half": np.repeat(half, bands)})
-                continue
-            at = keys.view(np.uint64) & np.uint64(8 * len(bitmap) - 1)
-            i, k = np.nonzero(bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
-            yield pd.DataFrame({"key": keys[i, k], "half": half[i], "s0": sketch[i, 0], "s1": sketch[i, 1]})
-
-    out = "key long, half long" + ", s0 long, s1 long" * bool(bits)
-    return docs.filter(F.col("text").isNotNull()).select("text").mapInPandas(run, out)
-
-
-def _shards(rows: DataFrame, most: int = 512) -> DataFrame:
-    """rows (key, half, ...) with (part_a, part_b): keys of over `most` rows are dealt to shards, and each pair of shards is a bucket."""
-    packed = rows.groupBy("key").agg(F.count("*").alias("_n")).filter(F.col("_n") > most)
-    shards = F.ceil(F.col("_n") / most).cast("int")
-    many = (
-        rows.join(packed, "key")
-        .withColumn("_s", F.pmod(F.xxhash64("half"), shards).cast("int"))
-        .select(*rows.columns, "_s", F.explode(F.sequence(F.lit(0), shards - 1)).alias("_o"))
-        .select(*rows.columns, F.least("_s", "_o").alias("part_a"), F.greatest("_s", "_o").alias("part_b"))
-    )
-    alone = rows.join(packed.select("key"), "key", "left_anti").withColumns({"part_a": F.lit(0), "part_b": F.lit(0)})
-    return alone.unionByName(many)
+                lines = [x for x in normalised_lines(text) if _fuzzy(x, min_words, min_chars)]
+                if not lines:
+                    continue
+                digests = [xxhash.xxh3_128_digest(x) for x in lines]
+                if bitmap is None:
+                    found.update(zip(digests, lines, strict=True))
+                    continue
+                at = np.frombuffer(b"".join(digests), dtype=np.uint64)[::2] & np.uint64(8 * len(bitmap) - 1)
+                for i in np.flatnonzero(bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1):
+                    found[digests[i]] = lines[i]
+            ids = np.frombuffer(b"".join(found), dtype=np.int64).reshape(-1, 2)
+            yield pd.DataFrame({"h1": ids[:, 0], "h2": ids[:, 1], "norm": list(found.values())})
 
+    texts = docs.filter(F.col("text").isNotNull()).select("text").mapInPandas(run, "h1 long, h2 long, norm binary")
+    return texts.join(candidates.select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("norm").alias("norm"))
 
-def band_candidates(docs: DataFrame, bands: int, min_words: int = 5, min_chars: int | None = None, bitmap_kb: int = 8192) -> DataFrame:
-    """(key, half, s0, s1): lines, by half their digest, that share a band's key with another line of a like sketch.
 
-    Keys that two different lines have are found first, with two numbers a key; a bitmap of fixed size says which keys'
-    lines to send with their sketches. When it fills up at scale, lines are sent in vain, none is missed.
-    """
-    pairs = _bucket_keys(docs, bands, None, min_words, min_chars).groupBy("key").agg(F.min("half").alias("a"), F.max("half").alias("b"))
-    live = stored(pairs.filter("a < b").select("key"), "band-keys")
-    rows = stored(_bucket_keys(docs, bands, _bitmap(live, bitmap_kb, "key"), min_words, min_chars).distinct(), "band-rows")
+def _near_pairs(fps: np.ndarray, radius: int):
+    """(rows, columns) of index pairs within the radius, in blocks of rows."""
+    x = fps.astype(np.int64).view(np.uint64)
+    for at in range(0, len(x), 256):
+        rows, cols = np.nonzero(np.bitwise_count(x[at : at + 256, None] ^ x[None, at:]) <= radius)
+        keep = rows < cols
+        yield rows[keep] + at, cols[keep] + at
 
-    def run(batches):
-        for b in batches:
-            out = []
-            for key, group in zip(b["key"], b["rows"], strict=True):
-                if len(group) < 2:
-                    continue
-                x = np.array([(r["half"], r["s0"], r["s1"]) for r in group], dtype=np.int64)
-                found = np.zeros(len(x), dtype=bool)
-                for i, j in _alike(x[:, 1:], bands):
-                    found[i] = found[j] = True
-                out += [(key, *r) for r in x[found].tolist()]
-            yield pd.DataFrame(out, columns=["key", "half", "s0", "s1"], dtype=np.int64)
 
-    groups = _shards(rows).groupBy("key", "part_a", "part_b").agg(F.collect_list(F.struct("half", "s0", "s1")).alias("rows"))
-    found = groups.filter(F.size("rows") > 1).select("key", "rows").mapInPandas(run, "key long, half long, s0 long, s1 long")
-    return stored(found.distinct(), "band-candidates")
+_BUCKET = ["key", "part_a", "part_b"]
 
 
-def band_links(candidates: DataFrame, texts: DataFrame, bands: int, least: float) -> DataFrame:
-    """(a, b): links, as hex digests, between candidates (key, half, s0, s1) of one key whose texts (lid, half, norm) are similar."""
+def _in_order(rows: DataFrame) -> DataFrame:
+    """rows dealt by bucket, each bucket's rows side by side."""
+    return rows.repartition(*_BUCKET).sortWithinPartitions(*_BUCKET)
 
-    def run(batches):
-        for b in batches:
-            links = []
-            for key, group in zip(b["key"], b["rows"], strict=True):
-                rows = sorted((r["lid"], r["norm"], r["s0"], r["s1"], frozenset(r["keys"])) for r in group)
-                root = list(range(len(rows)))
-
-                def top(i: int) -> int:
-                    while root[i] != i:
-                        root[i] = root[root[i]]
-                        i = root[i]
-                    return i
-
-                for left, right in _alike(np.array([r[2:4] for r in rows], dtype=np.int64), bands):
-                    for i, j in zip(left.tolist(), right.tolist(), strict=True):
-                        p, q = top(i), top(j)
-                        # a pair is compared in the least of the keys that it shares
-                        if p != q and min(rows[i][4] & rows[j][4]) == key and edit_similar(rows[i][1], rows[j][1], least):
-                            root[max(p, q)] = min(p, q)
-                            links.append((rows[i][0].hex(), rows[j][0].hex()))
-            yield pd.DataFrame(links, columns=["a", "b"])
-
-    member = F.struct("lid", "norm", "s0", "s1", "keys")
-    held = texts.join(candidates.groupBy("half").agg(F.collect_list("key").alias("keys")), "half")
-    groups = _shards(candidates).join(held, "half").groupBy("key", "part_a", "part_b").agg(F.collect_list(member).alias("rows"))
-    return groups.filter(F.size("rows") > 1).select("key", "rows").mapInPandas(run, "a string, b string")
-
-
-def similar_lines(docs: DataFrame, each: DataFrame, radius: int = RADIUS, least: float = 0.8, min_words: int = 5, bitmap_kb: int = 2048, bands: int = 0, min_chars: int | None = None) -> DataFrame:
-    """(a, b): links, as hex digests, that join every two lines of `each` (lid, fp: distinct lines) within the radius whose edit similarity is at least `least`.
-
-    With `bands`, lines whose letter n-grams share a band and a like sketch are compared as well.
-
-    Two passes over the blocks: the first, without texts, finds the fingerprints that have a neighbour; only their
-    lines' texts move to the second, which verifies each pair in the first of the blocks that it shares. A bitmap of
-    fixed size says which texts to send; when it fills up at scale, texts are sent in vain, none is missed.
-    """
+
+def block_candidates(each: DataFrame, radius: int) -> DataFrame:
+    """Rows of each (h1, h2, fp, ...; distinct lines) whose fingerprint, by pigeonhole blocks, has another within the radius, or another line has."""
     marks = stored(each.filter("fp is not null").groupBy("fp").agg((F.count("*") > 1).alias("twice")), "line-marks")
 
     def mates(batches):
@@ -452,81 +373,141 @@ def similar_lines(docs: DataFrame, each: DataFrame, radius: int = RADIUS, least:
             out = []
             for v in b["fps"]:
                 v = np.asarray(v)
-                for i, j, _ in _near_pairs(v, radius):
+                for i, j in _near_pairs(v, radius):
                     out += [v[i], v[j]]
             yield pd.DataFrame({"fp": np.unique(np.concatenate(out)) if out else np.array([], dtype=np.int64)})
 
     # comparing a bucket's numbers costs less than dealing them out again until there are some thousands
-    dealt = buckets(marks.select("fp"), 2048, 2048).groupBy("key", "part_a", "part_b").agg(F.collect_list("fp").alias("fps"))
+    dealt = buckets(marks.select("fp"), 2048, 2048).groupBy(*_BUCKET).agg(F.collect_list("fp").alias("fps"))
     lively = dealt.filter(F.size("fps") > 1).select("fps").mapInPandas(mates, "fp long")
     lively = lively.unionByName(marks.filter("twice").select("fp")).distinct()
-    ids = stored(each.select("lid", "fp").join(lively, "fp", "left_semi"), "line-candidates")
-    bits = _bitmap(ids, bitmap_kb)
+    return stored(each.join(lively, "fp", "left_semi"), "block-candidates")
+
+
+def band_candidates(each: DataFrame, bands: int, most: int = 512) -> DataFrame:
+    """(key, part_a, part_b, shard, h1): lines that share a band's key with another line of a like sketch.
+
+    Keys of one line go no further. Keys of over `most` lines are dealt to shards, and each pair of shards is a bucket.
+    """
+    keys = F.explode(F.array(*[F.col(f"k{i}") for i in range(bands)])).alias("key")
+    rows = each.filter("fp is not null").select("h1", "s0", "s1", keys)
+    live = rows.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").select("key", F.ceil(F.col("_n") / most).cast("int").alias("_shards"))
+    met = (
+        rows.join(live, "key")
+        .withColumn("shard", F.pmod(F.hash("h1"), F.col("_shards")))
+        .select("key", "h1", "s0", "s1", "shard", F.explode(F.sequence(F.lit(0), F.col("_shards") - 1)).alias("_o"))
+        .select("key", F.least("shard", "_o").alias("part_a"), F.greatest("shard", "_o").alias("part_b"), "shard", "h1", "s0", "s1")
+    )
+
+    def run(batches):
+        for b in whole_groups(batches, _BUCKET):
+            group, shard, alone = group_numbers(b, _BUCKET), b["shard"].to_numpy(), (b["part_a"] == b["part_b"]).to_numpy()
+            s0, s1 = b["s0"].to_numpy(), b["s1"].to_numpy()
+            found = np.zeros(len(b), dtype=bool)
+            for i, j in pairs_by_offset(group):
+                new = (alone[i] | (shard[i] != shard[j])) & ~(found[i] & found[j])
+                i, j = i[new], j[new]
+                hit = _alike(s0, s1, i, j, bands)
+                found[i[hit]] = found[j[hit]] = True
+            yield b.loc[found, [*_BUCKET, "shard", "h1"]]
+
+    return stored(_in_order(met).mapInPandas(run, "key long, part_a int, part_b int, shard int, h1 long"), "band-candidates")
+
+
+def verified_links(rows: DataFrame, bands: int, radius: int, least: float) -> DataFrame:
+    """(a, b): digests (structs of h1, h2) of linked lines, from buckets (key, part_a, part_b, shard, band, h1, h2, fp, s0, s1, k0, ..., norm).
+
+    A pair within the radius, or of a like sketch where the bucket is a band's, is compared in one bucket only: that of
+    its first common band or, without one, of its first common block. Lines that are joined already are not compared.
+    """
+    names = [f"k{i}" for i in range(bands)]
+
+    def run(batches):
+        for b in whole_groups(batches, _BUCKET):
+            group, shard, alone = group_numbers(b, _BUCKET), b["shard"].to_numpy(), (~b["band"] | (b["part_a"] == b["part_b"])).to_numpy()
+            key, band, fp, norm = b["key"].to_numpy(), b["band"].to_numpy(), b["fp"].to_numpy().view(np.uint64), b["norm"].to_numpy()
+            ids, k = np.stack([b["h1"], b["h2"]], axis=1), b[names].to_numpy()
+            if bands:
+                s0, s1 = b["s0"].to_numpy(), b["s1"].to_numpy()
+            label, edge = np.arange(len(b)), np.searchsorted(group, np.arange(group[-1] + 2)) if len(b) else None
+            links: list[tuple[int, int]] = []
+            for i, j in pairs_by_offset(group):
+                new = (label[i] != label[j]) & (alone[i] | (shard[i] != shard[j]))
+                i, j = i[new], j[new]
+                common = k[i] == k[j]
+                shared = common.any(axis=1) if bands else np.zeros(len(i), dtype=bool)
+                keep = np.zeros(len(i), dtype=bool)
+                if bands:
+                    mine = np.flatnonzero(band[i] & shared)
+                    mine = mine[k[i[mine], common[mine].argmax(axis=1)] == key[i[mine]]]
+                    keep[mine] = _alike(s0, s1, i[mine], j[mine], bands)
+                apart = fp[i] ^ fp[j]
+                mine = np.flatnonzero(~band[i] & (np.bitwise_count(apart) <= radius))
+                if bands:  # pairs of a common band with a like sketch are compared there
+                    mine = mine[~(shared[mine] & _alike(s0, s1, i[mine], j[mine], bands))]
+                keep[mine] = owned(key[i[mine]], apart[mine])
+                for p, q in zip(i[keep].tolist(), j[keep].tolist(), strict=True):
+                    if label[p] != label[q] and edit_similar(norm[p], norm[q], least):
+                        part = label[edge[group[p]] : edge[group[p] + 1]]
+                        part[part == label[q]] = label[p]
+                        links.append((p, q))
+            ends = np.array(links, dtype=np.int64).reshape(-1, 2)
+            yield pd.DataFrame(np.hstack([ids[ends[:, 0]], ids[ends[:, 1]]]), columns=["a1", "a2", "b1", "b2"])
+
+    links = _in_order(rows).mapInPandas(run, "a1 long, a2 long, b1 long, b2 long")
+    return links.select(F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2")).alias("a"), F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2")).alias("b"))
+
+
+def similar_lines(docs: DataFrame, each: DataFrame, radius: int = RADIUS, least: float = 0.8, min_words: int = 5, bands: int = 6, min_chars: int | None = 20) -> DataFrame:
+    """(a, b): links, as digests, that join lines of `each` (h1, h2, fp, ...: distinct lines) whose edit similarity is at least `least`.
+
+    Compared are all lines within the radius, found by pigeonhole blocks of the fingerprint, and with `bands` those whose
+    letter n-grams share a band and have a like sketch. Candidates are found by numbers alone; only their texts move.
+    """
+    names = ["h1", "h2", "fp", *_band_columns(bands)]
+    blocks = block_candidates(each.select(names), radius)
+    found = band_candidates(each, bands) if bands else None
+    ids = blocks.select("h1", "h2")
     if bands:
-        near = band_candidates(docs, bands, min_words, min_chars)
-        more = _bitmap(near, bitmap_kb, "half")
-        bits = (np.frombuffer(bits, dtype=np.uint8) | np.frombuffer(more, dtype=np.uint8)).tobytes()
-    texts = _texts_of(docs, bits, min_words, min_chars).groupBy("lid", "half").agg(F.first("norm").alias("norm"))
+        ids = ids.unionByName(each.filter("fp is not null").join(found.select("h1").distinct(), "h1", "left_semi").select("h1", "h2")).distinct()
+    ids = stored(ids, "candidate-lines")
+    full = stored(_texts_of(docs, ids, min_words, min_chars).join(each.select(names), ["h1", "h2"]), "candidate-texts")
+    rows = buckets(full.join(blocks.select("h1", "h2"), ["h1", "h2"], "left_semi"), 512, 512)
+    rows = rows.withColumns({"shard": F.lit(0), "band": F.lit(False)})
     if bands:
-        texts = stored(texts, "candidate-texts")
-    full = stored(ids.join(texts, "lid").select("lid", "fp", "norm"), "line-texts")
+        rows = rows.unionByName(found.join(full, "h1").withColumn("band", F.lit(True)))
+    return verified_links(rows, bands, radius, least)
 
-    def verify(batches):
-        for b in batches:
-            links = []
-            for key, group in zip(b["key"], b["rows"], strict=True):
-                rows = sorted((r["lid"], r["fp"], r["norm"]) for r in group)
-                root = list(range(len(rows)))
-
-                def top(i: int) -> int:
-                    while root[i] != i:
-                        root[i] = root[root[i]]
-                        i = root[i]
-                    return i
-
-                for left, right, apart in _near_pairs(np.array([r[1] for r in rows], dtype=np.int64), radius):
-                    mine = owned(int(key), apart)
-                    for i, j in zip(left[mine].tolist(), right[mine].tolist(), strict=True):
-                        p, q = top(i), top(j)
-                        if p != q and edit_similar(rows[i][2], rows[j][2], least):
-                            root[max(p, q)] = min(p, q)
-                            links.append((rows[i][0].hex(), rows[j][0].hex()))
-            yield pd.DataFrame(links, columns=["a", "b"])
-
-    member = F.struct("lid", "fp", "norm")
-    groups = buckets(full, 512, 512).groupBy("key", "part_a", "part_b").agg(F.collect_list(member).alias("rows"))
-    links = groups.filter(F.size("rows") > 1).select("key", "rows").mapInPandas(verify, "a string, b string")
-    return links.unionByName(band_links(near, texts, bands, least)) if bands else links
-
-
-def line_decisions(docs: DataFrame, radius: int = RADIUS, least: float = 0.8, min_words: int = 5, bands: int = 0, min_chars: int | None = None) -> DataFrame:
+
+def line_decisions(docs: DataFrame, radius: int = RADIUS, least: float = 0.8, min_words: int = 5, bands: int = 6, min_chars: int | None = 20) -> DataFrame:
     """(doc_id, text_hash, gone): for each text that loses lines, their numbers (from 0), by groups over all documents."""
-    lines = stored(line_table(docs, min_words, min_chars), "lines")
+    lines = stored(line_table(docs, min_words, min_chars, bands), "lines")
+    rest = ["fp", *_band_columns(bands)]
+    each = stored(lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in rest]), "distinct-lines")
+    links = similar_lines(docs, each, radius, least, min_words, bands, min_chars)
+    roots = stored(connected_components(links), "line-roots")
+    ends = roots.select("node.h1", "node.h2", F.col("root.h1").alias("r1"), F.col("root.h2").alias("r2"))
+    classed = each.select("h1", "h2", "n").join(ends, ["h1", "h2"], "left").filter("n > 1 or r1 is not null")
+    classed = stored(classed.select("h1", "h2", "n", F.coalesce("r1", "h1").alias("r1"), F.coalesce("r2", "h2").alias("r2")), "line-classes")
+    total = classed.agg(F.sum("n")).first()[0] or 0
     seen = F.struct("doc_id", "text_hash", "line")
-    each = stored(lines.groupBy("lid").agg(F.min(seen).alias("first"), F.count("*").alias("n"), F.min("fp").alias("fp")), "distinct-lines")
-    links = similar_lines(docs, each, radius, least, min_words, bands=bands, min_chars=min_chars)
-    roots = stored(connected_components(links), "line-roots").select(F.unhex("node").alias("lid"), F.unhex("root").alias("root"))
-    classed = each.join(roots, "lid", "left").filter("n > 1 or root is not null").select("lid", "first", F.coalesce("root", "lid").alias("root"))
-    classed = stored(classed, "line-classes")
-    # written, so that the join below is a plain one, whose hot classes Spark can split
-    kept = stored(classed.groupBy("root").agg(F.min("first").alias("kept")), "line-kept")
-    # only lines of classes with a second occurrence are joined with the class's first
-    ruled = classed.select("lid", "root").join(kept, "root").select("lid", "kept")
-    gone = lines.select("lid", "doc_id", "text_hash", "line").join(ruled, "lid").filter(~seen.eqNullSafe(F.col("kept")))
+    there = stored(spread_join(lines.select("h1", "h2", "doc_id", "text_hash", "line"), classed, ["h1", "h2"], total), "repeated-lines")
+    kept = stored(there.groupBy("r1", "r2").agg(F.min(seen).alias("kept"), F.count("*").alias("n")), "line-kept")
+    gone = spread_join(there, kept, ["r1", "r2"], total).filter(~seen.eqNullSafe(F.col("kept")))
     return gone.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, radius: int = RADIUS, least: float = 0.8, min_words: int = 5, bands: int = 0, min_chars: int | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, radius: int = RADIUS, least: float = 0.8, min_words: int = 5, bands: int = 6, min_chars: int | None = 20) -> DataFrame:
     """docs with repeated lines removed from text, and (n_lines, removed_lines) as further columns.
 
-    A line is compared after normalisation (lower case, no ASCII marks, digits as 0, single spaces). Lines are
-    linked if their SimHashes differ in at most `radius` bits, or they share one of `bands` bands of letter n-grams and
-    a like sketch, and their edit similarity is at least `least`; of each connected group the first occurrence by (doc_id, text, line) stays. Lines of fewer than `min_words` words,
-    and blank ones, always stay; with `min_chars` only blank ones do: equal lines of any length are a group, and lines
-    of `min_words` words or `min_chars` characters are compared with similar ones. A null text stays null with 0 lines; a text that loses every line is ''. Rows that
-    repeat a doc_id and its text count as one document and get the same result; of rows with a null doc_id equal
-    texts do. Other columns stay as they are; input columns named n_lines or removed_lines are replaced. An empty
-    table gives no rows.
+    A line is compared after normalisation (lower case, no ASCII marks, digits as 0, single spaces). Equal lines of any
+    length are a group. Lines of `min_words` words or `min_chars` characters are linked to others if their SimHashes
+    differ in at most `radius` bits, or they share one of `bands` bands of letter n-grams and a like sketch, and their
+    edit similarity is at least `least`; of each connected group the first occurrence by (doc_id, text, line) stays.
+    Blank lines always stay, and without `min_chars` so do lines of fewer than `min_words` words. A null text stays null
+    with 0 lines; a text that loses every line is ''. Rows that repeat a doc_id and its text count as one document and
+    get the same result; of rows with a null doc_id equal texts do. Other columns stay as they are; input columns named
+    n_lines or removed_lines are replaced. An empty table gives no rows.
     """
     gone = line_decisions(docs, radius, least, min_words, bands, min_chars).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("gone").alias("_gone"))
     d, g = docs.drop("n_lines", "removed_lines").alias("d"), gone.alias("g")  # aliases keep input columns of any name apart

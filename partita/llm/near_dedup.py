@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partita.llm.common import bit_counts, fingerprints, slices, stored
+from partita.llm.common import bit_counts, fingerprints, slices, spread_join, stored
 from partita.llm.graph import connected_components
 from partita.llm.hamming import RADIUS, buckets
 
@@ -155,7 +155,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     come back as often as they came; a null doc_id never names a component. An empty table gives no rows.
     """
     marks = stored(simhash(docs), "simhash")
-    nodes = marks.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    nodes = marks.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
     roots = stored(connected_components(fingerprint_links(nodes, radius)), "roots")
     tops = (
         roots.join(nodes, roots.node == nodes.fp)
@@ -164,9 +164,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
         .join(roots, "root")
         .select(F.col("node").alias("fp"), "_least")
     )
-    # written, so that the join below is a plain one, whose hot fingerprints Spark can split
-    classes = stored(nodes.join(tops, "fp", "left").select("fp", F.coalesce("_least", "first_id").alias("component_id")), "classes")
-    return marks.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = stored(nodes.join(tops, "fp", "left").select("fp", F.coalesce("_least", "first_id").alias("component_id"), "n"), "classes")
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    return spread_join(marks, classes, ["fp"], total).select("doc_id", "fp", "component_id")
 
 
 def keep_one_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -6,6 +6,10 @@ import pytest
 from partita.llm import line_dedup as L
 
 
+#: SimHash blocks alone, over lines of five words or more.
+WORDS = {"bands": 0, "min_chars": None}
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -66,7 +70,7 @@ def made():
 def test_matches_all_pairs(spark, made):
     want = brute(made)
     assert want != dict(made)
-    got = {r["doc_id"]: r["text"] for r in L.dedup_lines(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r["text"] for r in L.dedup_lines(spark.createDataFrame(made, "doc_id long, text string"), **WORDS).collect()}
     assert got == want
 
 
@@ -74,14 +78,14 @@ def test_matches_all_pairs_on_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").filter("length(text) < 1500").limit(60)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     fixed = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r["doc_id"]: r["text"] for r in L.dedup_lines(fixed).collect()} == brute(rows)
+    assert {r["doc_id"]: r["text"] for r in L.dedup_lines(fixed, **WORDS).collect()} == brute(rows)
 
 
 def test_edges(spark):
     line = "one two three four five six"
     rows = [(1, None), (2, ""), (3, line), (4, f"{line}\nshort\n\nshort"), (4, f"{line}\nshort\n\nshort"), (None, line), (5, "ONE, two three; four five six 9\nx" + "y " * 90_000), (6, f"{line}\r\n{line}")]
     docs = spark.createDataFrame([(i, t, 0, "k", i, 1, 2) for i, t in rows], "doc_id long, text string, n_lines int, fp string, lid long, gone int, _gone int")
-    out = L.dedup_lines(docs)
+    out = L.dedup_lines(docs, **WORDS)
     got = {(r["doc_id"], r["text"], r["n_lines"], r["removed_lines"]) for r in out.collect()}
     assert out.count() == len(rows)
     # a null doc_id sorts first, so its occurrence stays
@@ -131,7 +135,7 @@ def test_bands_find_lines_of_edit_similarity(spark):
     found = {r["doc_id"] for r in L.dedup_lines(docs, bands=12).filter("removed_lines = 1").collect()}
     assert all(i % 2 for i in found)  # lines of other pairs are not alike
     assert len(found) >= 0.95 * pairs > 100
-    assert L.dedup_lines(docs).filter("removed_lines = 1").count() < 0.5 * pairs
+    assert L.dedup_lines(docs, **WORDS).filter("removed_lines = 1").count() < 0.5 * pairs
 
 
 def test_bands_of_parts_and_hot_keys(spark):
@@ -155,3 +159,45 @@ def test_short_lines_are_grouped_exactly(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in L.dedup_lines(docs, bands=12, min_chars=20).collect()}
     assert got == {1: rows[0][1], 2: "\nmenus", 3: "", 4: "\n\n"}
+
+
+def test_recall_of_similar_lines(spark):
+    """All pairs of the lines of up to 400 bytes of a table, by edit similarity alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    lines = sorted({n for r in docs.collect() if r["text"] for n in L.normalised_lines(r["text"]) if L._fuzzy(n, 5, 20) and len(n) <= 400}, key=len)
+    size = np.array([len(x) for x in lines])
+    grams = np.zeros((len(lines), 512), dtype=np.uint8)
+    for i, x in enumerate(lines):
+        b = np.frombuffer(x, dtype=np.uint8).astype(np.int64)
+        grams[i] = np.minimum(np.bincount((b[:-1] * 257 + b[1:]) % 509, minlength=512), 255)
+    pairs = []
+    for i, x in enumerate(lines):
+        until = np.searchsorted(size, size[i] / 0.8 + 1, side="right")
+        other = grams[i + 1 : until]
+        # bigrams lost and gained: changes of up to a fifth of a line's letters in runs, or of an eighth anywhere
+        apart = (np.maximum(other, grams[i]) - np.minimum(other, grams[i])).sum(axis=1, dtype=np.int64)
+        pairs += [(x, lines[k]) for k in np.flatnonzero(apart <= 0.5 * size[i + 1 : until]) + i + 1 if L.edit_similar(x, lines[k], 0.8)]
+    assert len(pairs) > 150
+    rows = [(2 * i + j, x.decode()) for i, p in enumerate(pairs) for j, x in enumerate(p)]
+    alone = spark.createDataFrame(rows, "doc_id long, text string")
+    table = L.line_table(alone, bands=6).dropDuplicates(["h1", "h2"]).persist()
+    links = {frozenset(((r["a"]["h1"], r["a"]["h2"]), (r["b"]["h1"], r["b"]["h2"]))) for r in L.similar_lines(alone, table).collect()}
+    root = {}
+
+    def top(v):
+        while v in root:
+            v = root[v]
+        return v
+
+    for a, b in map(tuple, links):
+        if top(a) != top(b):
+            root[top(a)] = top(b)
+    name = lambda x: tuple(np.frombuffer(L.xxhash.xxh3_128_digest(x), dtype=np.int64).tolist())
+    assert np.mean([top(name(a)) == top(name(b)) for a, b in pairs]) >= 0.9
+    assert all(any(p == frozenset((name(a), name(b))) for a, b in pairs) for p in links)
+
+
+def test_every_exact_copy_goes(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    kept = [n for r in L.dedup_lines(docs).select("text").distinct().collect() if r["text"] for n in L.normalised_lines(r["text"]) if n]
+    assert len(kept) == len(set(kept))
