@@ -1,8 +1,9 @@
-"""Language identification: nearest of several clustered centroids per language over TF-IDF n-gram vectors."""
+"""Language identification: nearest of several clustered centroids per language over TF-IDF n-gram vectors, rejection by distance."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import zlib
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,8 @@ from partita.llm.common import slices
 
 #: Buckets that letter n-grams are hashed into.
 FEATURES = 4096
+#: Lengths, as powers of 2 of a text's different n-grams, and levels of a score, that distances are fitted by.
+LENGTHS, LEVELS = 14, 500
 
 _SPACE = bytes(c if chr(c).isalpha() or c >= 128 else 32 for c in range(256))
 
@@ -50,16 +53,16 @@ def vector(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Centroids:
-    """idf weights, centroids (one row each), the language of each, and the distance from which a text is rejected."""
+    """idf weights, centroids (one row each), the language of each; by language, the least score of each length that is not rejected."""
 
     idf: np.ndarray
     rows: np.ndarray
     langs: list[str]
-    max_distance: float
+    floors: dict[str, np.ndarray] = field(default_factory=dict)
 
-    def predict(self, texts) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language, score (cosine with the nearest centroid, 0 to 1) and rejection of each text."""
-        score, best = np.zeros(len(texts)), ["und"] * len(texts)
+    def nearest(self, texts) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language (`und` without a letter), score (cosine with the nearest centroid, 0 to 1) and length class of each text."""
+        score, best, length = np.zeros(len(texts)), ["und"] * len(texts), np.zeros(len(texts), dtype=np.int64)
         held: list[tuple[int, np.ndarray]] = []
 
         def settle() -> None:
@@ -72,12 +75,66 @@ class Centroids:
         for i, text in enumerate(texts):
             counts = ngram_counts(text if isinstance(text, str) else None)
             if counts is not None and len(self.rows):
+                length[i] = int(np.count_nonzero(counts)).bit_length()
                 held.append((i, vector(counts, self.idf)))
                 if len(held) == 128:  # few vectors are held at a time, however many texts come
                     settle()
         if held:
             settle()
-        return best, score, (1 - score > self.max_distance) | np.array([x == "und" for x in best], dtype=bool)
+        return best, score, length
+
+    def predict(self, texts) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score and rejection of each text: `und`, or farther from every centroid than texts of its language and length are."""
+        best, score, length = self.nearest(texts)
+        gone = [x == "und" or (x in self.floors and s < self.floors[x][n]) for x, s, n in zip(best, score, length, strict=True)]
+        return best, score, np.array(gone, dtype=bool)
+
+
+def _piece(text: str) -> str:
+    """A part of a text whose place and length (8 to 1024 characters) come from the text's checksum."""
+    h = zlib.crc32(text[:4096].encode("utf-8", "surrogatepass"))
+    size = 8 << (h & 7)
+    at = (h >> 3) % max(1, len(text) - size)
+    return text[at : at + size]
+
+
+def score_floors(known: DataFrame, model: Centroids, tail: float = 0.005, share: float = 0.5) -> dict[str, np.ndarray]:
+    """By language and length class, the score below which a text is rejected, from the known texts and a piece of each.
+
+    It is the score that the share `tail` of them stays below, but at most `share` of their median: long texts that
+    repeat a few words of a language are rare and far out, yet nearer than other scripts, code or random letters.
+    Only texts that get their own language count. Scores are counted in all tasks, by level. A class of fewer than
+    1 / tail texts is joined by the next shorter and longer ones, or by the nearest that have any; few texts give their least score.
+    """
+    shared, names = known.sparkSession.sparkContext.broadcast(model), sorted(set(model.langs))
+
+    def run(batches):
+        seen = np.zeros((len(names), LENGTHS, LEVELS + 1), dtype=np.int64)
+        for b in batches:
+            for texts in (b["text"].tolist(), [_piece(t) for t in b["text"]]):
+                best, score, length = shared.value.nearest(texts)
+                for x, said, s, n in zip(best, b["lang"], score, length, strict=True):
+                    if x == said:
+                        seen[names.index(x), n, int(s * LEVELS)] += 1
+        cells = np.flatnonzero(seen)
+        yield pd.DataFrame({"cell": cells, "n": seen.ravel()[cells]})
+
+    counted = known.filter("text is not null").select("text", "lang").mapInPandas(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    seen = np.zeros((len(names), LENGTHS, LEVELS + 1), dtype=np.int64)
+    for r in counted.collect():  # at most a number per language, length and level
+        seen.reshape(-1)[r["cell"]] = r["n"]
+    floors = {}
+    for k, name in enumerate(names):
+        floors[name] = np.zeros(LENGTHS)
+        for n in range(LENGTHS):
+            for reach in range(LENGTHS):
+                levels = seen[k, max(0, n - reach) : n + reach + 1].sum(axis=0)
+                if levels.sum() * tail >= 1 or (reach and levels.sum()):
+                    break
+            if levels.sum():
+                low, middle = np.searchsorted(np.cumsum(levels), [max(1.0, tail * levels.sum()), levels.sum() / 2])
+                floors[name][n] = min(low, share * middle) / LEVELS
+    return floors
 
 
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
@@ -114,10 +171,10 @@ def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def fit(docs: DataFrame, centroids: int = 4, sample_per_lang: int = 1500, max_distance: float = 0.9) -> Centroids:
+def fit(docs: DataFrame, centroids: int = 4, sample_per_lang: int = 1500, tail: float = 0.005) -> Centroids:
     """Learn from docs (doc_id, text, lang): rows with a null lang or a held-out doc_id are left out.
 
-    Document frequencies come from all these rows. The centroids are clustered on a sample bounded by
+    Document frequencies, and the distances beyond which a text is rejected (score_floors), come from all these rows. The centroids are clustered on a sample bounded by
     `sample_per_lang`: of each language, the rows whose hashed doc_id is smallest. Ties in the hash go to the
     smaller doc_id; repeated rows count as often as they come. Without a labelled row the model knows no language.
     """
@@ -148,14 +205,17 @@ def fit(docs: DataFrame, centroids: int = 4, sample_per_lang: int = 1500, max_di
         found = _clusters(x, centroids)
         rows.append(found)
         langs += [lang] * len(found)
-    return Centroids(idf, np.concatenate(rows) if rows else np.zeros((0, FEATURES), np.float32), langs, max_distance)
+    model = Centroids(idf, np.concatenate(rows) if rows else np.zeros((0, FEATURES), np.float32), langs)
+    if langs:
+        model.floors = score_floors(known, model, tail)
+    return model
 
 
 def identify(docs: DataFrame, model: Centroids) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, rejected) for every row of docs, from its text alone.
 
     lang_pred is a learned language, or `und` where the text is null, empty or has no letter (score 0). rejected:
-    the text is farther than model.max_distance from every centroid, or is `und`. Very long texts are read in
+    the text is farther from every centroid than texts of its language and length are, or is `und`. Very long texts are read in
     parts. Other columns are ignored; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few centroids of 4096 numbers per language
