@@ -50,6 +50,33 @@ def test_language_edges(spark, languages):
     assert {r["lang_pred"] for r in language_id.identify(docs, nothing).collect()} == {"und"}
 
 
+def test_nearest_centroid_matches_brute_force(docs, languages):
+    texts = [r["text"] for r in docs.orderBy("doc_id").limit(60).collect() if r["text"]]
+    best, score, _ = languages.nearest(texts)
+    for t, lang, s in zip(texts, best, score, strict=True):
+        v = np.log1p(language_id.ngram_counts(t).astype(float)) * languages.idf
+        cosines = [float(v @ c / np.sqrt(v @ v) / np.sqrt(c @ c)) for c in languages.rows.astype(float)]
+        assert abs(max(cosines) - s) < 1e-4
+        assert lang in {languages.langs[k] for k in range(len(cosines)) if cosines[k] > max(cosines) - 1e-4}
+
+
+def test_junk_is_rejected_and_clean_documents_stay(spark, docs, languages):
+    rng = random.Random(9)
+    letters = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(n)) for n in (5, 20, 80, 300, 2000) for _ in range(10)]
+    with open(language_id.__file__) as f:
+        code = f.read()
+    code = [code[i : i + n] for n in (300, 1000, 3000) for i in range(0, 6000, 1500)]
+    other = ["\u3053\u308c\u306f\u65e5\u672c\u8a9e\u306e\u6587\u7ae0\u3067\u3059\u3002" * n for n in (2, 20, 200)]
+    for junk in (letters, code, other):
+        assert np.mean(languages.predict(junk)[2]) >= 0.95
+    held = docs.filter(language_id.held_out())
+    kept = language_id.keep_identified(held, languages)
+    assert kept.count() >= 0.98 * held.count()
+    assert language_id.keep_identified(docs, languages).count() >= 0.99 * docs.count()
+    short = [w for r in docs.limit(100).collect() if r["text"] for w in [" ".join(r["text"].split()[:12])]]
+    assert np.mean(languages.predict(short)[2]) <= 0.03
+
+
 def brute_neighbours(rows, k):
     ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=float)
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -94,12 +121,17 @@ def test_neighbour_edges(spark):
     assert ann.search(base.limit(0), F.lit(True)).count() == 0
 
 
+def small(*words):
+    """A vocabulary of these words with ids of their own; any other word has a thousandth of its bucket."""
+    return lm_score.Vocabulary({w.encode(): (i, 0.0) for i, w in enumerate(words)}, np.full(lm_score.TOKENS - lm_score.FREQUENT, np.log(0.001)))
+
+
 def test_gradients():
-    net = lm_score.start(["the", "a"])
+    net = lm_score.start(small("the", "a"))
     p = {k: v.astype(float).copy() for k, v in lm_score._cut(net.flat).items()}
     g = {k: np.zeros_like(v) for k, v in p.items()}
     rng = np.random.default_rng(4)
-    target, context = lm_score.windows([rng.integers(0, lm_score.TOKENS, n).astype(np.int32) for n in (40, 1, 7)])
+    target, context = lm_score.windows([rng.integers(0, lm_score.TOKENS, n).astype(np.int16) for n in (40, 1, 7)])
     assert len(target) == 48 and (context[40] == lm_score.PAD).all()
     lm_score.step(p, target, context, g)
     for k in p:
@@ -113,15 +145,83 @@ def test_gradients():
 
 
 def test_probabilities_sum_to_one():
-    net = lm_score.start(["x"])
+    net = lm_score.start(small("x"))
     p = lm_score._cut(net.flat.astype(float))
     context = np.tile(np.array([[3, 4, 5, 6]]), (lm_score.TOKENS, 1))
     logp = lm_score.step(p, np.arange(lm_score.TOKENS), context)
     assert abs(np.exp(logp).sum() - 1) < 1e-9
 
 
+def test_shares_of_words_sum_to_one(docs):
+    words = lm_score.vocabulary(docs)
+    seen = {w.encode() for r in docs.collect() if r["text"] for w in r["text"].lower().split()}
+    share = {}
+    for w in seen:
+        i, s = words.words.get(w) or (lm_score.bucket(w), words.rest[lm_score.bucket(w) - lm_score.FREQUENT])
+        share[i] = share.get(i, 0) + np.exp(s)
+    assert all(abs(x - 1) < 0.02 for x in share.values()) and len(share) > lm_score.FREQUENT
+
+
+def brute_score(rows, net):
+    """Sums of log-probabilities word by word, with the contexts that other texts share."""
+    p = {k: v.astype(float) for k, v in lm_score._cut(net.flat).items()}
+    texts = [lm_score.Vocabulary.encode(net.vocabulary, t) for t in rows]
+    mark = lambda x: int(lm_score.mixed(np.array([x % 2**64], dtype=np.uint64))[0])
+    around = [[(int(h[i - 1]) if i else 0, int(h[i + 1]) if i + 1 < len(h) else 0) for i in range(len(h))] for *_, h in texts]
+    seen = [{(c, int(h[i])) for i, c in enumerate(a)} for a, (*_, h) in zip(around, texts, strict=True)]
+    out = []
+    for d, (ids, shares, h) in enumerate(texts):
+        total = 0.0
+        for i, x in enumerate(ids):
+            context = [int(ids[i + o]) if 0 <= i + o < len(ids) else lm_score.PAD for o in (-2, -1, 1, 2)]
+            hidden = np.tanh(np.concatenate([p["embed"][c] for c in context]) @ p["mix"] + p["mix_b"])
+            group, member = x % lm_score.CLASSES, x // lm_score.CLASSES
+            a, b = hidden @ p["group"] + p["group_b"], hidden @ p["member"][group] + p["member_b"][group]
+            prob = np.exp(a[group] - np.log(np.exp(a).sum()) + b[member] - np.log(np.exp(b).sum()) + shares[i])
+            left, right = around[d][i]
+            others = [w for e, s in enumerate(seen) if e != d for c, w in s if c == (left, right)]
+            if others and mark(left * 0x9E3779B97F4A7C15 + right) % lm_score.REMEMBERED == 0:
+                own = {w for c, w in seen[d] if c == (left, right)}
+                n2, kinds = len(others) + len(own), len(set(others) | own)
+                n3 = others.count(int(h[i])) + 1
+                n, t = n2 - 1, kinds - (n3 == 1)
+                prob = (1 - n / (n + t)) * prob + n / (n + t) * (n3 - 1) / n
+            total += np.log(prob)
+        out.append(total)
+    return out
+
+
+def test_scores_match_brute_force(spark):
+    net = lm_score.start(small(*"abcdefg"))
+    rng = random.Random(6)
+    rows = [" ".join(rng.choice(["a", "b", "c", "d", "other", "words"]) for _ in range(n)) for n in (1, 2, 30, 30, 80)]
+    rows.append(rows[-1])
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: r["log_likelihood"] for r in lm_score.score(docs, net).collect()}
+    want = brute_score(rows, net)
+    assert all(abs(got[i] - w) < 1e-3 * max(1, abs(w)) for i, w in enumerate(want))
+
+
+def test_partitions_change_nothing_and_words_are_learnt(spark, docs):
+    words = lm_score.vocabulary(docs)
+    means = []
+    for parts in (1, 8, 64):
+        texts = lm_score.encoded(docs.repartition(parts), words)
+        got = lm_score.score(docs, lm_score.train(texts, lm_score.start(words)), texts).filter("n_tokens > 0")
+        one = got.selectExpr("sum(log_likelihood) s", "sum(n_tokens) n").first()
+        means.append(one["s"] / one["n"])
+    assert max(means) - min(means) < 0.01 * abs(means[0])
+    counts = {}
+    for r in docs.collect():
+        for w in (r["text"] or "").lower().split():
+            counts[w] = counts.get(w, 0) + 1
+    n = np.array(list(counts.values()))
+    assert min(means) > (n * np.log(n / n.sum())).sum() / n.sum() + 0.3
+
+
 def test_scores_prefer_the_order_of_words(spark, docs):
-    net = lm_score.train(docs, rounds=1)
+    words = lm_score.vocabulary(docs)
+    net = lm_score.train(lm_score.encoded(docs, words), lm_score.start(words))
     rng = random.Random(5)
     rows = []
     for r in docs.filter("length(text) between 2000 and 6000").orderBy("doc_id").limit(40).collect():
@@ -129,13 +229,21 @@ def test_scores_prefer_the_order_of_words(spark, docs):
         rng.shuffle(w)
         rows += [(2 * r["doc_id"], r["text"]), (2 * r["doc_id"] + 1, " ".join(w))]
     got = {r["doc_id"]: r for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string"), net).collect()}
-    blank = {r["doc_id"]: r["mean_log_likelihood"] for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string"), lm_score.start(net.words)).collect()}
     assert all(got[i]["n_tokens"] == len(t.split()) for i, t in rows)
-    assert np.mean([got[i]["mean_log_likelihood"] for i, _ in rows]) > np.mean(list(blank.values())) + 0.3
+    assert np.mean([got[i]["mean_log_likelihood"] > got[i + 1]["mean_log_likelihood"] for i, _ in rows[::2]]) >= 0.85
+
+
+def test_copies_score_higher_than_singles(spark):
+    rng = random.Random(7)
+    make = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(120))
+    twice = [make() for _ in range(20)]
+    rows = list(enumerate([make() for _ in range(60)] + twice + twice))
+    got = {r["doc_id"]: r["mean_log_likelihood"] for r in lm_score.masked_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert min(got[i] for i in range(60, 100)) > max(got[i] for i in range(60))
 
 
 def test_score_edges(spark):
-    net = lm_score.start(["a"])
+    net = lm_score.start(small("a"))
     rows = [(1, None), (2, ""), (3, " \n"), (4, "a b a"), (4, "a b a"), (None, "c"), (5, "w " * 300_000)]
     docs = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, log_likelihood double")
     got = lm_score.score(docs, net).collect()
