@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from partita.llm.common import stored
+
 #: Fingerprints that differ in at most three bits agree on one of four blocks.
 RADIUS, BLOCKS, BITS = 3, 4, 16
 
@@ -38,7 +40,8 @@ def buckets(rows: DataFrame, limit: int = 64, most: int = 1024) -> DataFrame:
         .select("*", block.alias("_k"))
         .withColumn("key", pick("_k", [_block(fp, k) for k in range(BLOCKS)]) * BLOCKS + F.col("_k"))
     )
-    full = first.groupBy("key").agg(F.count("*").alias("_n")).filter(F.col("_n") > limit)
+    # written, so that Spark knows its size: where few values are full, as is usual, the joins need no shuffle
+    full = stored(first.groupBy("key").agg(F.count("*").alias("_n")).filter(F.col("_n") > limit), "full-blocks")
     few = first.join(full, "key", "left_anti").select(*names, "key")
     finer = (
         first.join(full.select("key"), "key", "left_semi")
@@ -48,7 +51,7 @@ def buckets(rows: DataFrame, limit: int = 64, most: int = 1024) -> DataFrame:
         .withColumn("key", ((F.col("key") * 4 + F.col("_j")) * 4096 + F.col("_v")) + F.lit(1 << 40))
         .select(*names, "key")
     )
-    packed = finer.groupBy("key").agg(F.count("*").alias("_n")).filter(F.col("_n") > most)
+    packed = stored(finer.groupBy("key").agg(F.count("*").alias("_n")).filter(F.col("_n") > most), "full-finer-blocks")
     some = finer.join(packed, "key", "left_anti")
     shards = F.ceil(F.col("_n") / most).cast("int")
     many = (

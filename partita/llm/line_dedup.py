@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from itertools import accumulate
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -195,11 +198,46 @@ def _alike(s0: np.ndarray, s1: np.ndarray, i: np.ndarray, j: np.ndarray, bands:
     return differ <= bins - -(-bins // 3)
 
 
+def _aligned_cost(s: list[str], t: list[str]) -> int:
+    """An upper bound of the edit distance of two texts, given by their words.
+
+    Pairs of words that occur once in both stay where they are in the same order; what lies between is replaced.
+    """
+
+    def single(words: list[str]) -> dict[tuple[str, str], int]:
+        seen: dict[tuple[str, str], int] = {}
+        for i, g in enumerate(zip(words, words[1:], strict=False)):
+            seen[g] = -1 if g in seen else i
+        return seen
+
+    other = single(t)
+    places = [(i, j) for g, i in single(s).items() if i >= 0 and (j := other.get(g, -1)) >= 0]
+    ends: list[int] = []  # the least last place in t of a chain of each length, and its index in places
+    last: list[int] = []
+    back = []
+    for n, (_, j) in enumerate(places):
+        k = bisect_left(ends, j)
+        back.append(last[k - 1] if k else -1)
+        ends[k : k + 1], last[k : k + 1] = [j], [n]
+    kept, at = set(), last[-1] if last else -1
+    while at >= 0:
+        i, j = places[at]
+        kept |= {(i, j), (i + 1, j + 1)}
+        at = back[at]
+    from_s, from_t = [0, *accumulate(len(w) + 1 for w in s)], [0, *accumulate(len(w) + 1 for w in t)]
+    cost, i, j = 0, 0, 0  # words before i and j are dealt with
+    for p, q in [*sorted(kept), (len(s), len(t))]:
+        if p >= i and q >= j:
+            cost += max(from_s[p] - from_s[i], from_t[q] - from_t[j])
+            i, j = p + 1, q + 1
+    return cost
+
+
 def edit_similar(a: bytes, b: bytes, least: float) -> bool:
     """1 - (edit distance of characters) / (longer length) >= least, exactly.
 
-    Equal ends are cut off first; the distance can only come from what lies between. Two upper bounds accept most
-    pairs, bit-parallel dynamic programming decides the others.
+    Equal ends are cut off first; the distance can only come from what lies between. Upper bounds accept most pairs,
+    a lower one (an edit changes four letter pairs at most) rejects others, bit-parallel dynamic programming decides the rest.
     """
     s, t = a.decode("utf-8", "surrogatepass"), b.decode("utf-8", "surrogatepass")
     longest = max(len(s), len(t))
@@ -220,6 +258,12 @@ def edit_similar(a: bytes, b: bytes, least: float) -> bool:
     words, others = s.split(" "), t.split(" ")
     if len(words) == len(others) and sum(max(len(v), len(w)) for v, w in zip(words, others, strict=True) if v != w) <= most:
         return True  # replacing the words that differ, place by place, is cheap enough
+    x, y = x[head : len(x) - tail].astype(np.int64), y[head : len(y) - tail].astype(np.int64)
+    pairs = [np.bincount((v[:-1] * 257 + v[1:]) % 1021, minlength=1021) for v in (x, y)]
+    if np.abs(pairs[0] - pairs[1]).sum() > 4 * most + 4:
+        return False
+    if _aligned_cost(words, others) <= most:
+        return True
     if len(s) > len(t):
         s, t = t, s
     peq: dict[str, int] = {}
@@ -321,7 +365,7 @@ def _bitmap(candidates: DataFrame) -> bytes | None:
 
 
 def _texts_of(docs: DataFrame, candidates: DataFrame, min_words: int, min_chars: int | None) -> DataFrame:
-    """(h1, h2, norm): the texts of candidate lines (h1, h2). A bitmap of theirs, where it is small, keeps most others at home."""
+    """candidates (h1, h2, ...; distinct lines) with norm, their texts. A bitmap of theirs, where it is small, keeps most others at home."""
     bits = _bitmap(candidates)
     shared = docs.sparkSession.sparkContext.broadcast(bits) if bits else None
 
@@ -344,7 +388,7 @@ def _texts_of(docs: DataFrame, candidates: DataFrame, min_words: int, min_chars:
             yield pd.DataFrame({"h1": ids[:, 0], "h2": ids[:, 1], "norm": list(found.values())})
 
     texts = docs.filter(F.col("text").isNotNull()).select("text").mapInPandas(run, "h1 long, h2 long, norm binary")
-    return texts.join(candidates.select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("norm").alias("norm"))
+    return texts.groupBy("h1", "h2").agg(F.first("norm").alias("norm")).join(candidates, ["h1", "h2"])
 
 
 def _near_pairs(fps: np.ndarray, radius: int):
@@ -384,7 +428,7 @@ def block_candidates(each: DataFrame, radius: int) -> DataFrame:
     return stored(each.join(lively, "fp", "left_semi"), "block-candidates")
 
 
-def band_candidates(each: DataFrame, bands: int, most: int = 512) -> DataFrame:
+def band_candidates(each: DataFrame, bands: int, most: int = 256) -> DataFrame:
     """(key, part_a, part_b, shard, h1): lines that share a band's key with another line of a like sketch.
 
     Keys of one line go no further. Keys of over `most` lines are dealt to shards, and each pair of shards is a bucket.
@@ -467,12 +511,12 @@ def similar_lines(docs: DataFrame, each: DataFrame, radius: int = RADIUS, least:
     names = ["h1", "h2", "fp", *_band_columns(bands)]
     blocks = block_candidates(each.select(names), radius)
     found = band_candidates(each, bands) if bands else None
-    ids = blocks.select("h1", "h2")
+    lines = blocks
     if bands:
-        ids = ids.unionByName(each.filter("fp is not null").join(found.select("h1").distinct(), "h1", "left_semi").select("h1", "h2")).distinct()
-    ids = stored(ids, "candidate-lines")
-    full = stored(_texts_of(docs, ids, min_words, min_chars).join(each.select(names), ["h1", "h2"]), "candidate-texts")
-    rows = buckets(full.join(blocks.select("h1", "h2"), ["h1", "h2"], "left_semi"), 512, 512)
+        more = each.filter("fp is not null").select(names).join(found.select("h1").distinct(), "h1", "left_semi")
+        lines = stored(blocks.unionByName(more).dropDuplicates(["h1", "h2"]), "candidate-lines")
+    full = stored(_texts_of(docs, lines, min_words, min_chars), "candidate-texts")
+    rows = buckets(full.join(blocks.select("h1", "h2"), ["h1", "h2"], "left_semi"), 256, 256)
     rows = rows.withColumns({"shard": F.lit(0), "band": F.lit(False)})
     if bands:
         rows = rows.unionByName(found.join(full, "h1").withColumn("band", F.lit(True)))
