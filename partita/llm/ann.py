@@ -12,8 +12,8 @@ from pyspark.sql.window import Window
 
 from partita.llm.common import stored
 
-#: Dimensions of a column block; candidates of the first row block, which sets a threshold, and of later ones.
-COLUMNS, FIRST, ROWS = 16, 128, 1024
+#: Dimensions of a column block; queries and rows that are compared at once.
+COLUMNS, QUERIES, ROWS = 16, 64, 2048
 
 
 def usable(vector: Column) -> Column:
@@ -49,17 +49,15 @@ def vectors(base: DataFrame) -> DataFrame:
     return rows.filter("vec_id is not null").mapInPandas(run, "vec_id long, x binary")
 
 
-def fit(rows: DataFrame, lists: int = 64, sample: int = 8192, rows_each: int = 64, seed: int = 11) -> Index | None:
-    """An index over vectors() rows, its centroids fitted on at most `sample` of them: those with the smallest hashed id.
+def fit(rows: DataFrame, width: int, lists: int = 64, rows_each: int = 64, seed: int = 11) -> Index | None:
+    """An index over vectors() rows of `width` bytes, its centroids fitted on at most 128 rows a list: those with the smallest hashed id.
 
     The list count shrinks for small tables so that a list has about `rows_each` sampled rows. None without rows.
     """
-    some = rows.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(sample).collect()
+    some = rows.filter(F.octet_length("x") == width).orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(128 * lists).collect()
     if not some:
         return None
-    lengths = [len(r["x"]) for r in some]
-    width = max(set(lengths), key=lambda n: (lengths.count(n), n))
-    x = _unit(np.stack([np.frombuffer(r["x"], dtype="<f8") for r in some if len(r["x"]) == width]))
+    x = _unit(np.stack([np.frombuffer(r["x"], dtype="<f8") for r in some]))
     rng = np.random.default_rng(seed)
     rotation = np.linalg.qr(rng.standard_normal((x.shape[1], x.shape[1])))[0]
     z = x @ rotation
@@ -70,117 +68,183 @@ def fit(rows: DataFrame, lists: int = 64, sample: int = 8192, rows_each: int = 6
     return Index(rotation, c, np.zeros(len(c), dtype=np.int64))
 
 
-def scan(q: np.ndarray, z: np.ndarray, ids: np.ndarray, own: int, k: int, doubt: float) -> np.ndarray:
-    """Positions of the candidates that survive the scan for one rotated query. z: dimensions by candidates.
+def _bound(best: np.ndarray, seen: int, dims: int, doubt: float) -> np.ndarray:
+    """The partial distance over `seen` of `dims` rotated dimensions up to which a candidate may still beat distance `best`.
 
-    After each column block a candidate is dropped if its partial distance, scaled to all dimensions, says with the
-    confidence that `doubt` sets that it is farther than the k-th nearest so far. Random rotation makes partial
-    distances fair estimates.
+    Random rotation makes a scaled partial distance a fair estimate; `doubt` sets the confidence of the test.
     """
-    dims = len(q)
-    best = np.full(k, np.inf)
-    found = []
-    for at in [0, *range(FIRST, z.shape[1], ROWS)]:
-        until = FIRST if at == 0 else at + ROWS
-        alive = np.flatnonzero(ids[at:until] != own) + at
-        part = np.zeros(len(alive))
-        for c in range(0, dims, COLUMNS):
-            if not len(alive):
-                break
-            d = z[c : c + COLUMNS, alive] - q[c : c + COLUMNS, None]
-            part += np.einsum("ij,ij->j", d, d)
-            seen = min(c + COLUMNS, dims)
-            bound = best[-1] * (1 + doubt / np.sqrt(seen)) ** 2 * seen / dims if seen < dims else best[-1] * (1 + 1e-9) + 1e-12
-            keep = part <= bound
-            if not keep.all():
-                alive, part = alive[keep], part[keep]
-        if len(alive):
-            found.append(alive)
-            best = np.sort(np.append(best, part))[:k]
-    return np.concatenate(found) if found else np.array([], dtype=np.int64)
-
-
-def search(base: DataFrame, queries: Column, k: int = 5, probes: float = 0.85, doubt: float = 2.1, lists: int = 64, chunk: int = 4096, block: int = 256) -> DataFrame:
+    return best * (1 + doubt / np.sqrt(seen)) ** 2 * seen / dims if seen < dims else best * (1 + 1e-9) + 1e-12
+
+
+class Scan:
+    """Queries against the lists of one shard: each query keeps its k smallest distances so far from list to list."""
+
+    def __init__(self, q: np.ndarray, own: np.ndarray, k: int, doubt: float) -> None:
+        self.q, self.own, self.k, self.doubt = q, own, k, doubt
+        self.best = np.full((len(q), k), np.inf)
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.work = 0  # partial distances over a block that were computed
+
+    def meet(self, which: np.ndarray, z: np.ndarray, ids: np.ndarray, first: int) -> None:
+        """Queries `which` scan the rows z (numbered from `first`): after each column block those too far are abandoned."""
+        dims = z.shape[1]
+        for a in range(0, len(which), QUERIES):
+            some = which[a : a + QUERIES]
+            for b in range(0, len(z), ROWS):
+                x = z[b : b + ROWS]
+                q, c = self.q[some, :COLUMNS], x[:, :COLUMNS]
+                part = np.maximum((q * q).sum(axis=1)[:, None] + (c * c).sum(axis=1)[None, :] - 2 * (q @ c.T), 0)
+                seen = min(COLUMNS, dims)
+                i, j = np.nonzero(part <= _bound(self.best[some, -1], seen, dims, self.doubt)[:, None])
+                self.work += part.size
+                away = self.own[some[i]] != ids[b + j]
+                i, j = i[away], j[away]
+                part = part[i, j]
+                for at in range(COLUMNS, dims, COLUMNS):
+                    d = x[j, at : at + COLUMNS] - self.q[some[i], at : at + COLUMNS]
+                    self.work += len(i)
+                    part = part + np.einsum("ij,ij->i", d, d)
+                    keep = part <= _bound(self.best[some[i], -1], min(at + COLUMNS, dims), dims, self.doubt)
+                    i, j, part = i[keep], j[keep], part[keep]
+                if len(i):
+                    self._note(some[i], first + b + j, part)
+
+    def _note(self, query: np.ndarray, row: np.ndarray, distance: np.ndarray) -> None:
+        self.found.append((query, row, distance))
+        order = np.lexsort((distance, query))
+        query, distance = query[order], distance[order]
+        start = np.flatnonzero(np.append(True, query[1:] != query[:-1]))
+        place = np.arange(len(query)) - np.repeat(start, np.diff(np.append(start, len(query))))
+        top = place < self.k
+        new = np.full((len(start), self.k), np.inf)
+        new[np.repeat(np.arange(len(start)), np.diff(np.append(start, len(query))))[top], place[top]] = distance[top]
+        who = query[start]
+        self.best[who] = np.sort(np.hstack([self.best[who], new]), axis=1)[:, : self.k]
+
+    def survivors(self) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) of every pair that the final k-th distances leave."""
+        if not self.found:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        query, row, distance = map(np.concatenate, zip(*self.found, strict=True))
+        keep = distance <= _bound(self.best[query, -1], 1, 1, self.doubt)
+        return query[keep], row[keep]
+
+
+def shards(sizes: np.ndarray, chunk: int) -> list[tuple[int, int, int]]:
+    """(list, first shard, shards): lists side by side in shards of about `chunk` rows; a larger list is cut into several."""
+    out, shard, held = [], 0, 0
+    for j, n in enumerate(sizes.tolist()):
+        if n > chunk:
+            if held:
+                shard, held = shard + 1, 0
+            out.append((j, shard, -(-n // chunk)))
+            shard += -(-n // chunk)
+            continue
+        if held and held + n > chunk:
+            shard, held = shard + 1, 0
+        out.append((j, shard, 1))
+        held += n
+    return out
+
+
+def search(base: DataFrame, queries: Column, k: int = 5, probes: float = 0.85, doubt: float = 2.1, lists: int | None = None, chunk: int | None = None, block: int = 16_384) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found by cosine for each row of base (vec_id, embedding) that `queries` picks.
 
-    Candidates are all rows but the query's own. A query scans the share `probes` of the lists, nearest centroid
-    first (more where those hold too few rows). Lists are cut into chunks of about `chunk` rows by a hash of vec_id
-    and queries into blocks of about `block`, so no task holds more than one of each and a list with a third of all
-    rows is spread. Scores are exact, on the original vectors in double precision; equal scores rank by vec_id.
+    Candidates are all rows but the query's own. There are as many lists as the root of the rows (64 to 1024) unless
+    `lists` says so. A query scans the share `probes` of the lists (more where those hold too few rows). Lists lie side
+    by side in shards of about `chunk` rows (by default two for each slot of the cluster, 65,536 rows at most); a list that is larger is cut by a
+    hash of vec_id, so one with a third of all rows is spread. A query goes to a shard once, with up to `block` others: there its
+    nearest list is compared first, and its k-th distance so far is carried from list to list, so later ones are left
+    after the first column block. Scores are exact, on the original vectors in double precision; equal scores rank by vec_id.
     Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do those whose length
-    is not the most common one, nor null ids. Rows that repeat a vec_id count once, with their best score. An empty
+    is not the most common one of the table (of equals the longest), nor null ids. Rows that repeat a vec_id count once, with their best score. An empty
     table gives no rows.
     """
     spark = base.sparkSession
-    out = "query_id long, vec_id long, score double"
     rows = stored(vectors(base), "vectors")
-    index = fit(rows, lists)
-    if index is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    common = rows.groupBy(F.octet_length("x").alias("width")).count().orderBy(F.desc("count"), F.desc("width")).first()
+    if common is None:
+        return none
+    width, total = common["width"], common["count"]
+    index = fit(rows, width, lists or min(1024, max(64, int(total**0.5))))
     shared = spark.sparkContext.broadcast(index)
-    width = 8 * len(index.rotation)
 
     def place(batches):
         for b in batches:
-            b = b[b["x"].map(len) == width]
             if len(b):
                 z = shared.value.rotated(np.frombuffer(b"".join(b["x"]), dtype="<f8").reshape(len(b), -1))
                 yield pd.DataFrame({"list": (z @ shared.value.centroids.T).argmax(axis=1), "vec_id": b["vec_id"], "x": b["x"]})
 
-    placed = stored(rows.mapInPandas(place, "list int, vec_id long, x binary"), "lists")
+    placed = stored(rows.filter(F.octet_length("x") == width).mapInPandas(place, "list int, vec_id long, x binary"), "lists")
     for r in placed.groupBy("list").count().collect():  # one row per list
         index.sizes[r["list"]] = r["count"]
-    sized = spark.sparkContext.broadcast(index)
+    chunk = chunk or min(65_536, max(1024, -(-total // (2 * spark.sparkContext.defaultParallelism))))
+    cut = shards(index.sizes, chunk)
+    sized = spark.sparkContext.broadcast((index.centroids, index.sizes, cut))
     most = max(1, int(np.ceil(probes * len(index.centroids))))
 
     def probe(batches):
+        centroids, sizes, cut = sized.value
+        first, many = np.array([c[1] for c in cut]), np.array([c[2] for c in cut])
         for b in batches:
             if not len(b):
                 continue
-            z = sized.value.rotated(np.frombuffer(b"".join(b["x"]), dtype="<f8").reshape(len(b), -1))
-            order = np.argsort(-(z @ sized.value.centroids.T), axis=1, kind="stable")
-            held = np.cumsum(sized.value.sizes[order], axis=1)
+            z = shared.value.rotated(np.frombuffer(b"".join(b["x"]), dtype="<f8").reshape(len(b), -1))
+            order = np.argsort(-(z @ centroids.T), axis=1, kind="stable")
+            held = np.cumsum(sizes[order], axis=1)
             until = np.maximum(most, 1 + (held < 2 * k + 1).sum(axis=1).clip(max=order.shape[1] - 1))
-            yield pd.DataFrame({"query_id": b["vec_id"], "x": b["x"], "probed": [o[:n].astype(np.int32) for o, n in zip(order, until, strict=True)]})
-
-    asked = placed.filter(queries).select("vec_id", "x").dropDuplicates(["vec_id"]).mapInPandas(probe, "query_id long, x binary, probed array<int>")
-    asked = stored(asked.select("query_id", "x", F.explode("probed").alias("list")), "probes")
-    asks = {r["list"]: r["count"] for r in asked.groupBy("list").count().collect()}
-    cut = spark.createDataFrame([(j, int(-(-n // chunk)) or 1, -(-asks.get(j, 0) // block)) for j, n in enumerate(index.sizes.tolist())], "list int, chunks int, blocks int")
-    cut = F.broadcast(cut)  # one row per list
+            out = []
+            for query_id, x, o, n in zip(b["vec_id"], b["x"], order, until, strict=True):
+                by: dict[int, list[int]] = {}
+                for j in o[:n].tolist():
+                    for shard in range(first[j], first[j] + many[j]):
+                        by.setdefault(shard, []).append(j)
+                out += [(query_id, x, np.array(v, dtype=np.int32), shard) for shard, v in by.items()]
+            yield pd.DataFrame(out, columns=["query_id", "x", "probed", "shard"])
+
+    asked = placed.filter(queries).select("vec_id", "x").dropDuplicates(["vec_id"]).mapInPandas(probe, "query_id long, x binary, probed array<int>, shard int")
+    asked = stored(asked, "probes")
+    asks = asked.groupBy("shard").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))  # one row per shard
+    where = F.broadcast(spark.createDataFrame(cut, "list int, first int, many int"))  # one row per list
     left = (
-        placed.join(cut, "list")
-        .filter("blocks > 0")
-        .withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int"))
-        .select("list", "chunk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "vec_id", "x")
-    )
-    right = (
-        asked.join(cut, "list")
-        .withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int"))
-        .select("list", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "block", "query_id", "x")
+        placed.join(where, "list")
+        .withColumn("shard", F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("many")).cast("int"))
+        .join(asks, "shard")
+        .select("shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "list", "vec_id", "x")
     )
+    right = asked.join(asks, "shard").select("shard", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int").alias("block"), "query_id", "x", "probed")
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        a = a.sort_values("vec_id", kind="stable").drop_duplicates(["vec_id", "x"])  # smaller ids first, for ties
+        a = a.sort_values(["list", "vec_id"], kind="stable").drop_duplicates(["vec_id", "x"])
         x = np.frombuffer(b"".join(a["x"]), dtype="<f8").reshape(len(a), -1)
-        ids, norms = a["vec_id"].to_numpy(), np.sqrt((x * x).sum(axis=1))
-        z = np.ascontiguousarray(shared.value.rotated(x).T)
-        got = []
-        for query_id, raw in zip(b["query_id"], b["x"], strict=True):
-            q = np.frombuffer(raw, dtype="<f8")
-            at = scan(shared.value.rotated(q[None, :])[0], z, ids, query_id, k, doubt)
-            if len(at):
-                score = np.clip((x[at] * q).sum(axis=1) / (norms[at] * np.sqrt((q * q).sum())), -1, 1)
-                top = np.lexsort((ids[at], -score))[:k]
-                got.append((np.full(len(top), query_id), ids[at][top], score[top]))
-        if not got:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*got, strict=True)), strict=True)))
-
-    keys = ["list", "chunk", "block"]
-    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, out)
+        q = np.frombuffer(b"".join(b["x"]), dtype="<f8").reshape(len(b), -1)
+        ids, own = a["vec_id"].to_numpy(), b["query_id"].to_numpy()
+        z = shared.value.rotated(x)
+        scan = Scan(shared.value.rotated(q), own, k, doubt)
+        names, first = np.unique(a["list"].to_numpy(), return_index=True)
+        span = dict(zip(names.tolist(), zip(first, [*first[1:], len(a)], strict=True), strict=True))
+        askers: dict[int, tuple[list, list]] = {j: ([], []) for j in span}
+        for i, probed in enumerate(b["probed"]):
+            here = [j for j in probed.tolist() if j in span]
+            for turn, j in enumerate(here):
+                askers[j][min(turn, 1)].append(i)
+        for turn in range(2):  # nearest lists, then the others
+            for j, (start, end) in span.items():
+                if askers[j][turn]:
+                    scan.meet(np.array(askers[j][turn]), z[start:end], ids[start:end], start)
+        who, row = scan.survivors()
+        score = np.clip((x[row] * q[who]).sum(axis=1) / (np.sqrt((x * x).sum(axis=1))[row] * np.sqrt((q * q).sum(axis=1))[who]), -1, 1)
+        order = np.lexsort((ids[row], -score, who))
+        who, row, score = who[order], row[order], score[order]
+        start = np.flatnonzero(np.append(True, who[1:] != who[:-1])) if len(who) else np.zeros(0, dtype=np.int64)
+        top = np.arange(len(who)) - np.repeat(start, np.diff(np.append(start, len(who)))) < k
+        return pd.DataFrame({"query_id": own[who[top]], "vec_id": ids[row[top]], "score": score[top]})
+
+    keys = ["shard", "block"]
+    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score double")
     best = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
