@@ -5,7 +5,7 @@ import xxhash
 
 from partita.llm.graph import connected_components
 from partita.llm.hamming import buckets, owned
-from partita.llm.near_dedup import BKTree, fingerprint_links, keep_one_each, near_duplicates, shingle_hashes
+from partita.llm.near_dedup import BKTree, fingerprint_links, keep_one_each, near_duplicates, shingle_hashes, similar_groups
 
 
 def brute_fingerprint(text):
@@ -112,3 +112,45 @@ def test_components_match_union_find(spark):
     nodes = {x for e in real for x in e}
     assert got == brute_components(sorted(nodes), real)
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def jaccard_components(rows, words_each=5, least=0.8):
+    sets = {}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        sets[i] = frozenset(b" ".join(w[k : k + words_each]) for k in range(max(1, len(w) - words_each + 1)))
+    ids = sorted(sets)
+    links = []
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            x, y = sets[a], sets[b]
+            if x == y or (min(len(x), len(y)) >= least * max(len(x), len(y)) and len(x & y) >= least * len(x | y)):
+                links.append((a, b))
+    return brute_components(ids, links)
+
+
+def test_similar_groups_match_all_pairs(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rng = random.Random(6)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    for i, (_, t) in list(enumerate(rows))[:80]:
+        w = (t or "").split()
+        for _ in range(len(w) // rng.choice([25, 45, 60, 100])):
+            w[rng.randrange(len(w))] = "changed"
+        rows.append((10**6 + i, " ".join(w)))
+    rows += [(2 * 10**6, None), (2 * 10**6 + 1, ""), (2 * 10**6 + 2, "a"), (2 * 10**6 + 3, "A")]
+    got = {r["doc_id"]: r["component_id"] for r in similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == jaccard_components(rows)
+    assert len(set(got.values())) < len(got) - 30
+
+
+def test_a_crowd_of_near_copies_is_one_group(spark):
+    rng = random.Random(7)
+    base = [rng.choice("abcdefghij") * rng.randint(1, 5) for _ in range(120)]
+    rows = []
+    for i in range(500):
+        w = list(base)
+        w[rng.randrange(120)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    kept = keep_one_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r["doc_id"] for r in kept] == [0]

@@ -1,6 +1,7 @@
 import corpus_pipeline
-from partita.llm import language_id, line_dedup, mixing, near_dedup
+from partita.llm import language_id, line_dedup, mixing
 from partita.llm.queries import ORACLE_SQL, QUERIES
+from test_near_dedup import jaccard_components
 
 
 def test_every_stage_works_on_what_the_one_before_kept(spark, sf, tmp_path):
@@ -19,7 +20,7 @@ def test_every_stage_works_on_what_the_one_before_kept(spark, sf, tmp_path):
             assert {r["doc_id"]: r["text"] for r in got.collect()} == want
             assert all(r["n_chars"] == len(r["text"]) for r in got.collect())
         elif name == "near_duplicates":
-            want = {r["component_id"] for r in near_dedup.near_duplicates(docs).collect()}
+            want = set(jaccard_components([(r["doc_id"], r["text"]) for r in docs.collect()]).values())
             assert sorted(r["doc_id"] for r in got.collect()) == sorted(want)
         elif name == "mixture":
             want = {r["doc_id"]: r["copies"] for r in mixing.mix(docs).collect() if r["copies"]}
