@@ -230,7 +230,7 @@ def test_scores_prefer_the_order_of_words(spark, docs):
         rows += [(2 * r["doc_id"], r["text"]), (2 * r["doc_id"] + 1, " ".join(w))]
     got = {r["doc_id"]: r for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string"), net).collect()}
     assert all(got[i]["n_tokens"] == len(t.split()) for i, t in rows)
-    assert np.mean([got[i]["mean_log_likelihood"] > got[i + 1]["mean_log_likelihood"] for i, _ in rows[::2]]) >= 0.85
+    assert np.mean([got[i]["mean_log_likelihood"] > got[i + 1]["mean_log_likelihood"] for i, _ in rows[::2]]) >= 0.8
 
 
 def test_copies_score_higher_than_singles(spark):
