@@ -130,25 +130,81 @@ def chi2_goodness_of_fit_stat(df: DataFrame, group: str, category: str, observed
     return wide.agg(F.count("*").alias("categories"), F.sum((F.col("o") - F.col("e")) ** 2 / F.col("e")).alias("chi2"))
 
 
-def compare_partitions(df: DataFrame, partitions: Sequence[str], numeric: Sequence[str], discrete: Sequence[str] = ()) -> DataFrame:
-    """(partition, covariate, test, statistic, groups): rank statistics of all pairs in one job, contingency ones per pair.
-
-    Two groups and more are compared by H, from which the two-group z follows (z^2 without continuity correction).
-    """
+def _rank_tests(df: DataFrame, partitions: Sequence[str], numeric: Sequence[str]) -> DataFrame:
+    by = ["partition", "covariate"]
     cells = F.array(*[F.struct(F.lit(p).alias("partition"), F.col(p).cast("string").alias("label")) for p in partitions])
     values = F.array(*[F.struct(F.lit(c).alias("covariate"), F.col(c).cast("double").alias("value")) for c in numeric])
-    long = df.select(F.inline(cells), values.alias("_v")).select("partition", "label", F.inline("_v"))
-    ranks = kruskal_wallis_stat(long, "label", "value", ["partition", "covariate"])
-    out = ranks.select("partition", "covariate", F.when(F.col("groups") == 2, "mann_whitney").otherwise("kruskal_wallis").alias("test"), F.col("h").alias("statistic"), F.col("groups").cast("long"))
-    for p in partitions:
-        for c in discrete:
-            one = chi2_independence_stat(df, p, c)
-            out = out.unionByName(one.select(F.lit(p).alias("partition"), F.lit(c).alias("covariate"), F.lit("chi2").alias("test"), F.col("chi2").alias("statistic"), F.lit(None).cast("long").alias("groups")))
-    return out
-
-
-def with_p(results: DataFrame) -> pd.DataFrame:
-    """compare_partitions() rank results with p-values (a row per test)."""
+    long = df.select(F.inline(cells), values.alias("_v")).select("partition", "label", F.inline("_v")).filter("label is not null and value is not null")
+    moments = long.groupBy(*by, "label").agg(F.avg("value").alias("mean"), (F.var_pop("value") * F.count("*")).alias("ss"))
+    test = Window.partitionBy(*by)  # a row per group from here on
+    parts = rank_sums(long, "label", "value", by).join(moments, [*by, "label"])
+    parts = parts.withColumns({"groups": F.count("*").over(test), "mse": F.sum("ss").over(test) / F.nullif(F.max("total").over(test) - F.count("*").over(test), F.lit(0))})
+    n = F.max("total").cast("double")
+    h = 12 / (n * (n + 1)) * F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("n")) - 3 * (n + 1)
+    h = h / F.nullif(1 - F.max("tie_term") / F.nullif(n * n * n - n, F.lit(0.0)), F.lit(0.0))
+    none = F.lit(None)
+    kruskal = parts.filter("groups > 2").groupBy(*by, "groups").agg(h.alias("statistic"))
+    kruskal = kruskal.select(*by, F.lit("kruskal_wallis").alias("test"), none.cast("string").alias("a"), none.cast("string").alias("b"), "statistic", none.cast("double").alias("z"), "groups", (F.col("groups") - 1).alias("dof"))
+    x, y = parts.alias("x"), parts.alias("y")
+    pairs = x.join(y, (F.col("x.partition") == F.col("y.partition")) & (F.col("x.covariate") == F.col("y.covariate")) & (F.col("x.label") < F.col("y.label")))
+    n1, n2, total = F.col("x.n"), F.col("y.n"), F.col("x.total")
+    u = F.col("x.rank_sum") - n1 * (n1 + 1) / 2
+    spread = n1 * n2 / 12 * ((total + 1) - F.col("x.tie_term") / F.nullif(total * (total - 1), F.lit(0)))
+    z = F.greatest(F.abs(u - n1 * n2 / 2) - 0.5, F.lit(0.0)) / F.nullif(F.sqrt(spread), F.lit(0.0))
+    q = F.abs(F.col("y.mean") - F.col("x.mean")) / F.nullif(F.sqrt(F.col("x.mse") / 2 * (1 / n1 + 1 / n2)), F.lit(0.0))
+    two = F.col("x.groups") == 2
+    pairs = pairs.select(
+        "x.partition", "x.covariate", F.when(two, "mann_whitney").otherwise("tukey").alias("test"), F.col("x.label").alias("a"), F.col("y.label").alias("b"),
+        F.when(two, u).otherwise(q).alias("statistic"), F.when(two, z).alias("z"), "x.groups", F.when(two, 1).otherwise(total - F.col("x.groups")).alias("dof"),
+    )
+    return kruskal.unionByName(pairs)
+
+
+def _category_tests(df: DataFrame, partitions: Sequence[str], discrete: Sequence[str]) -> DataFrame:
+    by = ["partition", "covariate"]
+    cells = F.array(*[F.struct(F.lit(p).alias("partition"), F.col(p).cast("string").alias("label")) for p in partitions])
+    values = F.array(*[F.struct(F.lit(c).alias("covariate"), F.col(c).cast("string").alias("category")) for c in discrete])
+    long = df.select(F.inline(cells), values.alias("_v")).select("partition", "label", F.inline("_v")).filter("label is not null and category is not null")
+    counts = long.groupBy(*by, "label", "category").agg(F.count("*").alias("n"))
+    rows = counts.groupBy(*by, "label").agg(F.sum("n").alias("row"))
+    columns = counts.groupBy(*by, "category").agg(F.sum("n").alias("column"))
+    grid = rows.join(columns, by).join(counts, [*by, "label", "category"], "left")  # labels by categories of each test
+    test = Window.partitionBy(*by)
+    shape = {"labels": F.size(F.collect_set("label").over(test)), "categories": F.size(F.collect_set("category").over(test)), "total": F.sum(F.coalesce("n", F.lit(0))).over(test)}
+    dof = (F.col("labels") - 1) * (F.col("categories") - 1)
+    expected = F.col("row") * F.col("column") / F.col("total")
+    gap = F.abs(F.coalesce("n", F.lit(0)) - expected)
+    shrunk = gap - F.when(dof == 1, F.least(F.lit(0.5), gap)).otherwise(0.0)
+    out = grid.withColumns(shape).withColumns({"dof": dof, "term": shrunk * shrunk / expected}).groupBy(*by).agg(F.sum("term").alias("statistic"), F.max("labels").alias("groups"), F.max("dof").alias("dof"))
+    none = F.lit(None)
+    return out.select(*by, F.lit("chi2").alias("test"), none.cast("string").alias("a"), none.cast("string").alias("b"), "statistic", none.cast("double").alias("z"), F.col("groups").cast("long"), F.col("dof").cast("long"))
+
+
+def compare_partitions(df: DataFrame, partitions: Sequence[str], numeric: Sequence[str] = (), discrete: Sequence[str] = ()) -> DataFrame:
+    """(partition, covariate, test, a, b, statistic, z, groups, dof): every partition against every covariate.
+
+    Numeric covariates: for two groups mann_whitney (U of group a, and its z with continuity and tie correction), for more
+    kruskal_wallis (H) and tukey (q of each pair of groups). Discrete ones: chi2 (with Yates' correction at one degree of
+    freedom). All ranks come from one counting shuffle, all contingency tables from another, whatever the number of
+    tests; rows without a label or a value are left out. A statistic without spread is null.
+    """
+    parts = ([_rank_tests(df, partitions, numeric)] if numeric else []) + ([_category_tests(df, partitions, discrete)] if discrete else [])
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def with_p(results: DataFrame, alpha: float = 0.01) -> pd.DataFrame:
+    """compare_partitions() results (a row per test) with p-values, and whether each rejects at `alpha`."""
     out = results.toPandas()
-    tail = lambda r: special.chi2_tail(r["statistic"], r["groups"] - 1) if r["groups"] == r["groups"] else None
-    return out.assign(p=out.apply(tail, axis=1))
+
+    def tail(r) -> float | None:
+        x = r["z"] if r["test"] == "mann_whitney" else r["statistic"]
+        if x is None or x != x:
+            return None
+        if r["test"] == "mann_whitney":
+            return special.normal_two_sided(x)
+        if r["test"] == "tukey":
+            return special.studentised_range_tail(x, int(r["groups"]), float(r["dof"]))
+        return special.chi2_tail(x, int(r["dof"])) if r["dof"] else None
+
+    p = [tail(r) for r in out.to_dict("records")]
+    return out.assign(p=p, reject=[x is not None and x < alpha for x in p])

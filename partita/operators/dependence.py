@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partita.functions.special import digamma
+from partita.operators.ranks import running_total
+from partita.sources.scratch import stored
 
 
 def distance(a: Column, b: Column, metric: str = "euclidean") -> Column:
@@ -31,14 +33,23 @@ def joint_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(F.inline(pairs)).filter("x is not null and y is not null").groupBy("a", "b", "x", "y").agg(F.count("*").alias("n"))
 
 
+def entropies(counts: DataFrame, sets: dict[str, Sequence[str]], n: str = "n", by: Sequence[str] = ()) -> DataFrame:
+    """(by, a column per entry of sets): the entropy, in nats, of each set of columns from joint counts or weights.
+
+    ln N - sum n ln n / N needs sums alone: no column is ranked or gathered, however many values it has.
+    """
+    out, keys = None, list(by) or ["_one"]
+    cells = counts.filter(F.col(n) > 0)
+    for name, columns in sets.items():
+        sums = cells.groupBy(*by, *columns).agg(F.sum(n).cast("double").alias("_s")).groupBy(*by).agg(F.sum("_s").alias("_t"), F.sum(F.col("_s") * F.ln("_s")).alias("_q"))
+        one = sums.withColumns({} if by else {"_one": F.lit(1)}).select(*keys, (F.ln("_t") - F.col("_q") / F.col("_t")).alias(name))
+        out = one if out is None else out.join(one, keys)
+    return out.drop("_one")
+
+
 def entropy_family(counts: DataFrame, x: str = "x", y: str = "y", n: str = "n", by: Sequence[str] = ()) -> DataFrame:
     """From joint counts or weights, in nats: h_x, h_y, h_xy, h_x_given_y, mi, nmi = mi / sqrt(h_x h_y), nmi_x = mi / h_x."""
-    total = F.sum(n).over(Window.partitionBy(*by))
-    cells = counts.filter(F.col(n) > 0).withColumns(
-        {"p": F.col(n) / total, "px": F.sum(n).over(Window.partitionBy(*by, x)) / total, "py": F.sum(n).over(Window.partitionBy(*by, y)) / total}
-    )
-    minus = lambda p: -F.sum(F.col("p") * F.ln(p))
-    h = cells.groupBy(*by).agg(minus("px").alias("h_x"), minus("py").alias("h_y"), minus("p").alias("h_xy"))
+    h = entropies(counts, {"h_x": [x], "h_y": [y], "h_xy": [x, y]}, n, by)
     mi = F.col("h_x") + F.col("h_y") - F.col("h_xy")
     return h.withColumns(
         {
@@ -51,17 +62,20 @@ def entropy_family(counts: DataFrame, x: str = "x", y: str = "y", n: str = "n",
 
 
 def conditional_mutual_info(df: DataFrame, x: str, y: str, z: str) -> DataFrame:
-    """cmi = sum p(x,y,z) ln( p(x,y,z) p(z) / (p(x,z) p(y,z)) )."""
+    """cmi = h(x, z) + h(y, z) - h(x, y, z) - h(z)."""
     cells = df.dropna(subset=[x, y, z]).groupBy(x, y, z).agg(F.count("*").alias("n"))
-    over = lambda *c: F.sum("n").over(Window.partitionBy(*c))
-    cells = cells.withColumns({"t": over(), "nz": over(z), "nxz": over(x, z), "nyz": over(y, z)})
-    return cells.agg(F.sum(F.col("n") / F.col("t") * F.ln(F.col("n") * F.col("nz") / (F.col("nxz") * F.col("nyz")))).alias("cmi"))
+    h = entropies(cells, {"xz": [x, z], "yz": [y, z], "xyz": [x, y, z], "z": [z]})
+    return h.select((F.col("xz") + F.col("yz") - F.col("xyz") - F.col("z")).alias("cmi"))
 
 
 def kl_divergence(p: DataFrame, q: DataFrame, state: str, weight: str) -> DataFrame:
     """kl of two weighted state tables; states without weight in p are skipped, those that q lacks make it infinite."""
-    share = F.col(weight) / F.sum(weight).over(Window.partitionBy())
-    a, b = p.select(state, share.alias("_p")).filter("_p > 0"), q.select(state, share.alias("_q"))
+
+    def shares(df: DataFrame, name: str) -> DataFrame:
+        total = F.broadcast(df.agg(F.sum(weight).alias("_t")).withColumn("_one", F.lit(1)))  # a single row
+        return df.withColumn("_one", F.lit(1)).join(total, "_one").select(state, (F.col(weight) / F.col("_t")).alias(name))
+
+    a, b = shares(p, "_p").filter("_p > 0"), shares(q, "_q")
     ratio = F.when(F.coalesce("_q", F.lit(0.0)) > 0, F.ln(F.col("_p") / F.col("_q"))).otherwise(float("inf"))
     return a.join(b, state, "left").agg(F.sum(F.col("_p") * ratio).alias("kl"))
 
@@ -115,9 +129,9 @@ def knn_join(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int,
     nq, nb = max(1, -(-queries.count() // block)), max(1, -(-base.count() // block))
     deal = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     vec = F.col(vector).cast("array<double>").alias("v")
-    q = queries.select(deal(nq).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("j"), F.col(key).cast("long").alias("key"), vec)
-    b = base.select(F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("i"), deal(nb).alias("j"), F.col(key).cast("long").alias("key"), vec)
-    apart = _METRICS[metric]
+    q = queries.select(deal(nq).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("j"), F.col(key).alias("key"), vec)
+    b = base.select(F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("i"), deal(nb).alias("j"), F.col(key).alias("key"), vec)
+    apart, kind = _METRICS[metric], base.schema[key].dataType.simpleString()
 
     def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
@@ -134,7 +148,7 @@ def knn_join(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int,
         out = pd.DataFrame(dict(zip(("key_q", "key", "distance"), map(np.concatenate, zip(*got, strict=True)), strict=True)))
         return out[np.isfinite(out["distance"])]
 
-    met = q.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(meet, "key_q long, key long, distance double")
+    met = q.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(meet, f"key_q {kind}, key {kind}, distance double")
     rank = F.row_number().over(Window.partitionBy("key_q").orderBy("distance", "key"))
     return met.withColumn("rank", rank).filter(F.col("rank") <= k)
 
@@ -157,64 +171,77 @@ def radius_join(queries: DataFrame, base: DataFrame, key: str, columns: Sequence
     return joined.select("key_q", "key", distance(F.col("vq"), F.col("v"), metric).alias("distance")).filter(F.col("distance") <= radius)
 
 
-def _counts_within(axis: np.ndarray, x: np.ndarray, eps: np.ndarray) -> np.ndarray:
-    """How many values of a sorted axis lie strictly within eps of x, the value itself left out."""
-    n = np.searchsorted(axis, x + eps, "left") - np.searchsorted(axis, x - eps, "right")
-    return np.maximum(n - 1, 0)
+def counts_within(points: DataFrame, axis: DataFrame) -> DataFrame:
+    """points (id, x, eps) with m: how many values of axis (x, n) lie strictly within eps of x, the point itself left out; 0 at least.
 
+    The points' two bounds are sorted among the values by range partitions, and what lies before each comes from
+    running totals: no task and not the driver holds an axis. At a tie the upper bound comes before the values, the lower one after.
+    """
+    nothing = F.lit(0).cast("long").alias("n")
+    bounds = [points.select((F.col("x") + F.lit(s) * F.col("eps")).alias("v"), F.lit(kind).alias("kind"), nothing, "id") for s, kind in ((1, 0), (-1, 2))]
+    values = axis.select(F.col("x").alias("v"), F.lit(1).alias("kind"), F.col("n").cast("long").alias("n"), F.lit(None).cast(points.schema["id"].dataType).alias("id"))
+    placed = running_total(values.unionByName(bounds[0]).unionByName(bounds[1]), ["v", "kind"], "n").filter("kind <> 1")
+    m = F.sum(F.when(F.col("kind") == 0, F.col("before")).otherwise(-F.col("before"))) - 1
+    return placed.groupBy("id").agg(F.greatest(m, F.lit(0)).alias("m"))
 
-def mutual_info_continuous(df: DataFrame, key: str, x: str, y: str, k: int = 3) -> float:
-    """Nearest-neighbour estimate of mutual information in nats, not below 0: Chebyshev k-th neighbours, then strict counts on each axis.
 
-    The axes (two sorted arrays of doubles) are the only things every task holds: 16 bytes a row; up to 50 million rows.
-    """
-    rows = df.select(F.col(key).cast("long").alias("key"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
-    n = rows.count()
-    if n <= k or n > 50_000_000:
-        raise ValueError(f"{n} rows: more than k and at most 50 million are needed")
-    near = knn_join(rows.withColumn("v", F.array("x", "y")), rows.withColumn("v", F.array("x", "y")), "key", "v", k, "chebyshev").filter(F.col("rank") == k)
-    axes = [np.sort(rows.select(c).toPandas()[c].to_numpy()) for c in ("x", "y")]
-    shared = df.sparkSession.sparkContext.broadcast(axes)
+def _with_psi(df: DataFrame, column: str, name: str) -> DataFrame:
+    """df with the digamma of a column of whole numbers."""
+
+    @F.pandas_udf("double")
+    def psi(m: pd.Series) -> pd.Series:
+        return pd.Series(digamma(m.to_numpy(float)))
 
-    def psi(batches):
-        for b in batches:
-            eps = b["distance"].to_numpy()
-            s = sum(digamma(_counts_within(a, b[c].to_numpy(), eps) + 1) for a, c in zip(shared.value, ("x", "y"), strict=True))
-            yield pd.DataFrame({"s": s})
+    return df.withColumn(name, psi(F.col(column)))
 
-    mean = near.select(F.col("key_q").alias("key"), "distance").join(rows, "key").mapInPandas(psi, "s double").agg(F.avg("s")).first()[0]
-    return max(0.0, float(digamma(float(n)) + digamma(float(k)) - mean))
+
+def mutual_info_continuous(df: DataFrame, key: str, x: str, y: str, k: int = 3) -> float:
+    """Nearest-neighbour estimate of mutual information in nats, not below 0: Chebyshev k-th neighbours, then strict counts on each axis. Keys are unique."""
+    rows = df.select(F.col(key).alias("key"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
+    n = rows.count()
+    if n <= k:
+        raise ValueError(f"{n} rows: more than k are needed")
+    vectors = rows.withColumn("v", F.array("x", "y"))
+    near = knn_join(vectors, vectors, "key", "v", k, "chebyshev").filter(F.col("rank") == k).select(F.col("key_q").alias("key"), F.col("distance").alias("eps"))
+    points = stored(rows.join(near, "key"), "mi-points")
+    total = 0.0
+    for c in ("x", "y"):
+        axis = rows.groupBy(F.col(c).alias("x")).agg(F.count("*").alias("n"))
+        counts = counts_within(points.select(F.col("key").alias("id"), F.col(c).alias("x"), "eps"), axis).groupBy((F.col("m") + 1).alias("m")).agg(F.count("*").alias("n"))
+        total += _with_psi(counts, "m", "psi").agg(F.sum(F.col("psi") * F.col("n"))).first()[0] / n
+    return max(0.0, float(digamma(float(n)) + digamma(float(k)) - total))
 
 
 def mutual_info_mixed(df: DataFrame, state: str, x: str, k: int = 3) -> DataFrame:
     """mi of a discrete and a continuous column: k-th neighbour within the state, counts on the whole axis.
 
-    In one dimension the k-th neighbour is within k places of the sorted distinct values of a state, so windows of
-    counted values find it; states with k distinct values or fewer add nothing but still count in the divisor.
+    In one dimension the k-th neighbour is within k places of the sorted distinct values of a state: each value goes to
+    the k places on either side, by place numbers from range partitions, so a state with most rows is spread too. States with
+    k distinct values or fewer add nothing but still count in the divisor.
     """
     rows = df.select(F.col(state).cast("string").alias("g"), F.col(x).cast("double").alias("x")).dropna()
     values = rows.groupBy("g", "x").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("g").orderBy("x")
-    around = F.array(*[F.lag("x", i).over(w) for i in range(1, k + 1)], *[F.lead("x", i).over(w) for i in range(1, k + 1)])
-    gaps = F.array_sort(F.transform(F.filter(around, lambda v: v.isNotNull()), lambda v: F.abs(v - F.col("x"))))
-    each = values.withColumns({"eps": F.get(gaps, F.lit(k - 1)), "distinct": F.count("*").over(Window.partitionBy("g"))})
-    # strict counts on the whole axis: a range frame would need one task, so the sorted distinct axis is searched
-    if values.count() > 50_000_000:
-        raise ValueError("over 50 million distinct values: the axis does not fit a task")
-    axis = rows.groupBy("x").count().orderBy("x").toPandas()
-    points, sums = axis["x"].to_numpy(), np.concatenate(([0], axis["count"].cumsum().to_numpy()))
-    shared, total = df.sparkSession.sparkContext.broadcast((points, sums)), int(sums[-1])
-
-    def part(batches):
-        a, c = shared.value
-        for b in batches:
-            b = b[b["eps"].notna()]
-            v, e = b["x"].to_numpy(), b["eps"].to_numpy()
-            m = np.maximum(c[np.searchsorted(a, v + e, "left")] - c[np.searchsorted(a, v - e, "right")] - 1, 0)
-            yield pd.DataFrame({"s": b["n"] * (digamma(float(k)) - digamma(b["distinct"].to_numpy(float)) - digamma(m + 1.0)), "n": b["n"]})
-
-    sums_ = each.filter(F.col("distinct") > k).select("x", "n", "eps", "distinct").mapInPandas(part, "s double, n long").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-    return sums_.select(F.greatest(F.lit(0.0), (F.col("s") + F.col("n") * F.lit(float(digamma(float(total))))) / total).alias("mi"))
+    placed = stored(running_total(values, ["x"], by=["g"]).withColumnRenamed("before", "place"), "mi-places")
+    sent = placed.select("g", F.explode(F.sequence(F.lit(-k), F.lit(k))).alias("_o"), "place", "x").filter("_o <> 0").select("g", (F.col("place") + F.col("_o")).alias("place"), F.col("x").alias("_x"))
+    gaps = F.array_sort(F.collect_list(F.abs(F.col("_x") - F.col("x"))))  # 2 k at most
+    near = placed.join(sent, ["g", "place"]).groupBy("g", "place", "x", "n").agg(F.get(gaps, F.lit(k - 1)).alias("eps"))
+    distinct = placed.groupBy("g").agg(F.count("*").alias("distinct"))
+    points = stored(near.join(distinct, "g").filter(F.col("distinct") > k).withColumn("id", F.struct("g", "place")), "mi-points")
+    axis = rows.groupBy("x").agg(F.count("*").alias("n"))
+    counts = counts_within(points.select("id", "x", "eps"), axis)
+    each = points.join(counts, "id").groupBy("distinct", (F.col("m") + 1).alias("m")).agg(F.sum("n").alias("n"))
+    each = _with_psi(_with_psi(each, "distinct", "psi_d"), "m", "psi_m")
+    total = axis.agg(F.sum("n")).first()[0] or 0
+    s, at_k, at_n = F.sum(F.col("n") * (F.col("psi_d") + F.col("psi_m"))), float(digamma(float(k))), float(digamma(float(max(total, 1))))
+    some = F.coalesce(F.sum("n"), F.lit(0))
+    return each.agg(F.greatest(F.lit(0.0), (some * F.lit(at_k + at_n) - F.coalesce(s, F.lit(0.0))) / F.lit(float(max(total, 1)))).alias("mi"))
+
+
+def mutual_info_by_type(df: DataFrame, key: str, discrete: Sequence[str] = (), numeric: Sequence[str] = (), k: int = 3) -> list[tuple[str, str, float]]:
+    """(a, b, mi) of all pairs of columns by their types: counts for two discrete ones, neighbour estimates for two numeric ones or a mixed pair."""
+    out = [(r["a"], r["b"], r["mi"]) for r in mutual_info_matrix(df, discrete).collect()] if len(discrete) > 1 else []
+    out += [(a, b, mutual_info_mixed(df, a, b, k).first()["mi"]) for a in discrete for b in numeric]
+    return out + [(a, b, mutual_info_continuous(df, key, a, b, k)) for a, b in itertools.combinations(numeric, 2)]
 
 
 def robinson_foulds(trees: DataFrame) -> DataFrame:

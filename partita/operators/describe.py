@@ -70,11 +70,11 @@ def boxplot_stats(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def contingency_table(df: DataFrame, group: str, category: str) -> DataFrame:
-    """(group, category, n) for every pair of occurring values, zeros filled, aligned by value.
+    """(group, category, n) for every pair of occurring values, zeros filled, aligned by value. Rows with a null in either are left out.
 
     The pairs come from the two small sets of values, each row carrying the array of all categories.
     """
-    counts = df.groupBy(group, category).agg(F.count("*").alias("n"))
+    counts = df.filter(F.col(group).isNotNull() & F.col(category).isNotNull()).groupBy(group, category).agg(F.count("*").alias("n"))
     every = counts.groupBy().agg(F.collect_set(category).alias("_all"))
     have = counts.groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct(category, "n"))).alias("_n"))
     both = have.withColumn("_one", F.lit(1)).join(F.broadcast(every.withColumn("_one", F.lit(1))), "_one")  # a single row

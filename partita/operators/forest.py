@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from partita.functions.special import digamma, lgamma
 from partita.operators.parameters import _columns, class_prior
+from partita.operators.scoring import ForestModel
 
 #: The parent of attributes without a latent: one state.
 ALONE = ""
@@ -59,6 +60,14 @@ class Forest:
     elbo: float = -math.inf
     trace: list[float] = field(default_factory=list)
 
+    def expected(self, domains: Mapping[str, Sequence[str]] | None = None) -> ForestModel:
+        """The network at the posterior means; domains name the values of the discrete attributes. It can be saved, and scores rows exactly."""
+        s, domains = self.structure, domains or {}
+        latents = {z: (a / a.sum(axis=1, keepdims=True)).tolist() for z, a in self.latents.items()}
+        g = {c: list(zip(m.tolist(), (b / a).tolist(), strict=True)) for c, (m, _, a, b) in self.gaussian.items()}
+        d = {c: [dict(zip(domains[c], row, strict=True)) for row in (t / t.sum(axis=1, keepdims=True)).tolist()] for c, t in self.discrete.items()}
+        return ForestModel(dict(s.cards), dict(s.up), dict(s.of), latents, g, d)
+
 
 def forest_prior(base, structure: Structure) -> Forest:
     """Priors: those of `base` (class_prior with one state) for attributes, 1 per state for latents."""

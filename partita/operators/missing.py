@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from partita.functions.draws import uniform
+
 from partita.operators.describe import unpivot
 from partita.operators.ranks import smallest
 
@@ -68,18 +70,18 @@ def impute_expected(df: DataFrame, numeric: Sequence[str] = (), discrete: Sequen
 
 def impute_marginal(df: DataFrame, key: str, numeric: Sequence[str] = (), discrete: Sequence[str] = (), seed: int = 0) -> DataFrame:
     """Nulls become draws: from the column's normal, or from its states with add-one weights. Seeded by row key; two jobs."""
-    uniform = lambda c, s: (F.pmod(F.xxhash64(F.col(key), F.lit(c), F.lit(seed + s)), F.lit(1 << 40)).cast("double") + 0.5) / (1 << 40)
+    draw_of = lambda c, s: uniform(F.col(key), F.lit(c), F.lit(seed + s))
     out = {}
     moments = df.agg(*[f(c).alias(f"{n}_{c}") for c in numeric for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first() if numeric else {}
     for c in numeric:
         if moments[f"m_{c}"] is not None:
-            draw = F.sqrt(-2 * F.log(uniform(c, 0))) * F.cos(2 * F.pi() * uniform(c, 1))
+            draw = F.sqrt(-2 * F.log(draw_of(c, 0))) * F.cos(2 * F.pi() * draw_of(c, 1))
             out[c] = F.coalesce(F.col(c).cast("double"), F.lit(moments[f"m_{c}"]) + F.lit(moments[f"s_{c}"] or 0.0) * draw)
     for c, counts in state_counts(df, discrete).items():
         kind, total, reached, pick = df.schema[c].dataType, sum(n + 1 for _, n in counts), 0, None
         for state, n in counts[:-1]:
             reached += n + 1
-            test, value = uniform(c, 0) < reached / total, F.lit(state).cast(kind)
+            test, value = draw_of(c, 0) < reached / total, F.lit(state).cast(kind)
             pick = F.when(test, value) if pick is None else pick.when(test, value)
         if counts:
             last = F.lit(counts[-1][0]).cast(kind)

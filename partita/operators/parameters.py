@@ -346,6 +346,7 @@ def fit_mixture(features: DataFrame, states: int, numeric: Sequence[str], full:
     rng = np.random.default_rng(seed)
     live = [(np.full(states, 1 / states), rng.standard_normal((states, d)) * np.sqrt(var), np.stack([np.diag(var)] * states)) for _ in range(candidates)]
     best, past = None, np.full(candidates, -np.inf)
+    diagonal = joint.sum() == d  # independent attributes: variances alone, no matrices
     rows = rows.persist()  # every step reads it
     for _ in range(steps):
         shared = rows.sparkSession.sparkContext.broadcast(live)
@@ -354,10 +355,14 @@ def fit_mixture(features: DataFrame, states: int, numeric: Sequence[str], full:
             total: list[np.ndarray] = []
             for b in batches:
                 x = b.to_numpy(float) - centre
-                parts = []
+                parts, squares = [], x * x if diagonal else None
                 for w, mu, cov in shared.value:
                     logs = np.empty((len(x), states))
-                    for s in range(states):
+                    if diagonal:
+                        v = np.stack([np.diag(c) for c in cov])
+                        level = np.log(np.maximum(w, 1e-300)) - 0.5 * (np.log(2 * math.pi * v) + mu * mu / v).sum(axis=1)
+                        logs = x @ (mu / v).T - 0.5 * (squares @ (1 / v).T) + level
+                    for s in range(0 if diagonal else states):
                         chol = np.linalg.cholesky(cov[s])
                         y = np.linalg.solve(chol, (x - mu[s]).T)
                         logs[:, s] = math.log(max(w[s], 1e-300)) - 0.5 * (y * y).sum(axis=0) - np.log(np.diag(chol)).sum() - d / 2 * math.log(2 * math.pi)
@@ -365,7 +370,7 @@ def fit_mixture(features: DataFrame, states: int, numeric: Sequence[str], full:
                     e = np.exp(logs - top)
                     t = e.sum(axis=1, keepdims=True)
                     r = e / t
-                    parts.append(np.concatenate([[(top + np.log(t)).sum()], r.sum(axis=0), (r.T @ x).ravel(), np.einsum("ns,ni,nj->sij", r, x, x).ravel()]))
+                    parts.append(np.concatenate([[(top + np.log(t)).sum()], r.sum(axis=0), (r.T @ x).ravel(), (r.T @ squares if diagonal else np.stack([(x * r[:, s : s + 1]).T @ x for s in range(states)])).ravel()]))
                 total = parts if not total else [p + q for p, q in zip(total, parts, strict=True)]
             for k, v in enumerate(total):
                 yield pd.DataFrame({"candidate": k, "i": np.arange(len(v)), "v": v})
@@ -376,7 +381,9 @@ def fit_mixture(features: DataFrame, states: int, numeric: Sequence[str], full:
             v = got[got["candidate"] == k].sort_values("i")["v"].to_numpy()
             r = np.maximum(v[1 : 1 + states], 1e-9)
             mu = v[1 + states : 1 + states + states * d].reshape(states, d) / r[:, None]
-            cov = v[1 + states + states * d :].reshape(states, d, d) / r[:, None, None] - np.einsum("si,sj->sij", mu, mu)
+            second = v[1 + states + states * d :]
+            second = np.stack([np.diag(q) for q in second.reshape(states, d)]) if diagonal else second.reshape(states, d, d)
+            cov = second / r[:, None, None] - np.einsum("si,sj->sij", mu, mu)
             for s in range(states):
                 kept = np.where(joint, (cov[s] + cov[s].T) / 2, 0.0)
                 if joint.sum() > d:  # in units of the table's deviations, so that one limit fits all attributes

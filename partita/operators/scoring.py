@@ -11,11 +11,11 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from partita.functions.draws import uniform
+
 
 @dataclass
 class MixtureModel:
@@ -38,21 +38,28 @@ class MixtureModel:
         return (k - less) + 2 * k * len(self.gaussian) + sum(sum(len(s) - less for s in v) for v in self.discrete.values())
 
 
+def gaussian_log(column: str, mean: float, variance: float) -> Column:
+    """ln of the normal density of a cell; 0 where it is missing."""
+    gap = F.col(column).cast("double") - float(mean)
+    return F.coalesce(F.lit(-0.5 * math.log(2 * math.pi * variance)) - gap * gap / (2 * float(variance)), F.lit(0.0))
+
+
+def discrete_log(column: str, table: Mapping[str, float]) -> Column:
+    """ln of the probability of a cell's value; 0 where it is missing."""
+    value, expr = F.col(column).cast("string"), None
+    for state, p in table.items():
+        hit = F.lit(math.log(p) if p > 0 else -1e300)
+        expr = F.when(value == state, hit) if expr is None else expr.when(value == state, hit)
+    return F.when(value.isNull(), 0.0).otherwise(F.coalesce(expr, F.lit(-1e300)))
+
+
 def log_joint(model: MixtureModel) -> Column:
     """Array over states of ln p(state, observed cells); missing cells are left out."""
     out = []
     for s, w in enumerate(model.weights):
         terms = [F.lit(math.log(w) if w > 0 else -1e300)]
-        for c, params in model.gaussian.items():
-            m, v = params[s]
-            gap = F.col(c).cast("double") - m
-            terms.append(F.coalesce(F.lit(-0.5 * math.log(2 * math.pi * v)) - gap * gap / (2 * v), F.lit(0.0)))
-        for c, params in model.discrete.items():
-            value, expr = F.col(c).cast("string"), None
-            for state, p in params[s].items():
-                hit = F.lit(math.log(p) if p > 0 else -1e300)
-                expr = F.when(value == state, hit) if expr is None else expr.when(value == state, hit)
-            terms.append(F.when(value.isNull(), 0.0).otherwise(F.coalesce(expr, F.lit(-1e300))))
+        terms += [gaussian_log(c, *params[s]) for c, params in model.gaussian.items()]
+        terms += [discrete_log(c, params[s]) for c, params in model.discrete.items()]
         out.append(sum(terms[1:], terms[0]))
     return F.array(*out)
 
@@ -143,7 +150,7 @@ def most_probable_state(df: DataFrame, tables: Mapping[str, Mapping[tuple, Mappi
 
 def forward_sample(spark, n: int, model: MixtureModel, seed: int = 0, keep_latent: bool = True, hide: float = 0.0) -> DataFrame:
     """n rows drawn from the model: row_id, the latent, then its children; cells are lost with probability `hide`."""
-    u = lambda name: (F.pmod(F.xxhash64("row_id", F.lit(name), F.lit(seed)), F.lit(1 << 50)).cast("double") + 0.5) / float(1 << 50)
+    u = lambda name: uniform(F.col("row_id"), F.lit(name), F.lit(seed))
 
     def pick(name: str, options: Sequence[tuple], draw: Column) -> Column:
         reached, expr = 0.0, None
@@ -173,22 +180,103 @@ def forward_sample(spark, n: int, model: MixtureModel, seed: int = 0, keep_laten
 
 
 def likelihood_weighting(df: DataFrame, model: MixtureModel, key: str, samples: int = 1000, seed: int = 0) -> DataFrame:
-    """(key, log_evidence, probs): estimates from `samples` draws of the latent per row, weighted by the row's density."""
-    logs = df.select(F.col(key).cast("long").alias("key"), log_joint(model).alias("l"))
-    weights = np.asarray(model.weights, dtype=float)
-
-    def run(batches):
-        for b in batches:
-            keys, evidence, probs = [], [], []
-            for k, l in zip(b["key"], b["l"], strict=True):
-                rng = np.random.default_rng([seed, int(k) & 0x7FFFFFFF])
-                z = rng.choice(len(weights), size=samples, p=weights / weights.sum())
-                w = np.asarray(l)[z] - np.log(weights)[z]  # density of the evidence given the drawn state
-                top = w.max()
-                e = np.exp(w - top)
-                keys.append(k)
-                evidence.append(top + math.log(e.mean()))
-                probs.append((np.bincount(z, e, len(weights)) / e.sum()).tolist())
-            yield pd.DataFrame({"key": keys, "log_evidence": evidence, "probs": probs})
-
-    return logs.mapInPandas(run, "key long, log_evidence double, probs array<double>").withColumnRenamed("key", key)
+    """(key, log_evidence, probs): estimates from `samples` draws of the latent per row, weighted by the row's density.
+
+    Draws follow from the key (null is a key like any other), their number and the seed. Weights depend on the state alone, so a
+    row needs how often each state was drawn.
+    """
+    edges = [0.0, *itertools.accumulate(model.weights[:-1]), 2.0]
+    draws = F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda i: uniform(F.col(key), i, F.lit(seed)))
+    given = F.zip_with(log_joint(model), F.array(*[F.lit(math.log(w) if w > 0 else 0.0) for w in model.weights]), lambda a, w: a - w)
+    rows = df.select(key, given.alias("_d"), draws.alias("_u"))
+    drawn = lambda low, high: F.size(F.filter("_u", lambda u: (u >= low) & (u < high)))
+    counts = F.array(*[drawn(low, high) for low, high in itertools.pairwise(edges)])
+    top = F.array_max("_d")
+    rows = rows.select(key, top.alias("_top"), F.zip_with("_d", counts, lambda d, n: n * F.exp(d - top)).alias("_e"))
+    total = F.aggregate("_e", F.lit(0.0), lambda s, x: s + x)
+    return rows.select(key, (F.col("_top") + F.ln(total / samples)).alias("log_evidence"), F.transform("_e", lambda x: x / total).alias("probs"))
+
+
+@dataclass
+class ForestModel:
+    """Given parameters of several latents: each has at most one latent parent, each attribute one latent (or none: '').
+
+    cards: states of each latent; up: its latent parent; latents: rows of state probabilities by parent state (one row for
+    a root); of: the latent of each attribute; gaussian: (mean, variance), discrete: value probabilities, by that latent's state.
+    """
+
+    cards: Mapping[str, int]
+    up: Mapping[str, str]
+    of: Mapping[str, str]
+    latents: Mapping[str, Sequence[Sequence[float]]]
+    gaussian: Mapping[str, Sequence[tuple[float, float]]] = field(default_factory=dict)
+    discrete: Mapping[str, Sequence[Mapping[str, float]]] = field(default_factory=dict)
+
+    def below(self, latent: str) -> list[str]:
+        return [c for c, p in self.up.items() if p == latent]
+
+    def leaves_first(self) -> list[str]:
+        out: list[str] = []
+
+        def visit(z: str) -> None:
+            for c in self.below(z):
+                visit(c)
+            out.append(z)
+
+        for z in self.cards:
+            if z not in self.up:
+                visit(z)
+        return out
+
+    def dimension(self) -> int:
+        """Free numbers to estimate."""
+        latents = sum(len(rows) * (len(rows[0]) - 1) for rows in self.latents.values())
+        return latents + sum(2 * len(v) for v in self.gaussian.values()) + sum(len(t) - 1 for v in self.discrete.values() for t in v)
+
+
+def _attribute_log(model: ForestModel, latent: str, state: int) -> list[Column]:
+    out = [gaussian_log(c, *v[state]) for c, v in model.gaussian.items() if model.of[c] == latent]
+    return out + [discrete_log(c, v[state]) for c, v in model.discrete.items() if model.of[c] == latent]
+
+
+def _with_messages(df: DataFrame, model: ForestModel) -> DataFrame:
+    """df with, per latent, _l_<z>: ln p(cells below | state), and _m_<z>: ln p(cells below | parent's state), leaves first."""
+    for z in model.leaves_first():
+        local = [sum([*_attribute_log(model, z, s), *[F.col(f"_m_{c}")[s] for c in model.below(z)]], F.lit(0.0)) for s in range(model.cards[z])]
+        df = df.withColumn(f"_l_{z}", F.array(*local))
+        rows = [F.array(*[F.col(f"_l_{z}")[s] + (math.log(p) if p > 0 else -1e300) for s, p in enumerate(row)]) for row in model.latents[z]]
+        df = df.withColumn(f"_m_{z}", F.array(*[_total(r) for r in rows]))
+    return df
+
+
+def _work_columns(model: ForestModel) -> list[str]:
+    return [f"_{kind}_{z}" for z in model.cards for kind in "lm"]
+
+
+def forest_log_likelihood(df: DataFrame, model: ForestModel) -> DataFrame:
+    """df with log_likelihood: ln p of the row's observed cells, exact, by sums from the leaves of each tree to its root."""
+    roots = [F.col(f"_m_{z}")[0] for z in model.cards if z not in model.up]
+    return _with_messages(df, model).withColumn("log_likelihood", sum([*_attribute_log(model, "", 0), *roots], F.lit(0.0))).drop(*_work_columns(model))
+
+
+def forest_posterior(df: DataFrame, model: ForestModel) -> DataFrame:
+    """df with <z>_probs for every latent: the exact probabilities of its states given the row's observed cells."""
+    out = _with_messages(df, model)
+    for z in reversed(model.leaves_first()):
+        above = model.up.get(z)
+        probs = []
+        for s in range(model.cards[z]):
+            ways = []
+            for j, row in enumerate(model.latents[z]):
+                share = F.exp(F.col(f"_l_{z}")[s] + (math.log(row[s]) if row[s] > 0 else -1e300) - F.col(f"_m_{z}")[j])
+                ways.append(share if above is None else F.col(f"{above}_probs")[j] * share)
+            probs.append(sum(ways[1:], ways[0]))
+        out = out.withColumn(f"{z}_probs", F.array(*probs))
+    return out.drop(*_work_columns(model))
+
+
+def forest_score(df: DataFrame, model: ForestModel) -> DataFrame:
+    """One row: n, log_likelihood, dim, aic and bic (higher is better)."""
+    d, ll = model.dimension(), F.col("log_likelihood")
+    one = forest_log_likelihood(df, model).agg(F.count("*").alias("n"), F.sum("log_likelihood").alias("log_likelihood"))
+    return one.withColumns({"dim": F.lit(d), "aic": ll - d, "bic": ll - d * F.ln("n") / 2})

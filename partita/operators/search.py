@@ -7,7 +7,8 @@ import math
 from collections.abc import Iterable, Mapping, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partita.operators.dependence import mutual_info_matrix
@@ -18,94 +19,155 @@ from partita.operators.scoring import hard_assign
 Family = tuple[str, frozenset]
 
 
+def _there(columns: Iterable[str]) -> Column:
+    out = F.lit(True)
+    for c in columns:
+        out = out & F.col(c).isNotNull()
+    return out
+
+
+def _exploded(df: DataFrame, cells: list[Column]) -> DataFrame:
+    return df.select(F.inline(F.filter(F.array(*cells), lambda s: s.isNotNull())))
+
+
+def _named(scores: DataFrame, families: Sequence[Family]) -> DataFrame:
+    """Scores by number of the family with its child and parents (by name, joined by commas); families without a complete row have none."""
+    names = F.array(*[F.struct(F.lit(c).alias("child"), F.lit(",".join(sorted(p))).alias("parents")) for c, p in families])
+    return scores.withColumn("_f", F.element_at(names, F.col("family") + 1)).select("family", "_f.*", *[c for c in scores.columns if c != "family"])
+
+
 def discrete_family_scores(df: DataFrame, families: Sequence[Family]) -> DataFrame:
-    """(child, parents, log_likelihood, dim, bic) of discrete families, rows with a null in the family left out.
+    """(family, child, parents, n, log_likelihood, dim, bic) of discrete families, over the n rows without a null in the family.
 
     All families are counted in one shuffle: each row gives one cell per family. The dimension counts occurring
-    states: (states of the child - 1) times configurations of the parents.
+    states: (states of the child - 1) times configurations of the parents. Families without such a row are not listed.
     """
-    cells = []
-    for child, parents in families:
-        some = sorted(parents)
-        there = F.lit(True)
-        for c in (child, *some):
-            there = there & F.col(c).isNotNull()
-        config = F.concat_ws("|", *[F.col(p).cast("string") for p in some]) if some else F.lit("")
-        cells.append(F.when(there, F.struct(F.lit(child).alias("child"), F.lit(",".join(some)).alias("parents"), F.col(child).cast("string").alias("x"), config.alias("config"))))
-    counts = df.select(F.inline(F.filter(F.array(*cells), lambda s: s.isNotNull()))).groupBy("child", "parents", "x", "config").agg(F.count("*").alias("n"))
-    configs = counts.groupBy("child", "parents", "config").agg(F.sum("n").alias("nc"), F.sum(F.col("n") * F.ln("n")).alias("s"))
-    states = counts.groupBy("child", "parents").agg(F.countDistinct("x").alias("states"))
+    text = lambda c: F.col(c).cast("string")
+    none = F.array().cast("array<string>")
+    cells = [
+        F.when(_there([child, *parents]), F.struct(F.lit(i).alias("family"), text(child).alias("x"), (F.array(*map(text, sorted(parents))) if parents else none).alias("config")))
+        for i, (child, parents) in enumerate(families)
+    ]
+    counts = _exploded(df, cells).groupBy("family", "x", "config").agg(F.count("*").alias("n"))
+    configs = counts.groupBy("family", "config").agg(F.sum("n").alias("nc"), F.sum(F.col("n") * F.ln("n")).alias("s"))
+    states = counts.groupBy("family").agg(F.countDistinct("x").alias("states"))
     ll = F.sum(F.col("s") - F.col("nc") * F.ln("nc"))
-    out = configs.groupBy("child", "parents").agg(ll.alias("log_likelihood"), F.count("*").alias("configs"), F.sum("nc").alias("n")).join(states, ["child", "parents"])
+    out = configs.groupBy("family").agg(ll.alias("log_likelihood"), F.count("*").alias("configs"), F.sum("nc").alias("n")).join(states, "family")
     dim = (F.col("states") - 1) * F.col("configs")
-    return out.select("child", "parents", "log_likelihood", dim.alias("dim"), (F.col("log_likelihood") - dim * F.ln("n") / 2).alias("bic"))
+    return _named(out.select("family", "n", "log_likelihood", dim.alias("dim"), (F.col("log_likelihood") - dim * F.ln("n") / 2).alias("bic")), families)
+
+
+def _residual(n: float, sums: np.ndarray, products: np.ndarray) -> float:
+    """The variance that is left of the first column after regression on the others, from sums and sums of products."""
+    cov = products / n - np.outer(sums, sums) / n**2
+    left = cov[0, 0]
+    if len(sums) > 1:
+        left -= float(cov[0, 1:] @ np.linalg.lstsq(cov[1:, 1:], cov[1:, 0], rcond=None)[0])
+    return max(left, 1e-12)
 
 
-def gaussian_family_scores(df: DataFrame, families: Sequence[Family]) -> dict[Family, float]:
-    """BIC of linear-Gaussian families with numeric parents: one aggregate of cross products serves all of them."""
+def gaussian_family_scores(df: DataFrame, families: Sequence[Family]) -> list[dict]:
+    """The same figures (a dict per family) of linear-Gaussian families with numeric parents.
+
+    Two aggregates serve all of them. Families share sums of products over the rows in which the columns that have nulls
+    at all are present; so each is scored on its own complete rows, whatever others are in the call.
+    """
     columns = sorted({c for child, parents in families for c in (child, *parents)})
-    rows = df.dropna(subset=columns)
-    means = rows.agg(*[F.avg(c).alias(c) for c in columns], F.count("*").alias("_n")).first()
-    n = means["_n"]
-    x = {c: F.col(c).cast("double") - F.lit(means[c]) for c in columns}
-    pairs = list(itertools.combinations_with_replacement(columns, 2))
-    one = rows.agg(*[F.sum(x[a] * x[b]).alias(str(i)) for i, (a, b) in enumerate(pairs)]).first()
-    cov = {}
-    for i, (a, b) in enumerate(pairs):
-        cov[a, b] = cov[b, a] = one[str(i)] / n
-    out = {}
+    start = df.agg(F.count("*").alias("_n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)], *[F.count(c).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    gaps = {c for i, c in enumerate(columns) if start[f"c{i}"] < start["_n"]}
+    x = {c: F.col(c).cast("double") - F.lit(float(start[f"m{i}"] or 0.0)) for i, c in enumerate(columns)}
+    wanted: dict[tuple, Column] = {}
     for child, parents in families:
-        p = sorted(parents)
-        v = cov[child, child]
-        if p:
-            s = np.array([[cov[a, b] for b in p] for a in p])
-            c = np.array([cov[a, child] for a in p])
-            v -= float(c @ np.linalg.lstsq(s, c, rcond=None)[0])
-        out[child, parents] = -n / 2 * (math.log(2 * math.pi * max(v, 1e-12)) + 1) - (len(p) + 2) * math.log(n) / 2
+        names = sorted({child, *parents})
+        holes = tuple(c for c in names if c in gaps)
+        there = _there(holes)
+        wanted[holes, ()] = F.count_if(there)
+        for k in (1, 2):
+            for some in itertools.combinations_with_replacement(names, k):
+                wanted[holes, some] = F.sum(F.when(there, math.prod((x[c] for c in some[1:]), start=x[some[0]])))
+    keys = list(wanted)
+    one = df.agg(*[wanted[k].alias(str(i)) for i, k in enumerate(keys)]).first()
+    got = {k: one[str(i)] for i, k in enumerate(keys)}
+    out = []
+    for i, (child, parents) in enumerate(families):
+        names = [child, *sorted(parents)]
+        holes = tuple(c for c in sorted(names) if c in gaps)
+        if n := got[holes, ()]:
+            sums = np.array([got[holes, (c,)] for c in names])
+            products = np.array([[got[holes, tuple(sorted((c, d)))] for d in names] for c in names])
+            ll = -n / 2 * (math.log(2 * math.pi * _residual(n, sums, products)) + 1)
+            out.append({"family": i, "child": child, "parents": ",".join(names[1:]), "n": n, "log_likelihood": ll, "dim": len(names) + 1, "bic": ll - (len(names) + 1) * math.log(n) / 2})
     return out
 
 
-def conditional_family_scores(df: DataFrame, families: Sequence[Family]) -> dict[Family, float]:
-    """BIC of numeric children with discrete parents: a mean and a variance per occurring configuration, one shuffle for all.
+def conditional_family_scores(df: DataFrame, families: Sequence[Family], discrete: Iterable[str]) -> DataFrame:
+    """The same figures of numeric children with discrete parents and, linearly in each configuration of those, numeric ones.
 
-    Children are centred about their means first, so sums of squares keep their digits.
+    A shuffle for all families adds sums and products per occurring configuration, whose residual variance is a small
+    solve in the tasks. Columns are centred about their means first, so sums of squares keep their digits.
     """
-    children = sorted({c for c, _ in families})
-    means = df.agg(*[F.avg(c).alias(c) for c in children]).first()
+    kinds = set(discrete)
+    numbers = sorted({c for child, parents in families for c in (child, *parents) if c not in kinds})
+    means = df.agg(*[F.avg(c).alias(c) for c in numbers]).first()
+    width = max(len([c for c in parents if c not in kinds]) for _, parents in families) + 1
     cells = []
-    for child, parents in families:
-        some = sorted(parents)
-        there = F.col(child).isNotNull()
-        for p in some:
-            there = there & F.col(p).isNotNull()
-        config = F.concat_ws("|", *[F.col(p).cast("string") for p in some])
-        x = F.col(child).cast("double") - F.lit(means[child] or 0.0)
-        cells.append(F.when(there, F.struct(F.lit(child).alias("child"), F.lit(",".join(some)).alias("parents"), config.alias("config"), x.alias("x"))))
-    stats = df.select(F.inline(F.filter(F.array(*cells), lambda s: s.isNotNull()))).groupBy("child", "parents", "config").agg(F.count("*").alias("n"), F.var_pop("x").alias("v"))
-    ll = F.sum(-F.col("n") / 2 * (F.ln(2 * math.pi * F.greatest("v", F.lit(1e-12))) + 1))
-    out = stats.groupBy("child", "parents").agg(ll.alias("ll"), F.count("*").alias("configs"), F.sum("n").alias("n")).collect()
-    return {(r["child"], frozenset(r["parents"].split(","))): r["ll"] - 2 * r["configs"] * math.log(r["n"]) / 2 for r in out}
+    for i, (child, parents) in enumerate(families):
+        some, linear = sorted(p for p in parents if p in kinds), [child, *sorted(p for p in parents if p not in kinds)]
+        values = F.array(*[F.col(c).cast("double") - F.lit(float(means[c] or 0.0)) for c in linear])
+        config = F.array(*[F.col(p).cast("string") for p in some]) if some else F.array().cast("array<string>")
+        cells.append(F.when(_there([child, *parents]), F.struct(F.lit(i).alias("family"), config.alias("config"), values.alias("v"))))
+    v = [F.get("v", F.lit(k)) for k in range(width)]
+    sums = [F.sum(v[k]).alias(f"s{k}") for k in range(width)]
+    products = [F.sum(v[k] * v[m]).alias(f"p{k}_{m}") for k in range(width) for m in range(k, width)]
+    stats = _exploded(df, cells).groupBy("family", "config").agg(F.count("*").alias("n"), *sums, *products)
+    sizes = [1 + sum(p not in kinds for p in parents) for _, parents in families]
+
+    def run(batches):
+        for b in batches:
+            lls = []
+            for r in b.itertuples(index=False):
+                k = sizes[r.family]
+                p = np.array([[getattr(r, f"p{min(i, j)}_{max(i, j)}") for j in range(k)] for i in range(k)])
+                lls.append(-r.n / 2 * (math.log(2 * math.pi * _residual(r.n, np.array([getattr(r, f"s{i}") for i in range(k)]), p)) + 1))
+            yield pd.DataFrame({"family": b["family"], "n": b["n"], "ll": lls})
+
+    each = stats.drop("config").mapInPandas(run, "family int, n long, ll double")
+    out = each.groupBy("family").agg(F.sum("n").alias("n"), F.sum("ll").alias("log_likelihood"), F.count("*").alias("configs"))
+    dim = F.element_at(F.array(*[F.lit(k + 1) for k in sizes]), F.col("family") + 1) * F.col("configs")
+    return _named(out.select("family", "n", "log_likelihood", dim.alias("dim"), (F.col("log_likelihood") - dim * F.ln("n") / 2).alias("bic")), families)
 
 
 class FamilyScores:
     """Scores remembered by family; a call scores all unknown families of a round in one job of each kind.
 
-    Numeric children may have numeric parents or discrete ones, not both.
+    Families of a child are compared over the rows that have the child: the log-likelihood of a family's complete rows is
+    scaled up to them, as if parents were missing at random. A family without a complete row scores minus infinity, one without
+    parents 0.
     """
 
     def __init__(self, df: DataFrame, discrete: Iterable[str], numeric: Iterable[str]) -> None:
         self.df, self.discrete, self.numeric, self.known = df, set(discrete), set(numeric), {}
+        self.present: dict[str, int] | None = None
 
     def __call__(self, families: Iterable[Family]) -> dict[Family, float]:
         families = list(dict.fromkeys(families))
         new = [f for f in families if f not in self.known]
-        if d := [f for f in new if f[0] in self.discrete]:
-            for r in discrete_family_scores(self.df, d).collect():
-                self.known[r["child"], frozenset(filter(None, r["parents"].split(",")))] = r["bic"]
-        if m := [f for f in new if f[0] in self.numeric and f[1] & self.discrete]:
-            self.known |= conditional_family_scores(self.df, m)
-        if g := [f for f in new if f[0] in self.numeric and not f[1] & self.discrete]:
-            self.known |= gaussian_family_scores(self.df, g)
+        if new and self.present is None:
+            names = [*self.discrete, *self.numeric]
+            one = self.df.agg(*[F.count(c).alias(str(i)) for i, c in enumerate(names)]).first()
+            self.present = {c: one[str(i)] for i, c in enumerate(names)}
+        for f in new:
+            self.known[f] = -math.inf if f[1] else 0.0
+        kinds = (
+            ([f for f in new if f[0] in self.discrete], lambda fs: discrete_family_scores(self.df, fs).collect()),
+            ([f for f in new if f[0] in self.numeric and f[1] & self.discrete], lambda fs: conditional_family_scores(self.df, fs, self.discrete).collect()),
+            ([f for f in new if f[0] in self.numeric and not f[1] & self.discrete], lambda fs: gaussian_family_scores(self.df, fs)),
+        )
+        for some, score in kinds:
+            for r in score(some) if some else ():
+                child, rows = some[r["family"]][0], self.present[some[r["family"]][0]]
+                assert child == r["child"]
+                self.known[some[r["family"]]] = r["log_likelihood"] * rows / r["n"] - r["dim"] * math.log(rows) / 2
         return {f: self.known[f] for f in families}
 
 
@@ -125,7 +187,7 @@ def hill_climb(
 ) -> tuple[dict[str, frozenset], float]:
     """(parents of each node, score): the best of adding, removing or turning an arc until none gains.
 
-    Arcs stay acyclic and join columns of a kind, or with `mixed` also lead from discrete to numeric ones; forbidden
+    Arcs stay acyclic and join columns of a kind, or with `mixed` also lead from discrete to numeric ones (which may have parents of both kinds); forbidden
     arcs (parent, child) are left out, fixed ones are there from the start, stay, and do not count as parents.
     """
     nodes = [*discrete, *numeric]
@@ -136,9 +198,7 @@ def hill_climb(
 
     def allowed(a: str, b: str) -> bool:
         """Whether a may become a parent of b beside its present ones."""
-        if kind[a] == kind[b] == "n":
-            return all(kind[p] == "n" for p in graph[b])
-        return kind[a] == kind[b] or (mixed and kind[a] == "d" and all(kind[p] == "d" for p in graph[b]))
+        return kind[a] == kind[b] or (mixed and kind[a] == "d")
 
     for _ in range(steps):
         moves = []
@@ -153,7 +213,7 @@ def hill_climb(
                 moves.append({b: graph[b] | {a}})
         moves = [m for m in moves if not _cyclic(graph | m)]
         got = scores([*((v, p) for v, p in graph.items()), *((v, p) for m in moves for v, p in m.items())])
-        gains = [sum(got[v, p] - got[v, graph[v]] for v, p in m.items()) for m in moves]
+        gains = [sum(got[v, p] - got[v, graph[v]] if got[v, p] > -math.inf else -math.inf for v, p in m.items()) for m in moves]
         if not moves or max(gains) <= threshold:
             break
         graph = graph | moves[int(np.argmax(gains))]
@@ -194,8 +254,7 @@ def group_attributes(df: DataFrame, domains: Mapping[str, Sequence[str]], seed:
 def augmented_latent_class(df: DataFrame, numeric: Sequence[str], domains: Mapping[str, Sequence[str]], states: int = 2, most_parents: int = 3, **options) -> tuple[dict[str, frozenset], float]:
     """One latent parent of all attributes, and up to `most_parents` discrete or numeric parents among them.
 
-    The latent's labels complete the table; its arcs are fixed, others are climbed. Numeric attributes that hang on
-    the latent take discrete parents only.
+    The latent's labels complete the table; its arcs are fixed, others are climbed.
     """
     model = fit_latent_class(df, states, numeric, domains, **options)[states].expected("latent")
     whole = hard_assign(df, model).withColumn("latent", F.col("latent").cast("string"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from partita.functions.draws import uniform_sql
 from partita.operators import compare, dependence, missing
 from partita.plans.preparation import HOLED, _round, holed
 from partita.plans.registry import Tables, query
@@ -54,18 +55,29 @@ _PARTS, _COVS = ("l_returnflag", "l_linestatus"), ("l_quantity", "l_discount")
 
 def _d6() -> str:
     out = []
-    for p in _PARTS:
+    for p, groups in (("l_returnflag", 3), ("l_linestatus", 2)):
         for c in _COVS:
-            out.append(f"""SELECT '{p}' AS partition, '{c}' AS covariate, CASE WHEN count(*) = 2 THEN 'mann_whitney' ELSE 'kruskal_wallis' END AS test,
-              round((12 / (any_value(n) * (any_value(n) + 1)) * sum(rs * rs / c) - 3 * (any_value(n) + 1)) / (1 - any_value(tie) / (any_value(n) ** 3 - any_value(n))), 4) AS statistic, count(*) AS groups
-              FROM (SELECT g, sum(r) AS rs, count(*) AS c FROM (SELECT {p} AS g, rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS r FROM lineitem) GROUP BY g),
-                   (SELECT sum(t * t * t - t) AS tie, sum(t) AS n FROM (SELECT count(*)::DOUBLE AS t FROM lineitem GROUP BY {c}))""")
-    return " UNION ALL ".join(out)
+            base = f"""WITH base AS (SELECT {p} AS g, {c}::DOUBLE AS x FROM lineitem), {_RANKED},
+              s AS (SELECT g, sum(r) AS rs, count(*)::DOUBLE AS c, avg(x) AS m, var_pop(x) * count(*) AS ss FROM ranked GROUP BY g)"""
+            head = f"SELECT '{p}' AS partition, '{c}' AS covariate,"
+            if groups == 2:
+                out.append(f"""{base} {head} 'mann_whitney' AS test, a.g AS a, b.g AS b, round(a.rs - a.c * (a.c + 1) / 2, 4) AS statistic,
+                  round(greatest(abs(a.rs - a.c * (a.c + 1) / 2 - a.c * b.c / 2) - 0.5, 0) / sqrt(a.c * b.c / 12 * ((n + 1) - tie / (n * (n - 1)))), 4) AS z, 2 AS groups, 1 AS dof
+                  FROM s a JOIN s b ON a.g < b.g, ties""")
+                continue
+            out.append(f"""{base} {head} 'kruskal_wallis' AS test, NULL AS a, NULL AS b,
+              round((12 / (any_value(n) * (any_value(n) + 1)) * sum(rs * rs / c) - 3 * (any_value(n) + 1)) / (1 - any_value(tie) / (any_value(n) ** 3 - any_value(n))), 4) AS statistic, NULL AS z, count(*) AS groups, count(*) - 1 AS dof FROM s, ties""")
+            out.append(f"""{base}, w AS (SELECT sum(ss) / (sum(c) - count(*)) AS mse, sum(c) - count(*) AS dof FROM s) {head} 'tukey' AS test, a.g AS a, b.g AS b,
+              round(abs(b.m - a.m) / sqrt(mse / 2 * (1 / a.c + 1 / b.c)), 4) AS statistic, NULL AS z, 3 AS groups, dof::BIGINT AS dof FROM s a JOIN s b ON a.g < b.g, w""")
+        out.append(f"""WITH n AS (SELECT {p} AS g, l_linenumber AS v, count(*) AS n FROM lineitem GROUP BY 1, 2),
+          e AS (SELECT a.g, b.v, coalesce(n.n, 0) AS n, a.r * b.c / (SELECT sum(n) FROM n) AS e FROM (SELECT g, sum(n) AS r FROM n GROUP BY 1) a CROSS JOIN (SELECT v, sum(n) AS c FROM n GROUP BY 1) b LEFT JOIN n ON n.g = a.g AND n.v = b.v)
+          SELECT '{p}' AS partition, 'l_linenumber' AS covariate, 'chi2' AS test, NULL AS a, NULL AS b, round(sum((n - e) ** 2 / e), 4) AS statistic, NULL AS z, count(DISTINCT g) AS groups, (count(DISTINCT g) - 1) * (count(DISTINCT v) - 1) AS dof FROM e""")
+    return " UNION ALL ".join(f"SELECT * FROM ({q})" for q in out)
 
 
 @query(_d6())
 def d6_compare_partitions(t: Tables) -> DataFrame:
-    return _round(compare.compare_partitions(t.lineitem, _PARTS, _COVS), 4, "statistic")
+    return _round(compare.compare_partitions(t.lineitem, _PARTS, _COVS, ["l_linenumber"]), 4, "statistic", "z")
 
 
 _E = ["o_totalprice", "o_orderpriority"]
@@ -90,9 +102,12 @@ def e2_hide_cells(t: Tables) -> DataFrame:
     return _mask(t)
 
 
-@query()
+@query(f"""WITH h AS {HOLED}, m AS (SELECT avg(o_totalprice) AS mean, stddev_pop(o_totalprice) AS sd FROM h),
+     w AS (SELECT v, sum(n + 1) OVER (ORDER BY v) / sum(n + 1) OVER () AS reach, row_number() OVER (ORDER BY v DESC) AS last FROM (SELECT o_orderpriority AS v, count(*) AS n FROM h WHERE o_orderpriority IS NOT NULL GROUP BY 1))
+     SELECT o_orderkey, o_orderstatus, round(coalesce(o_totalprice, mean + sd * sqrt(-2 * ln({uniform_sql("o_orderkey", "'o_totalprice'", "0")})) * cos(2 * pi() * {uniform_sql("o_orderkey", "'o_totalprice'", "1")})), 2) AS o_totalprice,
+       coalesce(o_orderpriority, (SELECT min(v) FROM w WHERE {uniform_sql("o_orderkey", "'o_orderpriority'", "0")} < reach OR last = 1)) AS o_orderpriority FROM h, m""")
 def e3_impute_marginal(t: Tables) -> DataFrame:
-    return missing.impute_marginal(holed(t), "o_orderkey", ["o_totalprice"], ["o_orderpriority"])
+    return _round(missing.impute_marginal(holed(t), "o_orderkey", ["o_totalprice"], ["o_orderpriority"]), 2, "o_totalprice")
 
 
 @query(f"""WITH h AS {HOLED}, m AS (SELECT avg(o_totalprice) AS mean FROM h), p AS (SELECT o_orderpriority AS mode FROM h WHERE o_orderpriority IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
@@ -153,16 +168,45 @@ def f1_mutual_info_discrete(t: Tables) -> DataFrame:
     return _round(dependence.mutual_info_discrete(t.lineitem, "l_returnflag", "l_linestatus"), 8, "mi")
 
 
-@query()
+def _psi(n: str) -> str:
+    """Digamma of a whole number."""
+    return f"(coalesce(list_sum(list_transform(range(1, ({n})::BIGINT), lambda i: 1.0 / i)), 0) - 0.5772156649015329)"
+
+
+def _continuous_sql(x: str, y: str) -> str:
+    gap = "greatest(abs(a.x - b.x), abs(a.y - b.y))"
+    return f"""(WITH p AS (SELECT p_partkey AS k, {x}::DOUBLE AS x, {y}::DOUBLE AS y FROM part),
+      d AS (SELECT a.k, {gap} AS d, row_number() OVER (PARTITION BY a.k ORDER BY {gap}, b.k) AS r FROM p a JOIN p b ON a.k <> b.k), e AS (SELECT p.*, d.d AS eps FROM p JOIN d USING (k) WHERE r = 3),
+      c AS (SELECT e.k, greatest(count(*) FILTER (q.x < e.x + e.eps AND q.x > e.x - e.eps) - 1, 0) AS nx, greatest(count(*) FILTER (q.y < e.y + e.eps AND q.y > e.y - e.eps) - 1, 0) AS ny FROM e CROSS JOIN p q GROUP BY e.k)
+      SELECT round(greatest(0, {_psi("count(*)")} + {_psi("3")} - avg({_psi("nx + 1")} + {_psi("ny + 1")})), 6) AS mi FROM c)"""
+
+
+def _mixed_sql(g: str, x: str) -> str:
+    gap = "abs(a.x - b.x)"
+    return f"""(WITH p AS (SELECT {g} AS g, {x}::DOUBLE AS x FROM part), v AS (SELECT g, x, count(*) AS n, count(*) OVER (PARTITION BY g) AS distinct_values FROM p GROUP BY g, x),
+      d AS (SELECT a.g, a.x, a.n, a.distinct_values, {gap} AS d, row_number() OVER (PARTITION BY a.g, a.x ORDER BY {gap}) AS r FROM v a JOIN v b ON a.g = b.g AND a.x <> b.x),
+      e AS (SELECT g, x, n, distinct_values, d AS eps FROM d WHERE r = 3 AND distinct_values > 3),
+      m AS (SELECT e.g, e.x, any_value(e.n) AS n, any_value(distinct_values) AS dv, greatest(count(*) FILTER (q.x < e.x + e.eps AND q.x > e.x - e.eps) - 1, 0) AS m FROM e CROSS JOIN p q GROUP BY e.g, e.x),
+      t AS (SELECT count(*) AS t FROM p)
+      SELECT round(greatest(0, sum(n * ({_psi("3")} + {_psi("t")} - {_psi("dv")} - {_psi("m + 1")})) / any_value(t)), 6) AS mi FROM m, t)"""
+
+
+@query(f"SELECT * FROM {_continuous_sql('p_size', 'p_retailprice')}")
 def f2_mutual_info_continuous(t: Tables) -> DataFrame:
-    rows = t.part.select("p_partkey", "p_size", "p_retailprice")
-    mi = dependence.mutual_info_continuous(rows, "p_partkey", "p_size", "p_retailprice")
-    return t.part.agg(F.count("*").alias("n")).withColumn("mi", F.lit(mi))
+    mi = dependence.mutual_info_continuous(t.part, "p_partkey", "p_size", "p_retailprice")
+    return t.spark.createDataFrame([(round(mi, 6),)], "mi double")
 
 
-@query()
+@query(f"SELECT * FROM {_mixed_sql('p_brand', 'p_retailprice')}")
 def f3_mutual_info_mixed(t: Tables) -> DataFrame:
-    return dependence.mutual_info_mixed(t.part, "p_brand", "p_retailprice")
+    return _round(dependence.mutual_info_mixed(t.part, "p_brand", "p_retailprice"), 6, "mi")
+
+
+@query(f"""SELECT 'p_size' AS a, 'p_retailprice' AS b, mi FROM {_continuous_sql('p_size', 'p_retailprice')} UNION ALL
+     SELECT 'p_brand', 'p_size', mi FROM {_mixed_sql('p_brand', 'p_size')} UNION ALL SELECT 'p_brand', 'p_retailprice', mi FROM {_mixed_sql('p_brand', 'p_retailprice')}""")
+def f4_mutual_info_by_type(t: Tables) -> DataFrame:
+    found = dependence.mutual_info_by_type(t.part, "p_partkey", ["p_brand"], ["p_size", "p_retailprice"])
+    return t.spark.createDataFrame([(a, b, round(mi, 6)) for a, b, mi in found], "a string, b string, mi double")
 
 
 _DISCRETE = ["l_returnflag", "l_linestatus", "l_linenumber", "l_tax"]

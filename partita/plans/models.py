@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partita.operators import dependence, describe, forest, parameters, scoring, search
-from partita.operators.scoring import MixtureModel
+from partita.functions.draws import uniform_sql
+from partita.operators.scoring import ForestModel, MixtureModel
 from partita.plans.preparation import HOLED, _round, holed
 from partita.plans.registry import Tables, query
 
@@ -33,6 +34,32 @@ def _given_sql(rows: str = HOLED) -> str:
     return f"j AS (SELECT *, {', '.join(logs)} FROM {rows}), t AS (SELECT *, greatest(l0, l1) + ln(exp(l0 - greatest(l0, l1)) + exp(l1 - greatest(l0, l1))) AS total FROM j)"
 
 
+#: A given model of orders with two latents, b below a: price hangs on a, status on b, priority on none.
+GIVEN_FOREST = ForestModel(
+    {"a": 2, "b": 3},
+    {"b": "a"},
+    {"o_totalprice": "a", "o_orderstatus": "b", "o_orderpriority": ""},
+    {"a": [[0.35, 0.65]], "b": [[0.5, 0.3, 0.2], [0.1, 0.2, 0.7]]},
+    {"o_totalprice": [(120_000.0, 3.6e9), (330_000.0, 8.1e9)]},
+    {"o_orderstatus": [{"F": 0.6, "O": 0.3, "P": 0.1}, {"F": 0.25, "O": 0.35, "P": 0.4}, {"F": 0.45, "O": 0.5, "P": 0.05}], "o_orderpriority": [dict(zip(PRIORITIES, (0.3, 0.25, 0.2, 0.15, 0.1), strict=True))]},
+)
+
+
+def _forest_sql(rows: str = HOLED) -> str:
+    """ln p(states of both latents, cells) of GIVEN_FOREST in SQL, their log-sum-exp, and the row's total."""
+    g, m = GIVEN_FOREST, GIVEN_FOREST.discrete
+    case = lambda c, table: f"CASE {c} " + " ".join(f"WHEN '{k}' THEN {math.log(p)!r}" for k, p in table.items()) + " ELSE 0 END"
+    logs = []
+    for i, pa in enumerate(g.latents["a"][0]):
+        mean, v = g.gaussian["o_totalprice"][i]
+        for j, pb in enumerate(g.latents["b"][i]):
+            logs.append(f"{math.log(pa) + math.log(pb)!r} + coalesce({-0.5 * math.log(2 * math.pi * v)!r} - (o_totalprice - {mean}) ** 2 / {2 * v!r}, 0) + {case('o_orderstatus', m['o_orderstatus'][j])} AS l{i}{j}")
+    names = [f"l{i}{j}" for i in range(2) for j in range(3)]
+    top = f"greatest({', '.join(names)})"
+    return f"""j AS (SELECT *, {', '.join(logs)}, {case('o_orderpriority', m['o_orderpriority'][0])} AS alone FROM {rows}),
+      s AS (SELECT *, {top} + ln({' + '.join(f'exp({n} - {top})' for n in names)}) AS joint FROM j), t AS (SELECT *, joint + alone AS total FROM s)"""
+
+
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS sum_x, round(sum(l_quantity * l_quantity), 2) AS sum_xx FROM lineitem GROUP BY ALL")
 def g1_sufficient_stats(t: Tables) -> DataFrame:
     return _round(parameters.sufficient_stats(t.lineitem, "l_quantity", ["l_returnflag", "l_linestatus"]), 2, "sum_x", "sum_xx")
@@ -73,9 +100,39 @@ def g4_dirichlet_priors(t: Tables) -> DataFrame:
     return _round(parameters.dirichlet_priors(t.orders, "o_orderpriority", [*PRIORITIES, "6-NEVER"]), 8, "alpha")
 
 
-@query()
+@query("""WITH p AS (SELECT avg(l_quantity) AS m0, var_pop(l_quantity) / 2 AS b0 FROM lineitem), s AS (SELECT l_returnflag, count(*) AS n, sum(l_quantity) AS sx, sum(l_quantity * l_quantity) AS sxx FROM lineitem GROUP BY 1),
+     q AS (SELECT *, 1.0 + n AS k, (m0 + sx) / (1.0 + n) AS m, 0.5 + n / 2.0 AS a FROM s, p), r AS (SELECT *, b0 + 0.5 * (sxx + m0 * m0 - k * m * m) AS b FROM q)
+     SELECT l_returnflag, n, k AS kappa, round(m, 6) AS mean, a, round(b, 2) AS b, round(lgamma(a) - lgamma(0.5) + 0.5 * ln(b0) - a * ln(b) - 0.5 * ln(k) - n / 2.0 * ln(2 * pi()), 2) AS evidence FROM r""")
 def g5_fit_conjugate(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame(parameters.fit_conjugate(t.lineitem, "l_quantity", ["l_returnflag"]))
+    out = t.spark.createDataFrame(parameters.fit_conjugate(t.lineitem, "l_quantity", ["l_returnflag"]))
+    return _round(_round(out.select("l_returnflag", "n", "kappa", "mean", "a", "b", "evidence"), 6, "mean"), 2, "b", "evidence")
+
+
+def _given_class() -> parameters.LatentClass:
+    """A given posterior of two event classes."""
+    two = lambda *v: parameters.np.array(v, dtype=float)
+    return parameters.LatentClass(two(40, 60), {"value": (two(20, 70), two(30, 50), two(15, 25), two(3000, 9000))}, {"event_type": parameters.np.array([[5, 1, 2, 3, 9], [2, 4, 6, 1, 3]], dtype=float)}, {"event_type": TYPES})
+
+
+def _em_step_sql() -> str:
+    """Expected counts and sums of one pass over the events under _given_class(), whose expectations are constants here."""
+    model, logs = _given_class(), []
+    for s in range(2):
+        m, k, a, b = (float(v[s]) for v in model.gaussian["value"])
+        const = parameters.digamma(model.alpha)[s] - parameters.digamma(model.alpha.sum()) + 0.5 * (parameters.digamma(parameters.np.array(a)) - math.log(b)) - 0.5 * math.log(2 * math.pi) - 0.5 / k
+        e = parameters.digamma(model.discrete["event_type"][s]) - parameters.digamma(model.discrete["event_type"][s].sum())
+        cases = " ".join(f"WHEN '{v}' THEN {float(x)!r}" for v, x in zip(TYPES, e, strict=True))
+        logs.append(f"{float(const)!r} - {0.5 * a / b!r} * (value - {m!r}) ** 2 + CASE event_type {cases} ELSE 0 END AS l{s}")
+    return f"""WITH l AS (SELECT value, {', '.join(logs)} FROM events), r AS (SELECT value, 1 / (1 + exp(l1 - l0)) AS r0, 1 / (1 + exp(l0 - l1)) AS r1 FROM l)
+      SELECT 0 AS state, round(sum(r0), 4) AS n, round(sum(r0 * value), 2) AS sum_x, round(sum(r0 * value * value), 0) AS sum_xx FROM r UNION ALL SELECT 1, round(sum(r1), 4), round(sum(r1 * value), 2), round(sum(r1 * value * value), 0) FROM r"""
+
+
+@query(_em_step_sql())
+def g6_expectation_step(t: Tables) -> DataFrame:
+    """One pass over the events under a given posterior."""
+    stats = parameters.e_step(t.events, [_given_class()], ["value"], {"event_type": TYPES})[0]
+    rows = [(s, *(float(v) for v in stats["value"][:, s])) for s in range(2)]
+    return _round(_round(_round(t.spark.createDataFrame(rows, "state int, n double, sum_x double, sum_xx double"), 4, "n"), 2, "sum_x"), 0, "sum_xx")
 
 
 def event_clusters(t: Tables) -> DataFrame:
@@ -150,9 +207,23 @@ def i3_row_log_likelihood(t: Tables) -> DataFrame:
     return _round(scoring.row_log_likelihood(holed(t), GIVEN).select("o_orderkey", "log_likelihood"), 6, "log_likelihood")
 
 
-@query()
+@query(f"""WITH {_given_sql()}, n AS (SELECT o_orderkey, l0 - ln(0.4) AS d0, l1 - ln(0.6) AS d1,
+       len(list_filter(range(50), lambda i: {uniform_sql("o_orderkey", "i", "0")} < 0.4)) AS n0 FROM t), e AS (SELECT *, greatest(d0, d1) AS top, n0 * exp(d0 - greatest(d0, d1)) AS e0, (50 - n0) * exp(d1 - greatest(d0, d1)) AS e1 FROM n)
+     SELECT o_orderkey, round(top + ln((e0 + e1) / 50), 6) AS log_evidence, round(e0 / (e0 + e1), 6) AS p0, round(e1 / (e0 + e1), 6) AS p1 FROM e""")
 def i4_likelihood_weighting(t: Tables) -> DataFrame:
-    return scoring.likelihood_weighting(holed(t), GIVEN, "o_orderkey", 200)
+    out = scoring.likelihood_weighting(holed(t), GIVEN, "o_orderkey", 50)
+    return out.select("o_orderkey", F.round("log_evidence", 6).alias("log_evidence"), *[F.round(F.col("probs")[i], 6).alias(f"p{i}") for i in (0, 1)])
+
+
+@query(f"""WITH {_forest_sql()} SELECT o_orderkey, round(exp(l00 - joint) + exp(l01 - joint) + exp(l02 - joint), 6) AS a0, {', '.join(f'round(exp(l0{j} - joint) + exp(l1{j} - joint), 6) AS b{j}' for j in range(3))} FROM t""")
+def i1_forest_posterior(t: Tables) -> DataFrame:
+    out = scoring.forest_posterior(holed(t), GIVEN_FOREST)
+    return out.select("o_orderkey", F.round(F.col("a_probs")[0], 6).alias("a0"), *[F.round(F.col("b_probs")[j], 6).alias(f"b{j}") for j in range(3)])
+
+
+@query(f"WITH {_forest_sql()} SELECT count(*) AS n, round(sum(total), 4) AS log_likelihood, 19 AS dim, round(sum(total) - 19, 4) AS aic, round(sum(total) - 19 * ln(count(*)) / 2, 4) AS bic FROM t")
+def g13_forest_score(t: Tables) -> DataFrame:
+    return _round(scoring.forest_score(holed(t), GIVEN_FOREST), 4, "log_likelihood", "aic", "bic")
 
 
 _FLAG = {"l_returnflag": {(): {"A": 0.3, "N": 0.45, "R": 0.25}}, "l_linestatus": {("A",): {"F": 0.8, "O": 0.2}, ("N",): {"F": 0.3, "O": 0.7}, ("R",): {"F": 0.6, "O": 0.4}}}
@@ -204,7 +275,42 @@ def _family_sql() -> str:
 
 @query(_family_sql())
 def j1_family_scores(t: Tables) -> DataFrame:
-    return _round(search.discrete_family_scores(t.lineitem, _FAMILIES), 4, "log_likelihood", "bic")
+    return _round(search.discrete_family_scores(t.lineitem, _FAMILIES).drop("family", "n"), 4, "log_likelihood", "bic")
+
+
+_HOLED_LINES = "(SELECT * REPLACE (CASE WHEN l_orderkey % 7 <> 0 THEN l_tax END AS l_tax, CASE WHEN l_orderkey % 5 <> 0 THEN l_linestatus END AS l_linestatus) FROM lineitem)"
+_LINEAR = [("l_extendedprice", "l_quantity", ""), ("l_tax", "l_discount", ""), ("l_discount", "l_tax", ""), ("l_extendedprice", "l_quantity", "l_returnflag"), ("l_tax", "l_discount", "l_linestatus"), ("l_quantity", "l_tax", "l_linestatus")]
+
+
+def holed_lines(t: Tables) -> DataFrame:
+    return t.lineitem.withColumns({"l_tax": F.when(F.col("l_orderkey") % 7 != 0, F.col("l_tax")), "l_linestatus": F.when(F.col("l_orderkey") % 5 != 0, F.col("l_linestatus"))})
+
+
+def _linear_sql(mixed: bool) -> str:
+    """Families of a numeric child, a numeric parent and, if mixed, a discrete one: residual variances per configuration."""
+    out = []
+    for y, x, g in _LINEAR:
+        if bool(g) == mixed:
+            parents = ",".join(sorted(filter(None, (x, g))))
+            there = f"{y} IS NOT NULL AND {x} IS NOT NULL" + (f" AND {g} IS NOT NULL" if g else "")
+            out.append(f"""SELECT '{y}' AS child, '{parents}' AS parents, sum(n)::BIGINT AS n, round(sum(ll), 2) AS log_likelihood, 3 * count(*) AS dim, round(sum(ll) - 3 * count(*) * ln(sum(n)) / 2, 2) AS bic FROM
+              (SELECT count(*) AS n, -count(*) / 2.0 * (ln(2 * pi() * (var_pop({y}) - covar_pop({x}, {y}) ** 2 / var_pop({x}))) + 1) AS ll FROM {_HOLED_LINES} WHERE {there} GROUP BY {g or "1 = 1"})""")
+    return " UNION ALL ".join(out)
+
+
+@query(_linear_sql(False))
+def j1_gaussian_scores(t: Tables) -> DataFrame:
+    """Families with nulls in other places, each over its own complete rows."""
+    scores = search.gaussian_family_scores(holed_lines(t), [(y, frozenset({x})) for y, x, g in _LINEAR if not g])
+    rows = [(r["child"], r["parents"], r["n"], float(r["log_likelihood"]), r["dim"], float(r["bic"])) for r in scores]
+    return _round(t.spark.createDataFrame(rows, "child string, parents string, n long, log_likelihood double, dim int, bic double"), 2, "log_likelihood", "bic")
+
+
+@query(_linear_sql(True))
+def j1_mixed_scores(t: Tables) -> DataFrame:
+    """Numeric children of a numeric and a discrete parent."""
+    families = [(y, frozenset({x, g})) for y, x, g in _LINEAR if g]
+    return _round(search.conditional_family_scores(holed_lines(t), families, ["l_returnflag", "l_linestatus"]).drop("family"), 2, "log_likelihood", "bic")
 
 
 @query()

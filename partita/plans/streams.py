@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partita.operators import parameters, scoring
-from partita.plans.models import GIVEN, TYPES, _given_sql
+from partita.functions.draws import uniform_sql
+from partita.plans.models import GIVEN, GIVEN_FOREST, TYPES, _forest_sql, _given_sql
 from partita.plans.preparation import HOLED, _round, holed
 from partita.plans.registry import Tables, query
 from partita.sources import tables as io
@@ -44,6 +45,24 @@ def a9_model_round_trip(t: Tables) -> DataFrame:
     return _round(scoring.row_log_likelihood(holed(t), model).select("o_orderkey", "log_likelihood"), 6, "log_likelihood")
 
 
+@query(f"WITH {_forest_sql()} SELECT o_orderkey, round(total, 6) AS log_likelihood FROM t")
+def a9_forest_round_trip(t: Tables) -> DataFrame:
+    path = shared_path(t.spark, "forest")
+    io.save_forest(t.spark, GIVEN_FOREST, path)
+    model = io.load_forest(t.spark, path, t.orders.columns)
+    return _round(scoring.forest_log_likelihood(holed(t), model).select("o_orderkey", "log_likelihood"), 6, "log_likelihood")
+
+
+@query("SELECT CAST(o_orderkey AS DOUBLE) AS o_orderkey, o_orderpriority, CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 5 = 1 THEN concat(o_orderstatus, ', it''s \\ ', o_orderkey % 3, ' %') ELSE o_orderstatus END AS note FROM orders")
+def a2_arff_table(t: Tables) -> DataFrame:
+    """Text cells with commas, quotes, blanks, per cents and backslashes survive."""
+    path, key = shared_path(t.spark, "arff-table"), F.col("o_orderkey")
+    odd = F.concat("o_orderstatus", F.lit(", it's \\ "), (key % 3).cast("string"), F.lit(" %"))
+    rows = t.orders.select("o_orderkey", "o_orderpriority", F.when(key % 5 == 1, odd).when(key % 5 != 0, F.col("o_orderstatus")).alias("note"))
+    io.write_arff_table(rows, path)
+    return io.read_arff_table(t.spark, path)
+
+
 def _event_stream(t: Tables, files: int = 4) -> DataFrame:
     """The events as a stream of `files` micro-batches in the order of their ids."""
     path = shared_path(t.spark, "stream")
@@ -98,10 +117,17 @@ def h5_drift(t: Tables) -> DataFrame:
     return _learn(t, "drift")
 
 
-@query()
+def _drawn(name: str) -> str:
+    return uniform_sql("row_id", "'" + name.replace("'", "''") + "'", "0")
+
+
+@query(f"""WITH r AS (SELECT unnest(range((SELECT count(*) FROM orders))) AS row_id),
+     z AS (SELECT row_id, CASE WHEN {_drawn("z")} < 0.4 THEN 0 ELSE 1 END AS z, {_drawn("o_totalprice")} AS u, {_drawn("o_totalprice'")} AS v, {_drawn("o_orderstatus")} AS s, {_drawn("o_totalprice?")} AS hu, {_drawn("o_orderstatus?")} AS hs FROM r)
+     SELECT row_id, z, CASE WHEN hu >= 0.05 THEN round(CASE z WHEN 0 THEN 120000.0 + 60000.0 * sqrt(-2 * ln(u)) * cos(2 * pi() * v) ELSE 330000.0 + 90000.0 * sqrt(-2 * ln(u)) * cos(2 * pi() * v) END, 2) END AS o_totalprice,
+       CASE WHEN hs >= 0.05 THEN CASE WHEN z = 0 THEN CASE WHEN s < 0.5 THEN 'F' WHEN s < 0.8 THEN 'O' ELSE 'P' END ELSE CASE WHEN s < 0.25 THEN 'F' WHEN s < 0.6 THEN 'O' ELSE 'P' END END END AS o_orderstatus FROM z""")
 def i6_forward_sample(t: Tables) -> DataFrame:
     """As many rows as there are orders, drawn from the given model."""
-    return scoring.forward_sample(t.spark, t.orders.count(), GIVEN, hide=0.05)
+    return _round(scoring.forward_sample(t.spark, t.orders.count(), GIVEN, hide=0.05), 2, "o_totalprice")
 
 
 @query("SELECT count(*) AS n, round(avg(o_totalprice), 4) AS mean FROM orders")

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path below spark.checkpoint.dir (a temporary folder only where that is unset), deleted when the application ends."""
+    """A new path below spark.checkpoint.dir, deleted when the application ends. Where that is unset: a temporary folder on a local master, else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="partita-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder}/partita/{label}-{uuid.uuid4().hex}"

@@ -63,11 +63,20 @@ class StateTable:
         df = spark.createDataFrame(row, "model_id string, batch_id long, natural array<double>, elbo double, predictive double")
         df.write.mode("overwrite").parquet(f"{self.path}/batch_id={int(batch_id)}")
 
-    def rows(self, spark: SparkSession) -> list:
+    def batches(self, spark: SparkSession) -> list[int]:
+        """The ids of the batches that are there, from the folder's names."""
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not files.exists(where):
             return []
-        return sorted(spark.read.parquet(f"{self.path}/batch_id=*").collect(), key=lambda r: r["batch_id"])
+        return sorted(int(f.getPath().getName().partition("=")[2]) for f in files.listStatus(where) if f.getPath().getName().startswith("batch_id="))
+
+    def newest(self, spark: SparkSession, batch_id: int):
+        """The row of one batch."""
+        return spark.read.parquet(f"{self.path}/batch_id={batch_id}").first()
+
+    def rows(self, spark: SparkSession) -> list:
+        return [self.newest(spark, i) for i in self.batches(spark)]
 
 
 def updater(state: StateTable, prior: LatentClass, start: LatentClass, numeric: Sequence[str], domains: Mapping[str, Sequence[str]] | None = None,
@@ -84,10 +93,10 @@ def updater(state: StateTable, prior: LatentClass, start: LatentClass, numeric:
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        seen = state.rows(spark)
-        if any(r["batch_id"] == batch_id for r in seen):
+        seen = state.batches(spark)
+        if batch_id in seen:
             return
-        last = from_natural(np.array(seen[-1]["natural"]), prior) if seen else None
+        last = from_natural(np.array(state.newest(spark, seen[-1])["natural"]), prior) if seen else None
         batch = batch.persist()
         try:
             n = batch.count()

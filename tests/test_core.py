@@ -220,3 +220,69 @@ def test_places_totals_and_quantiles(spark):
     assert ranks.quantiles(df.limit(0), "v", {"m": 0.5}, ["g"]).count() == 0
     batches = prepare.fixed_batches(df, "k", 64).groupBy("batch").count().collect()
     assert sorted((r["batch"], r["count"]) for r in batches) == [(i, 64) for i in range(7)] + [(7, 52)]
+
+
+def test_family_scores_stand_alone(spark):
+    rng = np.random.default_rng(3)
+    a, c = rng.standard_normal(300), rng.standard_normal(300)
+    rows = [(float(x), float(2 * x + rng.standard_normal()), None if i % 2 else float(z), "a|b" if i % 3 else "a", "c" if i % 3 else "b|c", None) for i, (x, z) in enumerate(zip(a, c, strict=True))]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d string, e string, f string")
+    family = ("b", frozenset({"a"}))
+    alone = search.gaussian_family_scores(df, [family])[0]["bic"]
+    beside = search.gaussian_family_scores(df, [("c", frozenset({"a"})), family])
+    assert abs(alone - beside[1]["bic"]) < 1e-9 and beside[0]["n"] == 150
+    one = search.discrete_family_scores(df, [("d", frozenset({"e"})), ("a", frozenset({"d", "e"}))]).collect()
+    assert {(r["child"], r["dim"]) for r in one} == {("d", 2), ("a", 299 * 2)}
+    scores = search.FamilyScores(df, ["d", "e", "f"], ["a", "b", "c"])
+    got = scores([("f", frozenset()), ("d", frozenset({"f"})), ("b", frozenset({"f"})), ("b", frozenset({"a", "d"})), ("b", frozenset({"d"}))])
+    assert got["f", frozenset()] == 0 and got["d", frozenset({"f"})] == got["b", frozenset({"f"})] == -math.inf
+    assert got["b", frozenset({"a", "d"})] > got["b", frozenset({"d"})]
+    graph, _ = search.hill_climb(df, ["d", "e", "f"], ["a", "b", "c"], mixed=True)
+    assert "a" in graph["b"] or "b" in graph["a"]
+
+
+def test_forests_are_saved_and_score_rows(spark, two_partitions, tmp_path):
+    structure = forest.Structure({"u": 2, "v": 2}, {"v": "u"}, {**{f"a{i}": "u" for i in range(3)}, **{f"b{i}": "v" for i in range(3)}, "x": forest.ALONE})
+    fitted = forest.fit_latent_forest(two_partitions, structure, ["x"], FOREST_DOMAINS, candidates=2, steps=15)
+    model = fitted.expected(FOREST_DOMAINS)
+    io.save_forest(spark, model, str(tmp_path / "forest"))
+    again = io.load_forest(spark, str(tmp_path / "forest"), two_partitions.columns)
+    assert again == model
+    with pytest.raises(ValueError, match="lacks attributes"):
+        io.load_forest(spark, str(tmp_path / "forest"), ["x"])
+    rows = scoring.forest_posterior(scoring.forest_log_likelihood(two_partitions.limit(40), model), model).collect()
+    for r in rows:
+        joint = {}
+        for u in range(2):
+            for v in range(2):
+                p = model.latents["u"][0][u] * model.latents["v"][u][v]
+                for i in range(3):
+                    p *= model.discrete[f"a{i}"][u][r[f"a{i}"]] * model.discrete[f"b{i}"][v][r[f"b{i}"]]
+                joint[u, v] = p
+        m, s2 = model.gaussian["x"][0]
+        total = sum(joint.values())
+        assert abs(r["log_likelihood"] - math.log(total) + 0.5 * math.log(2 * math.pi * s2) + (r["x"] - m) ** 2 / (2 * s2)) < 1e-9
+        assert abs(r["v_probs"][1] - (joint[0, 1] + joint[1, 1]) / total) < 1e-9 and abs(r["u_probs"][0] - (joint[0, 0] + joint[0, 1]) / total) < 1e-9
+    score = scoring.forest_score(two_partitions, model).first()
+    assert score["dim"] == 1 + 2 + 12 + 2 and score["bic"] < score["log_likelihood"]
+
+
+def test_comparison_report_has_p(spark):
+    rng = np.random.default_rng(5)
+    rows = [("pq"[i % 2], "xyz"[i % 3], float(rng.standard_normal() + 2 * (i % 2)), "mn"[int(rng.random() < 0.2 + 0.6 * (i % 2))]) for i in range(300)] + [(None, "x", 1.0, None)]
+    df = spark.createDataFrame(rows, "two string, three string, v double, c string")
+    out = compare.with_p(compare.compare_partitions(df, ["two", "three"], ["v"], ["c"])).set_index(["partition", "test", "a"], drop=False)
+    assert sorted(out["test"]) == ["chi2", "chi2", "kruskal_wallis", "mann_whitney", "tukey", "tukey", "tukey"]
+    assert out["p"].notna().all() and out.loc[out["partition"] == "two", "reject"].all() and not out.loc[out["partition"] == "three", "reject"].any()
+    assert describe.contingency_table(df, "two", "c").agg(F.sum("n")).first()[0] == 300
+
+
+def test_text_keys_have_neighbours(spark):
+    rows = spark.createDataFrame([("a", [0.0]), ("b", [1.0]), ("c", [5.0])], "k string, v array<double>")
+    assert {(r["key_q"], r["key"]) for r in dependence.knn_join(rows, rows, "k", "v", 1).collect()} == {("a", "b"), ("b", "a"), ("c", "b")}
+
+
+def test_draws_with_null_keys(spark):
+    rows = spark.createDataFrame([(None, 1.0), ("k", 5.0)], "k string, x double")
+    got = scoring.likelihood_weighting(rows, MixtureModel([0.5, 0.5], {"x": [(0.0, 1.0), (5.0, 1.0)]}), "k", 100).collect()
+    assert len(got) == 2 and all(abs(sum(r["probs"]) - 1) < 1e-9 for r in got)
