@@ -233,11 +233,23 @@ def _aligned_cost(s: list[str], t: list[str]) -> int:
     return cost
 
 
+def _grams_apart(x: np.ndarray, y: np.ndarray, q: int) -> int:
+    """How many q-grams, counted in hashed bins, one of two letter sequences has more than the other: an edit changes 2 q at most."""
+    counts = []
+    for v in (x, y):
+        n = max(len(v) - q + 1, 0)
+        h = np.zeros(n, dtype=np.int64)
+        for k in range(q):
+            h = h * 1_000_003 + v[k : k + n]
+        counts.append(np.bincount((h & 0xFFFFFFFFFFFF) % 4093, minlength=4093))
+    return int(np.abs(counts[0] - counts[1]).sum())
+
+
 def edit_similar(a: bytes, b: bytes, least: float) -> bool:
     """1 - (edit distance of characters) / (longer length) >= least, exactly.
 
     Equal ends are cut off first; the distance can only come from what lies between. Upper bounds accept most pairs,
-    a lower one (an edit changes four letter pairs at most) rejects others, bit-parallel dynamic programming decides the rest.
+    lower ones (an edit changes 2 q letter q-grams at most) reject others, bit-parallel dynamic programming decides the rest.
     """
     s, t = a.decode("utf-8", "surrogatepass"), b.decode("utf-8", "surrogatepass")
     longest = max(len(s), len(t))
@@ -259,11 +271,12 @@ def edit_similar(a: bytes, b: bytes, least: float) -> bool:
     if len(words) == len(others) and sum(max(len(v), len(w)) for v, w in zip(words, others, strict=True) if v != w) <= most:
         return True  # replacing the words that differ, place by place, is cheap enough
     x, y = x[head : len(x) - tail].astype(np.int64), y[head : len(y) - tail].astype(np.int64)
-    pairs = [np.bincount((v[:-1] * 257 + v[1:]) % 1021, minlength=1021) for v in (x, y)]
-    if np.abs(pairs[0] - pairs[1]).sum() > 4 * most + 4:
+    if _grams_apart(x, y, 2) > 4 * most:
         return False
     if _aligned_cost(words, others) <= most:
         return True
+    if any(_grams_apart(x, y, q) > 2 * q * most for q in (3, 4)):
+        return False
     if len(s) > len(t):
         s, t = t, s
     peq: dict[str, int] = {}
@@ -468,7 +481,9 @@ def verified_links(rows: DataFrame, bands: int, radius: int, least: float) -> Da
 
     def run(batches):
         for b in whole_groups(batches, _BUCKET):
-            group, shard, alone = group_numbers(b, _BUCKET), b["shard"].to_numpy(), (~b["band"] | (b["part_a"] == b["part_b"])).to_numpy()
+            group = group_numbers(b, _BUCKET)
+            b = b.iloc[np.lexsort((b["norm"].map(len), group))]  # lines of a length side by side: most links are found early
+            shard, alone = b["shard"].to_numpy(), (~b["band"] | (b["part_a"] == b["part_b"])).to_numpy()
             key, band, fp, norm = b["key"].to_numpy(), b["band"].to_numpy(), b["fp"].to_numpy().view(np.uint64), b["norm"].to_numpy()
             ids, k = np.stack([b["h1"], b["h2"]], axis=1), b[names].to_numpy()
             if bands:
