@@ -88,39 +88,62 @@ def boxes(data, start: int, end: int):
         at += size
 
 
-def describe(data: bytes) -> dict:
-    """Codec, time scale, duration, sample count, chunk ranges and keyframe byte ranges, from boxes and sample tables."""
-    found = {kind: (a, b) for kind, a, b in boxes(data, 0, len(data))}
+def _track(data: bytes, found: dict[bytes, tuple[int, int]]) -> dict:
+    """Codec, time scale, duration, sample count, chunk ranges and keyframe byte ranges of a track, from where its boxes are."""
 
-    def words(kind: bytes, skip: int, size: int = 4):
+    def table(kind: bytes, of: str, skip: int = 4, each: int = 1):
         a, _ = found[kind]
         n = struct.unpack_from(">I", data, a + skip)[0]
-        return n, struct.unpack_from(f">{n}{'Q' if size == 8 else 'I'}", data, a + skip + 4) if size != 12 else struct.unpack_from(f">{3 * n}I", data, a + skip + 4)
+        return struct.unpack_from(f">{n * each}{of}", data, a + skip + 4)
 
     a, _ = found[b"mdhd"]
-    scale, length = struct.unpack_from(">II", data, a + 12)
-    codec = data[found[b"stsd"][0] + 12 : found[b"stsd"][0] + 16].decode("ascii", "replace").strip()
-    same, count = struct.unpack_from(">II", data, found[b"stsz"][0] + 4)
-    sizes = [same] * count if same else list(struct.unpack_from(f">{count}I", data, found[b"stsz"][0] + 12))
-    offsets = words(b"co64", 4, 8)[1] if b"co64" in found else words(b"stco", 4)[1]
-    n, table = words(b"stsc", 4, 12)
-    keys = set(words(b"stss", 4)[1]) if b"stss" in found else set(range(1, count + 1))
-    runs = [(table[3 * i], table[3 * i + 1]) for i in range(n)] + [(len(offsets) + 1, 0)]
+    scale, length = struct.unpack_from(">IQ", data, a + 20) if data[a] == 1 else struct.unpack_from(">II", data, a + 12)
+    a, _ = found[b"stsd"]
+    codec = data[a + 12 : a + 16].decode("ascii", "replace").strip()
+    if b"stsz" in found:
+        same, count = struct.unpack_from(">II", data, found[b"stsz"][0] + 4)
+        sizes = [same] * count if same else list(struct.unpack_from(f">{count}I", data, found[b"stsz"][0] + 12))
+    else:  # sizes of 4, 8 or 16 bits
+        a, _ = found[b"stz2"]
+        bits, count = data[a + 7], struct.unpack_from(">I", data, a + 8)[0]
+        if bits == 4:
+            sizes = [x for v in data[a + 12 : a + 12 + (count + 1) // 2] for x in (v >> 4, v & 15)][:count]
+        else:
+            sizes = list(struct.unpack_from(f">{count}{'B' if bits == 8 else 'H'}", data, a + 12))
+    offsets = table(b"co64", "Q") if b"co64" in found else table(b"stco", "I")
+    chunks = table(b"stsc", "I", each=3)
+    keys = set(table(b"stss", "I")) if b"stss" in found else set(range(1, count + 1))
+    runs = [*zip(chunks[::3], chunks[1::3], strict=True), (len(offsets) + 1, 0)]
     chunk_ranges, key_ranges, sample = [], [], 0
     for (first, per), (until, _) in zip(runs, runs[1:], strict=False):
         for chunk in range(first - 1, until - 1):
             at = offsets[chunk]
-            for _ in range(per):
-                if sample + 1 in keys:
-                    key_ranges.append((at, sizes[sample]))
-                at += sizes[sample]
+            for size in sizes[sample : sample + per]:
                 sample += 1
+                if sample in keys:
+                    key_ranges.append((at, size))
+                at += size
             chunk_ranges.append((offsets[chunk], at - offsets[chunk]))
     if sample != count:
         raise ValueError(f"the chunks hold {sample} samples, the size table {count}")
     return {"codec": codec, "timescale": scale, "duration": length / scale if scale else 0.0, "samples": count, "chunks": chunk_ranges, "keyframes": key_ranges}
 
 
+def describe(data: bytes) -> list[dict]:
+    """The tracks of a container, in their order (see _track). Edit lists are not applied; movie fragments are an error."""
+    tracks: list[dict[bytes, tuple[int, int]]] = []
+    for kind, a, b in boxes(data, 0, len(data)):
+        if kind == b"moof":
+            raise ValueError("movie fragments are not read")
+        if kind == b"trak":
+            tracks.append({})
+        elif tracks:
+            tracks[-1].setdefault(kind, (a, b))
+    if not tracks:
+        raise ValueError("no track")
+    return [_track(data, t) for t in tracks]
+
+
 def media_column(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): each whole text as UTF-8, filled with 255 to a positive multiple of FRAME, in a container.
 
@@ -146,28 +169,43 @@ def media_column(docs: DataFrame) -> DataFrame:
 
 _INDEX = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, "
-    "codec string, duration double, samples long, keyframes array<struct<start: long, length: long>>"
+    "tracks array<struct<codec: string, duration: double, samples: long, keyframes: array<struct<start: long, length: long>>>>, error string"
 )
 
 
+def _indexed(data: bytes | None) -> tuple:
+    """Digests, feature, tracks and error of a stored value."""
+    if not isinstance(data, bytes):
+        return None, None, None, None, None, None, None, "no media"
+    of_file = len(data), hashlib.sha256(data).hexdigest()
+    try:
+        tracks = describe(data)
+        ranges = [r for t in tracks for r in t["chunks"]]
+        if any(a < 0 or a + size > len(data) for a, size in ranges):
+            raise ValueError("a chunk lies outside the file")
+    except (ValueError, KeyError, IndexError, struct.error) as e:
+        return None, None, None, *of_file, None, None, f"{type(e).__name__}: {e}"
+    payload = b"".join(data[a : a + size] for a, size in ranges)
+    features, rows = [], []
+    for d in tracks:
+        first, last = (d["keyframes"][0], d["keyframes"][-1]) if d["keyframes"] else ((0, 0), (0, 0))
+        features.append(f"{d['codec']} {d['timescale']} Hz {d['duration']:.6f} s, {d['samples']} frames, {len(d['keyframes'])} keyframes from {first[0]}+{first[1]} to {last[0]}+{last[1]}")
+        rows.append({"codec": d["codec"], "duration": d["duration"], "samples": d["samples"], "keyframes": [{"start": a, "length": s} for a, s in d["keyframes"]]})
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), *of_file, "; ".join(features), rows, None
+
+
 def media_index(media: DataFrame) -> DataFrame:
-    """What the stored bytes of a media column (doc_id, n_bytes, media) hold: codec, duration, keyframe ranges, digests.
+    """What the stored bytes of a media column (doc_id, n_bytes, media) hold: codec, duration, keyframe ranges of each track, digests.
 
-    Codec, duration and ranges come from boxes and sample tables, whatever the payload is. The payload is then
-    read by the chunk ranges for its digests only. tail_crc32 covers its last 32 bytes.
+    Codec, duration and ranges come from boxes and sample tables, whatever the payload is. The payload, the chunks of all
+    tracks in order, is then read for its digests only. tail_crc32 covers its last 32 bytes. A null or damaged value gives a row
+    whose error says why, with nulls for what could not be read.
     """
 
     def run(batches):
         for b in batches:
-            out = []
-            for doc_id, n, data in b.itertuples(index=False):
-                d = describe(data)
-                payload = b"".join(data[a : a + size] for a, size in d["chunks"])
-                first, last = d["keyframes"][0], d["keyframes"][-1]
-                feature = f"{d['codec']} {d['timescale']} Hz {d['duration']:.6f} s, {d['samples']} frames, {len(d['keyframes'])} keyframes from {first[0]}+{first[1]} to {last[0]}+{last[1]}"
-                out.append(
-                    (doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature, d["codec"], d["duration"], d["samples"], [{"start": a, "length": s} for a, s in d["keyframes"]])
-                )
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in _INDEX.replace(": ", ":").replace("long, length", "long,length").split(", ")])
+            out = [(doc_id, n, *_indexed(data)) for doc_id, n, data in b.itertuples(index=False)]
+            frame = pd.DataFrame(out, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tracks", "error"])
+            yield frame.astype({c: "Int64" for c in ("payload_bytes", "tail_crc32", "media_bytes")})
 
     return media.select("doc_id", "n_bytes", "media").mapInPandas(run, _INDEX)

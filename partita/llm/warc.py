@@ -68,7 +68,7 @@ def decide(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, records_each: int = 2000) -> None:
-    """One WARC record per row of pages, in gzipped archives of at most `records_each` records below path.
+    """One WARC record per row of pages, in plain archives of at most `records_each` records below path: offsets are places in the file.
 
     Spark's own writer stores the records, so the folder may be in any store that Spark reaches. Pages carry no
     time: a page's id counts seconds from a fixed day.
@@ -87,7 +87,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, records_each
             yield pd.DataFrame({"value": out})
 
     rows = decide(pages, min_bytes).mapInPandas(run, "value string")
-    rows.write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", records_each).text(path)
+    rows.write.option("lineSep", _END).option("compression", "none").option("maxRecordsPerFile", records_each).text(path)
 
 
 def read_records(raw: bytes):
@@ -186,8 +186,6 @@ def merge_runs(runs: DataFrame, rows_each: int = 50_000) -> DataFrame:
             for row in b.itertuples(index=False):
                 key = (row.url_key, row.captured_at, not pd.isna(row.page_id), 0 if pd.isna(row.page_id) else row.page_id, row.archive, row.offset)
                 segments.setdefault(row.archive, []).append((key, tuple(row)))
-        for s in segments.values():  # a shuffle may bring a run's blocks in any order; sorted blocks cost little
-            s.sort(key=lambda x: x[0])
         merged, seen, last = [], 0, None
         for place, row in enumerate(LoserTree([segments[k] for k in sorted(segments)])):
             seen = seen + 1 if row[1] == last else 1
@@ -196,7 +194,8 @@ def merge_runs(runs: DataFrame, rows_each: int = 50_000) -> DataFrame:
         frame = pd.DataFrame(merged, columns=["part", *names, "place", "seen"])
         yield frame.astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    cut = runs.repartitionByRange(parts, *order).select(F.spark_partition_id().alias("part"), *names)
+    # a shuffle brings a run's blocks in any order: Spark puts each run's segment together again
+    cut = runs.repartitionByRange(parts, *order).sortWithinPartitions("archive", *order, "offset").select(F.spark_partition_id().alias("part"), *names)
     merged = stored(cut.mapInPandas(run, f"part int, {_CAPTURE}, place long, seen long"), "merged")
     sizes = merged.groupBy("part").agg(F.count("*").alias("n"))  # one row per part
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -15,7 +15,7 @@ def test_containers_give_back_payload_and_keyframes():
         raw = os.urandom(n)
         payload = raw + b"\xff" * (-n % 576 or (0 if n else 576))
         data = media.pack_media(payload)
-        d = media.describe(data)
+        (d,) = media.describe(data)
         assert b"".join(data[a : a + s] for a, s in d["chunks"]) == payload
         assert [data[a : a + s] for a, s in d["keyframes"]] == [payload[k : k + 576] for k in range(0, len(payload), 576 * 16)]
         assert d["codec"] == "raw" and d["duration"] == len(payload) / 8000 and d["samples"] == len(payload) // 576
@@ -38,6 +38,35 @@ def test_media_query_columns(spark, sf):
     assert media.media_index(media.media_column(docs.limit(0))).count() == 0
 
 
+def test_damaged_values_and_several_tracks(spark):
+    one, two = media.pack_media(b"a" * 576), media.pack_media(b"b" * 1152)
+    # a container with both tracks: the second file's boxes follow, its chunk offsets moved
+    (a,), (b,) = media.describe(one), media.describe(two)
+    moved = bytearray(two)
+    for kind, start, _ in media.boxes(two, 0, len(two)):
+        if kind == b"co64":
+            moved[start + 8 : start + 16] = (b["chunks"][0][0] + len(one)).to_bytes(8, "big")
+    both = media.describe(one + bytes(moved))
+    assert [t["samples"] for t in both] == [1, 2] and both[0] == a
+    rows = [(1, 576, one), (2, 0, None), (3, 9, b"not media"), (4, 576, one[:-600]), (5, 1728, one + bytes(moved))]
+    got = {r["doc_id"]: r for r in media.media_index(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()}
+    assert got[1]["error"] is None and all(got[i]["error"] and got[i]["payload_sha256"] is None for i in (2, 3, 4))
+    assert got[5]["payload_sha256"] == hashlib.sha256(b"a" * 576 + b"b" * 1152).hexdigest() and len(got[5]["tracks"]) == 2
+    with pytest.raises(ValueError, match="fragments"):
+        media.describe(media._box(b"moof") + one)
+
+
+def test_sizes_in_few_bits():
+    data = media.pack_media(bytes(1152))
+    where = {kind: (a, b) for kind, a, b in media.boxes(data, 0, len(data))}
+    a, _ = where[b"stsz"]
+    changed = bytearray(data)
+    changed[a - 4 : a] = b"stz2"
+    changed[a : a + 12] = bytes(7) + bytes([4]) + (2).to_bytes(4, "big")
+    track = media._track(bytes(changed), {k: v for k, v in where.items() if k != b"stsz"} | {b"stz2": (a, a + 14)})
+    assert track["samples"] == 2 and all(size < 16 for _, size in track["keyframes"])
+
+
 def test_loser_tree_merges_runs():
     rng = random.Random(10)
     for k in (0, 1, 2, 3, 7, 16):
@@ -66,6 +95,18 @@ def test_history_of_pages(spark):
     assert warc.capture_history(pages.limit(0)).count() == 0
 
 
+def test_records_can_be_fetched_by_their_offsets(spark, sf, tmp_path):
+    pages = spark.read.parquet(f"{sf}/pages.parquet").limit(40)
+    warc.write_archives(pages, str(tmp_path / "w"))
+    archives = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(str(tmp_path / "w"))
+    for r in warc.capture_runs(archives).limit(20).collect():
+        with open(r["archive"].removeprefix("file:"), "rb") as f:
+            f.seek(r["offset"])
+            (fields, payload, at, size), = warc.read_records(f.read(r["length"]) + b"\r\n\r\n")
+        assert fields["WARC-Record-ID"] == f"<urn:page:{r['page_id']}>" and size == r["length"]
+        assert r["record_type"] == "revisit" or warc.payload_digest(payload) == r["payload_digest"]
+
+
 def test_small_payloads_are_all_responses(spark):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcdef"), (4, "u", "abcdef")], "page_id long, url string, html string")
     got = {r["page_id"]: r["refers_to"] for r in warc.capture_history(pages, min_bytes=4).collect()}
