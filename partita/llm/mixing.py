@@ -105,13 +105,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     """(doc_id, size, source_size, target, rate, copies, taken) for every row of docs (doc_id, text, source).
 
     Rates come from balance(). They become copies within groups of about `group` documents of a source, dealt by a
-    hash of the doc_id: from the longest document down, each takes the copies that keep the group's words nearest
+    hash of doc_id and text, so that null or repeated ids are spread: from the longest document down, each takes the copies that keep the group's words nearest
     its due, and hands the difference on to the next shorter one, so a group misses its due by half of a short
     document or so. No document is taken more than `most` times. A null text has size 0 and its copies are
     0; so have sources whose every text is empty. Null is a source of its own. Repeated rows are mixed one by one
     (equal rows in turn), reruns agree. An empty table gives no rows.
     """
-    sized = stored(docs.select(F.col("doc_id").cast("long"), "source", word_count(F.col("text")).alias("size")), "sizes")
+    sized = stored(docs.select(F.col("doc_id").cast("long"), "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("mark")), "sizes")
     targets = stored(source_targets(sized, weights, share, most), "targets")
     histogram = stored(sized.filter("size > 0").groupBy("source", "size").agg(F.count("*").alias("n")), "histogram")
     rates = balance(histogram, targets, most)
@@ -130,8 +130,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     rated = (
         sized.alias("d")
         .join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
-        .select("d.doc_id", "d.size", "d.source", "source_size", "target", F.when(F.col("size") > 0, rate).otherwise(0.0).alias("rate"), "n_docs")
-        .withColumn("part", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n_docs") / group)))
+        .select("d.doc_id", "d.size", "d.mark", "d.source", "source_size", "target", F.when(F.col("size") > 0, rate).otherwise(0.0).alias("rate"), "n_docs")
+        .withColumn("part", F.pmod(F.xxhash64("doc_id", "mark"), F.ceil(F.col("n_docs") / group)))
     )
     member = F.struct((-F.col("size")).alias("minus"), F.col("doc_id"), F.col("rate"))
     grouped = rated.groupBy("source", "part", "source_size", "target").agg(F.sort_array(F.collect_list(member)).alias("docs"))

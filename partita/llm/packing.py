@@ -88,8 +88,8 @@ class OpenBins:
 def pack(pieces: DataFrame, room: int = 2048, open_bins: int = 2048, each: int = 40_000) -> DataFrame:
     """pieces with (sequence_id, offset): gapless, at most `room` ids a sequence.
 
-    The pieces shorter than `room` are dealt by a hash of doc_id and piece to packers of about `each` pieces, so
-    a packer's memory does not grow with the input; it sees them in the order of that hash and keeps at most
+    The pieces shorter than `room` are dealt by row number (pieces should be a written table, so that it holds) to packers of
+    about `each` pieces, so a packer's memory does not grow with the input, however often a row repeats; it sees them in the order of a hash and keeps at most
     `open_bins` bins open. Full pieces are sequences by themselves. Repeated rows are packed one by one.
     """
     short = pieces.filter(F.col("length") < room)
@@ -107,7 +107,7 @@ def pack(pieces: DataFrame, room: int = 2048, open_bins: int = 2048, each: int =
 
     packed = (
         short.withColumn("mark", mark)
-        .withColumn("packer", F.pmod(F.col("mark"), F.lit(packers)))
+        .withColumn("packer", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(packers)))
         .groupBy("packer")
         .applyInPandas(run, f"{_PIECES}, sequence_id long, offset long")
     )
