@@ -42,6 +42,18 @@ class TokenTree:
             tokens += [len(raw) // 4 for raw in enc.encode_many([words_of(x) for x in some])]
         self._build(leaves, tokens)
 
+    @classmethod
+    def of(cls, leaves: list[str], tokens: list[int], enc: WordEncoder) -> TokenTree:
+        """A tree from its stored leaves: nothing is encoded."""
+        tree = cls.__new__(cls)
+        tree.enc, tree.encoded = enc, 0
+        tree._build(list(leaves), list(tokens))
+        return tree
+
+    def counts(self) -> list[int]:
+        """Tokens of each leaf."""
+        return self.tokens[self.width : self.width + len(self.leaves)]
+
     def _build(self, leaves: list[str], tokens: list[int]) -> None:
         width = 1 << (len(leaves) - 1).bit_length()
         pad = [0] * (width - len(leaves))
@@ -117,6 +129,63 @@ class TokenTree:
             self._build(self.leaves[:first] + runs + self.leaves[first + 1 :], self.tokens[at : at + first] + inner + self.tokens[at + first + 1 : at + len(self.leaves)])
 
 
+_TREES = "doc_id long, leaves array<string>, leaf_tokens array<int>, tokens long"
+
+
+def build_trees(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """(doc_id, leaves, leaf_tokens, tokens) for every row of docs (doc_id, text): the trees to keep, as their leaves.
+
+    Written as a table they serve any number of edit batches (edit_trees). Inner nodes are sums of the leaves, so they are made
+    again when a tree is read; no text is encoded for that. A null text is one empty leaf.
+    """
+
+    def run(batches):
+        enc = encoder(tokenizer)
+        for b in batches:
+            out, held = [], 0
+            for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
+                tree = TokenTree(text if isinstance(text, str) else "", enc)
+                out.append((doc_id, tree.leaves, tree.counts(), tree.total))
+                held += tree.chars[1]
+                if held > 4_000_000:
+                    yield pd.DataFrame(out, columns=["doc_id", "leaves", "leaf_tokens", "tokens"])
+                    out, held = [], 0
+            yield pd.DataFrame(out, columns=["doc_id", "leaves", "leaf_tokens", "tokens"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, _TREES)
+
+
+def _number(x) -> int:
+    return 0 if x is None or pd.isna(x) else int(x)
+
+
+def edit_trees(trees: DataFrame, edits: DataFrame, tokenizer: str) -> DataFrame:
+    """trees (build_trees() rows) after edits, with (tokens_before, edits, reencoded_chars); the rules are those of count_edited().
+
+    Trees without an edit pass through as they are. Edited ones encode the touched regions only; written, the result is the
+    input of the next batch of edits.
+    """
+    one = F.struct(*[F.col(c).cast(kind).alias(c) for c, kind in (("seq", "long"), ("start", "long"), ("stop", "long"), ("replacement", "string"))])
+    by_doc = edits.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.sort_array(F.collect_list(one)).alias("changes"))
+    rows = trees.select("doc_id", "leaves", "leaf_tokens", "tokens").join(by_doc, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    names = ["doc_id", "leaves", "leaf_tokens", "tokens", "tokens_before", "edits", "reencoded_chars"]
+
+    def run(batches):
+        enc = encoder(tokenizer)
+        for b in batches:
+            out = []
+            for doc_id, leaves, counts, total, changes in b.itertuples(index=False):
+                tree = TokenTree.of(leaves, counts, enc)
+                for e in changes:
+                    tree.edit(_number(e["start"]), _number(e["stop"]), e["replacement"] or "")
+                out.append((doc_id, tree.leaves, tree.counts(), tree.total, total, len(changes), tree.encoded))
+            yield pd.DataFrame(out, columns=names)
+
+    edited = rows.filter("changes is not null").mapInPandas(run, _TREES + ", tokens_before long, edits int, reencoded_chars long")
+    same = rows.filter("changes is null").select("doc_id", "leaves", "leaf_tokens", "tokens", F.col("tokens").alias("tokens_before"), F.lit(0).alias("edits"), F.lit(0).cast("long").alias("reencoded_chars"))
+    return edited.unionByName(same)
+
+
 def count_edited(docs: DataFrame, edits: DataFrame, tokenizer: str) -> DataFrame:
     """(doc_id, tokens_before, tokens_after, chars_after, edits, reencoded_chars) for every row of docs (doc_id, text).
 
@@ -136,9 +205,6 @@ def count_edited(docs: DataFrame, edits: DataFrame, tokenizer: str) -> DataFrame
 def count_with_edits(rows: DataFrame, tokenizer: str) -> DataFrame:
     """count_edited() where the edits are already an array column of structs (seq, start, stop, replacement) in order."""
 
-    def number(x) -> int:
-        return 0 if x is None or pd.isna(x) else int(x)
-
     def run(batches):
         enc = encoder(tokenizer)
         for b in batches:
@@ -147,7 +213,7 @@ def count_with_edits(rows: DataFrame, tokenizer: str) -> DataFrame:
                 tree = TokenTree(text if isinstance(text, str) else "", enc)
                 before, n = tree.total, 0
                 for e in edits if edits is not None else ():
-                    tree.edit(number(e["start"]), number(e["stop"]), e["replacement"] or "")
+                    tree.edit(_number(e["start"]), _number(e["stop"]), e["replacement"] or "")
                     n += 1
                 out.append((doc_id, before, tree.total, tree.chars[1], n, tree.encoded))
             yield pd.DataFrame(out, columns=["doc_id", "tokens_before", "tokens_after", "chars_after", "edits", "reencoded_chars"])

@@ -8,7 +8,8 @@ import pytest
 from tokenizers import Tokenizer
 
 from partita.llm.packing import OpenBins, pack_documents
-from partita.llm.token_counts import TokenTree, count_edited
+from partita.llm.common import stored
+from partita.llm.token_counts import TokenTree, build_trees, count_edited, edit_trees
 from partita.llm.word_tokens import WordEncoder, words_of
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -118,3 +119,19 @@ def test_edited_counts_edges(spark, tokenizer):
     n = lambda t: len(full(tokenizer, t))
     assert got == sorted([(0, n("d e"), n("d e"), 3, 0), *[(1, n("a b c"), n("zz b"), 4, 2)] * 2, (2, 0, n("new text"), 8, 1), (3, 0, 0, 0, 0)])
     assert count_edited(docs.limit(0), edits, PATH).count() == 0
+
+
+def test_stored_trees_take_further_edits_without_encoding_again(spark, tokenizer):
+    rng = random.Random(12)
+    texts = {i: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(3000)) for i in range(4)} | {9: None}
+    trees = stored(build_trees(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), PATH), "trees")
+    now = {i: t or "" for i, t in texts.items()}
+    for batch in range(2):
+        rows = [(i, 0, at := rng.randrange(len(now[i]) + 1), at + 5, f"new {batch}") for i in (0, 2, 9)] + [(None, 0, 0, 1, "x"), (77, 0, 0, 1, "x")]
+        trees = stored(edit_trees(trees, spark.createDataFrame(rows, "doc_id long, seq long, start long, stop long, replacement string"), PATH).select("doc_id", "leaves", "leaf_tokens", "tokens", "edits", "reencoded_chars"), "trees")
+        for i, _, a, b, new in rows[:3]:
+            now[i] = now[i][:a] + new + now[i][b:]
+        got = {r["doc_id"]: r for r in trees.collect()}
+        assert {i: r["tokens"] for i, r in got.items()} == {i: len(full(tokenizer, t)) for i, t in now.items()}
+        assert {i: "".join(r["leaves"]) for i, r in got.items()} == now
+        assert all(got[i]["reencoded_chars"] < 100 and got[i]["edits"] == 1 for i in (0, 2)) and got[1]["edits"] == got[1]["reencoded_chars"] == 0
