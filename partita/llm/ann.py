@@ -147,11 +147,11 @@ def shards(sizes: np.ndarray, chunk: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def search(base: DataFrame, queries: Column, k: int = 5, probes: float = 0.85, doubt: float = 2.1, lists: int | None = None, chunk: int | None = None, block: int = 16_384) -> DataFrame:
+def search(base: DataFrame, queries: Column, k: int = 5, probes: float = 0.6, fewest: int = 28, doubt: float = 2.1, lists: int | None = None, chunk: int | None = None, block: int = 16_384) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found by cosine for each row of base (vec_id, embedding) that `queries` picks.
 
     Candidates are all rows but the query's own. There are as many lists as the root of the rows (64 to 1024) unless
-    `lists` says so. A query scans the share `probes` of the lists (more where those hold too few rows). Lists lie side
+    `lists` says so. A query scans the share `probes` of the lists, `fewest` at least (more where those hold too few rows). Lists lie side
     by side in shards of about `chunk` rows (by default two for each slot of the cluster, 65,536 rows at most); a list that is larger is cut by a
     hash of vec_id, so one with a third of all rows is spread. A query goes to a shard once, with up to `block` others: there its
     nearest list is compared first, and its k-th distance so far is carried from list to list, so later ones are left
@@ -182,7 +182,7 @@ def search(base: DataFrame, queries: Column, k: int = 5, probes: float = 0.85, d
     chunk = chunk or min(65_536, max(1024, -(-total // (2 * spark.sparkContext.defaultParallelism))))
     cut = shards(index.sizes, chunk)
     sized = spark.sparkContext.broadcast((index.centroids, index.sizes, cut))
-    most = max(1, int(np.ceil(probes * len(index.centroids))))
+    most = max(1, min(fewest, len(index.centroids)), int(np.ceil(probes * len(index.centroids))))
 
     def probe(batches):
         centroids, sizes, cut = sized.value
