@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partita.functions.special import digamma, lgamma
+from partita.operators.dependence import mutual_info_matrix
 from partita.operators.parameters import _columns, class_prior
 from partita.operators.scoring import ForestModel
 
@@ -357,8 +358,8 @@ def learn_partitions(features: DataFrame, numeric: Sequence[str] = (), domains:
     incremental: from independent attributes; a round may cover one of the `alpha` pairs of highest dependence with a
     new latent, join a free attribute to a latent, add an arc or a state. refine: from a given model (or none), all
     moves: states, removing, inserting and adding latents, relocating attributes. tree: refine's moves, arcs between
-    latents included, until one tree explains what it can. Dependence is |correlation| or mutual information of the
-    expected states, taken from the data once for attribute pairs.
+    latents included, until one tree explains what it can. Dependence is the mutual information of attribute
+    pairs, taken from the data once (ranked_pairs).
     """
     domains = dict(domains or {})
     ranked = ranked_pairs(features, numeric, domains)
@@ -382,11 +383,30 @@ def learn_partitions(features: DataFrame, numeric: Sequence[str] = (), domains:
 
 
 def ranked_pairs(features: DataFrame, numeric: Sequence[str], domains: Mapping[str, Sequence[str]]) -> list[tuple[str, str]]:
-    """Attribute pairs by dependence, strongest first, in one aggregate: correlation of numbers, of indicators, or both."""
-    cells = {c: [F.col(c).cast("double")] for c in numeric} | {c: [(F.col(c) == v).cast("double") for v in list(d)[:-1] or list(d)] for c, d in domains.items()}
-    pairs = list(itertools.combinations(cells, 2))
-    one = features.agg(*[F.greatest(F.lit(0.0), *[F.coalesce(F.abs(F.corr(x, y)), F.lit(0.0)) for x in cells[a] for y in cells[b]]).alias(str(i)) for i, (a, b) in enumerate(pairs)]).first()
-    return [pairs[i] for i in sorted(range(len(pairs)), key=lambda i: (-one[str(i)], pairs[i]))]
+    """Attribute pairs by mutual information in nats, highest first, ties by name.
+
+    Discrete pairs are counted; numeric ones are taken as normal, -ln(1 - r^2) / 2, and so are mixed ones with the share of
+    variance that lies between states. Three aggregates, whatever the number of attributes.
+    """
+    found: dict[tuple[str, str], float] = {}
+    order = [*numeric, *domains]
+    of_share = lambda share: -0.5 * math.log(max(1 - min(share or 0.0, 1.0), 1e-12))
+    if len(numeric) > 1:
+        pairs = list(itertools.combinations(numeric, 2))
+        one = features.agg(*[F.coalesce(F.corr(a, b), F.lit(0.0)).alias(str(i)) for i, (a, b) in enumerate(pairs)]).first()
+        found |= {p: of_share(one[str(i)] ** 2 if one[str(i)] == one[str(i)] else 0.0) for i, p in enumerate(pairs)}
+    if len(domains) > 1:
+        found |= {(r["a"], r["b"]): r["mi"] or 0.0 for r in mutual_info_matrix(features, list(domains)).collect()}
+    if numeric and domains:
+        cells = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(d).alias("d"), F.col(c).cast("double").alias("x"), F.col(d).cast("string").alias("s")) for c in numeric for d in domains])
+        groups = features.select(F.inline(cells)).filter("x is not null and s is not null").groupBy("c", "d", "s").agg(F.count("*").alias("n"), F.avg("x").alias("m"), F.var_pop("x").alias("v"))
+        n, mean = F.sum("n"), F.sum(F.col("n") * F.col("m"))
+        inside, square = F.sum(F.col("n") * F.col("v")), F.sum(F.col("n") * F.col("m") * F.col("m"))
+        between = square - mean * mean / n
+        shares = groups.groupBy("c", "d").agg((between / F.nullif(between + inside, F.lit(0.0))).alias("share")).collect()  # a row per pair
+        found |= {(r["c"], r["d"]): of_share(r["share"]) for r in shares}
+    pairs = list(itertools.combinations(order, 2))
+    return sorted(pairs, key=lambda p: (-found.get(p, found.get(p[::-1], 0.0)), p))
 
 
 def forest_edges(model: Forest) -> list[tuple[str, str]]:

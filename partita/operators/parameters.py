@@ -406,3 +406,14 @@ def fit_mixture(features: DataFrame, states: int, numeric: Sequence[str], full:
     rows.unpersist()
     dim = states - 1 + states * (d + (int(joint.sum()) + d) // 2)
     return best | {"n": n, "dim": dim, "bic": best["log_likelihood"] - dim * math.log(n) / 2}
+
+
+def select_mixture(features: DataFrame, numeric: Sequence[str], most: int = 6, **options) -> dict:
+    """The Gaussian mixture with the first number of states, from 1, after which BIC does not rise, with its `states`."""
+    best = {"states": 1} | fit_mixture(features, 1, numeric, **(options | {"candidates": 1}))
+    for k in range(2, most + 1):
+        new = {"states": k} | fit_mixture(features, k, numeric, **options)
+        if new["bic"] <= best["bic"]:
+            break
+        best = new
+    return best

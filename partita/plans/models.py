@@ -146,16 +146,42 @@ def g6_latent_class(t: Tables) -> DataFrame:
     return event_clusters(t)
 
 
+def _mixture_rows(t: Tables, fit: dict, numeric: list[str]) -> DataFrame:
+    """A row per state: weight, means and deviations, with the likelihood and BIC of the model."""
+    rows = []
+    for k, w in enumerate(fit["weights"]):
+        cells = [float(v) for j in range(len(numeric)) for v in (fit["means"][k][j], fit["covariances"][k][j][j] ** 0.5)]
+        rows.append((k, float(w), *cells, fit["log_likelihood"], float(fit["bic"]), fit["n"]))
+    names = [f"{f}_{c} double" for c in numeric for f in ("mean", "deviation")]
+    return t.spark.createDataFrame(rows, ", ".join(["state int", "weight double", *names, "log_likelihood double", "bic double", "n long"]))
+
+
 @query()
 def g9_mixture_diagonal(t: Tables) -> DataFrame:
-    got = parameters.fit_mixture(t.lineitem, 3, ["l_quantity", "l_discount"], steps=12)
-    return t.lineitem.agg(F.count("*").alias("n")).withColumns({"log_likelihood": F.lit(got["log_likelihood"]), "bic": F.lit(float(got["bic"]))})
+    numeric = ["l_quantity", "l_discount"]
+    return _mixture_rows(t, parameters.fit_mixture(t.lineitem, 3, numeric, steps=12), numeric)
 
 
 @query()
 def g10_mixture_full(t: Tables) -> DataFrame:
-    got = parameters.fit_mixture(t.lineitem, 2, ["l_quantity", "l_extendedprice"], full=True, steps=12)
-    return t.lineitem.agg(F.count("*").alias("n")).withColumns({"log_likelihood": F.lit(got["log_likelihood"]), "bic": F.lit(float(got["bic"]))})
+    numeric = ["l_quantity", "l_extendedprice"]
+    return _mixture_rows(t, parameters.fit_mixture(t.lineitem, 2, numeric, full=True, steps=12), numeric)
+
+
+@query("""WITH m AS (SELECT count(*) AS n, avg(l_quantity) AS mq, var_pop(l_quantity) AS vq, avg(l_discount) AS md, var_pop(l_discount) AS vd FROM lineitem)
+     SELECT 0 AS state, 1.0 AS weight, round(mq, 6) AS mean_l_quantity, round(sqrt(vq), 6) AS deviation_l_quantity, round(md, 8) AS mean_l_discount, round(sqrt(vd), 8) AS deviation_l_discount,
+       round(-n / 2.0 * (2 * ln(2 * pi()) + ln(vq) + ln(vd) + 2), 3) AS log_likelihood, n FROM m""")
+def g9_one_component(t: Tables) -> DataFrame:
+    """A mixture of one state is the table's moments, reached in one step."""
+    numeric = ["l_quantity", "l_discount"]
+    out = _mixture_rows(t, parameters.fit_mixture(t.lineitem, 1, numeric, candidates=1, steps=3), numeric)
+    return out.select("state", "weight", *[F.round(c, d).alias(c) for c, d in (("mean_l_quantity", 6), ("deviation_l_quantity", 6), ("mean_l_discount", 8), ("deviation_l_discount", 8), ("log_likelihood", 3))], "n")
+
+
+@query()
+def g11_select_mixture(t: Tables) -> DataFrame:
+    numeric = ["l_quantity", "l_discount"]
+    return _mixture_rows(t, parameters.select_mixture(t.lineitem, numeric, most=3, candidates=2, steps=6), numeric)
 
 
 @query()

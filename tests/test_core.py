@@ -286,3 +286,37 @@ def test_draws_with_null_keys(spark):
     rows = spark.createDataFrame([(None, 1.0), ("k", 5.0)], "k string, x double")
     got = scoring.likelihood_weighting(rows, MixtureModel([0.5, 0.5], {"x": [(0.0, 1.0), (5.0, 1.0)]}), "k", 100).collect()
     assert len(got) == 2 and all(abs(sum(r["probs"]) - 1) < 1e-9 for r in got)
+
+
+def test_planted_groups_are_found(spark, two_partitions):
+    groups, fits = search.group_attributes(two_partitions, FOREST_DOMAINS, candidates=2, steps=15)
+    assert sorted(map(sorted, groups)) == [["a0", "a1", "a2"], ["b0", "b1", "b2"]] and all(m.states >= 2 for m in fits)
+    ranked = forest.ranked_pairs(two_partitions, ["x"], FOREST_DOMAINS)
+    assert len(ranked) == 21 and all(a[0] == b[0] for a, b in ranked[:6]) and {"x"} <= set(ranked[-1]) | set(ranked[-2])
+
+
+def test_binary_trees_do_not_mix_partitions(spark, two_partitions):
+    model = search.learn_binary_forest(two_partitions, "k", FOREST_DOMAINS, "average", rounds=2, steps=10)
+    below = {}
+    for c, z in model.structure.of.items():
+        if z != forest.ALONE:
+            below.setdefault(z, set()).add(c[0])
+    assert below and all(len(kinds) == 1 for kinds in below.values())
+
+
+def test_structural_em_parts_what_one_latent_joins(spark, two_partitions):
+    rows = two_partitions.select("k", *FOREST_DOMAINS)
+    structure = forest.Structure({"u": 2, "v": 2}, {}, {**dict.fromkeys(["a0", "a1", "a2"], "u"), "b0": "u", "b1": "v", "b2": "v"})
+    start = forest.fit_latent_forest(rows, structure, (), FOREST_DOMAINS, candidates=2, steps=15)
+    learnt = search.structural_em(rows, start, "k", (), FOREST_DOMAINS, rounds=2, steps=12)
+    assert learnt.elbo >= start.elbo and learnt.structure.of["b0"] == learnt.structure.of["b1"]
+
+
+def test_mixture_size_and_joint_leaves_are_found(spark):
+    rng = np.random.default_rng(8)
+    z = rng.integers(0, 2, 1200)
+    x = rng.standard_normal(1200) + 8 * z
+    df = spark.createDataFrame([(float(a), float(b), float(c)) for a, b, c in zip(x, 0.9 * (x - 8 * z) + 0.3 * rng.standard_normal(1200) - 6 * z, rng.standard_normal(1200), strict=True)], "x double, y double, w double").cache()
+    assert parameters.select_mixture(df, ["x", "y"], most=3, full=True, candidates=3, steps=15)["states"] == 2
+    found = search.search_pouches(df, ["x", "y", "w"], most_states=3, rounds=4, screen=12, steps=25)
+    assert found["states"] == 2 and ["x", "y"] in [sorted(b) for b in found["blocks"]]
