@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partita.llm.common import slices
+from partita.llm.common import slices, stored
 
 #: Buckets that letter n-grams are hashed into.
 FEATURES = 4096
@@ -195,14 +195,20 @@ def fit(docs: DataFrame, centroids: int = 4, sample_per_lang: int = 1500, tail:
             yield pd.DataFrame(got, columns=["lang", "h", "doc_id", "v"])
 
     sample = known.filter(some & F.col("text").isNotNull()).withColumn("h", spread).mapInPandas(run, "lang string, h long, doc_id long, v binary")
-    by_lang: dict[str, list] = {}
-    for r in sample.collect():
-        by_lang.setdefault(r["lang"], []).append((r["h"], r["doc_id"] if r["doc_id"] is not None else -1, bytes(r["v"])))
+    # the vectors come to the driver one by one, into arrays that are given back as a whole
+    marks: dict[str, list[tuple[int, int, int]]] = {}
+    held: dict[str, np.ndarray] = {}
+    for r in stored(sample, "language-sample").toLocalIterator():
+        mine = marks.setdefault(r["lang"], [])
+        x = held.setdefault(r["lang"], np.empty((sample_per_lang * 5 // 4 + 1, FEATURES), dtype=np.float16))
+        if len(mine) == len(x):
+            x = held[r["lang"]] = np.concatenate([x, np.empty_like(x)])
+        x[len(mine)] = np.frombuffer(r["v"], dtype=np.float16)
+        mine.append((r["h"], r["doc_id"] if r["doc_id"] is not None else -1, len(mine)))
     rows, langs = [], []
-    for lang in sorted(by_lang):
-        kept = sorted(by_lang[lang])[:sample_per_lang]
-        x = np.stack([np.frombuffer(v, dtype=np.float16) for *_, v in kept]).astype(np.float32)
-        found = _clusters(x, centroids)
+    for lang in sorted(marks):
+        kept = [i for *_, i in sorted(marks[lang])[:sample_per_lang]]
+        found = _clusters(held.pop(lang)[kept].astype(np.float32), centroids)
         rows.append(found)
         langs += [lang] * len(found)
     model = Centroids(idf, np.concatenate(rows) if rows else np.zeros((0, FEATURES), np.float32), langs)
