@@ -329,7 +329,7 @@ def j1_gaussian_scores(t: Tables) -> DataFrame:
     """Families with nulls in other places, each over its own complete rows."""
     scores = search.gaussian_family_scores(holed_lines(t), [(y, frozenset({x})) for y, x, g in _LINEAR if not g])
     rows = [(r["child"], r["parents"], r["n"], float(r["log_likelihood"]), r["dim"], float(r["bic"])) for r in scores]
-    return _round(t.spark.createDataFrame(rows, "child string, parents string, n long, log_likelihood double, dim int, bic double"), 2, "log_likelihood", "bic")
+    return _round(t.spark.createDataFrame(rows, "child string, parents string, n long, log_likelihood double, dim long, bic double"), 2, "log_likelihood", "bic")
 
 
 @query(_linear_sql(True))
