@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partita.llm import ann, hard_negatives, language_id, line_dedup, lm_score, media, mixing, near_dedup, packing, token_counts, warc
+from partita.llm import ann, hard_negatives, language_id, line_dedup, lm_score, media, mixing, near_dedup, packing, secret_scan, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,6 +89,11 @@ def op11_four_russians(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(_table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
 
 
+def op12_value_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document and how many sources hold them: a document is a repository, its source the owner."""
+    return secret_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py, one after the other."""
     import corpus_pipeline
@@ -110,6 +115,7 @@ QUERIES = {
         op9_iso_media,
         op10_edited_counts,
         op11_four_russians,
+        op12_value_owners,
         pipeline,
     )
 }
@@ -151,4 +157,46 @@ ORACLE_SQL = {
         FROM positive p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
           AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
         QUALIFY rank <= 5""",
+    "op12_value_owners": r"""
+        WITH patterns AS (
+          SELECT * FROM (VALUES
+            (0, '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'),
+            (1, 'AKIA[A-Z0-9]+'), (2, '[0-9a-f]+')) t(kind, pattern)),
+        docs AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents),
+        cut AS (
+          SELECT rid, kind, pattern, unnest(regexp_split_to_array(text, pattern)) AS piece, unnest(regexp_extract_all(text, pattern)) AS hit,
+                 generate_subscripts(regexp_split_to_array(text, pattern), 1) AS i FROM docs, patterns),
+        placed AS (
+          SELECT *, CAST(sum(length(piece) + coalesce(length(hit), 0)) OVER (PARTITION BY rid, kind ORDER BY i) AS BIGINT) AS stop FROM cut),
+        valued AS (
+          SELECT rid, kind, stop - length(hit) AS start, stop, CASE WHEN kind = 0 THEN regexp_extract(hit, pattern, 2) ELSE hit END AS value
+          FROM placed WHERE hit IS NOT NULL),
+        base AS (SELECT * FROM valued WHERE length(value) >= CASE kind WHEN 0 THEN 8 WHEN 1 THEN 16 ELSE 32 END),
+        left_over AS (SELECT rid, i AS part, piece, stop - length(piece) - coalesce(length(hit), 0) AS origin FROM placed WHERE kind = 0),
+        word_cut AS (
+          SELECT rid, part, origin, unnest(regexp_split_to_array(piece, '[A-Za-z0-9_+-]{16,}')) AS piece, unnest(regexp_extract_all(piece, '[A-Za-z0-9_+-]{16,}')) AS hit,
+                 generate_subscripts(regexp_split_to_array(piece, '[A-Za-z0-9_+-]{16,}'), 1) AS i FROM left_over),
+        word_placed AS (
+          SELECT rid, hit, origin + CAST(sum(length(piece) + coalesce(length(hit), 0)) OVER (PARTITION BY rid, part ORDER BY i) AS BIGINT) AS stop FROM word_cut),
+        words AS (
+          SELECT rid, 3 AS kind, stop - length(hit) AS start, stop, hit AS value FROM word_placed
+          WHERE hit IS NOT NULL AND regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Za-z]') AND NOT regexp_matches(hit, 'AKIA[A-Z0-9]{12,}|[0-9a-f]{32,}')
+            AND len(list_distinct(string_split(hit, ''))) >= 8),
+        every AS (SELECT * FROM base UNION ALL SELECT * FROM words),
+        owners AS (
+          SELECT value, count(DISTINCT coalesce('+' || source, '')) AS owners, count(DISTINCT coalesce('+' || doc_id, '')) AS repositories
+          FROM every JOIN docs USING (rid) GROUP BY value),
+        spans AS (
+          SELECT e.*, o.owners, o.repositories, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || start || ':' || stop AS span
+          FROM every e JOIN owners o USING (value) WHERE kind < 3 OR o.owners <= 1),
+        each AS (
+          SELECT rid, count_if(kind = 0) AS n_assign, count_if(kind = 1) AS n_access, count_if(kind = 2) AS n_hex, count_if(kind = 3) AS n_owned,
+                 string_agg(span, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg(span, ',' ORDER BY start, kind) AS spans,
+                 count_if(owners <= 1) AS n_live, count_if(owners = 2) AS n_shared, count_if(owners >= 3) AS n_copied, max(repositories) AS repositories
+          FROM spans GROUP BY rid)
+        SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access, CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex,
+               sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, CAST(coalesce(n_owned, 0) AS BIGINT) AS n_owned,
+               CAST(coalesce(n_live, 0) AS BIGINT) AS n_live, CAST(coalesce(n_shared, 0) AS BIGINT) AS n_shared, CAST(coalesce(n_copied, 0) AS BIGINT) AS n_copied,
+               CAST(coalesce(repositories, 0) AS BIGINT) AS repositories
+        FROM docs LEFT JOIN each USING (rid)""",
 }
