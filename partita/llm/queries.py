@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partita.llm import ann, hard_negatives, language_id, line_dedup, lm_score, media, mixing, near_dedup, packing, secret_scan, token_counts, warc
+from partita.llm import ann, hard_negatives, language_id, line_dedup, lm_score, media, mixing, near_dedup, packing, secret_scan, token_align, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,6 +94,12 @@ def op12_value_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_table(spark, sf_dir, "documents"))
 
 
+def op13_lockstep_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of a byte-level and a sentencepiece vocabulary line up in every document."""
+    files = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return token_align.corpus_alignment(_table(spark, sf_dir, "documents"), *files)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py, one after the other."""
     import corpus_pipeline
@@ -116,6 +122,7 @@ QUERIES = {
         op10_edited_counts,
         op11_four_russians,
         op12_value_owners,
+        op13_lockstep_links,
         pipeline,
     )
 }
