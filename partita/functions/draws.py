@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,3 +18,13 @@ def uniform_sql(*parts: str) -> str:
     """The same in DuckDB's SQL."""
     words = ", ".join(f"coalesce(CAST({p} AS VARCHAR), '')" for p in parts)
     return f"((CAST(concat('0x', substr(md5(concat_ws(':', {words})), 1, 12)) AS BIGINT) + 0.5) / 281474976710656.0)"
+
+
+def normal(*parts: Column) -> Column:
+    """A standard normal number from two uniform ones."""
+    return F.sqrt(-2 * F.ln(uniform(*parts))) * F.cos(2 * math.pi * uniform(*parts, F.lit("'")))
+
+
+def normal_sql(*parts: str) -> str:
+    """The same in DuckDB's SQL."""
+    return f"""(sqrt(-2 * ln({uniform_sql(*parts)})) * cos({2 * math.pi!r} * {uniform_sql(*parts, "chr(39)")}))"""

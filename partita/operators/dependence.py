@@ -10,7 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from partita.functions.draws import normal
 from partita.functions.special import digamma
+from partita.operators.neighbours import knn_join
 from partita.operators.ranks import running_total
 from partita.sources.scratch import stored
 
@@ -113,46 +115,6 @@ def partition_nmi(posteriors: DataFrame, key: str, a: str, b: str) -> DataFrame:
     return entropy_family(joint).select("mi", "nmi")
 
 
-_METRICS = {
-    "euclidean": lambda d: np.sqrt((d * d).sum(axis=2)),
-    "manhattan": lambda d: np.abs(d).sum(axis=2),
-    "chebyshev": lambda d: np.abs(d).max(axis=2),
-}
-
-
-def knn_join(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int, metric: str = "euclidean", block: int = 2048) -> DataFrame:
-    """(key_q, key, distance, rank): the k nearest rows of base for each query row, itself excluded, ties by key. Exact.
-
-    Both sides are dealt to blocks of about `block` rows and every pair of blocks meets in one task, which keeps the
-    k best of each query; the quadratic work is inherent (use radius_join where a radius is known).
-    """
-    nq, nb = max(1, -(-queries.count() // block)), max(1, -(-base.count() // block))
-    deal = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    vec = F.col(vector).cast("array<double>").alias("v")
-    q = queries.select(deal(nq).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("j"), F.col(key).alias("key"), vec)
-    b = base.select(F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("i"), deal(nb).alias("j"), F.col(key).alias("key"), vec)
-    apart, kind = _METRICS[metric], base.schema[key].dataType.simpleString()
-
-    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return pd.DataFrame({"key_q": [], "key": [], "distance": []})
-        y = y.sort_values("key", kind="stable")
-        ids, base_v = y["key"].to_numpy(), np.stack(y["v"])
-        got = []
-        for at in range(0, len(x), 64):
-            part = x.iloc[at : at + 64]
-            d = apart(np.stack(part["v"])[:, None, :] - base_v[None, :, :])
-            d[part["key"].to_numpy()[:, None] == ids[None, :]] = np.inf
-            near = np.argsort(d, axis=1, kind="stable")[:, :k]
-            got.append((np.repeat(part["key"].to_numpy(), near.shape[1]), ids[near].ravel(), np.take_along_axis(d, near, 1).ravel()))
-        out = pd.DataFrame(dict(zip(("key_q", "key", "distance"), map(np.concatenate, zip(*got, strict=True)), strict=True)))
-        return out[np.isfinite(out["distance"])]
-
-    met = q.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(meet, f"key_q {kind}, key {kind}, distance double")
-    rank = F.row_number().over(Window.partitionBy("key_q").orderBy("distance", "key"))
-    return met.withColumn("rank", rank).filter(F.col("rank") <= k)
-
-
 def radius_join(queries: DataFrame, base: DataFrame, key: str, columns: Sequence[str], radius: float, metric: str = "euclidean") -> DataFrame:
     """(key_q, key, distance): all rows of base within the radius (> 0) of each query row, itself excluded.
 
@@ -195,8 +157,24 @@ def _with_psi(df: DataFrame, column: str, name: str) -> DataFrame:
     return df.withColumn(name, psi(F.col(column)))
 
 
-def mutual_info_continuous(df: DataFrame, key: str, x: str, y: str, k: int = 3) -> float:
-    """Nearest-neighbour estimate of mutual information in nats, not below 0: Chebyshev k-th neighbours, then strict counts on each axis. Keys are unique."""
+def jittered(df: DataFrame, key: str, columns: Sequence[str], size: float = 1e-10, seed: int = 0) -> DataFrame:
+    """df whose columns have a little normal noise each, in units of max(1, mean magnitude of the column), drawn from key, column and seed.
+
+    Neighbour estimates take tied values (as scores of questionnaires have them) for exact repeats and overrate what they
+    share; with noise ties fall in a random order, the same in every run.
+    """
+    means = df.agg(*[F.avg(F.abs(F.col(c).cast("double"))).alias(str(i)) for i, c in enumerate(columns)]).first()
+    noise = {c: F.col(c).cast("double") + size * max(1.0, means[str(i)] or 0.0) * normal(F.col(key), F.lit(c), F.lit(seed)) for i, c in enumerate(columns)}
+    return df.withColumns(noise)
+
+
+def mutual_info_continuous(df: DataFrame, key: str, x: str, y: str, k: int = 3, jitter: float = 0.0, seed: int = 0) -> float:
+    """Nearest-neighbour estimate of mutual information in nats, not below 0: Chebyshev k-th neighbours, then strict counts on each axis.
+
+    Keys are unique. jitter: noise that parts ties, see jittered(); without it tied values make the estimate far too high.
+    """
+    if jitter:
+        df = jittered(df, key, [x, y], jitter, seed)
     rows = df.select(F.col(key).alias("key"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
     n = rows.count()
     if n <= k:
@@ -250,8 +228,8 @@ def robinson_foulds(trees: DataFrame) -> DataFrame:
     A partition is a parent with its set of children. Names of latent parents should be passed as null if they are to
     be ignored.
     """
-    parts = trees.groupBy("model", "parent").agg(F.array_join(F.sort_array(F.collect_list(F.col("child").cast("string"))), "|").alias("children"))
-    parts = parts.select("model", F.concat_ws(":", F.col("parent").cast("string"), "children").alias("part")).distinct()
+    parts = trees.groupBy("model", "parent").agg(F.sort_array(F.collect_set(F.col("child").cast("string"))).alias("children"))
+    parts = parts.select("model", F.struct("parent", "children").alias("part")).distinct()
     sizes = parts.groupBy("model").agg(F.count("*").alias("n"))
     everyone = sizes.groupBy().agg(F.collect_list(F.struct("model", "n")).alias("all"))
     pairs = everyone.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y")).filter("x.model < y.model")

@@ -337,6 +337,8 @@ def fit_mixture(features: DataFrame, states: int, numeric: Sequence[str], full:
     rows = features.dropna(subset=list(numeric)).select(*[F.col(c).cast("double").alias(c) for c in numeric])
     one = rows.agg(F.count("*").alias("n"), *[f(c).alias(f"{p}{c}") for c in numeric for p, f in (("m", F.avg), ("v", F.var_pop))]).first()
     n, d = one["n"], len(numeric)
+    if not n:
+        raise ValueError("no row has a value in every column")
     centre, var = np.array([one[f"m{c}"] for c in numeric]), np.array([max(one[f"v{c}"], 1e-12) for c in numeric])
     groups = blocks if blocks is not None else [list(numeric)] if full else [[c] for c in numeric]
     joint = np.zeros((d, d), dtype=bool)

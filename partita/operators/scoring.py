@@ -111,10 +111,10 @@ def impute_with_model(df: DataFrame, model: MixtureModel) -> DataFrame:
 
 
 def order_states(df: DataFrame, label: str) -> DataFrame:
-    """df whose labels are renumbered by their frequency, rarest first, ties by label. The map is one row per label."""
+    """df whose labels are renumbered by their frequency, rarest first, ties by label; null labels stay null. The map is one row per label."""
     rank = F.row_number().over(Window.orderBy("_n", label)) - 1
-    names = df.groupBy(label).agg(F.count("*").alias("_n")).select(label, rank.alias("_new"))
-    return df.join(F.broadcast(names), label).withColumn(label, F.col("_new")).drop("_new")
+    names = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("_n")).select(label, rank.alias("_new"))
+    return df.join(F.broadcast(names), label, "left").withColumn(label, F.col("_new")).select(*df.columns)
 
 
 def most_probable_state(df: DataFrame, tables: Mapping[str, Mapping[tuple, Mapping]], parents: Mapping[str, Sequence[str]], variables: Sequence[str], limit: int = 4096) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partita.functions.draws import uniform_sql
+from partita.functions.draws import normal_sql, uniform_sql
 from partita.operators import compare, dependence, missing
 from partita.plans.preparation import HOLED, _round, holed
 from partita.plans.registry import Tables, query
@@ -197,6 +197,18 @@ def f2_mutual_info_continuous(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(round(mi, 6),)], "mi double")
 
 
+def _noisy_sql(name: str, value: str) -> str:
+    return f"""({value} + 1e-6 * greatest(1, (SELECT avg({value}) FROM part)) * {normal_sql("p_partkey", f"'{name}'", "0")})"""
+
+
+@query(f"SELECT * FROM {_continuous_sql(_noisy_sql('size', 'p_size % 3'), _noisy_sql('price', 'p_size % 2 + p_partkey % 2'))}")
+def f2_mutual_info_jittered(t: Tables) -> DataFrame:
+    """Columns of few values, whose ties are parted by noise."""
+    rows = t.part.select("p_partkey", (F.col("p_size") % 3).alias("size"), (F.col("p_size") % 2 + F.col("p_partkey") % 2).alias("price"))
+    mi = dependence.mutual_info_continuous(rows, "p_partkey", "size", "price", jitter=1e-6)
+    return t.spark.createDataFrame([(round(mi, 6),)], "mi double")
+
+
 @query(f"SELECT * FROM {_mixed_sql('p_brand', 'p_retailprice')}")
 def f3_mutual_info_mixed(t: Tables) -> DataFrame:
     return _round(dependence.mutual_info_mixed(t.part, "p_brand", "p_retailprice"), 6, "mi")
@@ -241,6 +253,17 @@ def f7_radius_join(t: Tables) -> DataFrame:
     return _round(dependence.radius_join(t.part, t.part, "p_partkey", ["p_size", "p_retailprice"], 1.5), 6, "distance")
 
 
+@query("""SELECT key_q, key, round(d, 6) AS distance, rank FROM (SELECT a.p_partkey AS key_q, b.p_partkey AS key, greatest(abs(a.p_size - b.p_size), abs(a.p_retailprice - b.p_retailprice)) AS d,
+       row_number() OVER (PARTITION BY a.p_partkey ORDER BY greatest(abs(a.p_size - b.p_size), abs(a.p_retailprice - b.p_retailprice)), b.p_partkey) AS rank
+     FROM (SELECT * FROM part WHERE p_partkey % 3 <> 1) a JOIN (SELECT * FROM part WHERE p_size <> 7) b ON a.p_partkey <> b.p_partkey) WHERE rank <= 4""")
+def f6_knn_holed(t: Tables) -> DataFrame:
+    """Queries and base differ; vectors without a size are null or hold a null and are left out."""
+    point = F.array(F.when(F.col("p_size") != 7, F.col("p_size")).cast("double"), F.col("p_retailprice"))
+    base = t.part.select("p_partkey", point.alias("v"))
+    asked = t.part.select("p_partkey", F.when(F.col("p_partkey") % 3 != 1, F.array(F.col("p_size").cast("double"), F.col("p_retailprice"))).alias("v"))
+    return _round(dependence.knn_join(asked, base, "p_partkey", "v", 4, "chebyshev", cell=256), 6, "distance")
+
+
 @query("""SELECT a.vec_id, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS euclidean, round(list_sum(list_transform(range(1, 65), lambda i: abs(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE))), 6) AS manhattan,
      round(list_max(list_transform(range(1, 65), lambda i: abs(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE))), 6) AS chebyshev FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
 def f8_distance(t: Tables) -> DataFrame:
