@@ -8,13 +8,13 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from partita.functions.draws import uniform
+from partita.functions.draws import normal, uniform
 
 
 @dataclass
@@ -94,20 +94,21 @@ def score_model(df: DataFrame, model: MixtureModel, dim: str = "free") -> DataFr
     return one.withColumns({"dim": F.lit(d), "aic": ll - d, "bic": ll - d * F.ln("n") / 2})
 
 
-def impute_with_model(df: DataFrame, model: MixtureModel) -> DataFrame:
-    """Nulls become the posterior mean, or the most probable value, given the row's observed cells."""
-    probs = posterior(df, model)
-    r = F.col(f"{model.latent}_probs")
-    fills = {}
-    for c, params in model.gaussian.items():
-        means = F.array(*[F.lit(float(m)) for m, _ in params])
-        fills[c] = F.coalesce(F.col(c).cast("double"), F.aggregate(F.zip_with(r, means, lambda p, m: p * m), F.lit(0.0), lambda s, x: s + x))
-    for c, params in model.discrete.items():
+def _fills(gaussian: Mapping, discrete: Mapping, probs: Callable[[str], Column]) -> dict[str, Column]:
+    """Each attribute, its nulls replaced by the mean, or the most probable value, under its parent's state probabilities."""
+    mixed = lambda r, values: F.aggregate(F.zip_with(r, F.array(*[F.lit(float(v)) for v in values]), lambda p, m: p * m), F.lit(0.0), lambda s, x: s + x)
+    fills = {c: F.coalesce(F.col(c).cast("double"), mixed(probs(c), [m for m, _ in params])) for c, params in gaussian.items()}
+    for c, params in discrete.items():
         values = list(params[0])
-        weight = lambda v, params=params: F.aggregate(F.zip_with(r, F.array(*[F.lit(float(s.get(v, 0))) for s in params]), lambda p, q: p * q), F.lit(0.0), lambda s, x: s + x)
-        scores = F.array(*[weight(v) for v in values])
+        scores = F.array(*[mixed(probs(c), [s.get(v, 0) for s in params]) for v in values])
         fills[c] = F.coalesce(F.col(c), F.element_at(F.array(*[F.lit(v) for v in values]), F.array_position(scores, F.array_max(scores)).cast("int")))
-    return probs.withColumns(fills).drop(f"{model.latent}_probs")
+    return fills
+
+
+def impute_with_model(df: DataFrame, model: MixtureModel) -> DataFrame:
+    """Nulls become the posterior mean, or the most probable value, given the row's observed cells."""
+    name = f"{model.latent}_probs"
+    return posterior(df, model).withColumns(_fills(model.gaussian, model.discrete, lambda c: F.col(name))).drop(name)
 
 
 def order_states(df: DataFrame, label: str) -> DataFrame:
@@ -280,3 +281,76 @@ def forest_score(df: DataFrame, model: ForestModel) -> DataFrame:
     d, ll = model.dimension(), F.col("log_likelihood")
     one = forest_log_likelihood(df, model).agg(F.count("*").alias("n"), F.sum("log_likelihood").alias("log_likelihood"))
     return one.withColumns({"dim": F.lit(d), "aic": ll - d, "bic": ll - d * F.ln("n") / 2})
+
+
+def impute_with_forest(df: DataFrame, model: ForestModel) -> DataFrame:
+    """Nulls become the mean, or the most probable value (the first of equals), of the attribute given all observed cells of the row.
+
+    Given its latent an attribute does not depend on the others, so the exact posterior of that latent, to which every
+    tree sends what is observed, is all that a missing cell needs. Attributes without a latent get their overall mean or commonest value.
+    """
+    names = [f"{z}_probs" for z in model.cards]
+    alone = F.array(F.lit(1.0))
+    probs = lambda c: F.col(f"{model.of[c]}_probs") if model.of[c] else alone
+    return forest_posterior(df, model).withColumns(_fills(model.gaussian, model.discrete, probs)).drop(*names)
+
+
+def _drawn(draw: Column, probs: Sequence[float]) -> Column:
+    """The state in whose share of (0, 1) a draw falls."""
+    if len(probs) == 1:
+        return F.lit(0)
+    expr = None
+    for s, reached in enumerate(itertools.accumulate(probs[:-1])):
+        expr = F.when(draw < reached, F.lit(s)) if expr is None else expr.when(draw < reached, F.lit(s))
+    return expr.otherwise(F.lit(len(probs) - 1))
+
+
+def forest_sample(rows: DataFrame, key: str, model: ForestModel, seed: int = 0, hide: float = 0.0, keep_latents: bool = True) -> DataFrame:
+    """(key, the latents, the attributes): one draw from the model for each row, parents before children.
+
+    A draw follows from the key, the name and the seed, so reruns agree (null is a key like others, equal keys get equal draws). Cells are lost with probability `hide`.
+    """
+    u = lambda name: uniform(F.col(key), F.lit(name), F.lit(seed))
+    df = rows.select(key)
+    of = lambda z, options: F.element_at(F.array(*options), F.col(z) + 1) if z else options[0]
+    for z in reversed(model.leaves_first()):
+        df = df.withColumn(f"_u_{z}", u(z)).withColumn(z, of(model.up.get(z, ""), [_drawn(F.col(f"_u_{z}"), row) for row in model.latents[z]])).drop(f"_u_{z}")
+    cells = {}
+    for c, params in model.gaussian.items():
+        z = model.of[c]
+        cells[c] = of(z, [F.lit(float(m)) for m, _ in params]) + of(z, [F.lit(math.sqrt(v)) for _, v in params]) * normal(F.col(key), F.lit(c), F.lit(seed))
+    for c, params in model.discrete.items():
+        pick = lambda table, c=c: F.element_at(F.array(*[F.lit(v) for v in table]), _drawn(u(c), list(table.values())) + 1)
+        cells[c] = of(model.of[c], [pick(table) for table in params])
+    if hide:
+        cells = {c: F.when(u(c + "?") >= hide, e) for c, e in cells.items()}
+    df = df.withColumns(cells)
+    return df if keep_latents else df.drop(*model.cards)
+
+
+def forest_likelihood_weighting(df: DataFrame, model: ForestModel, key: str, samples: int = 1000, seed: int = 0) -> DataFrame:
+    """(key, log_evidence, <z>_probs of every latent): estimates from `samples` draws of all latents per row, each weighted by the density of the row's cells.
+
+    Latents are drawn from the top of each tree down, the cells are clamped. Draws follow from the key (null is a key like any other), the
+    draw's number, the latent's name and the seed. Where every draw has weight zero the results are null.
+    """
+    numbers = F.sequence(F.lit(0), F.lit(samples - 1))
+    rows = df.withColumns({f"_d_{z}": F.array(*[sum(_attribute_log(model, z, s), F.lit(0.0)) for s in range(k)]) for z, k in model.cards.items()})
+    rows = rows.withColumns({"_alone": sum(_attribute_log(model, "", 0), F.lit(0.0))} | {f"_u_{z}": F.transform(numbers, lambda i: uniform(F.col(key), i, F.lit(z), F.lit(seed))) for z in model.cards})
+    order = list(reversed(model.leaves_first()))
+    for z in order:
+        above, tables = model.up.get(z), model.latents[z]
+        if above is None:
+            states = F.transform(f"_u_{z}", lambda u: _drawn(u, tables[0]))
+        else:
+            states = F.zip_with(f"_u_{z}", f"_s_{above}", lambda u, p: F.element_at(F.array(*[_drawn(u, row) for row in tables]), p + 1))
+        rows = rows.withColumn(f"_s_{z}", states)
+    logs = F.transform(numbers, lambda i: F.lit(0.0))
+    for z in order:
+        logs = F.zip_with(logs, f"_s_{z}", lambda x, s: x + F.element_at(F.col(f"_d_{z}"), s + 1))
+    rows = rows.withColumn("_w", logs).withColumn("_top", F.array_max("_w")).withColumn("_e", F.transform("_w", lambda x: F.exp(x - F.col("_top"))))
+    total = F.nullif(F.aggregate("_e", F.lit(0.0), lambda s, x: s + x), F.lit(0.0))
+    share = lambda z, s: F.aggregate(F.zip_with(f"_s_{z}", "_e", lambda t, x: F.when(t == s, x).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x) / F.col("_total")
+    rows = rows.withColumn("_total", F.when(F.col("_top") > -1e299, total))
+    probs = [F.array(*[share(z, s) for s in range(k)]).alias(f"{z}_probs") for z, k in model.cards.items()]
+    return rows.select(key, (F.col("_top") + F.ln(F.col("_total") / samples) + F.col("_alone")).alias("log_evidence"), *probs)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partita.operators import dependence, describe, forest, parameters, scoring, search
-from partita.functions.draws import uniform_sql
+from partita.functions.draws import normal_sql, uniform_sql
 from partita.operators.scoring import ForestModel, MixtureModel
 from partita.plans.preparation import HOLED, _round, holed
 from partita.plans.registry import Tables, query
@@ -273,6 +273,68 @@ def e5_impute_with_model(t: Tables) -> DataFrame:
     return _round(scoring.impute_with_model(holed(t), GIVEN).select("o_orderkey", "o_totalprice"), 3, "o_totalprice")
 
 
+@query(f"""WITH {_forest_sql(f"(SELECT * REPLACE (CASE WHEN o_orderkey % 4 <> 0 THEN o_orderstatus END AS o_orderstatus) FROM {HOLED})")}, p AS (SELECT *, {', '.join(f'exp(l{i}0 - joint) + exp(l{i}1 - joint) + exp(l{i}2 - joint) AS a{i}' for i in range(2))}, {', '.join(f'exp(l0{j} - joint) + exp(l1{j} - joint) AS b{j}' for j in range(3))} FROM t),
+     q AS (SELECT *, {', '.join(f"b0 * {f[0]} + b1 * {f[1]} + b2 * {f[2]} AS s{k}" for k, f in (("F", (0.6, 0.25, 0.45)), ("O", (0.3, 0.35, 0.5)), ("P", (0.1, 0.4, 0.05))))} FROM p)
+     SELECT o_orderkey, round(coalesce(o_totalprice, a0 * 120000.0 + a1 * 330000.0), 3) AS o_totalprice, coalesce(o_orderpriority, '1-URGENT') AS o_orderpriority,
+       coalesce(o_orderstatus, CASE WHEN sF >= sO AND sF >= sP THEN 'F' WHEN sO >= sP THEN 'O' ELSE 'P' END) AS o_orderstatus FROM q""")
+def e5_impute_forest(t: Tables) -> DataFrame:
+    """Missing cells of orders from a forest of two latents; what one tree has observed reaches the other's attributes through the arc between them."""
+    rows = holed(t).withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderstatus")))
+    return _round(scoring.impute_with_forest(rows, GIVEN_FOREST).select("o_orderkey", "o_totalprice", "o_orderpriority", "o_orderstatus"), 3, "o_totalprice")
+
+
+def _case_sql(draw: str, options: list[tuple[str, float]]) -> str:
+    """CASE over the shares of (0, 1)."""
+    reached, out = 0.0, []
+    for value, p in options[:-1]:
+        reached += p
+        out.append(f"WHEN {draw} < {reached!r} THEN {value}")
+    return f"CASE {' '.join(out)} ELSE {options[-1][0]} END"
+
+
+def _states_sql(key: str, number: str = "") -> tuple[str, str]:
+    """Draws of both latents of GIVEN_FOREST for a key (and a draw's number)."""
+    draw = lambda z: uniform_sql(key, *filter(None, [number]), f"'{z}'", "3")
+    numbered = lambda row: [(str(i), p) for i, p in enumerate(row)]
+    a, b = GIVEN_FOREST.latents["a"], GIVEN_FOREST.latents["b"]
+    return _case_sql(draw("a"), numbered(a[0])), f"CASE a WHEN 0 THEN {_case_sql(draw('b'), numbered(b[0]))} ELSE {_case_sql(draw('b'), numbered(b[1]))} END"
+
+
+def _sample_sql() -> str:
+    a, b = _states_sql("o_orderkey")
+    quoted = lambda table: [(f"'{v}'", p) for v, p in table.items()]
+    draw = lambda c: uniform_sql("o_orderkey", f"'{c}'", "3")
+    status = " ".join(f"WHEN {j} THEN {_case_sql(draw('o_orderstatus'), quoted(table))}" for j, table in enumerate(GIVEN_FOREST.discrete["o_orderstatus"]))
+    return f"""WITH s AS (SELECT *, {b} AS b FROM (SELECT o_orderkey, {a} AS a FROM orders))
+      SELECT o_orderkey, a, b, round(CASE a WHEN 0 THEN 120000.0 ELSE 330000.0 END + CASE a WHEN 0 THEN 60000.0 ELSE 90000.0 END * {normal_sql("o_orderkey", "'o_totalprice'", "3")}, 3) AS o_totalprice,
+        CASE WHEN {draw('o_orderstatus?')} >= 0.1 THEN CASE b {status} END END AS o_orderstatus FROM s"""
+
+
+@query(_sample_sql())
+def i6_forest_sample(t: Tables) -> DataFrame:
+    """One draw for each order from a model of two latents of which one hangs on the other."""
+    whole = scoring.forest_sample(t.orders, "o_orderkey", GIVEN_FOREST, seed=3)
+    lossy = scoring.forest_sample(t.orders, "o_orderkey", GIVEN_FOREST, seed=3, hide=0.1, keep_latents=False).select("o_orderkey", "o_orderstatus")
+    return _round(whole.select("o_orderkey", "a", "b", "o_totalprice").join(lossy, "o_orderkey"), 3, "o_totalprice")
+
+
+def _weighting_sql(samples: int) -> str:
+    a, b = _states_sql("o_orderkey", "i")
+    case = lambda c, table: f"CASE {c} " + " ".join(f"WHEN '{k}' THEN {math.log(p)!r}" for k, p in table.items()) + " ELSE 0 END"
+    price = " ".join(f"WHEN {i} THEN coalesce({-0.5 * math.log(2 * math.pi * v)!r} - (o_totalprice - {m}) ** 2 / {2 * v!r}, 0)" for i, (m, v) in enumerate(GIVEN_FOREST.gaussian["o_totalprice"]))
+    status = " ".join(f"WHEN {j} THEN {case('o_orderstatus', table)}" for j, table in enumerate(GIVEN_FOREST.discrete["o_orderstatus"]))
+    return f"""WITH d AS (SELECT *, {b} AS b FROM (SELECT *, {a} AS a FROM (SELECT *, unnest(range({samples})) AS i FROM {HOLED}))),
+      w AS (SELECT o_orderkey, a, b, exp((CASE a {price} END) + (CASE b {status} END)) AS w, {case('o_orderpriority', GIVEN_FOREST.discrete['o_orderpriority'][0])} AS alone FROM d)
+      SELECT o_orderkey, round(ln(sum(w) / {samples}) + any_value(alone), 6) AS log_evidence, round(sum(w) FILTER (a = 0) / sum(w), 6) AS a0, {', '.join(f'round(coalesce(sum(w) FILTER (b = {j}), 0) / sum(w), 6) AS b{j}' for j in range(3))} FROM w GROUP BY 1"""
+
+
+@query(_weighting_sql(40))
+def i4_forest_weighting(t: Tables) -> DataFrame:
+    """Posteriors of two dependent latents by weighted draws."""
+    out = scoring.forest_likelihood_weighting(holed(t), GIVEN_FOREST, "o_orderkey", 40, seed=3)
+    return out.select("o_orderkey", F.round("log_evidence", 6).alias("log_evidence"), F.round(F.col("a_probs")[0], 6).alias("a0"), *[F.round(F.col("b_probs")[j], 6).alias(f"b{j}") for j in range(3)])
+
+
 @query(f"""WITH {_given_sql()}, c AS (SELECT exp(l0 - total) AS a0, exp(l1 - total) AS a1, CASE WHEN o_orderpriority IS NULL THEN 0.5 WHEN o_orderpriority < '3' THEN 0.9 ELSE 0.2 END AS b0 FROM t),
      n AS (SELECT sum(a0 * b0) AS n00, sum(a0 * (1 - b0)) AS n01, sum(a1 * b0) AS n10, sum(a1 * (1 - b0)) AS n11, count(*) AS n FROM c),
      h AS (SELECT -((n00 + n01) / n * ln((n00 + n01) / n) + (n10 + n11) / n * ln((n10 + n11) / n)) AS hx, -((n00 + n10) / n * ln((n00 + n10) / n) + (n01 + n11) / n * ln((n01 + n11) / n)) AS hy,
