@@ -6,7 +6,12 @@ import math
 
 import numpy as np
 
-lgamma = np.vectorize(math.lgamma, otypes=[float])
+_LGAMMA = np.frompyfunc(math.lgamma, 1, 1)
+
+
+def lgamma(x):
+    """ln of the gamma function, elementwise."""
+    return np.asarray(_LGAMMA(x)).astype(float)
 
 
 def digamma(x) -> np.ndarray:

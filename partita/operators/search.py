@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from partita.functions.special import lgamma
 from partita.operators.dependence import mutual_info_matrix
 from partita.operators import forest
 from partita.operators.parameters import LatentClass, fit_latent_class, fit_mixture, select_cardinality
@@ -66,72 +67,182 @@ def _residual(n: float, sums: np.ndarray, products: np.ndarray) -> float:
     return max(left, 1e-12)
 
 
-def gaussian_family_scores(df: DataFrame, families: Sequence[Family]) -> list[dict]:
-    """The same figures (a dict per family) of linear-Gaussian families with numeric parents.
+def family_moments(df: DataFrame, families: Sequence[Family], centre: Mapping[str, float], gaps: set[str]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """(rows, sums, products) of the centred numeric columns of every family, child first and parents by name, over the rows that are complete in it.
 
-    Two aggregates serve all of them. Families share sums of products over the rows in which the columns that have nulls
-    at all are present; so each is scored on its own complete rows, whatever others are in the call.
+    One pass: families whose columns with nulls are the same share a matrix of products in every task, and a task returns those matrices alone.
     """
-    columns = sorted({c for child, parents in families for c in (child, *parents)})
-    start = df.agg(F.count("*").alias("_n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)], *[F.count(c).alias(f"c{i}") for i, c in enumerate(columns)]).first()
-    gaps = {c for i, c in enumerate(columns) if start[f"c{i}"] < start["_n"]}
-    x = {c: F.col(c).cast("double") - F.lit(float(start[f"m{i}"] or 0.0)) for i, c in enumerate(columns)}
-    wanted: dict[tuple, Column] = {}
+    groups: dict[tuple, list[str]] = {}
     for child, parents in families:
-        names = sorted({child, *parents})
-        holes = tuple(c for c in names if c in gaps)
-        there = _there(holes)
-        wanted[holes, ()] = F.count_if(there)
-        for k in (1, 2):
-            for some in itertools.combinations_with_replacement(names, k):
-                wanted[holes, some] = F.sum(F.when(there, math.prod((x[c] for c in some[1:]), start=x[some[0]])))
-    keys = list(wanted)
-    one = df.agg(*[wanted[k].alias(str(i)) for i, k in enumerate(keys)]).first()
-    got = {k: one[str(i)] for i, k in enumerate(keys)}
+        holes = tuple(sorted(c for c in (child, *parents) if c in gaps))
+        groups.setdefault(holes, [])
+        groups[holes] += [c for c in (child, *sorted(parents)) if c not in groups[holes]]
+    columns = sorted({c for some in groups.values() for c in some})
+    place = {c: i for i, c in enumerate(columns)}
+    plan = [([place[c] for c in holes], [place[c] for c in some]) for holes, some in groups.items()]
+
+    def run(batches):
+        totals = [np.zeros((len(some) + 1, len(some) + 1)) for _, some in plan]
+        for b in batches:
+            x = b.to_numpy(float)
+            there = ~np.isnan(x)
+            for total, (holes, some) in zip(totals, plan, strict=True):
+                part = x[there[:, holes].all(axis=1)][:, some] if holes else x[:, some]
+                part = np.hstack([np.ones((len(part), 1)), part])
+                total += part.T @ part
+        for g, total in enumerate(totals):
+            yield pd.DataFrame({"g": g, "i": np.arange(total.size), "v": total.ravel()})
+
+    rows = df.select(*[(F.col(c).cast("double") - F.lit(float(centre[c]))).alias(c) for c in columns])
+    got = rows.mapInPandas(run, "g int, i int, v double").groupBy("g", "i").agg(F.sum("v").alias("v")).toPandas()
+    whole = {}
+    for g, (holes, some) in enumerate(groups.items()):
+        flat = got[got["g"] == g].sort_values("i")["v"].to_numpy()
+        whole[holes] = (some, flat.reshape(len(some) + 1, -1) if len(flat) else np.zeros((len(some) + 1,) * 2))
     out = []
-    for i, (child, parents) in enumerate(families):
-        names = [child, *sorted(parents)]
-        holes = tuple(c for c in sorted(names) if c in gaps)
-        if n := got[holes, ()]:
-            sums = np.array([got[holes, (c,)] for c in names])
-            products = np.array([[got[holes, tuple(sorted((c, d)))] for d in names] for c in names])
+    for child, parents in families:
+        some, total = whole[tuple(sorted(c for c in (child, *parents) if c in gaps))]
+        at = [1 + some.index(c) for c in (child, *sorted(parents))]
+        out.append((total[0, 0], total[0, at], total[np.ix_(at, at)]))
+    return out
+
+
+def _column_moments(df: DataFrame, columns: Sequence[str]) -> tuple[dict[str, float], dict[str, float], set[str]]:
+    """Mean and variance of each numeric column, and the columns that have nulls."""
+    parts = [f(c).alias(f"{name}{i}") for i, c in enumerate(columns) for name, f in (("m", F.avg), ("v", F.var_pop), ("c", F.count))]
+    one = df.agg(F.count("*").alias("n"), *parts).first()
+    mean, variance = ({c: float(one[f"{k}{i}"] or 0.0) for i, c in enumerate(columns)} for k in "mv")
+    return mean, variance, {c for i, c in enumerate(columns) if one[f"c{i}"] < one["n"]}
+
+
+def gaussian_family_scores(df: DataFrame, families: Sequence[Family]) -> list[dict]:
+    """The same figures (a dict per family) of linear-Gaussian families with numeric parents, each over its own complete rows. Two passes serve all of them."""
+    columns = sorted({c for child, parents in families for c in (child, *parents)})
+    mean, _, gaps = _column_moments(df, columns)
+    out = []
+    for i, ((child, parents), (n, sums, products)) in enumerate(zip(families, family_moments(df, families, mean, gaps), strict=True)):
+        if n:
             ll = -n / 2 * (math.log(2 * math.pi * _residual(n, sums, products)) + 1)
-            out.append({"family": i, "child": child, "parents": ",".join(names[1:]), "n": n, "log_likelihood": ll, "dim": len(names) + 1, "bic": ll - (len(names) + 1) * math.log(n) / 2})
+            out.append({"family": i, "child": child, "parents": ",".join(sorted(parents)), "n": int(n), "log_likelihood": ll, "dim": len(sums) + 1, "bic": ll - (len(sums) + 1) * math.log(n) / 2})
     return out
 
 
-def conditional_family_scores(df: DataFrame, families: Sequence[Family], discrete: Iterable[str]) -> DataFrame:
-    """The same figures of numeric children with discrete parents and, linearly in each configuration of those, numeric ones.
+def regression_evidence(n: float, sums: np.ndarray, products: np.ndarray, variances: Sequence[float], n0: float = 1.0) -> float:
+    """Log evidence of a linear regression of the first column on the others, from sums and products of columns centred about the table's means.
 
-    A shuffle for all families adds sums and products per occurring configuration, whose residual variance is a small
-    solve in the tasks. Columns are centred about their means first, so sums of squares keep their digits.
+    Conjugate priors worth n0 rows: the intercept about the child's mean, slopes about 0 with the precision n0 times
+    the parent's variance (so units do not matter), the noise about the child's variance. Without parents it is gaussian_evidence().
     """
-    kinds = set(discrete)
-    numbers = sorted({c for child, parents in families for c in (child, *parents) if c not in kinds})
-    means = df.agg(*[F.avg(c).alias(c) for c in numbers]).first()
-    width = max(len([c for c in parents if c not in kinds]) for _, parents in families) + 1
-    cells = []
+    precision = n0 * np.array([1.0, *(max(v, 1e-12) for v in variances[1:])])
+    xx = np.block([[np.array([[n]]), sums[None, 1:]], [sums[1:, None], products[1:, 1:]]]) + np.diag(precision)
+    xy = np.array([sums[0], *products[1:, 0]])
+    a0, b0 = n0 / 2, max(n0 * variances[0] / 2, 1e-12)
+    a, b = a0 + n / 2, max(b0 + 0.5 * (products[0, 0] - xy @ np.linalg.solve(xx, xy)), 1e-300)
+    gamma = float(lgamma(np.array(a)) - lgamma(np.array(a0)))
+    return float(-n / 2 * math.log(2 * math.pi) + 0.5 * (np.log(precision).sum() - np.linalg.slogdet(xx)[1]) + a0 * math.log(b0) - a * math.log(b) + gamma)
+
+
+def evidence_family_scores(df: DataFrame, families: Sequence[Family], discrete: Iterable[str], n0: float = 1.0) -> DataFrame:
+    """(family, child, parents, n, log_evidence, alone) of families of all kinds, each over its own complete rows: the marginal likelihood under conjugate priors worth n0 rows.
+
+    alone: the evidence of the child without parents over the same rows, so that what the parents add can be told from which rows are complete.
+
+    Discrete children (whose parents are discrete): Dirichlet evidence in each configuration of the parents, with prior shares n0 (count + 1) / (N + states) from
+    all rows that have the child. Numeric children: regression_evidence() on the numeric parents in each configuration of the discrete ones, whose
+    cross products Spark adds up. Families without a complete row are not listed.
+    """
+    kinds, spark = set(discrete), df.sparkSession
+    numbered = list(enumerate(families))
+    parts = []
+    if some := [(i, f) for i, f in numbered if f[0] in kinds]:
+        parts.append(_dirichlet_scores(df, some, n0))
+    if plain := [(i, f) for i, f in numbered if f[0] not in kinds and not f[1] & kinds]:
+        mean, variance, gaps = _column_moments(df, sorted({c for _, (child, parents) in plain for c in (child, *parents)}))
+        moments = family_moments(df, [f for _, f in plain], mean, gaps)
+        of = lambda n, s, p, columns: regression_evidence(n, s[: len(columns)], p[: len(columns), : len(columns)], [variance[c] for c in columns], n0)
+        rows = [(i, int(n), of(n, s, p, [child, *sorted(parents)]), of(n, s, p, [child])) for (i, (child, parents)), (n, s, p) in zip(plain, moments, strict=True) if n]
+        parts.append(spark.createDataFrame(rows, "family int, n long, log_evidence double, alone double"))
+    if mixed := [(i, f) for i, f in numbered if f[0] not in kinds and f[1] & kinds]:
+        mean, variance, _ = _column_moments(df, sorted({c for _, (child, parents) in mixed for c in (child, *parents) if c not in kinds}))
+        stats, linear = _configuration_products(df, [f for _, f in mixed], kinds, mean)
+        score = lambda family, n, sums, products: regression_evidence(n, sums, products, [variance[c] for c in linear[family]], n0)
+        numbers = F.array(*[F.lit(i) for i, _ in mixed])
+        each = _each_configuration(stats, [len(x) for x in linear], score).groupBy("family").agg(F.sum("n").alias("n"), F.sum("ll").alias("log_evidence"))
+        pooled = stats.groupBy("family").agg(F.lit(0).alias("config"), *[F.sum(c).alias(c) for c in ("n", "s0", "p0_0")])
+        simple = lambda family, n, sums, products: regression_evidence(n, sums, products, [variance[linear[family][0]]], n0)
+        alone = _each_configuration(pooled, [1] * len(linear), simple).select("family", F.col("ll").alias("alone"))
+        parts.append(each.join(F.broadcast(alone), "family").withColumn("family", F.element_at(numbers, F.col("family") + 1)))  # a row per family
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return _named(out, families)
+
+
+def _dirichlet_scores(df: DataFrame, numbered: Sequence[tuple[int, Family]], n0: float) -> DataFrame:
+    text = lambda c: F.col(c).cast("string")
+    none = F.array().cast("array<string>")
+    cells = [F.when(_there([c, *ps]), F.struct(F.lit(i).alias("family"), F.lit(c).alias("child"), text(c).alias("x"), (F.array(*map(text, sorted(ps))) if ps else none).alias("config"))) for i, (c, ps) in numbered]
+    counts = _exploded(df, cells).groupBy("family", "child", "x", "config").agg(F.count("*").alias("n"))
+    children = sorted({c for _, (c, _) in numbered})
+    values = _exploded(df, [F.when(_there([c]), F.struct(F.lit(c).alias("child"), text(c).alias("x"))) for c in children]).groupBy("child", "x").agg(F.count("*").alias("c"))
+    totals = values.groupBy("child").agg(F.sum("c").alias("all"), F.count("*").alias("states"))
+    alphas = values.join(F.broadcast(totals), "child").select("child", "x", (n0 * (F.col("c") + 1) / (F.col("all") + F.col("states"))).alias("alpha"))  # totals: a row per column
+
+    @F.pandas_udf("double")
+    def rise(alpha: pd.Series, n: pd.Series) -> pd.Series:
+        """ln of the rising factorial of alpha, n steps."""
+        return pd.Series(lgamma((alpha + n).to_numpy(float)) - lgamma(alpha.to_numpy(float)))
+
+    each = counts.join(alphas, ["child", "x"]).withColumn("r", rise("alpha", F.col("n").cast("double"))).groupBy("family", "config").agg(F.sum("n").alias("n"), F.sum("r").alias("r"))
+    total = lambda n: rise(F.lit(float(n0)), F.col(n).cast("double"))
+    scores = each.withColumn("r", F.col("r") - total("n")).groupBy("family").agg(F.sum("n").alias("n"), F.sum("r").alias("log_evidence"))
+    pooled = counts.groupBy("family", "child", "x").agg(F.sum("n").alias("n")).join(alphas, ["child", "x"]).withColumn("r", rise("alpha", F.col("n").cast("double")))
+    alone = pooled.groupBy("family").agg(F.sum("n").alias("n"), F.sum("r").alias("r")).select("family", (F.col("r") - total("n")).alias("alone"))
+    return scores.join(alone, "family")
+
+
+def _configuration_products(df: DataFrame, families: Sequence[Family], kinds: set[str], centre: Mapping[str, float]) -> tuple[DataFrame, list[list[str]]]:
+    """(family, config, n, s<i>, p<i>_<j>): sums and products of the centred numeric columns of each family (child first) per occurring configuration of its discrete parents; and those columns."""
+    linear = [[child, *sorted(p for p in parents if p not in kinds)] for child, parents in families]
+    width, cells = max(map(len, linear)), []
     for i, (child, parents) in enumerate(families):
-        some, linear = sorted(p for p in parents if p in kinds), [child, *sorted(p for p in parents if p not in kinds)]
-        values = F.array(*[F.col(c).cast("double") - F.lit(float(means[c] or 0.0)) for c in linear])
+        values = F.array(*[F.col(c).cast("double") - F.lit(float(centre[c])) for c in linear[i]])
+        some = sorted(p for p in parents if p in kinds)
         config = F.array(*[F.col(p).cast("string") for p in some]) if some else F.array().cast("array<string>")
         cells.append(F.when(_there([child, *parents]), F.struct(F.lit(i).alias("family"), config.alias("config"), values.alias("v"))))
     v = [F.get("v", F.lit(k)) for k in range(width)]
     sums = [F.sum(v[k]).alias(f"s{k}") for k in range(width)]
     products = [F.sum(v[k] * v[m]).alias(f"p{k}_{m}") for k in range(width) for m in range(k, width)]
-    stats = _exploded(df, cells).groupBy("family", "config").agg(F.count("*").alias("n"), *sums, *products)
-    sizes = [1 + sum(p not in kinds for p in parents) for _, parents in families]
+    return _exploded(df, cells).groupBy("family", "config").agg(F.count("*").alias("n"), *sums, *products), linear
+
+
+def _each_configuration(stats: DataFrame, sizes: Sequence[int], score: Callable) -> DataFrame:
+    """(family, n, ll) of every configuration: score(family, n, sums, products), a small solve in the tasks."""
 
     def run(batches):
         for b in batches:
-            lls = []
+            out = []
             for r in b.itertuples(index=False):
                 k = sizes[r.family]
                 p = np.array([[getattr(r, f"p{min(i, j)}_{max(i, j)}") for j in range(k)] for i in range(k)])
-                lls.append(-r.n / 2 * (math.log(2 * math.pi * _residual(r.n, np.array([getattr(r, f"s{i}") for i in range(k)]), p)) + 1))
-            yield pd.DataFrame({"family": b["family"], "n": b["n"], "ll": lls})
+                out.append(score(r.family, r.n, np.array([getattr(r, f"s{i}") for i in range(k)]), p))
+            yield pd.DataFrame({"family": b["family"], "n": b["n"], "ll": out})
+
+    return stats.drop("config").mapInPandas(run, "family int, n long, ll double")
 
-    each = stats.drop("config").mapInPandas(run, "family int, n long, ll double")
+
+def conditional_family_scores(df: DataFrame, families: Sequence[Family], discrete: Iterable[str]) -> DataFrame:
+    """The same figures of numeric children with discrete parents and, linearly in each configuration of those, numeric ones.
+
+    A shuffle for all families adds sums and products per occurring configuration, whose residual variance is a small
+    solve in the tasks. Columns are centred about their means first, so sums of squares keep their digits.
+    """
+    kinds = set(discrete)
+    numbers = sorted({c for child, parents in families for c in (child, *parents) if c not in kinds})
+    means = df.agg(*[F.avg(c).alias(c) for c in numbers]).first()
+    stats, linear = _configuration_products(df, families, kinds, {c: means[c] or 0.0 for c in numbers})
+    sizes = [len(x) for x in linear]
+    each = _each_configuration(stats, sizes, lambda family, n, sums, products: -n / 2 * (math.log(2 * math.pi * _residual(n, sums, products)) + 1))
     out = each.groupBy("family").agg(F.sum("n").alias("n"), F.sum("ll").alias("log_likelihood"), F.count("*").alias("configs"))
     dim = F.element_at(F.array(*[F.lit(k + 1) for k in sizes]), F.col("family") + 1) * F.col("configs")
     return _named(out.select("family", "n", "log_likelihood", dim.alias("dim"), (F.col("log_likelihood") - dim * F.ln("n") / 2).alias("bic")), families)
@@ -142,10 +253,14 @@ class FamilyScores:
 
     Families of a child are compared over the rows that have the child: the log-likelihood of a family's complete rows is
     scaled up to them, as if parents were missing at random. A family without a complete row scores minus infinity, one without
-    parents 0.
+    parents 0. score: bic, or evidence: what the parents add to the evidence of the child alone on a family's complete rows,
+    scaled up likewise, is added to the evidence of the child alone on all its rows.
     """
 
-    def __init__(self, df: DataFrame, discrete: Iterable[str], numeric: Iterable[str]) -> None:
+    def __init__(self, df: DataFrame, discrete: Iterable[str], numeric: Iterable[str], score: str = "bic") -> None:
+        if score not in ("bic", "evidence"):
+            raise ValueError(f"no such score: {score}")
+        self.score = score
         self.df, self.discrete, self.numeric, self.known = df, set(discrete), set(numeric), {}
         self.present: dict[str, int] | None = None
 
@@ -158,6 +273,12 @@ class FamilyScores:
             self.present = {c: one[str(i)] for i, c in enumerate(names)}
         for f in new:
             self.known[f] = -math.inf if f[1] else 0.0
+        if self.score == "evidence":
+            new = list(dict.fromkeys([*new, *((f[0], frozenset()) for f in new if (f[0], frozenset()) not in self.known)]))
+            found = [(new[r["family"]], r) for r in evidence_family_scores(self.df, new, self.discrete).collect()] if new else []  # a row per family
+            self.known |= {f: r["log_evidence"] for f, r in found if not f[1]}
+            self.known |= {f: self.known[f[0], frozenset()] + (r["log_evidence"] - r["alone"]) * self.present[f[0]] / r["n"] for f, r in found if f[1]}
+            return {f: self.known[f] for f in families}
         kinds = (
             ([f for f in new if f[0] in self.discrete], lambda fs: discrete_family_scores(self.df, fs).collect()),
             ([f for f in new if f[0] in self.numeric and f[1] & self.discrete], lambda fs: conditional_family_scores(self.df, fs, self.discrete).collect()),
@@ -183,16 +304,17 @@ def _cyclic(parents: Mapping[str, frozenset]) -> bool:
 
 def hill_climb(
     df: DataFrame, discrete: Sequence[str] = (), numeric: Sequence[str] = (), most_parents: int = 3, threshold: float = 1e-6, steps: int = 100,
-    forbidden: Iterable[tuple[str, str]] = (), fixed: Iterable[tuple[str, str]] = (), mixed: bool = False,
+    forbidden: Iterable[tuple[str, str]] = (), fixed: Iterable[tuple[str, str]] = (), mixed: bool = False, score: str = "bic",
 ) -> tuple[dict[str, frozenset], float]:
     """(parents of each node, score): the best of adding, removing or turning an arc until none gains.
 
     Arcs stay acyclic and join columns of a kind, or with `mixed` also lead from discrete to numeric ones (which may have parents of both kinds); forbidden
-    arcs (parent, child) are left out, fixed ones are there from the start, stay, and do not count as parents.
+    arcs (parent, child) are left out, fixed ones are there from the start, stay, and do not count as parents. score: bic, or
+    evidence, the marginal likelihood under conjugate priors.
     """
     nodes = [*discrete, *numeric]
     kind = {**dict.fromkeys(discrete, "d"), **dict.fromkeys(numeric, "n")}
-    barred, held, scores = set(forbidden), set(fixed), FamilyScores(df, discrete, numeric)
+    barred, held, scores = set(forbidden), set(fixed), FamilyScores(df, discrete, numeric, score)
     graph = {v: frozenset(p for p, c in held if c == v) for v in nodes}
     room = {v: most_parents + len(graph[v]) for v in nodes}
 

@@ -401,6 +401,50 @@ def j1_mixed_scores(t: Tables) -> DataFrame:
     return _round(search.conditional_family_scores(holed_lines(t), families, ["l_returnflag", "l_linestatus"]).drop("family"), 2, "log_likelihood", "bic")
 
 
+def _evidence_sql() -> str:
+    """Log evidence of _LINEAR's families, with one numeric parent and a discrete one or none, and of _FAMILIES; alone: of the child by itself on the same rows."""
+    out = []
+    rest = "-n / 2.0 * ln(2 * pi()) + 0.5 * ln(b0) + lgamma(0.5 + n / 2.0) - lgamma(0.5) - (0.5 + n / 2.0)"
+    for y, x, g in _LINEAR:
+        parents = ",".join(sorted(filter(None, (x, g))))
+        there = f"{y} IS NOT NULL AND {x} IS NOT NULL" + (f" AND {g} IS NOT NULL" if g else "")
+        sums = f"""SELECT count(*) AS n, any_value(vx) AS vx, any_value(vy) / 2 AS b0, sum({y} - my) AS sy, sum({x} - mx) AS sx, sum(({y} - my) ** 2) AS yy, sum(({x} - mx) ** 2) AS xx, sum(({y} - my) * ({x} - mx)) AS xy
+               FROM {_HOLED_LINES}, (SELECT avg({y}) AS my, var_pop({y}) AS vy, avg({x}) AS mx, var_pop({x}) AS vx FROM {_HOLED_LINES}) WHERE {there} GROUP BY"""
+        out.append(f"""SELECT '{y}' AS child, '{parents}' AS parents, sum(n)::BIGINT AS n, round(sum(e), 2) AS log_evidence,
+          (SELECT round({rest} * ln(b0 + 0.5 * (yy - sy * sy / (n + 1))) - 0.5 * ln(n + 1), 2) FROM ({sums} 1 = 1)) AS alone FROM
+          (SELECT n, {rest} * ln(b0 + 0.5 * (yy - (sy * sy * (xx + vx) - 2 * sy * xy * sx + xy * xy * (n + 1)) / d)) + 0.5 * (ln(vx) - ln(d)) AS e FROM
+            (SELECT *, (n + 1) * (xx + vx) - sx * sx AS d FROM ({sums} {g or "1 = 1"})))""")
+    for child, parents in _FAMILIES:
+        some = sorted(parents)
+        config = f"concat_ws('|', {', '.join(some)})" if some else "''"
+        there = " AND ".join(f"{c} IS NOT NULL" for c in (child, *some))
+        one = lambda by, child=child, there=there: f"""(SELECT sum(nc)::BIGINT AS n, round(sum(lgamma(1.0) - lgamma(1.0 + nc) + r), 2) AS e FROM
+          (SELECT sum(n) AS nc, sum(lgamma(alpha + n) - lgamma(alpha)) AS r FROM (SELECT {child}::VARCHAR AS x, {by} AS config, count(*) AS n FROM {_HOLED_LINES} WHERE {there} GROUP BY 1, 2)
+           JOIN (SELECT {child}::VARCHAR AS x, (count(*) + 1.0) / (sum(count(*)) OVER () + count(*) OVER ()) AS alpha FROM {_HOLED_LINES} WHERE {child} IS NOT NULL GROUP BY 1) USING (x) GROUP BY config))"""
+        out.append(f"SELECT '{child}', '{','.join(some)}', a.n, a.e, b.e FROM {one(config)} a, {one(repr(''))} b")
+    return " UNION ALL ".join(out)
+
+
+@query(_evidence_sql())
+def j1_evidence_scores(t: Tables) -> DataFrame:
+    """Marginal likelihoods of numeric and discrete families with nulls, of one or two parents."""
+    families = [(y, frozenset(filter(None, (x, g)))) for y, x, g in _LINEAR] + _FAMILIES
+    return _round(search.evidence_family_scores(holed_lines(t), families, ["l_returnflag", "l_linestatus", "l_linenumber"]).drop("family"), 2, "log_evidence", "alone")
+
+
+def _arc_rows(t: Tables, graph: dict, score: float) -> DataFrame:
+    """One row per arc of a graph, with its score."""
+    arcs = sorted((p, c) for c, ps in graph.items() for p in ps) or [("", "none")]
+    return t.spark.createDataFrame([(p, c, float(score)) for p, c in arcs], "parent string, child string, score double")
+
+
+@query()
+def j2_climb_by_evidence(t: Tables) -> DataFrame:
+    """Arcs among columns with nulls, discrete parents of numeric columns included, by marginal likelihood."""
+    graph, score = search.hill_climb(holed_lines(t), ["l_returnflag", "l_linestatus"], ["l_quantity", "l_extendedprice", "l_tax"], mixed=True, score="evidence")
+    return _arc_rows(t, graph, score)
+
+
 @query()
 def j2_hill_climb(t: Tables) -> DataFrame:
     graph, score = search.hill_climb(t.lineitem, ["l_returnflag", "l_linestatus", "l_linenumber"], ["l_quantity", "l_extendedprice", "l_discount"])

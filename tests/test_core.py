@@ -320,3 +320,59 @@ def test_mixture_size_and_joint_leaves_are_found(spark):
     assert parameters.select_mixture(df, ["x", "y"], most=3, full=True, candidates=3, steps=15)["states"] == 2
     found = search.search_pouches(df, ["x", "y", "w"], most_states=3, rounds=4, screen=12, steps=25)
     assert found["states"] == 2 and ["x", "y"] in [sorted(b) for b in found["blocks"]]
+
+
+def test_marginal_likelihoods_of_families(spark):
+    rng = np.random.default_rng(8)
+    n = 400
+    g = rng.integers(0, 2, n)
+    x, w = rng.normal(5, 2, n), rng.normal(0, 1, n)
+    y = np.where(g == 1, 3 * x, x) + 10 + rng.normal(0, 0.5, n)
+    rows = [(float(a), float(b) if i % 9 else None, float(c), str(k)) for i, (a, b, c, k) in enumerate(zip(x, y, w, g, strict=True))]
+    df = spark.createDataFrame(rows, "x double, y double, w double, g string")
+    families = [("y", frozenset(p)) for p in ((), ("x",), ("w",), ("g",), ("x", "g"), ("x", "w", "g"))] + [("g", frozenset())]
+    got = [r["log_evidence"] for r in sorted(search.evidence_family_scores(df, families, ["g"]).collect(), key=lambda r: r["family"])]
+    there = np.array([r[1] is not None for r in rows])
+    mean, var = y[there].mean(), y[there].var()
+    plain = parameters.gaussian_evidence(there.sum(), (y[there] - mean).sum(), ((y[there] - mean) ** 2).sum(), 0.0, 1.0, 0.5, var / 2)
+    assert math.isclose(got[0], float(plain), rel_tol=1e-9)
+    assert got[4] > got[1] > got[0] > got[2] and got[4] > got[3] and got[4] > got[5]  # the true parents win, a needless one costs
+    counts = np.bincount(g)
+    assert math.isclose(got[6], parameters.dirichlet_evidence(counts, (counts + 1) / (n + 2)), rel_tol=1e-9)
+    scaled = [r["log_evidence"] for r in search.evidence_family_scores(df.withColumn("x", F.col("x") * 1000), families[1:2], ["g"]).collect()]
+    assert math.isclose(scaled[0], got[1], rel_tol=1e-6)
+    graph, _ = search.hill_climb(df, ["g"], ["x", "y", "w"], mixed=True, score="evidence")
+    joined = {frozenset((p, c)) for c, ps in graph.items() for p in ps}
+    assert {frozenset("xy"), frozenset("gy")} <= joined and not any("w" in pair for pair in joined)
+    with pytest.raises(ValueError):
+        search.hill_climb(df, ["g"], ["x"], score="other")
+
+
+def test_forests_fill_sample_and_weigh(spark):
+    model = scoring.ForestModel(
+        {"a": 2, "b": 2, "c": 3}, {"b": "a"}, {"x": "a", "u": "b", "v": "b", "w": "c", "t": ""},
+        {"a": [[0.4, 0.6]], "b": [[0.9, 0.1], [0.2, 0.8]], "c": [[0.2, 0.3, 0.5]]},
+        {"x": [(0.0, 1.0), (8.0, 1.0)], "t": [(2.0, 4.0)]},
+        {"u": [{"p": 0.9, "q": 0.1}, {"p": 0.1, "q": 0.9}], "v": [{"p": 0.8, "q": 0.2}, {"p": 0.3, "q": 0.7}], "w": [{"1": 0.9, "2": 0.1}, {"1": 0.5, "2": 0.5}, {"1": 0.1, "2": 0.9}]},
+    )
+    rows = scoring.forest_sample(spark.range(4000).withColumnRenamed("id", "k"), "k", model, seed=2).cache()
+    share = rows.groupBy("a", "b").count().collect()
+    assert abs({(r["a"], r["b"]): r["count"] / 4000 for r in share}[1, 1] - 0.48) < 0.03
+    assert rows.agg(F.avg("t"), F.var_pop("t")).first()[1] == pytest.approx(4, rel=0.1)
+    holed = rows.select("k", F.when(F.col("k") % 2 == 0, F.col("x")).alias("x"), F.when(F.col("k") % 3 != 0, F.col("u")).alias("u"), "v", F.when(F.col("k") % 5 != 0, F.col("w")).alias("w"), F.when(F.col("k") % 7 != 0, F.col("t")).alias("t"))
+    filled = scoring.impute_with_forest(holed, model)
+    assert filled.columns == holed.columns and filled.filter("x is null or u is null or w is null or t is null").count() == 0
+    both = filled.alias("f").join(rows.alias("r"), "k").filter("k % 3 = 0 and k % 2 = 0")
+    right = both.filter("f.u = r.u").count() / both.count()
+    common = max(r["count"] for r in both.groupBy("r.u").count().collect()) / both.count()
+    assert right > common + 0.1  # what x tells about a, and a about b, fills u
+    exact = {r["k"]: r for r in scoring.forest_posterior(holed, model).limit(50).collect()}
+    drawn = scoring.forest_likelihood_weighting(holed.filter(F.col("k").isin(list(exact))), model, "k", 800).collect()
+    evidence = {r["k"]: r["log_likelihood"] for r in scoring.forest_log_likelihood(holed, model).filter(F.col("k").isin(list(exact))).collect()}
+    for r in drawn:
+        assert abs(r["log_evidence"] - evidence[r["k"]]) < 0.35
+        assert all(abs(p - q) < 0.12 for z in "abc" for p, q in zip(r[f"{z}_probs"], exact[r["k"]][f"{z}_probs"], strict=True))
+    odd = spark.createDataFrame([(None, None, None, None, None, None), (1, 1.0, "never", "p", "1", 2.0)], "k long, x double, u string, v string, w string, t double")
+    got = {r["k"]: r for r in scoring.forest_likelihood_weighting(odd, model, "k", 50).collect()}
+    assert got[None]["log_evidence"] == pytest.approx(0, abs=1e-9) and got[1]["log_evidence"] is None
+    assert scoring.forest_sample(odd.limit(0), "k", model).count() == scoring.impute_with_forest(odd.limit(0), model).count() == 0
