@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from partita.functions.special import digamma, lgamma
 from partita.operators.dependence import mutual_info_matrix
-from partita.operators.parameters import _columns, class_prior
+from partita.operators.parameters import _columns, class_prior, dirichlet_evidence, gaussian_evidence
 from partita.operators.scoring import ForestModel
+from partita.sources.scratch import stored
 
 #: The parent of attributes without a latent: one state.
 ALONE = ""
@@ -234,6 +235,177 @@ def fit_forests(features: DataFrame, starts: Sequence[Forest], priors: Sequence[
     return now
 
 
+# Local updates: a move changes few nodes, so only these, and what hangs on them, are estimated again.
+
+
+def node_evidence(stats: Mapping[str, np.ndarray], prior: Forest, node: str) -> float:
+    """What a node adds to the bound at the best parameters for its expected statistics: the log of the ratio of normalisers of posterior and prior."""
+    if node in prior.gaussian:
+        return float(np.sum(gaussian_evidence(*stats[node], *prior.gaussian[node])))
+    table = prior.latents[node] if node in prior.latents else prior.discrete[node]
+    return sum(dirichlet_evidence(n, alpha) for n, alpha in zip(stats[node], table, strict=True))
+
+
+@dataclass
+class Completed:
+    """A model with its rows: `rows` has the features and, as q_<latent>, each row's probabilities of every latent, and is a written table;
+    stats are the sums of every node and entropy those of every latent over it."""
+
+    rows: DataFrame
+    model: Forest
+    stats: dict[str, np.ndarray]
+    entropy: dict[str, float]
+    elbo: float
+
+
+def _penalty(s: Structure) -> float:
+    return sum(math.lgamma(k + 1) for k in s.cards.values())
+
+
+def complete(features: DataFrame, model: Forest, prior: Forest, numeric: Sequence[str], domains: Mapping[str, Sequence[str]]) -> Completed:
+    """Rows with the probabilities of all latents under the model, written once, and their sums."""
+    shared, latents = features.sparkSession.sparkContext.broadcast(model), list(model.structure.cards)
+    columns = [*numeric, *domains]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in features.select(*columns).schema] + [f"q_{z} array<double>" for z in latents])
+
+    def run(batches):
+        for b in batches:
+            q, _ = responsibilities(shared.value, _columns(b, numeric, domains), len(b))
+            yield b.assign(**{f"q_{z}": list(q[z]) for z in latents})
+
+    rows = stored(features.select(*columns).mapInPandas(run, schema), "completed")
+    bare = Completed(rows, model, {}, {}, -math.inf)
+    nodes = [*latents, *columns]
+    stats, entropy = _local_sums(bare, [Local(model, prior, (), tuple(nodes), tuple(latents))], numeric, domains)[0]
+    fitted = forest_m_step(stats, prior)
+    elbo = sum(node_evidence(stats, prior, c) for c in nodes) + sum(entropy.values()) - _penalty(model.structure)
+    fitted.elbo = elbo
+    return Completed(rows, fitted, stats, entropy, elbo)
+
+
+@dataclass
+class Local:
+    """A candidate: latents whose probabilities are computed anew, nodes whose parameters are, and latents whose entropy is wanted."""
+
+    model: Forest
+    prior: Forest
+    latents: tuple[str, ...]
+    nodes: tuple[str, ...]
+    entropies: tuple[str, ...]
+
+    def columns(self) -> set[str]:
+        """Attributes that a pass reads for it."""
+        of = self.model.structure.of
+        return {c for c in self.nodes if c in of} | {c for c, z in of.items() if z in self.latents}
+
+
+def local_change(old: Structure, new: Structure) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """(latents, nodes) that a move from old to new touches: latents that are new or have other states, parents or children; they and their children, and all whose parent changed."""
+    parents = lambda s, c: s.of.get(c, s.up.get(c, ALONE))
+    moved = {z for z in new.cards if old.cards.get(z) != new.cards[z] or parents(old, z) != parents(new, z) or set(old.children(z)) != set(new.children(z))}
+    nodes = {*moved, *(c for z in moved for c in new.children(z)), *(c for c in new.of if old.of[c] != new.of[c])}
+    return tuple(sorted(moved)), tuple(sorted(nodes))
+
+
+def _local_q(c: Local, x: dict[str, np.ndarray], kept: Mapping[str, np.ndarray], n: int, sweeps: int = 8) -> dict[str, np.ndarray]:
+    """Probabilities of the candidate's own latents, given those of the others as they are kept."""
+    s, model = c.model.structure, c.model
+    logp = {z: digamma(a) - digamma(a.sum(axis=1))[:, None] for z, a in model.latents.items()}
+    local = {z: np.zeros((n, s.cards[z])) for z in c.latents}
+    for a, z in s.of.items():
+        if z in local:
+            part = Forest(Structure({z: s.cards[z]}, {}, {a: z}), {}, {a: model.gaussian[a]} if a in model.gaussian else {}, {a: model.discrete[a]} if a in model.discrete else {})
+            local[z] += _emissions(part, x, n)[z]
+    q = {ALONE: np.ones((n, 1))} | {z: v for z, v in kept.items() if z in s.cards}
+    for z in c.latents:
+        if z not in q or q[z].shape[1] != s.cards[z]:
+            q[z] = _softmax(local[z] + logp[z].mean(axis=0))
+    linked = any(s.up.get(z) in c.latents for z in c.latents)
+    for _ in range(sweeps if linked else 1):
+        for z in c.latents:
+            score = local[z] + q[s.up.get(z, ALONE)] @ logp[z]
+            for child in (y for y, p in s.up.items() if p == z):
+                score = score + q[child] @ logp[child].T
+            q[z] = _softmax(score)
+    return q
+
+
+def _local_sums(state: Completed, candidates: Sequence[Local], numeric: Sequence[str], domains: Mapping[str, Sequence[str]]) -> list[tuple[dict, dict]]:
+    """(statistics of its nodes, entropies) of every candidate, in one pass over the columns that any of them needs."""
+    shared = state.rows.sparkSession.sparkContext.broadcast(list(candidates))
+    needed = {c for x in candidates for c in x.columns()}
+    num, dom = [c for c in numeric if c in needed], {c: d for c, d in domains.items() if c in needed}
+    held = list(state.model.structure.cards)
+
+    def run(batches):
+        sums: list[np.ndarray] = []
+        for b in batches:
+            if not len(b):
+                continue
+            x, kept = _columns(b, num, dom), {z: np.stack(b[f"q_{z}"]) for z in held}
+            parts = []
+            for c in shared.value:
+                s = c.model.structure
+                q = _local_q(c, x, kept, len(b)) if c.latents else {ALONE: np.ones((len(b), 1))} | {z: v for z, v in kept.items() if z in s.cards}
+                flat = [np.array([-(q[z] * np.log(np.maximum(q[z], 1e-300))).sum() for z in c.entropies])]
+                for node in c.nodes:
+                    r = q[s.up.get(node, ALONE) if node in s.cards else s.of[node]]
+                    if node in s.cards:
+                        flat.append((r.T @ q[node]).ravel())
+                    elif node in num:
+                        there = ~np.isnan(x[node])
+                        v, w = x[node][there], r[there]
+                        flat += [w.sum(axis=0), w.T @ v, w.T @ (v * v)]
+                    else:
+                        there = x[node] >= 0
+                        flat.append(np.stack([np.bincount(x[node][there], r[there, k], len(dom[node])) for k in range(r.shape[1])]).ravel())
+                parts.append(np.concatenate(flat))
+            sums = parts if not sums else [p + q for p, q in zip(sums, parts, strict=True)]
+        for k, v in enumerate(sums):
+            yield pd.DataFrame({"candidate": k, "i": np.arange(len(v)), "v": v})
+
+    got = state.rows.select(*num, *dom, *[f"q_{z}" for z in held]).mapInPandas(run, "candidate int, i int, v double").groupBy("candidate", "i").agg(F.sum("v").alias("v")).toPandas()
+    out = []
+    for k, c in enumerate(candidates):
+        s, flat = c.model.structure, got[got["candidate"] == k].sort_values("i")["v"].to_numpy()
+        at, stats = len(c.entropies), {}
+        for node in c.nodes:
+            shape = c.prior.latents[node].shape if node in s.cards else (3, s.states(s.of[node])) if node in num else c.prior.discrete[node].shape
+            stats[node] = flat[at : at + math.prod(shape)].reshape(shape)
+            at += math.prod(shape)
+        out.append((stats, dict(zip(c.entropies, flat, strict=False))))
+    return out
+
+
+def fit_locally(state: Completed, starts: Sequence[Forest], priors: Sequence[Forest], numeric: Sequence[str], domains: Mapping[str, Sequence[str]], steps: int = 10, threshold: float = 0.01) -> list[Forest]:
+    """Candidates next to the completed model, each estimated again only around its change; those still moving share each pass.
+
+    Nodes that a move leaves alone keep their sums, latents their probabilities; so a bound is that of all rows and all nodes, while a pass reads
+    the columns and computes the latents of the changed places only. To be followed by global passes, from which they start.
+    """
+    live = []
+    for i, (start, prior) in enumerate(zip(starts, priors, strict=True)):
+        latents, nodes = local_change(state.model.structure, start.structure)
+        live.append((i, Local(start, prior, latents, nodes, latents)))
+    out: list[Forest] = list(starts)
+    for _ in range(steps):
+        sums, still = _local_sums(state, [c for _, c in live], numeric, domains), []
+        for (i, c), (stats, entropy) in zip(live, sums, strict=True):
+            s = c.model.structure
+            whole = {n: v for n, v in state.stats.items() if n in s.cards or n in s.of} | stats
+            hidden = {z: v for z, v in state.entropy.items() if z in s.cards} | entropy
+            new = forest_m_step(whole, c.prior)
+            new.elbo = sum(node_evidence(whole, c.prior, n) for n in [*s.cards, *s.of]) + sum(hidden.values()) - _penalty(s)
+            new.trace = [*c.model.trace, new.elbo]
+            gain, out[i] = new.elbo - out[i].elbo, new
+            if not (len(new.trace) > 1 and gain < threshold):
+                still.append((i, replace(c, model=new)))
+        live = still
+        if not live:
+            break
+    return out
+
+
 def fit_latent_forest(features: DataFrame, structure: Structure, numeric: Sequence[str] = (), domains: Mapping[str, Sequence[str]] | None = None, candidates: int = 3, steps: int = 40, seed: int = 0) -> Forest:
     """The best of several starts of one structure."""
     domains, rng = dict(domains or {}), np.random.default_rng(seed)
@@ -319,16 +491,19 @@ def _useful(s: Structure) -> bool:
     return not s.cyclic() and all(s.children(z) for z in s.cards)
 
 
-def search(features: DataFrame, start: Structure, moves, numeric: Sequence[str], domains: Mapping[str, Sequence[str]], rounds: int = 20, screen: int = 4, keep: int = 3, steps: int = 30, seed: int = 0) -> Forest:
-    """Hill climbing: all candidates of a round are screened in shared passes, the best few are fitted on, the best is taken while the bound rises."""
+def search(features: DataFrame, start: Structure, moves, numeric: Sequence[str], domains: Mapping[str, Sequence[str]], rounds: int = 20, screen: int = 4, keep: int = 3, steps: int = 30, seed: int = 0, local: bool = True) -> Forest:
+    """Hill climbing: all candidates of a round are screened in shared passes, the best few are fitted on, the best is taken while the bound rises.
+
+    local: screening estimates only the surroundings of a move (fit_locally); else all nodes of every candidate.
+    """
     features = features.select(*numeric, *domains).persist()  # every pass reads it
     try:
-        return _search(features, start, moves, numeric, domains, rounds, screen, keep, steps, seed)
+        return _search(features, start, moves, numeric, domains, rounds, screen, keep, steps, seed, local)
     finally:
         features.unpersist()
 
 
-def _search(features, start, moves, numeric, domains, rounds, screen, keep, steps, seed) -> Forest:
+def _search(features, start, moves, numeric, domains, rounds, screen, keep, steps, seed, local) -> Forest:
     rng = np.random.default_rng(seed)
     base = class_prior(features, 1, numeric, domains)
     prior = forest_prior(base, start)
@@ -338,9 +513,14 @@ def _search(features, start, moves, numeric, domains, rounds, screen, keep, step
         if not options:
             break
         priors = [forest_prior(base, s) for s in options]
-        tried = fit_forests(features, [forest_start(p, rng, best) for p in priors], priors, numeric, domains, screen)
+        starts = [forest_start(p, rng, best) for p in priors]
+        if local:
+            state = complete(features, best, forest_prior(base, best.structure), numeric, domains)
+            tried = fit_locally(state, starts, priors, numeric, domains, screen)
+        else:
+            tried = fit_forests(features, starts, priors, numeric, domains, screen)
         order = sorted(range(len(tried)), key=lambda i: -tried[i].elbo)[:keep]
-        fitted = fit_forests(features, [tried[i] for i in order], [priors[i] for i in order], numeric, domains, steps)
+        fitted = fit_forests(features, [replace(tried[i], elbo=-math.inf, trace=[]) for i in order], [priors[i] for i in order], numeric, domains, steps)
         top = max(fitted, key=lambda m: m.elbo)
         if top.elbo <= best.elbo + 0.01:
             break

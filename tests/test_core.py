@@ -376,3 +376,40 @@ def test_forests_fill_sample_and_weigh(spark):
     got = {r["k"]: r for r in scoring.forest_likelihood_weighting(odd, model, "k", 50).collect()}
     assert got[None]["log_evidence"] == pytest.approx(0, abs=1e-9) and got[1]["log_evidence"] is None
     assert scoring.forest_sample(odd.limit(0), "k", model).count() == scoring.impute_with_forest(odd.limit(0), model).count() == 0
+
+
+def test_local_updates_reach_the_bound_of_global_ones(spark, two_partitions):
+    rng = np.random.default_rng(3)
+    base = parameters.class_prior(two_partitions, 1, ["x"], FOREST_DOMAINS)
+    one = forest.Structure({"p": 2}, {}, {c: "p" if c[0] == "a" else forest.ALONE for c in [*FOREST_DOMAINS, "x"]})
+    first = forest_of(two_partitions, base, one, rng)
+    state = forest.complete(two_partitions, first, forest.forest_prior(base, one), ["x"], FOREST_DOMAINS)
+    assert abs(state.elbo - first.elbo) < 1e-3 * abs(first.elbo)
+    again = forest.fit_forests(two_partitions, [state.model], [forest.forest_prior(base, one)], ["x"], FOREST_DOMAINS, 1)[0]
+    assert state.elbo <= again.elbo + 1e-6 * abs(again.elbo)  # the bound of the sums, exact without another pass
+    two = forest.Structure({"p": 2, "q": 2}, {}, {c: "p" if c[0] == "a" else "q" if c[0] == "b" else forest.ALONE for c in [*FOREST_DOMAINS, "x"]})
+    prior = forest.forest_prior(base, two)
+    start = forest.forest_start(prior, rng, state.model)
+    latents, nodes = forest.local_change(one, two)
+    assert latents == ("q",) and set(nodes) == {"q", "b0", "b1", "b2"}
+    local = forest.fit_locally(state, [start], [prior], ["x"], FOREST_DOMAINS, 200, 1e-9)[0]
+    whole = forest.fit_forests(two_partitions, [start], [prior], ["x"], FOREST_DOMAINS, 200, 1e-9)[0]
+    assert abs(local.elbo - whole.elbo) < 1e-6 * abs(whole.elbo)
+    assert all(b - a > -1e-7 * abs(a) for a, b in zip(local.trace, local.trace[1:]))
+    # other moves: fewer values are read, and global passes from there only add
+    options = [*forest.change_cards(two), *forest.remove_latents(two), *forest.relocate(two)[:6], *forest.insert_latents(two)[:2], *forest.add_arcs(two)]
+    state = forest.complete(two_partitions, whole, prior, ["x"], FOREST_DOMAINS)
+    priors = [forest.forest_prior(base, s) for s in options]
+    starts = [forest.forest_start(p, rng, state.model) for p in priors]
+    tried = forest.fit_locally(state, starts, priors, ["x"], FOREST_DOMAINS, 4)
+    for m, p in zip(tried, priors, strict=True):
+        latents, nodes = forest.local_change(two, m.structure)
+        assert len(forest.Local(m, p, latents, nodes, latents).columns()) < 7
+    best = max(range(len(tried)), key=lambda i: tried[i].elbo)
+    after = forest.fit_forests(two_partitions, [forest.replace(tried[best], elbo=-math.inf)], [priors[best]], ["x"], FOREST_DOMAINS, 30)[0]
+    assert after.elbo > tried[best].elbo - 1e-6 * abs(after.elbo)
+
+
+def forest_of(rows, base, structure, rng):
+    prior = forest.forest_prior(base, structure)
+    return forest.fit_forests(rows, [forest.forest_start(prior, rng)], [prior], ["x"], FOREST_DOMAINS, 40)[0]
