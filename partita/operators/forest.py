@@ -248,7 +248,7 @@ def node_evidence(stats: Mapping[str, np.ndarray], prior: Forest, node: str) ->
 
 @dataclass
 class Completed:
-    """A model with its rows: `rows` has the features and, as q_<latent>, each row's probabilities of every latent, and is a written table;
+    """A model with its rows: `rows` has the features and, as q_<latent>_<state>, each row's probabilities of every latent, and is a written table;
     stats are the sums of every node and entropy those of every latent over it."""
 
     rows: DataFrame
@@ -262,16 +262,20 @@ def _penalty(s: Structure) -> float:
     return sum(math.lgamma(k + 1) for k in s.cards.values())
 
 
+def _q_columns(s: Structure, latent: str) -> list[str]:
+    return [f"q_{latent}_{i}" for i in range(s.cards[latent])]
+
+
 def complete(features: DataFrame, model: Forest, prior: Forest, numeric: Sequence[str], domains: Mapping[str, Sequence[str]]) -> Completed:
     """Rows with the probabilities of all latents under the model, written once, and their sums."""
     shared, latents = features.sparkSession.sparkContext.broadcast(model), list(model.structure.cards)
     columns = [*numeric, *domains]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in features.select(*columns).schema] + [f"q_{z} array<double>" for z in latents])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in features.select(*columns).schema] + [f"{c} double" for z in latents for c in _q_columns(model.structure, z)])
 
     def run(batches):
         for b in batches:
             q, _ = responsibilities(shared.value, _columns(b, numeric, domains), len(b))
-            yield b.assign(**{f"q_{z}": list(q[z]) for z in latents})
+            yield b.assign(**{c: q[z][:, i] for z in latents for i, c in enumerate(_q_columns(model.structure, z))})
 
     rows = stored(features.select(*columns).mapInPandas(run, schema), "completed")
     bare = Completed(rows, model, {}, {}, -math.inf)
@@ -335,14 +339,15 @@ def _local_sums(state: Completed, candidates: Sequence[Local], numeric: Sequence
     shared = state.rows.sparkSession.sparkContext.broadcast(list(candidates))
     needed = {c for x in candidates for c in x.columns()}
     num, dom = [c for c in numeric if c in needed], {c: d for c, d in domains.items() if c in needed}
-    held = list(state.model.structure.cards)
+    kept_structure = state.model.structure
+    held = list(kept_structure.cards)
 
     def run(batches):
         sums: list[np.ndarray] = []
         for b in batches:
             if not len(b):
                 continue
-            x, kept = _columns(b, num, dom), {z: np.stack(b[f"q_{z}"]) for z in held}
+            x, kept = _columns(b, num, dom), {z: b[_q_columns(kept_structure, z)].to_numpy(float) for z in held}
             parts = []
             for c in shared.value:
                 s = c.model.structure
@@ -364,7 +369,7 @@ def _local_sums(state: Completed, candidates: Sequence[Local], numeric: Sequence
         for k, v in enumerate(sums):
             yield pd.DataFrame({"candidate": k, "i": np.arange(len(v)), "v": v})
 
-    got = state.rows.select(*num, *dom, *[f"q_{z}" for z in held]).mapInPandas(run, "candidate int, i int, v double").groupBy("candidate", "i").agg(F.sum("v").alias("v")).toPandas()
+    got = state.rows.select(*num, *dom, *[c for z in held for c in _q_columns(kept_structure, z)]).mapInPandas(run, "candidate int, i int, v double").groupBy("candidate", "i").agg(F.sum("v").alias("v")).toPandas()
     out = []
     for k, c in enumerate(candidates):
         s, flat = c.model.structure, got[got["candidate"] == k].sort_values("i")["v"].to_numpy()
