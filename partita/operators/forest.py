@@ -16,9 +16,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partita.functions.special import digamma, lgamma
+from partita.functions.special import digamma
 from partita.operators.dependence import mutual_info_matrix
-from partita.operators.parameters import _columns, class_prior, dirichlet_evidence, gaussian_evidence
+from partita.operators.parameters import _columns, class_prior, dirichlet_divergence, dirichlet_evidence, gaussian_evidence, normal_gamma_divergence
 from partita.operators.scoring import ForestModel
 from partita.sources.scratch import stored
 
@@ -197,19 +197,16 @@ def forest_m_step(stats: Mapping, prior: Forest) -> Forest:
     return Forest(prior.structure, {z: a + stats[z] for z, a in prior.latents.items()}, g, {c: t + stats[c] for c, t in prior.discrete.items()})
 
 
-def forest_divergence(q: Forest, p: Forest) -> float:
-    """KL of all parameters."""
+def forest_divergences(q: Forest, p: Forest) -> dict[str, float]:
+    """KL of the parameters of each node."""
+    out = {z: sum(map(dirichlet_divergence, a, p.latents[z])) for z, a in q.latents.items()}
+    out |= {c: normal_gamma_divergence(v, p.gaussian[c]) for c, v in q.gaussian.items()}
+    return out | {c: sum(map(dirichlet_divergence, t, p.discrete[c])) for c, t in q.discrete.items()}
 
-    def dirichlet(a, b):
-        return float(lgamma(a.sum()) - lgamma(a).sum() - lgamma(b.sum()) + lgamma(b).sum() + ((a - b) * (digamma(a) - digamma(a.sum()))).sum())
 
-    total = sum(dirichlet(a, b) for z in q.latents for a, b in zip(q.latents[z], p.latents[z], strict=True))
-    total += sum(dirichlet(a, b) for c in q.discrete for a, b in zip(q.discrete[c], p.discrete[c], strict=True))
-    for c, (m, k, a, b) in q.gaussian.items():
-        m0, k0, a0, b0 = p.gaussian[c]
-        gamma = (a - a0) * digamma(a) - lgamma(a) + lgamma(a0) + a0 * (np.log(b) - np.log(b0)) + a * (b0 - b) / b
-        total += float((gamma + 0.5 * (np.log(k / k0) + k0 / k - 1 + k0 * (m - m0) ** 2 * a / b)).sum())
-    return total
+def forest_divergence(q: Forest, p: Forest) -> float:
+    """KL of all parameters."""
+    return sum(forest_divergences(q, p).values())
 
 
 def fit_forests(features: DataFrame, starts: Sequence[Forest], priors: Sequence[Forest], numeric: Sequence[str], domains: Mapping[str, Sequence[str]], steps: int = 30, threshold: float = 0.01) -> list[Forest]:

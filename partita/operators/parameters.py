@@ -231,21 +231,50 @@ def m_step(stats: Mapping[str, np.ndarray], prior: LatentClass) -> LatentClass:
     return LatentClass(prior.alpha + stats["r"], g, d, prior.domains)
 
 
+def dirichlet_divergence(a: np.ndarray, b: np.ndarray) -> float:
+    """KL of two Dirichlet distributions."""
+    return float(lgamma(a.sum()) - lgamma(a).sum() - lgamma(b.sum()) + lgamma(b).sum() + ((a - b) * (digamma(a) - digamma(a.sum()))).sum())
+
+
+def normal_gamma_divergence(q: Sequence[np.ndarray], p: Sequence[np.ndarray]) -> float:
+    """KL of Normal-Gamma distributions (m, kappa, a, b), added up."""
+    (m, k, a, b), (m0, k0, a0, b0) = q, p
+    gamma = (a - a0) * digamma(a) - lgamma(a) + lgamma(a0) + a0 * (np.log(b) - np.log(b0)) + a * (b0 - b) / b
+    return float((gamma + 0.5 * (np.log(k / k0) + k0 / k - 1 + k0 * (m - m0) ** 2 * a / b)).sum())
+
+
+def parameter_divergences(q: LatentClass, p: LatentClass) -> dict[str, float]:
+    """KL(q || p) of the parameters of the latent (under the empty name) and of each attribute."""
+    out = {"": dirichlet_divergence(q.alpha, p.alpha)}
+    out |= {c: normal_gamma_divergence(v, p.gaussian[c]) for c, v in q.gaussian.items()}
+    return out | {c: sum(map(dirichlet_divergence, t, p.discrete[c])) for c, t in q.discrete.items()}
+
+
 def parameter_divergence(q: LatentClass, p: LatentClass) -> float:
     """KL(q || p) of all parameters."""
+    return sum(parameter_divergences(q, p).values())
+
+
+def known_gaussian(moments: Sequence[tuple[float, float]], rows: float = 1e9) -> tuple[np.ndarray, ...]:
+    """Parameters of an attribute whose (mean, variance) by state are given: a posterior of so many rows that it is a point."""
+    m, v = (np.array(x, dtype=float) for x in zip(*moments, strict=True))
+    return m, np.full(len(m), rows), np.full(len(m), rows), v * rows
+
+
+def known_discrete(tables: Sequence[Sequence[float]], rows: float = 1e9) -> np.ndarray:
+    """Parameters of an attribute whose value probabilities by state are given."""
+    return np.array(tables, dtype=float) * rows
 
-    def dirichlet(a, b):
-        return float(lgamma(a.sum()) - lgamma(a).sum() - lgamma(b.sum()) + lgamma(b).sum() + ((a - b) * (digamma(a) - digamma(a.sum()))).sum())
 
-    total = dirichlet(q.alpha, p.alpha)
-    for c, (m, k, a, b) in q.gaussian.items():
-        m0, k0, a0, b0 = p.gaussian[c]
-        gamma = (a - a0) * digamma(a) - lgamma(a) + lgamma(a0) + a0 * (np.log(b) - np.log(b0)) + a * (b0 - b) / b
-        normal = 0.5 * (np.log(k / k0) + k0 / k - 1 + k0 * (m - m0) ** 2 * a / b)
-        total += float((gamma + normal).sum())
-    for c, t in q.discrete.items():
-        total += sum(dirichlet(t[s], p.discrete[c][s]) for s in range(len(t)))
-    return total
+def held(model, fixed: Mapping[str, object] | None):
+    """The model with the given parameters of some attributes (known_gaussian, known_discrete); as a prior and as a posterior they add nothing to the bound."""
+    if fixed:
+        unknown = set(fixed) - {*model.gaussian, *model.discrete}
+        if unknown:
+            raise ValueError(f"no such attributes: {sorted(unknown)}")
+        model.gaussian = {c: fixed.get(c, v) for c, v in model.gaussian.items()}
+        model.discrete = {c: fixed.get(c, v) for c, v in model.discrete.items()}
+    return model
 
 
 def class_prior(features: DataFrame, states: int, numeric: Sequence[str], domains: Mapping[str, Sequence[str]], n0: float = 1.0) -> LatentClass:
@@ -270,26 +299,29 @@ def _start(prior: LatentClass, rng: np.random.Generator) -> LatentClass:
 
 def fit_latent_class(
     features: DataFrame, states: int | Sequence[int], numeric: Sequence[str] = (), domains: Mapping[str, Sequence[str]] | None = None,
-    candidates: int = 4, steps: int = 100, threshold: float = 0.01, restart: str = "pyramid", warm: int = 4, seed: int = 0, weight: str | None = None,
+    candidates: int = 4, steps: int = 100, threshold: float = 0.01, restart: str = "pyramid", warm: int = 4, seed: int = 0, weight: str | None = None, fixed: Mapping[str, object] | None = None,
 ) -> dict[int, LatentClass]:
     """The best model by penalised bound for each number of states; every pass over the data serves all candidates and all numbers.
 
     restart `pyramid`: candidates halve after `warm`, 2 `warm`, ... steps until one is left per number of states;
     `random`: all run on. A model stops when its bound gains less than `threshold`. Missing cells are skipped.
+    fixed: parameters of some attributes that are held (known_gaussian, known_discrete), for one number of states.
     """
+    if fixed and not isinstance(states, int):
+        raise ValueError("held parameters belong to one number of states")
     domains = dict(domains or {})
     sizes = [states] if isinstance(states, int) else list(states)
     features = features.select(*numeric, *domains, *([weight] if weight else [])).persist()  # every step reads it
     try:
-        return _fit_latent_class(features, sizes, numeric, domains, candidates, steps, threshold, restart, warm, seed, weight)
+        return _fit_latent_class(features, sizes, numeric, domains, candidates, steps, threshold, restart, warm, seed, weight, fixed)
     finally:
         features.unpersist()
 
 
-def _fit_latent_class(features, sizes, numeric, domains, candidates, steps, threshold, restart, warm, seed, weight) -> dict[int, LatentClass]:
-    priors = {k: class_prior(features, k, numeric, domains) for k in sizes}
+def _fit_latent_class(features, sizes, numeric, domains, candidates, steps, threshold, restart, warm, seed, weight, fixed) -> dict[int, LatentClass]:
+    priors = {k: held(class_prior(features, k, numeric, domains), fixed) for k in sizes}
     rng = np.random.default_rng(seed)
-    live = [(k, _start(priors[k], rng)) for k in sizes for _ in range(candidates if k > 1 else 1)]
+    live = [(k, held(_start(priors[k], rng), fixed)) for k in sizes for _ in range(candidates if k > 1 else 1)]
     done: list[tuple[int, LatentClass]] = []
     stage = warm
     for step in range(1, steps + 1):
@@ -297,7 +329,7 @@ def _fit_latent_class(features, sizes, numeric, domains, candidates, steps, thre
         for (k, old), stats in zip(live, e_step(features, [m for _, m in live], numeric, domains, weight), strict=True):
             elbo = stats["bound"] - parameter_divergence(old, priors[k]) - math.lgamma(k + 1)
             gain = elbo - old.elbo  # the bound of the parameters that this pass used
-            new = m_step(stats, priors[k])
+            new = held(m_step(stats, priors[k]), fixed)
             new.elbo, new.steps = elbo, step
             (done if math.isfinite(old.elbo) and gain < threshold else moved).append((k, new))
         live = moved

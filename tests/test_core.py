@@ -97,10 +97,10 @@ def test_a_single_batch_stream_is_a_batch_fit_and_replays_change_nothing(spark,
     assert np.allclose(again.gaussian["x"][3], whole.gaussian["x"][3])
 
 
-def test_parallel_deltas_of_one_partition_are_its_fit(planted):
+def test_parallel_deltas_of_one_block_are_its_fit(planted):
     prior = parameters.class_prior(planted, 2, ["x"], {})
     start = parameters._start(prior, np.random.default_rng(0))
-    one = updates.parallel_bayes_update(planted.coalesce(1), prior, start, ["x"], steps=4)
+    one = updates.parallel_bayes_update(planted, prior, start, ["x"], steps=4, blocks=1)
     now = start
     for _ in range(4):
         now = parameters.m_step(parameters.e_step(planted, [now], ["x"], {})[0], prior)
@@ -413,3 +413,92 @@ def test_local_updates_reach_the_bound_of_global_ones(spark, two_partitions):
 def forest_of(rows, base, structure, rng):
     prior = forest.forest_prior(base, structure)
     return forest.fit_forests(rows, [forest.forest_start(prior, rng)], [prior], ["x"], FOREST_DOMAINS, 40)[0]
+
+
+def test_deltas_of_a_stream_are_those_of_its_table(spark, planted, tmp_path):
+    domains = {"c": ["a", "b"]}
+    prior = parameters.class_prior(planted, 2, ["x", "y"], domains)
+    start = parameters._start(prior, np.random.default_rng(0))
+    rows = planted.select("x", "y", "c", (F.col("row_id") % 5).alias("part"), "row_id")
+    table = {r["batch"]: r for r in updates.batch_deltas(rows.withColumn("part", F.when(F.col("row_id") % 11 != 0, F.col("part"))), "part", prior, start, ["x", "y"], domains, 3).collect()}
+    assert set(table) == set(range(5)) and sum(r["n"] for r in table.values()) == rows.filter("row_id % 11 <> 0").count()
+    now = start
+    for _ in range(3):
+        now = parameters.m_step(parameters.e_step(rows.filter("part = 2 and row_id % 11 <> 0"), [now], ["x", "y"], domains)[0], prior)
+    assert np.allclose(table[2]["delta"], updates.natural(now) - updates.natural(prior))
+    # as a stream: one micro-batch per file; files hold whole batches, then one more brings rows of a batch that is known
+    source, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in range(5):
+        rows.filter((F.col("part") == part) & (F.col("row_id") % 11 != 0)).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema("x double, y double, c string, part long, row_id long").option("maxFilesPerTrigger", 2).parquet(source)
+    updates.run_deltas(updates.batch_deltas(stream, "part", prior, start, ["x", "y"], domains, 3), sink, str(tmp_path / "at"))
+    got = spark.read.parquet(sink)
+    assert {r["batch"]: r["n"] for r in got.collect()} == {k: r["n"] for k, r in table.items()}
+    sums = [updates.natural(updates.add_deltas(d, prior)) for d in (got, spark.createDataFrame(list(table.values())))]
+    assert np.allclose(*sums)
+    updates.run_deltas(updates.batch_deltas(stream, "part", prior, start, ["x", "y"], domains, 3), sink, str(tmp_path / "at"))  # nothing new
+    assert np.allclose(updates.natural(updates.add_deltas(spark.read.parquet(sink), prior)), sums[0])
+    rows.filter("part = 2 and row_id % 11 = 0").coalesce(1).write.mode("append").parquet(source)
+    updates.run_deltas(updates.batch_deltas(stream, "part", prior, start, ["x", "y"], domains, 3), sink, str(tmp_path / "at"))
+    more = updates.add_deltas(spark.read.parquet(sink), prior)
+    assert math.isclose(more.alpha.sum() - prior.alpha.sum(), rows.filter("row_id % 11 <> 0 or part = 2").count(), rel_tol=1e-9)
+    assert updates.batch_deltas(rows.limit(0), "part", prior, start, ["x", "y"], domains).count() == 0
+
+
+def test_drift_of_one_attribute_moves_its_weight_alone(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    z = rng.integers(0, 2, 1600)
+    x, y = np.where(z, 6, -6) + rng.normal(0, 1, 1600), np.where(z, 5, -5) + rng.normal(0, 1, 1600)
+    y[1200:] += 60  # y drifts in the last batch
+    rows = spark.createDataFrame([(i, float(a), float(b), i // 400) for i, (a, b) in enumerate(zip(x, y, strict=True))], "k long, x double, y double, part int")
+    prior = parameters.class_prior(rows, 2, ["x", "y"], {})
+    start = parameters._start(prior, np.random.default_rng(0))
+    for kind in ("exponential", "normal"):
+        state = updates.StateTable(str(tmp_path / kind))
+        on_batch = updates.updater(state, prior, start, ["x", "y"], {}, "drift", weights="each", weight_prior=kind, steps=10)
+        updates.prequential(rows, "part", on_batch, state)
+        calm, moved = (r["weights"] for r in state.rows(spark)[2:])
+        assert calm["x"] > 0.8 and calm["y"] > 0.8 and moved["x"] > 0.8 and moved["y"] < 0.3
+    assert math.isclose(updates.drift_weight(0.0), 0.5, abs_tol=1e-6) and math.isclose(updates.drift_weight(3.0), 1 / (1 - math.exp(-3)) - 1 / 3, abs_tol=1e-5)
+    assert math.isclose(updates.drift_weight(0.0, "normal", 0.5, 0.2), 0.5, abs_tol=1e-6) and updates.drift_weight(1e4, "normal") > 0.99 and math.isclose(updates.drift_weight(-1e4), 1e-4)
+    # a normal weight far from its ends is a normal one: its mean is centre + push * spread ** 2
+    assert math.isclose(updates.drift_weight(4.0, "normal", 0.4, 0.05), 0.41, abs_tol=1e-4)
+
+
+def test_forests_learn_from_batches(spark, two_partitions, tmp_path):
+    structure = forest.Structure({"p": 2, "q": 2}, {"q": "p"}, {**{c: "p" if c[0] == "a" else "q" for c in FOREST_DOMAINS}, "x": forest.ALONE})
+    base = parameters.class_prior(two_partitions, 1, ["x"], FOREST_DOMAINS)
+    prior = forest.forest_prior(base, structure)
+    start = forest.forest_start(prior, np.random.default_rng(0))
+    flat = updates.natural(start)
+    assert np.allclose(updates.natural(updates.from_natural(flat, prior)), flat) and sum(updates.node_sizes(prior).values()) == len(flat)
+    whole = updates.update(two_partitions, prior, start, ["x"], FOREST_DOMAINS, steps=6)
+    one = updates.StateTable(str(tmp_path / "one"))
+    out = updates.prequential(two_partitions.withColumn("part", F.lit(3)), "part", updates.updater(one, prior, start, ["x"], FOREST_DOMAINS, steps=6), one).collect()
+    assert [r["batch_id"] for r in out] == [3] and np.allclose(one.rows(spark)[0]["natural"], updates.natural(whole))
+    three = updates.StateTable(str(tmp_path / "three"))
+    rows = two_partitions.withColumn("part", (F.col("k") % 3).cast("int"))
+    out = updates.prequential(rows, "part", updates.updater(three, prior, start, ["x"], FOREST_DOMAINS, steps=12), three).orderBy("batch_id").collect()
+    assert out[0]["predictive"] is None and out[2]["predictive"] > out[1]["predictive"] - 60
+    last = updates.from_natural(np.array(three.rows(spark)[-1]["natural"]), prior)
+    assert math.isclose(sum(t.sum() for t in last.latents.values()) - sum(t.sum() for t in prior.latents.values()), 3000, rel_tol=1e-9)
+    model = last.expected(FOREST_DOMAINS)
+    labels = scoring.forest_posterior(two_partitions, model).withColumn("z", F.when(F.col("p_probs")[1] > 0.5, "1").otherwise("0"))
+    same = labels.filter("z = a0").count() / 1500
+    assert max(same, 1 - same) > 0.85
+
+
+def test_given_parameters_are_held(spark, planted, tmp_path):
+    fixed = {"x": parameters.known_gaussian([(-4.0, 1.0), (3.0, 0.5)]), "c": parameters.known_discrete([[0.9, 0.1], [0.2, 0.8]])}
+    fit = parameters.fit_latent_class(planted, 2, ["x", "y"], {"c": ["a", "b"]}, candidates=2, steps=20, fixed=fixed)[2].expected()
+    lightest = 0 if fit.gaussian["x"][0][0] < 0 else 1
+    assert lightest == 0 and np.allclose(fit.gaussian["x"], [(-4.0, 1.0), (3.0, 0.5)]) and math.isclose(fit.discrete["c"][0]["a"], 0.9)
+    assert abs(fit.weights[0] - 0.3) < 0.04 and abs(fit.gaussian["y"][1][0] - 6) < 0.2  # the free ones follow
+    prior = parameters.class_prior(planted, 2, ["x", "y"], {"c": ["a", "b"]})
+    state = updates.StateTable(str(tmp_path / "held"))
+    on_batch = updates.updater(state, prior, parameters._start(prior, np.random.default_rng(0)), ["x", "y"], {"c": ["a", "b"]}, steps=5, fixed=fixed)
+    updates.prequential(planted.withColumn("part", F.col("row_id") % 2), "part", on_batch, state)
+    last = updates.from_natural(np.array(state.rows(spark)[-1]["natural"]), prior)
+    assert np.allclose(last.gaussian["x"][0], [-4.0, 3.0], atol=1e-6)
+    with pytest.raises(ValueError, match="no such"):
+        parameters.fit_latent_class(planted, 2, ["x"], {}, fixed={"y": fixed["x"]})
