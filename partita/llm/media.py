@@ -71,9 +71,12 @@ def pack_media(payload: bytes) -> bytes:
 
 
 def boxes(data, start: int, end: int):
-    """(kind, body start, body end) of the boxes in a range, nested ones after their parent; bodies are not read."""
-    at = start
-    while at + 8 <= end:
+    """(kind, body start, body end) of the boxes in a range, nested ones after their parent, however deep; bodies are not read."""
+    open_ranges = [(start, end)]
+    while open_ranges:
+        at, end = open_ranges.pop()
+        if at + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", data, at)
         head = 8
         if size == 1:
@@ -83,9 +86,9 @@ def boxes(data, start: int, end: int):
         if size < head or at + size > end:
             raise ValueError(f"a box at byte {at} does not end inside its parent")
         yield kind, at + head, at + size
+        open_ranges.append((at + size, end))
         if kind in _NESTED:
-            yield from boxes(data, at + head, at + size)
-        at += size
+            open_ranges.append((at + head, at + size))
 
 
 def _track(data: bytes, found: dict[bytes, tuple[int, int]]) -> dict:
@@ -102,6 +105,8 @@ def _track(data: bytes, found: dict[bytes, tuple[int, int]]) -> dict:
     codec = data[a + 12 : a + 16].decode("ascii", "replace").strip()
     if b"stsz" in found:
         same, count = struct.unpack_from(">II", data, found[b"stsz"][0] + 4)
+        if same * count > len(data):
+            raise ValueError(f"{count} samples of {same} bytes do not fit in {len(data)} bytes")
         sizes = [same] * count if same else list(struct.unpack_from(f">{count}I", data, found[b"stsz"][0] + 12))
     else:  # sizes of 4, 8 or 16 bits
         a, _ = found[b"stz2"]
@@ -110,6 +115,8 @@ def _track(data: bytes, found: dict[bytes, tuple[int, int]]) -> dict:
             sizes = [x for v in data[a + 12 : a + 12 + (count + 1) // 2] for x in (v >> 4, v & 15)][:count]
         else:
             sizes = list(struct.unpack_from(f">{count}{'B' if bits == 8 else 'H'}", data, a + 12))
+    if len(sizes) != count:
+        raise ValueError(f"the size table has {len(sizes)} of {count} samples")
     offsets = table(b"co64", "Q") if b"co64" in found else table(b"stco", "I")
     chunks = table(b"stsc", "I", each=3)
     keys = set(table(b"stss", "I")) if b"stss" in found else set(range(1, count + 1))
@@ -183,6 +190,8 @@ def _indexed(data: bytes | None) -> tuple:
         ranges = [r for t in tracks for r in t["chunks"]]
         if any(a < 0 or a + size > len(data) for a, size in ranges):
             raise ValueError("a chunk lies outside the file")
+        if sum(size for _, size in ranges) > len(data):
+            raise ValueError("chunks overlap")
     except (ValueError, KeyError, IndexError, struct.error) as e:
         return None, None, None, *of_file, None, None, f"{type(e).__name__}: {e}"
     payload = b"".join(data[a : a + size] for a, size in ranges)

@@ -56,6 +56,20 @@ def test_damaged_values_and_several_tracks(spark):
         media.describe(media._box(b"moof") + one)
 
 
+def test_deep_boxes_and_huge_counts_are_errors_not_crashes(spark):
+    deep = b""
+    for _ in range(20_000):
+        deep = (8 + len(deep)).to_bytes(4, "big") + b"moov" + deep
+    good = media.pack_media(b"ab" * 288)
+    at = good.index(b"stsz") + 8
+    many = good[:at] + (1).to_bytes(4, "big") + (2**32 - 1).to_bytes(4, "big") + good[at + 8 :]
+    few_bits = good[: at - 8] + b"stz2" + bytes(7) + b"\x04" + (2**32 - 1).to_bytes(4, "big") + good[at + 8 :]
+    df = spark.createDataFrame([(1, 5, bytearray(deep)), (2, 5, bytearray(many)), (3, 576, bytearray(good)), (4, 5, bytearray(few_bits))], "doc_id long, n_bytes long, media binary")
+    rows = {r["doc_id"]: r for r in media.media_index(df).collect()}
+    assert "no track" in rows[1]["error"] and "do not fit" in rows[2]["error"] and rows[3]["error"] is None and rows[4]["error"]
+    assert [k for k, _, _ in media.boxes(deep, 0, len(deep))] == [b"moov"] * 20_000
+
+
 def test_sizes_in_few_bits():
     data = media.pack_media(bytes(1152))
     where = {kind: (a, b) for kind, a, b in media.boxes(data, 0, len(data))}
