@@ -215,8 +215,10 @@ def mutual_info_mixed(df: DataFrame, state: str, x: str, k: int = 3) -> DataFram
     return each.agg(F.greatest(F.lit(0.0), (some * F.lit(at_k + at_n) - F.coalesce(s, F.lit(0.0))) / F.lit(float(max(total, 1)))).alias("mi"))
 
 
-def mutual_info_by_type(df: DataFrame, key: str, discrete: Sequence[str] = (), numeric: Sequence[str] = (), k: int = 3) -> list[tuple[str, str, float]]:
-    """(a, b, mi) of all pairs of columns by their types: counts for two discrete ones, neighbour estimates for two numeric ones or a mixed pair."""
+def mutual_info_by_type(df: DataFrame, key: str, discrete: Sequence[str] = (), numeric: Sequence[str] = (), k: int = 3, jitter: float = 0.0, seed: int = 0) -> list[tuple[str, str, float]]:
+    """(a, b, mi) of all pairs of columns by their types: counts for two discrete ones, neighbour estimates for two numeric ones or a mixed pair. jitter: noise that parts tied numbers, see jittered()."""
+    if jitter and numeric:
+        df = stored(jittered(df, key, numeric, jitter, seed).select(key, *discrete, *numeric), "jittered")
     out = [(r["a"], r["b"], r["mi"]) for r in mutual_info_matrix(df, discrete).collect()] if len(discrete) > 1 else []
     out += [(a, b, mutual_info_mixed(df, a, b, k).first()["mi"]) for a in discrete for b in numeric]
     return out + [(a, b, mutual_info_continuous(df, key, a, b, k)) for a, b in itertools.combinations(numeric, 2)]

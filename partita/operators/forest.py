@@ -564,14 +564,13 @@ def learn_partitions(features: DataFrame, numeric: Sequence[str] = (), domains:
     return search(features, start.structure if start else _empty(numeric, domains), moves, numeric, domains, **options)
 
 
-def ranked_pairs(features: DataFrame, numeric: Sequence[str], domains: Mapping[str, Sequence[str]]) -> list[tuple[str, str]]:
-    """Attribute pairs by mutual information in nats, highest first, ties by name.
+def pair_dependence(features: DataFrame, numeric: Sequence[str], domains: Mapping[str, Sequence[str]]) -> dict[tuple[str, str], float]:
+    """Mutual information of attribute pairs in nats.
 
     Discrete pairs are counted; numeric ones are taken as normal, -ln(1 - r^2) / 2, and so are mixed ones with the share of
     variance that lies between states. Three aggregates, whatever the number of attributes.
     """
     found: dict[tuple[str, str], float] = {}
-    order = [*numeric, *domains]
     of_share = lambda share: -0.5 * math.log(max(1 - min(share or 0.0, 1.0), 1e-12))
     if len(numeric) > 1:
         pairs = list(itertools.combinations(numeric, 2))
@@ -587,8 +586,13 @@ def ranked_pairs(features: DataFrame, numeric: Sequence[str], domains: Mapping[s
         between = square - mean * mean / n
         shares = groups.groupBy("c", "d").agg((between / F.nullif(between + inside, F.lit(0.0))).alias("share")).collect()  # a row per pair
         found |= {(r["c"], r["d"]): of_share(r["share"]) for r in shares}
-    pairs = list(itertools.combinations(order, 2))
-    return sorted(pairs, key=lambda p: (-found.get(p, found.get(p[::-1], 0.0)), p))
+    return found
+
+
+def ranked_pairs(features: DataFrame, numeric: Sequence[str], domains: Mapping[str, Sequence[str]]) -> list[tuple[str, str]]:
+    """Attribute pairs by mutual information, highest first, ties by name."""
+    found = pair_dependence(features, numeric, domains)
+    return sorted(itertools.combinations([*numeric, *domains], 2), key=lambda p: (-found.get(p, found.get(p[::-1], 0.0)), p))
 
 
 def forest_edges(model: Forest) -> list[tuple[str, str]]:

@@ -362,9 +362,34 @@ def select_cardinality(features: DataFrame, numeric: Sequence[str] = (), domains
 def fit_mixture(features: DataFrame, states: int, numeric: Sequence[str], full: bool = False, candidates: int = 4, steps: int = 60, threshold: float = 0.01, limit: float = 20.0, seed: int = 0, blocks: Sequence[Sequence[str]] | None = None) -> dict:
     """EM of a Gaussian mixture, all restarts in one pass: weights, means, covariances, log_likelihood, bic.
 
-    full: one covariance matrix per state, its eigenvalues, in units of the table's deviations, kept within 1 / limit^2 and limit.
-    blocks: groups of attributes that have joint covariances, others are independent within a state.
-    Rows with a missing cell are left out. Statistics are n, sums and sums of products about the table's mean.
+    full: one covariance matrix per state. blocks: groups of attributes that have joint covariances, others are independent within a state. For
+    the rest see fit_mixtures().
+    """
+    groups = blocks if blocks is not None else [list(numeric)] if full else [[c] for c in numeric]
+    return fit_mixtures(features, numeric, [(states, groups)], candidates, steps, threshold, limit, seed)[0]
+
+
+def _log_densities(x: np.ndarray, squares: np.ndarray, model: tuple, groups: Sequence[np.ndarray]) -> np.ndarray:
+    """Rows by states: ln of weight times density, attributes independent between groups."""
+    w, mu, cov = model
+    out = np.tile(np.log(np.maximum(w, 1e-300)), (len(x), 1))
+    single = np.array([g[0] for g in groups if len(g) == 1], dtype=int)
+    if len(single):
+        v, m = cov[:, single, single], mu[:, single]
+        out += x[:, single] @ (m / v).T - 0.5 * (squares[:, single] @ (1 / v).T) - 0.5 * (np.log(2 * math.pi * v) + m * m / v).sum(axis=1)
+    for g in groups:
+        for s in range(len(w) if len(g) > 1 else 0):
+            chol = np.linalg.cholesky(cov[s][np.ix_(g, g)])
+            y = np.linalg.solve(chol, (x[:, g] - mu[s, g]).T)
+            out[:, s] += -0.5 * (y * y).sum(axis=0) - np.log(np.diag(chol)).sum() - len(g) / 2 * math.log(2 * math.pi)
+    return out
+
+
+def fit_mixtures(features: DataFrame, numeric: Sequence[str], models: Sequence[tuple[int, Sequence[Sequence[str]]]], candidates: int = 4, steps: int = 60, threshold: float = 0.01, limit: float = 20.0, seed: int = 0) -> list[dict]:
+    """EM of several Gaussian mixtures (states, groups of attributes with joint covariances), all their restarts in shared passes; the best restart of each.
+
+    Rows with a missing cell are left out; if none is left, that is an error. Statistics are n, sums and sums of products within groups about the table's
+    mean. The eigenvalues of a covariance, in units of the table's deviations, are kept within 1 / limit^2 and limit. A start stops when its likelihood gains less than `threshold`.
     """
     rows = features.dropna(subset=list(numeric)).select(*[F.col(c).cast("double").alias(c) for c in numeric])
     one = rows.agg(F.count("*").alias("n"), *[f(c).alias(f"{p}{c}") for c in numeric for p, f in (("m", F.avg), ("v", F.var_pop))]).first()
@@ -372,74 +397,71 @@ def fit_mixture(features: DataFrame, states: int, numeric: Sequence[str], full:
     if not n:
         raise ValueError("no row has a value in every column")
     centre, var = np.array([one[f"m{c}"] for c in numeric]), np.array([max(one[f"v{c}"], 1e-12) for c in numeric])
-    groups = blocks if blocks is not None else [list(numeric)] if full else [[c] for c in numeric]
-    joint = np.zeros((d, d), dtype=bool)
-    for g in groups:
-        at = [list(numeric).index(c) for c in g]
-        joint[np.ix_(at, at)] = True
-    rng = np.random.default_rng(seed)
-    live = [(np.full(states, 1 / states), rng.standard_normal((states, d)) * np.sqrt(var), np.stack([np.diag(var)] * states)) for _ in range(candidates)]
-    best, past = None, np.full(candidates, -np.inf)
-    diagonal = joint.sum() == d  # independent attributes: variances alone, no matrices
+    unit = np.sqrt(np.outer(var, var))
+    groups = [[np.array([list(numeric).index(c) for c in g]) for g in blocks] for _, blocks in models]
+    live = []
+    for at, (states, _) in enumerate(models):
+        rng = np.random.default_rng(seed)
+        live += [(at, -np.inf, (np.full(states, 1 / states), rng.standard_normal((states, d)) * np.sqrt(var), np.stack([np.diag(var)] * states))) for _ in range(candidates)]
+    best: list[dict | None] = [None] * len(models)
     rows = rows.persist()  # every step reads it
-    for _ in range(steps):
-        shared = rows.sparkSession.sparkContext.broadcast(live)
-
-        def run(batches, shared=shared):
-            total: list[np.ndarray] = []
-            for b in batches:
-                x = b.to_numpy(float) - centre
-                parts, squares = [], x * x if diagonal else None
-                for w, mu, cov in shared.value:
-                    logs = np.empty((len(x), states))
-                    if diagonal:
-                        v = np.stack([np.diag(c) for c in cov])
-                        level = np.log(np.maximum(w, 1e-300)) - 0.5 * (np.log(2 * math.pi * v) + mu * mu / v).sum(axis=1)
-                        logs = x @ (mu / v).T - 0.5 * (squares @ (1 / v).T) + level
-                    for s in range(0 if diagonal else states):
-                        chol = np.linalg.cholesky(cov[s])
-                        y = np.linalg.solve(chol, (x - mu[s]).T)
-                        logs[:, s] = math.log(max(w[s], 1e-300)) - 0.5 * (y * y).sum(axis=0) - np.log(np.diag(chol)).sum() - d / 2 * math.log(2 * math.pi)
-                    top = logs.max(axis=1, keepdims=True)
-                    e = np.exp(logs - top)
-                    t = e.sum(axis=1, keepdims=True)
-                    r = e / t
-                    parts.append(np.concatenate([[(top + np.log(t)).sum()], r.sum(axis=0), (r.T @ x).ravel(), (r.T @ squares if diagonal else np.stack([(x * r[:, s : s + 1]).T @ x for s in range(states)])).ravel()]))
-                total = parts if not total else [p + q for p, q in zip(total, parts, strict=True)]
-            for k, v in enumerate(total):
-                yield pd.DataFrame({"candidate": k, "i": np.arange(len(v)), "v": v})
-
-        got = rows.mapInPandas(run, "candidate int, i int, v double").groupBy("candidate", "i").agg(F.sum("v").alias("v")).toPandas()
-        after, scores = [], []
-        for k in range(len(live)):
-            v = got[got["candidate"] == k].sort_values("i")["v"].to_numpy()
-            r = np.maximum(v[1 : 1 + states], 1e-9)
-            mu = v[1 + states : 1 + states + states * d].reshape(states, d) / r[:, None]
-            second = v[1 + states + states * d :]
-            second = np.stack([np.diag(q) for q in second.reshape(states, d)]) if diagonal else second.reshape(states, d, d)
-            cov = second / r[:, None, None] - np.einsum("si,sj->sij", mu, mu)
-            for s in range(states):
-                kept = np.where(joint, (cov[s] + cov[s].T) / 2, 0.0)
-                if joint.sum() > d:  # in units of the table's deviations, so that one limit fits all attributes
-                    unit = np.sqrt(np.outer(var, var))
-                    values, vectors = np.linalg.eigh(kept / unit)
-                    kept = np.where(joint, (vectors * np.clip(values, 1 / limit**2, limit)) @ vectors.T, 0.0) * unit
-                else:
-                    kept = np.diag(np.clip(np.diag(kept), var / limit**2, var * limit))
-                cov[s] = kept
-            after.append((r / r.sum(), mu, cov))
-            scores.append(v[0])
-        top = int(np.argmax(scores))
-        if best is None or scores[top] > best["log_likelihood"]:
-            w, mu, cov = live[top]
-            best = {"log_likelihood": float(scores[top]), "weights": w, "means": mu + centre, "covariances": cov}
-        gains, past = np.array(scores) - past, np.array(scores)
-        if (gains < threshold).all():
-            break
-        live = after
-    rows.unpersist()
-    dim = states - 1 + states * (d + (int(joint.sum()) + d) // 2)
-    return best | {"n": n, "dim": dim, "bic": best["log_likelihood"] - dim * math.log(n) / 2}
+    try:
+        for _ in range(steps):
+            shared = rows.sparkSession.sparkContext.broadcast([(m, groups[at]) for at, _, m in live])
+
+            def run(batches, shared=shared):
+                total: list[np.ndarray] = []
+                for b in batches:
+                    x = b.to_numpy(float) - centre
+                    squares, parts = x * x, []
+                    for model, mine in shared.value:
+                        logs = _log_densities(x, squares, model, mine)
+                        top = logs.max(axis=1, keepdims=True)
+                        e = np.exp(logs - top)
+                        t = e.sum(axis=1, keepdims=True)
+                        r = e / t
+                        flat = [[(top + np.log(t)).sum()], r.sum(axis=0), (r.T @ x).ravel(), (r.T @ squares).ravel()]
+                        flat += [((x[:, g] * r[:, s : s + 1]).T @ x[:, g]).ravel() for g in mine if len(g) > 1 for s in range(r.shape[1])]
+                        parts.append(np.concatenate(flat))
+                    total = parts if not total else [p + q for p, q in zip(total, parts, strict=True)]
+                for k, v in enumerate(total):
+                    yield pd.DataFrame({"candidate": k, "i": np.arange(len(v)), "v": v})
+
+            got = rows.mapInPandas(run, "candidate int, i int, v double").groupBy("candidate", "i").agg(F.sum("v").alias("v")).toPandas()
+            after = []
+            for k, (at, past, model) in enumerate(live):
+                v, states = got[got["candidate"] == k].sort_values("i")["v"].to_numpy(), models[at][0]
+                if best[at] is None or v[0] > best[at]["log_likelihood"]:
+                    best[at] = {"log_likelihood": float(v[0]), "weights": model[0], "means": model[1] + centre, "covariances": model[2]}
+                if v[0] - past >= threshold:
+                    after.append((at, v[0], _mixture_step(v, states, groups[at], var, unit, limit)))
+            live = after
+            if not live:
+                break
+    finally:
+        rows.unpersist()
+    out = []
+    for (states, blocks), found in zip(models, best, strict=True):
+        dim = states - 1 + states * (d + sum(len(g) * (len(g) + 1) // 2 for g in blocks))
+        out.append(found | {"n": n, "dim": dim, "bic": found["log_likelihood"] - dim * math.log(n) / 2})
+    return out
+
+
+def _mixture_step(v: np.ndarray, states: int, groups: Sequence[np.ndarray], var: np.ndarray, unit: np.ndarray, limit: float) -> tuple:
+    """Weights, means and limited covariances from the sums of a pass."""
+    d, r = len(var), np.maximum(v[1 : 1 + states], 1e-9)
+    at = 1 + states
+    mu = v[at : at + states * d].reshape(states, d) / r[:, None]
+    square = v[at + states * d : at + 2 * states * d].reshape(states, d) / r[:, None] - mu * mu
+    at += 2 * states * d
+    cov = np.stack([np.diag(np.clip(s, var / limit**2, var * limit)) for s in square])
+    for g in groups:
+        for s in range(states if len(g) > 1 else 0):
+            second = v[at : at + len(g) ** 2].reshape(len(g), len(g)) / r[s] - np.outer(mu[s, g], mu[s, g])
+            at += len(g) ** 2
+            values, vectors = np.linalg.eigh((second + second.T) / 2 / unit[np.ix_(g, g)])  # in units of the table's deviations, so that one limit fits all attributes
+            cov[s][np.ix_(g, g)] = (vectors * np.clip(values, 1 / limit**2, limit)) @ vectors.T * unit[np.ix_(g, g)]
+    return r / r.sum(), mu, cov
 
 
 def select_mixture(features: DataFrame, numeric: Sequence[str], most: int = 6, **options) -> dict:

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from partita.functions.special import lgamma
 from partita.operators.dependence import mutual_info_matrix
 from partita.operators import forest
-from partita.operators.parameters import LatentClass, fit_latent_class, fit_mixture, select_cardinality
-from partita.operators.scoring import hard_assign
+from partita.operators.parameters import LatentClass, fit_latent_class, fit_mixture, fit_mixtures, select_cardinality
+from partita.operators.scoring import hard_assign, posterior
 
 Family = tuple[str, frozenset]
 
@@ -343,33 +343,57 @@ def hill_climb(
     return graph, sum(final.values())
 
 
-def group_attributes(df: DataFrame, domains: Mapping[str, Sequence[str]], seed: int = 0, **options) -> tuple[list[list[str]], list[LatentClass]]:
-    """Islands: groups of discrete attributes, each explained by one latent, and their models.
+def group_attributes(df: DataFrame, domains: Mapping[str, Sequence[str]] | None = None, numeric: Sequence[str] = (), candidates: int = 3, steps: int = 30, most_states: int = 4, seed: int = 0) -> tuple[list[list[str]], list[LatentClass]]:
+    """Islands: groups of discrete and numeric attributes, each explained by one latent, and their models.
 
-    A group starts with the pair of highest mutual information and takes the closest attribute while one latent over
-    all explains them better than the group's latent beside a separate one for the newcomer.
+    A group starts with the pair of highest dependence (forest.pair_dependence) and takes the closest attribute while one latent over
+    all explains them better than the group's latent beside a separate newcomer. All starts of both share each pass; the
+    bound of the separate newcomer is exact from one pass over all attributes, that of the group is kept from when it was formed.
     """
-    mi = {frozenset((r["a"], r["b"])): r["mi"] for r in mutual_info_matrix(df, list(domains)).collect()}
-    left, groups = list(domains), []
-    while len(left) > 2:
-        pair = max(itertools.combinations(left, 2), key=lambda p: mi.get(frozenset(p), 0.0))
-        group = list(pair)
-        while rest := [c for c in left if c not in group]:
-            near = max(rest, key=lambda c: max(mi.get(frozenset((c, g)), 0.0) for g in group))
-            together = fit_latent_class(df, 2, (), {c: domains[c] for c in [*group, near]}, seed=seed, **options)[2].elbo
-            apart = fit_latent_class(df, 2, (), {c: domains[c] for c in group}, seed=seed, **options)[2].elbo + fit_latent_class(df, 1, (), {near: domains[near]}, seed=seed, **options)[1].elbo
-            if together <= apart:
-                break
-            group.append(near)
-        groups.append(group)
-        left = [c for c in left if c not in group]
-    if left:
+    domains, numeric = dict(domains or {}), list(numeric)
+    names, rng = [*domains, *numeric], np.random.default_rng(seed)
+    rows = df.select(*names).persist()  # every pass reads it
+    try:
+        found = forest.pair_dependence(rows, numeric, domains)
+        mi = lambda a, b: found.get((a, b), found.get((b, a), 0.0))
+        base = forest.class_prior(rows, 1, numeric, domains)
+        free = forest.forest_prior(base, forest.Structure({}, {}, dict.fromkeys(names, forest.ALONE)))
+        alone = forest.forest_e_step(rows, [free], numeric, domains)[0]
+        single = {c: forest.node_evidence(alone, free, c) for c in names}
+
+        def together(groups: Sequence[Sequence[str]]) -> list[float]:
+            """The best bound of one latent over each group, the other attributes of all of them separate, which adds nothing that differs."""
+            every = sorted({c for g in groups for c in g}, key=names.index)
+            num, dom = [c for c in every if c in numeric], {c: domains[c] for c in every if c in domains}
+            prior_of = {c: base.gaussian[c] for c in num}, {c: base.discrete[c] for c in dom}
+            small = LatentClass(np.ones(1), *prior_of, dict(dom))
+            priors = [forest.forest_prior(small, forest.Structure({"z": 2}, {}, {c: "z" if c in g else forest.ALONE for c in every})) for g in groups]
+            starts = [forest.forest_start(p, rng) for p in priors for _ in range(candidates)]
+            fits = forest.fit_forests(rows.select(*every), starts, [p for p in priors for _ in range(candidates)], num, dom, steps)
+            best = [max(f.elbo for f in fits[i * candidates : (i + 1) * candidates]) for i in range(len(groups))]
+            return [b - sum(single[c] for c in every if c not in g) for b, g in zip(best, groups, strict=True)]
+
+        left, groups = list(names), []
+        while len(left) > 2:
+            group, bound = list(max(itertools.combinations(left, 2), key=lambda p: mi(*p))), None
+            while rest := [c for c in left if c not in group]:
+                near = max(rest, key=lambda c: max(mi(c, g) for g in group))
+                if bound is None:
+                    bound, more = together([group, [*group, near]])
+                else:
+                    more = together([[*group, near]])[0]
+                if more <= bound + single[near]:
+                    break
+                group, bound = [*group, near], more
+            groups.append(group)
+            left = [c for c in left if c not in group]
         if len(left) == 1 and groups:
-            near = max(range(len(groups)), key=lambda i: max(mi.get(frozenset((left[0], g)), 0.0) for g in groups[i]))
-            groups[near].append(left[0])
-        else:
+            max(groups, key=lambda g: max(mi(left[0], c) for c in g)).append(left[0])
+        elif left:
             groups.append(left)
-    models = [select_cardinality(df, (), {c: domains[c] for c in g}, most=4, seed=seed, **options) for g in groups]
+        models = [select_cardinality(rows, [c for c in g if c in numeric], {c: domains[c] for c in g if c in domains}, most=most_states, candidates=candidates, steps=steps, seed=seed) for g in groups]
+    finally:
+        rows.unpersist()
     return groups, models
 
 
@@ -384,6 +408,30 @@ def augmented_latent_class(df: DataFrame, numeric: Sequence[str], domains: Mappi
     return hill_climb(whole, ["latent", *domains], numeric, most_parents, forbidden=[(c, "latent") for c in names], fixed=[("latent", c) for c in names], mixed=True)
 
 
+def select_augmented(df: DataFrame, numeric: Sequence[str], domains: Mapping[str, Sequence[str]], start: int = 2, most: int = 6, most_parents: int = 3, **options) -> tuple[dict[str, frozenset], float, int]:
+    """augmented_latent_class() with `start`, `start` + 1, ... states until the score does not rise: (parents, score, states).
+
+    The latent class models of all numbers of states share their passes. The score is that of a bound: the evidence of the completed table's families, plus
+    the entropy of the latent's probabilities, less ln k! for its equivalent orders.
+    """
+    fits = fit_latent_class(df, range(start, most + 1), numeric, domains, **options)
+    names, best = [*domains, *numeric], None
+    for k in range(start, most + 1):
+        model = fits[k].expected("latent")
+        entropy = F.aggregate("latent_probs", F.lit(0.0), lambda s, p: s - F.when(p > 0, p * F.ln(p)).otherwise(0.0))
+        hidden = posterior(df, model).agg(F.sum(entropy)).first()[0] or 0.0
+        whole = hard_assign(df, model).withColumn("latent", F.col("latent").cast("string")).select("latent", *names).persist()
+        try:
+            graph, score = hill_climb(whole, ["latent", *domains], numeric, most_parents, forbidden=[(c, "latent") for c in names], fixed=[("latent", c) for c in names], mixed=True, score="evidence")
+        finally:
+            whole.unpersist()
+        score += hidden - math.lgamma(k + 1)
+        if best and score <= best[1]:
+            break
+        best = graph, score, k
+    return best
+
+
 def structural_em(df: DataFrame, start: forest.Forest, key: str, numeric: Sequence[str], domains: Mapping[str, Sequence[str]], rounds: int = 5, steps: int = 20, seed: int = 0) -> forest.Forest:
     """Complete the latents, climb the structure on the completed table, fit it again, until the bound does not rise.
 
@@ -451,14 +499,29 @@ def learn_binary_forest(df: DataFrame, key: str, domains: Mapping[str, Sequence[
     return best
 
 
+def refine_and_rewire(df: DataFrame, key: str, numeric: Sequence[str], domains: Mapping[str, Sequence[str]], start: forest.Forest | None = None, rounds: int = 4, **options) -> forest.Forest:
+    """forest.learn_partitions(strategy refine), each time followed by structural_em(), until neither raises the bound."""
+    best = start
+    for _ in range(rounds):
+        new = forest.learn_partitions(df, numeric, domains, "refine", start=best, **options)
+        if best is not None and new.elbo <= best.elbo + 0.01:
+            break
+        best = new
+        if new.structure.cards:
+            best = structural_em(df, new, key, numeric, domains)
+        if best is new:
+            break
+    return best
+
+
 def search_pouches(df: DataFrame, numeric: Sequence[str], most_states: int = 5, rounds: int = 6, screen: int = 6, steps: int = 30, moves: Sequence[str] = ("more", "less", "combine", "separate"), seed: int = 0) -> dict:
     """A Gaussian mixture whose leaves are joint groups of attributes, by BIC: states added or dropped, groups joined or parted.
 
-    Every candidate is screened with few steps, the best is fitted on; stops when BIC does not rise. Fewer moves give
+    All candidates of a round are screened in shared passes of few steps, the best is fitted on; stops when BIC does not rise. Fewer moves give
     the plainer learners: `more` alone a mixture with independent leaves, `combine` a multi-leaf mixture.
     """
-    now = {"states": 1, "blocks": [[c] for c in numeric]}
-    best = now | fit_mixture(df, 1, numeric, blocks=now["blocks"], candidates=1, steps=2, seed=seed)
+    best = {"states": 1, "blocks": [[c] for c in numeric]}
+    best |= fit_mixture(df, 1, numeric, blocks=best["blocks"], candidates=1, steps=2, seed=seed)
     for _ in range(rounds):
         k, blocks = best["states"], best["blocks"]
         options = []
@@ -472,9 +535,8 @@ def search_pouches(df: DataFrame, numeric: Sequence[str], most_states: int = 5,
             options += [(k, [b for b in blocks if b is not x] + [[c], [d for d in x if d != c]]) for x in blocks if len(x) > 1 for c in x]
         if not options:
             break
-        tried = [fit_mixture(df, s, numeric, blocks=b, candidates=2, steps=screen, seed=seed) for s, b in options]
-        top = int(np.argmax([t["bic"] for t in tried]))
-        s, b = options[top]
+        tried = fit_mixtures(df, numeric, options, candidates=2, steps=screen, seed=seed)
+        s, b = options[int(np.argmax([t["bic"] for t in tried]))]
         new = {"states": s, "blocks": b} | fit_mixture(df, s, numeric, blocks=b, candidates=3, steps=steps, seed=seed)
         if new["bic"] <= best["bic"]:
             break

@@ -494,13 +494,10 @@ def j9_refine_partitions(t: Tables) -> DataFrame:
 
 @query()
 def j5_group_attributes(t: Tables) -> DataFrame:
-    rows = marked_orders(t)
-    groups, fits = search.group_attributes(rows, DOMAINS, candidates=2, steps=12)
-    named = [(i, ",".join(g), m.states, float(m.elbo)) for i, (g, m) in enumerate(zip(groups, fits, strict=True))]
-    n = rows.agg(F.count("*").alias("n"))
-    return n.select(F.inline(F.array(*[F.struct(F.lit(i).alias("island"), F.lit(g).alias("attributes"), F.lit(s).alias("states"), F.lit(e).alias("elbo"), F.col("n")) for i, g, s, e in named])))
-
-
+    """Islands among discrete and numeric attributes: a row per island and attribute."""
+    groups, fits = search.group_attributes(marked_orders(t), DOMAINS, ["o_totalprice"], candidates=2, steps=12)
+    named = [(i, c, m.states, float(m.elbo)) for i, (g, m) in enumerate(zip(groups, fits, strict=True)) for c in g]
+    return t.spark.createDataFrame(named, "island int, attribute string, states int, elbo double")
 
 
 @query()
@@ -529,6 +526,20 @@ def j4_augmented_latent_class(t: Tables) -> DataFrame:
     return rows.agg(F.count("*").alias("n")).withColumns({"score": F.lit(float(score)), "arcs": F.lit(arcs)})
 
 
+@query()
+def j4_select_augmented(t: Tables) -> DataFrame:
+    """The number of states of an augmented latent class, and its arcs."""
+    graph, score, states = search.select_augmented(marked_orders(t), ["o_totalprice"], DOMAINS, most=4, candidates=2, steps=8)
+    return _arc_rows(t, graph, score).withColumn("states", F.lit(states))
+
+
+@query()
+def j9_refine_and_rewire(t: Tables) -> DataFrame:
+    """Refining moves and structural EM in turn."""
+    rows = marked_orders(t).select("o_orderkey", *DOMAINS)
+    return _forest_rows(rows, search.refine_and_rewire(rows, "o_orderkey", (), DOMAINS, rounds=2, alpha=2, screen=2, keep=1, steps=6))
+
+
 @query()
 def j7_binary_forest(t: Tables) -> DataFrame:
     rows = marked_orders(t)
