@@ -3,6 +3,9 @@ import random
 import numpy as np
 import xxhash
 
+from pyspark.sql import functions as F
+
+from partita.llm import graph
 from partita.llm.graph import connected_components
 from partita.llm.hamming import buckets, owned
 from partita.llm.near_dedup import BKTree, fingerprint_links, keep_one_each, near_duplicates, shingle_hashes, similar_groups
@@ -114,6 +117,25 @@ def test_components_match_union_find(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_blocks_of_edges_and_struct_nodes_agree(spark, monkeypatch):
+    rng = random.Random(9)
+    edges = [(rng.randrange(500), rng.randrange(500)) for _ in range(330)] + [(i, i + 1) for i in range(600, 760)] + [(900, i) for i in range(901, 960)] + [(None, 3), (5, 5), (3, 4), (4, 3)]
+    want = brute_components(sorted({x for a, b in edges if a is not None and a != b for x in (a, b)}), [(a, b) for a, b in edges if a is not None and a != b])
+    df = spark.createDataFrame(edges, "a long, b long")
+    node = lambda c: F.when(F.col(c).isNotNull(), F.struct((F.col(c) % 7).alias("h1"), F.col(c).alias("h2")))
+    structs = df.select(node("a").alias("a"), node("b").alias("b"))
+    key = lambda x: (x % 7, x)
+    groups = {}
+    for x, r in want.items():
+        groups.setdefault(r, []).append(x)
+    tops = {x: min(g, key=key) for g in groups.values() for x in g}
+    for block in (500_000, 120, 25):
+        monkeypatch.setattr(graph, "BLOCK", block)
+        assert {r["node"]: r["root"] for r in connected_components(df).collect()} == want
+        got = {r["node"]["h2"]: (r["root"]["h1"], r["root"]["h2"]) for r in connected_components(structs).collect()}
+        assert got == {x: key(r) for x, r in tops.items()}
+
+
 def jaccard_components(rows, words_each=5, least=0.8):
     sets = {}
     for i, t in rows:
