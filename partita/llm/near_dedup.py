@@ -157,13 +157,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     marks = stored(simhash(docs), "simhash")
     nodes = marks.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
     roots = stored(connected_components(fingerprint_links(nodes, radius)), "roots")
-    tops = (
-        roots.join(nodes, roots.node == nodes.fp)
-        .groupBy("root")
-        .agg(F.min("first_id").alias("_least"))
-        .join(roots, "root")
-        .select(F.col("node").alias("fp"), "_least")
-    )
+    least = roots.join(nodes, roots.node == nodes.fp).groupBy("root").agg(F.min("first_id").alias("_least"), F.count("*").alias("n"))
+    tops = spread_join(roots, least, ["root"], roots.count()).select(F.col("node").alias("fp"), "_least")
     classes = stored(nodes.join(tops, "fp", "left").select("fp", F.coalesce("_least", "first_id").alias("component_id"), "n"), "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
     return spread_join(marks, classes, ["fp"], total).select("doc_id", "fp", "component_id")
@@ -327,8 +322,8 @@ def similar_groups(docs: DataFrame, words_each: int = 5, similarity: float = 0.8
     ends = roots.select("node.h1", "node.h2", "root")
     tops = each.join(ends, ["h1", "h2"], "left").select("h1", "h2", "n", "first_id", F.coalesce("root", F.struct("h1", "h2")).alias("root"))
     tops = stored(tops, "text-tops")
-    least = tops.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = stored(tops.join(least, "root").select("h1", "h2", "component_id", "n"), "text-classes")
+    least = tops.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n"))
+    classes = stored(spread_join(tops, least, ["root"], tops.count()).select("h1", "h2", "component_id", "n"), "text-classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
     return spread_join(marks.select("doc_id", "h1", "h2"), classes, ["h1", "h2"], total).select("doc_id", "component_id")
 
