@@ -50,7 +50,8 @@ def balance(histogram: DataFrame, targets: DataFrame, most: float = 2.0, rounds:
     histogram: (source, size, n), size > 0. The dual of the entropy distance to "each document once" under one
     token constraint per source is convex with one unknown per source; safeguarded Newton steps solve it for all
     sources at once, a round being one aggregate over the histogram. Sources at `most` times their size have no
-    finite solution: their tilt is null and every rate is `most`.
+    finite solution: their tilt is null and every rate is `most`. An error where the words of some source are further than
+    `tolerance` from its target after `rounds` rounds.
     """
     x = F.col("size") / F.col("scale")
     scales = histogram.groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("scale"))
@@ -98,6 +99,8 @@ def balance(histogram: DataFrame, targets: DataFrame, most: float = 2.0, rounds:
         )
         if not (state.agg(F.max("gap")).first()[0] or 0.0) > tolerance:
             break
+    else:
+        raise RuntimeError(f"rates did not settle in {rounds} rounds")
     return state.select("source", F.when(~F.col("full"), F.col("tilt")).alias("tilt"), "scale")
 
 
@@ -105,7 +108,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     """(doc_id, size, source_size, target, rate, copies, taken) for every row of docs (doc_id, text, source).
 
     Rates come from balance(). They become copies within groups of about `group` documents of a source, dealt by a
-    hash of doc_id and text, so that null or repeated ids are spread: from the longest document down, each takes the copies that keep the group's words nearest
+    hash of doc_id and text. Equal rows are counted first and dealt in lots of at most `group` rows to one group after the other, so that a document
+    that makes up much of a source is spread too; a lot takes its copies as one, and its rows get them in turn. From the longest document down, each takes the copies that keep the group's words nearest
     its due, and hands the difference on to the next shorter one, so a group misses its due by half of a short
     document or so. No document is taken more than `most` times. A null text has size 0 and its copies are
     0; so have sources whose every text is empty. Null is a source of its own. Repeated rows are mixed one by one
@@ -127,27 +131,32 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     rate = F.when(F.col("tilt").isNull(), F.lit(float(most))).otherwise(
         F.least(F.lit(float(most)), F.exp(F.least(F.col("tilt") * F.col("size") / F.col("scale"), F.lit(50.0))))
     )
+    lots = sized.groupBy("source", "doc_id", "mark", "size").agg(F.count("*").alias("rows"))
+    lots = lots.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / group))))
+    lots = lots.withColumn("rows", F.least(F.lit(group).cast("long"), F.col("rows") - F.col("lot") * group))
     rated = (
-        sized.alias("d")
+        lots.alias("d")
         .join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
-        .select("d.doc_id", "d.size", "d.mark", "d.source", "source_size", "target", F.when(F.col("size") > 0, rate).otherwise(0.0).alias("rate"), "n_docs")
-        .withColumn("part", F.pmod(F.xxhash64("doc_id", "mark"), F.ceil(F.col("n_docs") / group)))
+        .select("d.doc_id", "d.size", "d.mark", "d.lot", "d.rows", "d.source", "source_size", "target", F.when(F.col("size") > 0, rate).otherwise(0.0).alias("rate"), "n_docs")
+        .withColumn("part", F.pmod(F.xxhash64("doc_id", "mark") + F.col("lot"), F.ceil(F.col("n_docs") / group)))
     )
-    member = F.struct((-F.col("size")).alias("minus"), F.col("doc_id"), F.col("rate"))
+    member = F.struct((-F.col("size")).alias("minus"), "doc_id", "rate", "mark", "lot", "rows")
     grouped = rated.groupBy("source", "part", "source_size", "target").agg(F.sort_array(F.collect_list(member)).alias("docs"))
-    none = F.array().cast("array<struct<doc_id:bigint,size:bigint,rate:double,copies:bigint>>")
+    none = F.array().cast("array<struct<doc_id:bigint,size:bigint,rate:double,rows:bigint,copies:bigint>>")
     start = F.struct(F.lit(0.0).alias("due"), none.alias("done"))
 
     def hand_on(state: Column, doc: Column) -> Column:
-        size = -doc["minus"]
-        want = F.when(size > 0, doc["rate"] + state["due"] / size).otherwise(F.lit(0.0))
-        copies = F.greatest(F.lit(0), F.least(F.lit(most), F.round(want).cast("long"))).cast("long")
-        row = F.struct(doc["doc_id"].alias("doc_id"), size.alias("size"), doc["rate"].alias("rate"), copies.alias("copies"))
-        due = state["due"] + (doc["rate"] - copies) * size
+        size, rows = -doc["minus"], doc["rows"]
+        want = F.when(size > 0, doc["rate"] * rows + state["due"] / size).otherwise(F.lit(0.0))
+        copies = F.greatest(F.lit(0), F.least(most * rows, F.round(want).cast("long"))).cast("long")
+        row = F.struct(doc["doc_id"].alias("doc_id"), size.alias("size"), doc["rate"].alias("rate"), rows.alias("rows"), copies.alias("copies"))
+        due = state["due"] + (doc["rate"] * rows - copies) * size
         return F.struct(due.alias("due"), F.concat(state["done"], F.array(row)).alias("done"))
 
+    done = grouped.select("source_size", "target", F.inline(F.aggregate("docs", start, hand_on)["done"]))
+    each = done.withColumn("_turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
     return (
-        grouped.select("source_size", "target", F.inline(F.aggregate("docs", start, hand_on)["done"]))
+        each.withColumn("copies", F.floor(F.col("copies") / F.col("rows")) + (F.col("_turn") <= F.col("copies") % F.col("rows")).cast("long"))
         .select("doc_id", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     )
 

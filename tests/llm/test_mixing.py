@@ -1,6 +1,7 @@
 import math
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from partita.llm import mixing
@@ -62,6 +63,20 @@ def test_edges(spark):
     assert [r["taken"] for r in mixing.mix(empty).collect()] == [0, 0]
 
 
+def test_equal_rows_are_dealt_in_lots(spark):
+    rows = [(None, "same words here now", "a")] * 9000 + [(i, "w " * (1 + i % 30), "a") for i in range(1500)] + [(5, None, "b")] * 700 + [(6, "one two", "b")] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(df).toPandas()
+    assert len(out) == len(rows)
+    same = out[out["doc_id"].isna()]
+    assert len(same) == 9000 and same["copies"].max() - same["copies"].min() <= 1 and same["rate"].nunique() == 1
+    for _, g in out.groupby("source_size"):
+        assert abs(g["taken"].sum() - g["target"].iloc[0]) <= 30 * (1 + len(g) // 400)
+    assert out["copies"].between(0, 2).all() and (out[out["size"] == 0]["copies"] == 0).all()
+    with pytest.raises(RuntimeError, match="settle"):
+        mixing.balance(spark.createDataFrame([("a", 3, 5), ("a", 9, 2)], "source string, size long, n long"), spark.createDataFrame([("a", 33, 50.0)], "source string, source_size long, target double"), rounds=1)
+
+
 def test_rows_are_taken_as_often_as_the_mix_says(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     docs = docs.withColumns({"copies": F.lit(5), "turn": F.lit(6), "_copies": F.lit(7)})
