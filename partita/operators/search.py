@@ -15,7 +15,7 @@ from partita.functions.special import lgamma
 from partita.operators.dependence import mutual_info_matrix
 from partita.operators import forest
 from partita.operators.parameters import LatentClass, fit_latent_class, fit_mixture, fit_mixtures, select_cardinality
-from partita.operators.scoring import hard_assign, posterior
+from partita.operators.scoring import hard_assign
 
 Family = tuple[str, frozenset]
 
@@ -411,21 +411,18 @@ def augmented_latent_class(df: DataFrame, numeric: Sequence[str], domains: Mappi
 def select_augmented(df: DataFrame, numeric: Sequence[str], domains: Mapping[str, Sequence[str]], start: int = 2, most: int = 6, most_parents: int = 3, **options) -> tuple[dict[str, frozenset], float, int]:
     """augmented_latent_class() with `start`, `start` + 1, ... states until the score does not rise: (parents, score, states).
 
-    The latent class models of all numbers of states share their passes. The score is that of a bound: the evidence of the completed table's families, plus
-    the entropy of the latent's probabilities, less ln k! for its equivalent orders.
+    The latent class models of all numbers of states share their passes. The score is the evidence of the table that the latent's labels complete, which
+    no more states than are told apart can raise.
     """
     fits = fit_latent_class(df, range(start, most + 1), numeric, domains, **options)
     names, best = [*domains, *numeric], None
     for k in range(start, most + 1):
         model = fits[k].expected("latent")
-        entropy = F.aggregate("latent_probs", F.lit(0.0), lambda s, p: s - F.when(p > 0, p * F.ln(p)).otherwise(0.0))
-        hidden = posterior(df, model).agg(F.sum(entropy)).first()[0] or 0.0
         whole = hard_assign(df, model).withColumn("latent", F.col("latent").cast("string")).select("latent", *names).persist()
         try:
             graph, score = hill_climb(whole, ["latent", *domains], numeric, most_parents, forbidden=[(c, "latent") for c in names], fixed=[("latent", c) for c in names], mixed=True, score="evidence")
         finally:
             whole.unpersist()
-        score += hidden - math.lgamma(k + 1)
         if best and score <= best[1]:
             break
         best = graph, score, k

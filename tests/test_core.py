@@ -502,3 +502,62 @@ def test_given_parameters_are_held(spark, planted, tmp_path):
     assert np.allclose(last.gaussian["x"][0], [-4.0, 3.0], atol=1e-6)
     with pytest.raises(ValueError, match="no such"):
         parameters.fit_latent_class(planted, 2, ["x"], {}, fixed={"y": fixed["x"]})
+
+
+def test_islands_of_numbers_and_words(spark):
+    rng = np.random.default_rng(12)
+    n = 900
+    u, v = rng.integers(0, 2, n), rng.integers(0, 2, n)
+    flip = lambda z: np.where(rng.random(n) < 0.1, 1 - z, z)
+    x = {f"x{i}": 4.0 * u + rng.normal(0, 1, n) for i in range(2)} | {f"y{i}": -3.0 * v + rng.normal(0, 1, n) for i in range(3)}
+    rows = [(*[float(c[i]) if (i + k) % 11 else None for k, c in enumerate(x.values())], str(flip_u)) for i, flip_u in enumerate(flip(u))]
+    df = spark.createDataFrame(rows, ", ".join([f"{c} double" for c in x] + ["w string"]))
+    groups, models = search.group_attributes(df, {"w": ["0", "1"]}, list(x), candidates=2, steps=20)
+    assert sorted(map(sorted, groups)) == [["w", "x0", "x1"], ["y0", "y1", "y2"]]
+    assert [m.states for m in models] == [2, 2]
+    found = next(m for m in models if "x0" in m.gaussian)
+    assert sorted(np.round(found.gaussian["x0"][0])) == [0, 4]
+
+
+def test_number_of_augmented_states_and_their_arc(spark):
+    rng = np.random.default_rng(14)
+    n = 1500
+    z = rng.integers(0, 3, n)
+    rows = [(float(6 * k + rng.normal()), float(-5 * k + rng.normal()), float(a := rng.normal() + 4 * k), float(2 * a + rng.normal(0, 0.3)), str(k if rng.random() < 0.8 else rng.integers(0, 3))) for k in z]
+    df = spark.createDataFrame(rows, "x double, y double, a double, b double, c string")
+    graph, score, states = search.select_augmented(df, ["x", "y", "a", "b"], {"c": ["0", "1", "2"]}, most=5, candidates=4, steps=30)
+    assert states == 3 and all("latent" in graph[c] for c in ("x", "y", "a", "b", "c"))
+    assert "a" in graph["b"] or "b" in graph["a"]
+    assert not any(p in graph[c] for p, c in (("x", "y"), ("y", "x")))
+
+
+def test_restarts_reach_the_same_best_fit(planted):
+    both = [parameters.fit_latent_class(planted, 2, ["x", "y"], {"c": ["a", "b"]}, candidates=6, steps=40, restart=how, warm=2)[2] for how in ("pyramid", "random")]
+    assert abs(both[0].elbo - both[1].elbo) < 1.0
+    one = parameters.fit_latent_class(planted, 2, ["x", "y"], {"c": ["a", "b"]}, candidates=1, steps=40)[2]
+    assert min(m.elbo for m in both) >= one.elbo - 0.5
+
+
+def test_refining_and_rewiring_mends_a_wrong_start(spark, two_partitions):
+    wrong = forest.Structure({"p": 2, "q": 2}, {}, {"a0": "p", "b0": "p", "b1": "p", "a1": "q", "a2": "q", "b2": "q"})
+    start = forest.fit_latent_forest(two_partitions, wrong, (), FOREST_DOMAINS, candidates=2, steps=15)
+    model = search.refine_and_rewire(two_partitions, "k", (), FOREST_DOMAINS, start, rounds=3, alpha=3, screen=3, keep=2, steps=12, seed=1)
+    groups = {}
+    for c, z in model.structure.of.items():
+        groups.setdefault(z, set()).add(c)
+    assert {"a0", "a1", "a2"} in groups.values() and {"b0", "b1", "b2"} in groups.values() and model.elbo > start.elbo
+
+
+def test_a_planted_tree_is_found(spark):
+    rng = np.random.default_rng(15)
+    n = 2500
+    u = rng.integers(0, 2, n)
+    v = np.where(rng.random(n) < 0.15, 1 - u, u)
+    flip = lambda z: np.where(rng.random(n) < 0.08, 1 - z, z)
+    cols = {f"a{i}": flip(u) for i in range(3)} | {f"b{i}": flip(v) for i in range(3)}
+    df = spark.createDataFrame([(i, *[str(c[i]) for c in cols.values()]) for i in range(n)], ", ".join(["k long", *[f"{c} string" for c in cols]]))
+    model = forest.learn_partitions(df, (), FOREST_DOMAINS, "tree", alpha=4, rounds=9, screen=3, keep=2, steps=15)
+    s = model.structure
+    tops = {s.of[c] for c in FOREST_DOMAINS}
+    assert forest.ALONE not in tops and len(tops) == 2 and all(len({s.of[f"{g}{i}"] for i in range(3)}) == 1 for g in "ab")
+    assert any(s.up.get(x) == y for x in tops for y in tops)  # the two are linked
