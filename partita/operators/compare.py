@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from partita.functions import special
 from partita.operators.describe import contingency_table
 from partita.operators.ranks import running_total
+from partita.sources.scratch import stored
 
 
 def average_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -114,10 +115,32 @@ def chi2_independence(df: DataFrame, group: str, category: str) -> dict:
     return {"chi2": r["chi2"], "dof": r["dof"], "p": special.chi2_tail(r["chi2"], r["dof"]) if r["dof"] else None}
 
 
+def chi2_pairwise_stat(df: DataFrame, group: str, category: str) -> DataFrame:
+    """(a, b, dof, chi2) of the independence test for every pair of groups: rows are counted once, then the counts of pairs meet by category.
+
+    A pair's table has the categories that one of the two has. Null groups and categories are left out.
+    """
+    cells = df.filter(F.col(group).isNotNull() & F.col(category).isNotNull()).groupBy(F.col(group).alias("g"), F.col(category).alias("c")).agg(F.count("*").alias("n"))
+    cells = stored(cells, "pair-cells")
+    everyone = cells.groupBy("g").agg(F.sum("n").alias("t")).groupBy().agg(F.collect_list(F.struct("g", "t")).alias("all"))  # an entry per group
+    pairs = everyone.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y")).filter("x.g < y.g").select(F.col("x.g").alias("a"), F.col("y.g").alias("b"), F.col("x.t").alias("ta"), F.col("y.t").alias("tb"))
+    side = lambda own, other, mine: cells.select(F.col("g").alias(own), "c", F.col("n").alias(mine)).join(pairs.select("a", "b"), own)
+    left, right = side("a", "b", "na"), side("b", "a", "nb")
+    table = left.join(right, ["a", "b", "c"], "full").withColumns({x: F.coalesce(x, F.lit(0)) for x in ("na", "nb")}).join(pairs, ["a", "b"])
+    dof = F.count("*").over(Window.partitionBy("a", "b")) - 1
+    table = table.withColumn("dof", dof)
+    terms = []
+    for n, t in (("na", "ta"), ("nb", "tb")):
+        expected = F.col(t) * (F.col("na") + F.col("nb")) / (F.col("ta") + F.col("tb"))
+        gap = F.abs(F.col(n) - expected)
+        terms.append((gap - F.when(F.col("dof") == 1, F.least(F.lit(0.5), gap)).otherwise(0.0)) ** 2 / expected)
+    return table.groupBy("a", "b").agg(F.max("dof").alias("dof"), F.sum(terms[0] + terms[1]).alias("chi2"))
+
+
 def chi2_pairwise(df: DataFrame, group: str, category: str) -> list[dict]:
-    """The independence test for every pair of groups."""
-    groups = sorted(r[0] for r in df.filter(F.col(group).isNotNull()).select(group).distinct().collect())
-    return [{"a": a, "b": b} | chi2_independence(df.filter(F.col(group).isin(a, b)), group, category) for i, a in enumerate(groups) for b in groups[i + 1 :]]
+    """The independence test for every pair of groups, one job for all of them."""
+    rows = chi2_pairwise_stat(df, group, category).orderBy("a", "b").collect()  # a row per pair
+    return [{"a": r["a"], "b": r["b"], "chi2": r["chi2"], "dof": r["dof"], "p": special.chi2_tail(r["chi2"], r["dof"]) if r["dof"] else None} for r in rows]
 
 
 def chi2_goodness_of_fit_stat(df: DataFrame, group: str, category: str, observed, expected) -> DataFrame:

@@ -43,6 +43,17 @@ def d4_chi2_independence(t: Tables) -> DataFrame:
     return _round(compare.chi2_independence_stat(t.labels, "quality", "toxic"), 6, "chi2")
 
 
+@query("""WITH c AS (SELECT l_returnflag AS g, l_linenumber AS c, count(*) AS n FROM lineitem WHERE NOT (l_returnflag = 'A' AND l_linenumber = 2) GROUP BY 1, 2), t AS (SELECT g, sum(n) AS t FROM c GROUP BY 1),
+     p AS (SELECT x.g AS a, y.g AS b, x.t AS ta, y.t AS tb FROM t x JOIN t y ON x.g < y.g),
+     k AS (SELECT p.*, coalesce(l.n, 0) AS na, coalesce(r.n, 0) AS nb FROM p CROSS JOIN (SELECT DISTINCT c FROM c) v LEFT JOIN c l ON l.g = a AND l.c = v.c LEFT JOIN c r ON r.g = b AND r.c = v.c),
+     q AS (SELECT *, ta * (na + nb) / (ta + tb) AS ea, tb * (na + nb) / (ta + tb) AS eb FROM k WHERE na + nb > 0)
+     SELECT a, b, count(*) - 1 AS dof, round(sum((na - ea) ** 2 / ea + (nb - eb) ** 2 / eb), 6) AS chi2 FROM q GROUP BY a, b""")
+def d4_chi2_pairwise(t: Tables) -> DataFrame:
+    """Every pair of return flags; one of them lacks a line number."""
+    rows = t.lineitem.filter("not (l_returnflag = 'A' and l_linenumber = 2)")
+    return _round(compare.chi2_pairwise_stat(rows, "l_returnflag", "l_linenumber"), 6, "chi2")
+
+
 @query("""WITH s AS (SELECT l_returnflag, 100.0 * count(*) FILTER (l_linestatus = 'F') / sum(count(*) FILTER (l_linestatus = 'F')) OVER () AS o,
        100.0 * count(*) FILTER (l_linestatus = 'O') / sum(count(*) FILTER (l_linestatus = 'O')) OVER () AS e FROM lineitem GROUP BY 1)
      SELECT count(*) AS categories, round(sum((o - e) ** 2 / e), 6) AS chi2 FROM s""")

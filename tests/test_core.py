@@ -561,3 +561,14 @@ def test_a_planted_tree_is_found(spark):
     tops = {s.of[c] for c in FOREST_DOMAINS}
     assert forest.ALONE not in tops and len(tops) == 2 and all(len({s.of[f"{g}{i}"] for i in range(3)}) == 1 for g in "ab")
     assert any(s.up.get(x) == y for x in tops for y in tops)  # the two are linked
+
+
+def test_pairs_of_groups_are_tested_as_by_themselves(spark):
+    rows = [("a", "x")] * 8 + [("a", "y")] * 3 + [("b", "x")] * 2 + [("b", "y")] * 9 + [("c", "z")] * 4 + [("c", "x")] + [(None, "x"), ("a", None)]
+    df = spark.createDataFrame(rows, "g string, c string")
+    got = compare.chi2_pairwise(df, "g", "c")
+    assert [(r["a"], r["b"]) for r in got] == [("a", "b"), ("a", "c"), ("b", "c")]
+    for r in got:
+        one = compare.chi2_independence(df.filter(F.col("g").isin(r["a"], r["b"])), "g", "c")
+        assert r["dof"] == one["dof"] and math.isclose(r["chi2"], one["chi2"], rel_tol=1e-9) and math.isclose(r["p"], one["p"], rel_tol=1e-9)
+    assert compare.chi2_pairwise(df.filter("g = 'a'"), "g", "c") == []
