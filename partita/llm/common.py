@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +59,26 @@ def spread_join(rows: DataFrame, each: DataFrame, on: list[str], total: int, how
     return warm.unionByName(cold)
 
 
+def lean(run):
+    """A function for mapInPandas whose worker gives free memory back when a task ends.
+
+    Workers are kept between tasks and stages; what they have freed but not returned would count against the executor while
+    other stages, or the JVM, need it.
+    """
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+            if trim:
+                trim(0)
+
+    return task
+
+
 def whole_groups(batches, keys: list[str]):
     """Frames of whole groups from batches that are sorted by keys; what is held back is one group and one batch at most."""
     held = None

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partita.llm.common import slices, stored
+from partita.llm.common import lean, slices, stored
 
 #: Buckets that letter n-grams are hashed into.
 FEATURES = 4096
@@ -119,7 +119,7 @@ def score_floors(known: DataFrame, model: Centroids, tail: float = 0.005, share:
         cells = np.flatnonzero(seen)
         yield pd.DataFrame({"cell": cells, "n": seen.ravel()[cells]})
 
-    counted = known.filter("text is not null").select("text", "lang").mapInPandas(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    counted = known.filter("text is not null").select("text", "lang").mapInPandas(lean(run), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     seen = np.zeros((len(names), LENGTHS, LEVELS + 1), dtype=np.int64)
     for r in counted.collect():  # at most a number per language, length and level
         seen.reshape(-1)[r["cell"]] = r["n"]
@@ -149,7 +149,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
                     n += 1
         yield pd.DataFrame({"feature": np.arange(FEATURES + 1), "n": np.append(df, n)})
 
-    rows = docs.select("text").mapInPandas(run, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select("text").mapInPandas(lean(run), "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(FEATURES + 1, dtype=np.int64)
     for r in rows:
         counts[r["feature"]] = r["n"]
@@ -194,7 +194,7 @@ def fit(docs: DataFrame, centroids: int = 4, sample_per_lang: int = 1500, tail:
             got = [(lang, h, i, vector(c, idf).astype(np.float16).tobytes()) for lang, h, i, t in rows if (c := ngram_counts(t)) is not None]
             yield pd.DataFrame(got, columns=["lang", "h", "doc_id", "v"])
 
-    sample = known.filter(some & F.col("text").isNotNull()).withColumn("h", spread).mapInPandas(run, "lang string, h long, doc_id long, v binary")
+    sample = known.filter(some & F.col("text").isNotNull()).withColumn("h", spread).mapInPandas(lean(run), "lang string, h long, doc_id long, v binary")
     # the vectors come to the driver one by one, into arrays that are given back as a whole
     marks: dict[str, list[tuple[int, int, int]]] = {}
     held: dict[str, np.ndarray] = {}
@@ -232,7 +232,7 @@ def identify(docs: DataFrame, model: Centroids) -> DataFrame:
             yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "lang_pred": best, "score": score, "rejected": gone})
 
     rows = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text")
-    return rows.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    return rows.mapInPandas(lean(run), "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def keep_identified(docs: DataFrame, model: Centroids) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partita.llm.common import bit_counts, fingerprints, group_numbers, mixed, pairs_by_offset, spread_join, stored, whole_groups
+from partita.llm.common import bit_counts, fingerprints, group_numbers, lean, mixed, pairs_by_offset, spread_join, stored, whole_groups
 from partita.llm.graph import connected_components
 from partita.llm.hamming import RADIUS, buckets, owned
 
@@ -349,7 +349,7 @@ def line_table(docs: DataFrame, min_words: int = 5, min_chars: int | None = 20,
                 yield out()
 
     rows = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInPandas(run, "doc_id long, text_hash long, line int, h1 long, h2 long, fp long" + "".join(f", {c} long" for c in names))
+    return rows.mapInPandas(lean(run), "doc_id long, text_hash long, line int, h1 long, h2 long, fp long" + "".join(f", {c} long" for c in names))
 
 
 #: A bitmap of candidates has 8 to 16 bits for each, and this many bytes at most; above that nothing is sent ahead.
@@ -370,7 +370,7 @@ def _bitmap(candidates: DataFrame) -> bytes | None:
         words = np.concatenate([bits, np.zeros(-size % 8, dtype=np.uint8)]).view(np.int64)
         yield pd.DataFrame({"word": np.arange(len(words)), "bits": words}).query("bits != 0")
 
-    joined = candidates.select("h1").mapInPandas(run, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    joined = candidates.select("h1").mapInPandas(lean(run), "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
     words = np.zeros(-(-size // 8), dtype=np.int64)
     for part in joined.toLocalIterator():
         words[part["word"]] = part["bits"]
@@ -400,7 +400,7 @@ def _texts_of(docs: DataFrame, candidates: DataFrame, min_words: int, min_chars:
             ids = np.frombuffer(b"".join(found), dtype=np.int64).reshape(-1, 2)
             yield pd.DataFrame({"h1": ids[:, 0], "h2": ids[:, 1], "norm": list(found.values())})
 
-    texts = docs.filter(F.col("text").isNotNull()).select("text").mapInPandas(run, "h1 long, h2 long, norm binary")
+    texts = docs.filter(F.col("text").isNotNull()).select("text").mapInPandas(lean(run), "h1 long, h2 long, norm binary")
     return texts.groupBy("h1", "h2").agg(F.first("norm").alias("norm")).join(candidates, ["h1", "h2"])
 
 
@@ -436,7 +436,7 @@ def block_candidates(each: DataFrame, radius: int) -> DataFrame:
 
     # comparing a bucket's numbers costs less than dealing them out again until there are some thousands
     dealt = buckets(marks.select("fp"), 2048, 2048).groupBy(*_BUCKET).agg(F.collect_list("fp").alias("fps"))
-    lively = dealt.filter(F.size("fps") > 1).select("fps").mapInPandas(mates, "fp long")
+    lively = dealt.filter(F.size("fps") > 1).select("fps").mapInPandas(lean(mates), "fp long")
     lively = lively.unionByName(marks.filter("twice").select("fp")).distinct()
     return stored(each.join(lively, "fp", "left_semi"), "block-candidates")
 
@@ -468,7 +468,7 @@ def band_candidates(each: DataFrame, bands: int, most: int = 256) -> DataFrame:
                 found[i[hit]] = found[j[hit]] = True
             yield b.loc[found, [*_BUCKET, "shard", "h1"]]
 
-    return stored(_in_order(met).mapInPandas(run, "key long, part_a int, part_b int, shard int, h1 long"), "band-candidates")
+    return stored(_in_order(met).mapInPandas(lean(run), "key long, part_a int, part_b int, shard int, h1 long"), "band-candidates")
 
 
 def verified_links(rows: DataFrame, bands: int, radius: int, least: float) -> DataFrame:
@@ -513,7 +513,7 @@ def verified_links(rows: DataFrame, bands: int, radius: int, least: float) -> Da
             ends = np.array(links, dtype=np.int64).reshape(-1, 2)
             yield pd.DataFrame(np.hstack([ids[ends[:, 0]], ids[ends[:, 1]]]), columns=["a1", "a2", "b1", "b2"])
 
-    links = _in_order(rows).mapInPandas(run, "a1 long, a2 long, b1 long, b2 long")
+    links = _in_order(rows).mapInPandas(lean(run), "a1 long, a2 long, b1 long, b2 long")
     return links.select(F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2")).alias("a"), F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2")).alias("b"))
 
 

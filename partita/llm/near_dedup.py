@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partita.llm.common import bit_counts, fingerprints, group_numbers, mixed, slices, spread_join, stored, whole_groups
+from partita.llm.common import bit_counts, fingerprints, group_numbers, lean, mixed, slices, spread_join, stored, whole_groups
 from partita.llm.graph import connected_components
 from partita.llm.hamming import RADIUS, buckets
 
@@ -70,7 +70,7 @@ def simhash(docs: DataFrame) -> DataFrame:
             texts = [t if isinstance(t, str) else None for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "fp": simhash_batch(texts)})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(lean(run), "doc_id long, fp long")
 
 
 class BKTree:
@@ -142,7 +142,7 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
             ends = np.array(links, dtype=np.uint64).reshape(-1, 2).view(np.int64)
             yield pd.DataFrame({"a": ends[:, 0], "b": ends[:, 1]})
 
-    return shards.mapInPandas(run, "a long, b long")
+    return shards.mapInPandas(lean(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -227,7 +227,7 @@ def text_marks(docs: DataFrame, words_each: int) -> DataFrame:
                 frame = {"doc_id": b["doc_id"].iloc[at : at + 256].to_numpy(), "h1": digests[:, 0], "h2": digests[:, 1], "fp": fingerprints(counts, sizes)}
                 yield pd.DataFrame(frame | dict(zip(_KEYS, shard_keys(hashes).T, strict=True)))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, h1 long, h2 long, fp long" + "".join(f", {k} long" for k in _KEYS))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(lean(run), "doc_id long, h1 long, h2 long, fp long" + "".join(f", {k} long" for k in _KEYS))
 
 
 def _tree_pairs(fps: np.ndarray, group: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
@@ -271,7 +271,7 @@ def similar_texts(docs: DataFrame, each: DataFrame, words_each: int, similarity:
             yield b.loc[found, [*_BUCKET, "part", "h1", "h2"]]
 
     dealt = met.repartition(*_BUCKET).sortWithinPartitions(*_BUCKET)
-    found = stored(dealt.mapInPandas(near, "key long, part_a int, part_b int, part int, h1 long, h2 long"), "near-texts")
+    found = stored(dealt.mapInPandas(lean(near), "key long, part_a int, part_b int, part int, h1 long, h2 long"), "near-texts")
     some = stored(each.select(names).join(found.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi"), "near-marks")
 
     def sets(batches):
@@ -283,7 +283,7 @@ def similar_texts(docs: DataFrame, each: DataFrame, words_each: int, similarity:
                 yield pd.DataFrame({"h1": part["h1"], "h2": part["h2"], "shingles": [shingle_set(t, words_each).tobytes() for t in part["text"]]})
 
     wanted = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), "text").join(each.select("h1", "h2", F.col("first_id").alias("doc_id")).join(some.select("h1", "h2"), ["h1", "h2"], "left_semi"), "doc_id")
-    held = wanted.select("h1", "h2", "text").mapInPandas(sets, "h1 long, h2 long, shingles binary").groupBy("h1", "h2").agg(F.first("shingles").alias("shingles"))
+    held = wanted.select("h1", "h2", "text").mapInPandas(lean(sets), "h1 long, h2 long, shingles binary").groupBy("h1", "h2").agg(F.first("shingles").alias("shingles"))
     full = stored(some.join(held, ["h1", "h2"]), "near-sets")
 
     def verify(batches):
@@ -304,7 +304,7 @@ def similar_texts(docs: DataFrame, each: DataFrame, words_each: int, similarity:
             yield pd.DataFrame(np.hstack([ids[ends[:, 0]], ids[ends[:, 1]]]), columns=["a1", "a2", "b1", "b2"])
 
     dealt = found.join(full, ["h1", "h2"]).repartition(*_BUCKET).sortWithinPartitions(*_BUCKET)
-    links = dealt.mapInPandas(verify, "a1 long, a2 long, b1 long, b2 long")
+    links = dealt.mapInPandas(lean(verify), "a1 long, a2 long, b1 long, b2 long")
     return links.select(F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2")).alias("a"), F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2")).alias("b"))
 
 

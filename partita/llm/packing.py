@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partita.llm.common import slices, stored
+from partita.llm.common import lean, slices, stored
 from partita.llm.word_tokens import encoder, words_of
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -49,7 +49,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, room: int = 2048, end_id: int
             settle()
             yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, _PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(lean(run), _PIECES)
 
 
 class OpenBins:
