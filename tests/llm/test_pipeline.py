@@ -34,5 +34,5 @@ def test_every_stage_works_on_what_the_one_before_kept(spark, sf, tmp_path):
 
 
 def test_registered():
-    assert len([q for q in QUERIES if q.startswith("op")]) == 10 and "pipeline" in QUERIES
+    assert len([q for q in QUERIES if q.startswith("op")]) == 13 and "pipeline" in QUERIES
     assert set(ORACLE_SQL) <= set(QUERIES)
