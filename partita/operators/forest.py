@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -493,43 +493,73 @@ def _useful(s: Structure) -> bool:
     return not s.cyclic() and all(s.children(z) for z in s.cards)
 
 
-def search(features: DataFrame, start: Structure, moves, numeric: Sequence[str], domains: Mapping[str, Sequence[str]], rounds: int = 20, screen: int = 4, keep: int = 3, steps: int = 30, seed: int = 0, local: bool = True) -> Forest:
+def dimension(prior: Forest) -> int:
+    """Free numbers to estimate."""
+    latents = sum(a.shape[0] * (a.shape[1] - 1) for a in prior.latents.values())
+    return latents + sum(2 * len(v[0]) for v in prior.gaussian.values()) + sum(t.shape[0] * (t.shape[1] - 1) for t in prior.discrete.values())
+
+
+@dataclass(frozen=True)
+class Phase:
+    """Moves of a stage of a search. per_number: the best move is that of the highest gain for each number that it adds to estimate, else the one of the highest bound."""
+
+    moves: Callable[[Forest], list[Structure]]
+    per_number: bool = False
+
+
+def search(features: DataFrame, start: Structure, moves, numeric: Sequence[str], domains: Mapping[str, Sequence[str]], rounds: int = 20, screen: int = 4, keep: int = 3, steps: int = 30, seed: int = 0, local: bool = True, tried: list[int] | None = None) -> Forest:
     """Hill climbing: all candidates of a round are screened in shared passes, the best few are fitted on, the best is taken while the bound rises.
 
-    local: screening estimates only the surroundings of a move (fit_locally); else all nodes of every candidate.
+    moves: a function from a model to structures, or a sequence of Phases: each is climbed until none of its moves gains, then the next, and all over again
+    until none of them gains anything; the structure that the last move left is not gone back to. local: screening estimates only the surroundings of a
+    move (fit_locally); else all nodes of every candidate. rounds bounds the moves taken; tried collects the number of candidates of every round.
     """
+    phases = list(moves) if isinstance(moves, Sequence) else [Phase(moves)]
     features = features.select(*numeric, *domains).persist()  # every pass reads it
     try:
-        return _search(features, start, moves, numeric, domains, rounds, screen, keep, steps, seed, local)
+        return _search(features, start, phases, numeric, domains, rounds, screen, keep, steps, seed, local, [] if tried is None else tried)
     finally:
         features.unpersist()
 
 
-def _search(features, start, moves, numeric, domains, rounds, screen, keep, steps, seed, local) -> Forest:
+def _search(features, start, phases, numeric, domains, rounds, screen, keep, steps, seed, local, tried) -> Forest:
     rng = np.random.default_rng(seed)
     base = class_prior(features, 1, numeric, domains)
     prior = forest_prior(base, start)
-    best = fit_forests(features, [forest_start(prior, rng)], [prior], numeric, domains, steps)[0]
-    for _ in range(rounds):
-        options = list({repr(s): s for s in moves(best) if _useful(s)}.values())
-        if not options:
-            break
-        priors = [forest_prior(base, s) for s in options]
-        starts = [forest_start(p, rng, best) for p in priors]
-        if local:
-            state = complete(features, best, forest_prior(base, best.structure), numeric, domains)
-            tried = fit_locally(state, starts, priors, numeric, domains, screen)
-        else:
-            tried = fit_forests(features, starts, priors, numeric, domains, screen)
-        order = sorted(range(len(tried)), key=lambda i: -tried[i].elbo)[:keep]
-        fitted = fit_forests(features, [replace(tried[i], elbo=-math.inf, trace=[]) for i in order], [priors[i] for i in order], numeric, domains, steps)
-        top = max(fitted, key=lambda m: m.elbo)
-        if top.elbo <= best.elbo + 0.01:
-            break
-        best = top
+    best, left = fit_forests(features, [forest_start(prior, rng)], [prior], numeric, domains, steps)[0], None
+    idle, at = 0, 0
+    while idle < len(phases) and rounds > 0:
+        phase = phases[at % len(phases)]
+        options = list({repr(s): s for s in phase.moves(best) if _useful(s) and repr(s) != left}.values())
+        top = _best_move(features, best, options, base, rng, numeric, domains, screen, keep, steps, local, phase.per_number) if options else None
+        tried.append(len(options))
+        rounds -= 1
+        if top is None or top.elbo <= best.elbo + 0.01:
+            idle, at = idle + 1, at + 1
+            continue
+        left, best, idle = repr(best.structure), top, 0
     return best
 
 
+def _best_move(features, best, options, base, rng, numeric, domains, screen, keep, steps, local, per_number) -> Forest:
+    priors = [forest_prior(base, s) for s in options]
+    starts = [forest_start(p, rng, best) for p in priors]
+    size = dimension(forest_prior(base, best.structure))
+
+    def worth(model: Forest, prior: Forest) -> float:
+        gain = model.elbo - best.elbo
+        return gain / max(dimension(prior) - size, 1) if per_number and gain > 0 else gain
+
+    if local:
+        state = complete(features, best, forest_prior(base, best.structure), numeric, domains)
+        screened = fit_locally(state, starts, priors, numeric, domains, screen)
+    else:
+        screened = fit_forests(features, starts, priors, numeric, domains, screen)
+    order = sorted(range(len(screened)), key=lambda i: -worth(screened[i], priors[i]))[:keep]
+    fitted = fit_forests(features, [replace(screened[i], elbo=-math.inf, trace=[]) for i in order], [priors[i] for i in order], numeric, domains, steps)
+    return max(zip(fitted, order, strict=True), key=lambda m: worth(m[0], priors[m[1]]))[0]
+
+
 def _empty(numeric: Sequence[str], domains: Mapping[str, Sequence[str]]) -> Structure:
     return Structure({}, {}, {c: ALONE for c in [*numeric, *domains]})
 
@@ -540,7 +570,8 @@ def learn_partitions(features: DataFrame, numeric: Sequence[str] = (), domains:
     incremental: from independent attributes; a round may cover one of the `alpha` pairs of highest dependence with a
     new latent, join a free attribute to a latent, add an arc or a state. refine: from a given model (or none), all
     moves: states, removing, inserting and adding latents, relocating attributes. tree: refine's moves, arcs between
-    latents included, until one tree explains what it can. Dependence is the mutual information of attribute
+    latents included, until one tree explains what it can. phases: the same moves in turn, first those that expand (by gain for each added number), then those
+    that adjust, then those that simplify, so a round has few candidates. Dependence is the mutual information of attribute
     pairs, taken from the data once (ranked_pairs).
     """
     domains = dict(domains or {})
@@ -560,7 +591,17 @@ def learn_partitions(features: DataFrame, numeric: Sequence[str] = (), domains:
     def tree(m: Forest) -> list[Structure]:
         return refine(m) + add_arcs(m.structure)
 
-    moves = {"incremental": incremental, "refine": refine, "tree": tree}[strategy]
+    def expand(m: Forest) -> list[Structure]:
+        s = m.structure
+        free = [p for p in ranked if ALONE in (s.of[p[0]], s.of[p[1]])][:alpha]
+        return change_cards(s, less=False) + insert_latents(s) + add_latents(s, free) + add_arcs(s)
+
+    def simplify(m: Forest) -> list[Structure]:
+        fewer = [replace(m.structure, cards={**m.structure.cards, z: k - 1}) for z, k in m.structure.cards.items() if k > 2]
+        return fewer + remove_latents(m.structure)
+
+    phases = [Phase(expand, True), Phase(lambda m: relocate(m.structure)), Phase(simplify)]
+    moves = {"incremental": incremental, "refine": refine, "tree": tree, "phases": phases}[strategy]
     return search(features, start.structure if start else _empty(numeric, domains), moves, numeric, domains, **options)
 
 

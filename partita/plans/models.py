@@ -552,6 +552,13 @@ def j8_latent_tree(t: Tables) -> DataFrame:
     return _forest_rows(rows, forest.learn_partitions(rows, (), DOMAINS, "tree", alpha=3, rounds=3, screen=2, keep=1, steps=6))
 
 
+@query()
+def j8_tree_by_phases(t: Tables) -> DataFrame:
+    """A latent tree by expanding, adjusting and simplifying in turn."""
+    rows = marked_orders(t)
+    return _forest_rows(rows, forest.learn_partitions(rows, (), DOMAINS, "phases", alpha=3, rounds=6, screen=2, keep=1, steps=6))
+
+
 @query()
 def j10_pouches(t: Tables) -> DataFrame:
     best = search.search_pouches(t.lineitem, ["l_quantity", "l_extendedprice", "l_discount"], most_states=3, rounds=3, screen=3, steps=8)

@@ -556,11 +556,15 @@ def test_a_planted_tree_is_found(spark):
     flip = lambda z: np.where(rng.random(n) < 0.08, 1 - z, z)
     cols = {f"a{i}": flip(u) for i in range(3)} | {f"b{i}": flip(v) for i in range(3)}
     df = spark.createDataFrame([(i, *[str(c[i]) for c in cols.values()]) for i in range(n)], ", ".join(["k long", *[f"{c} string" for c in cols]]))
-    model = forest.learn_partitions(df, (), FOREST_DOMAINS, "tree", alpha=4, rounds=9, screen=3, keep=2, steps=15)
-    s = model.structure
-    tops = {s.of[c] for c in FOREST_DOMAINS}
-    assert forest.ALONE not in tops and len(tops) == 2 and all(len({s.of[f"{g}{i}"] for i in range(3)}) == 1 for g in "ab")
-    assert any(s.up.get(x) == y for x in tops for y in tops)  # the two are linked
+    counts = {}
+    for strategy in ("tree", "phases"):
+        counts[strategy] = []
+        model = forest.learn_partitions(df, (), FOREST_DOMAINS, strategy, alpha=4, rounds=14, screen=3, keep=2, steps=15, tried=counts[strategy])
+        s = model.structure
+        tops = {s.of[c] for c in FOREST_DOMAINS}
+        assert forest.ALONE not in tops and len(tops) == 2 and all(len({s.of[f"{g}{i}"] for i in range(3)}) == 1 for g in "ab")
+        assert any(s.up.get(x) == y for x in tops for y in tops)  # the two are linked
+    assert max(counts["phases"]) < max(counts["tree"])  # a round has fewer candidates
 
 
 def test_pairs_of_groups_are_tested_as_by_themselves(spark):
