@@ -348,8 +348,8 @@ def corpus_alignment(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of every row of docs.
 
     count_sum adds up, over a document's links, how many links of the corpus hold the same pair of ids; n_best counts links whose pair
-    is the commonest of its b id, ties included. The counts, whose number the vocabularies bound (about 250,000 pairs of ids can end together
-    here), are added by Spark and sent to all tasks. For the rest see align().
+    is the commonest of its b id, ties included. The counts, whose number the vocabularies bound (324,302 pairs of ids can end together for the files of
+    the query), are added by Spark and sent to all tasks. For the rest see align().
     """
     spark = docs.sparkSession
     worker = aligner(path_a, path_b)
