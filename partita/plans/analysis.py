@@ -261,7 +261,8 @@ def f6_knn_join(t: Tables) -> DataFrame:
 @query("""SELECT a.p_partkey AS key_q, b.p_partkey AS key, round(sqrt((a.p_size - b.p_size) ** 2 + (a.p_retailprice - b.p_retailprice) ** 2), 6) AS distance
      FROM part a JOIN part b ON a.p_partkey <> b.p_partkey WHERE sqrt((a.p_size - b.p_size) ** 2 + (a.p_retailprice - b.p_retailprice) ** 2) <= 1.5""")
 def f7_radius_join(t: Tables) -> DataFrame:
-    return _round(dependence.radius_join(t.part, t.part, "p_partkey", ["p_size", "p_retailprice"], 1.5), 6, "distance")
+    """Distances are rounded before the pairs of vectors become pairs of rows."""
+    return dependence.all_pairs(_round(dependence.radius_pairs(t.part, t.part, "p_partkey", ["p_size", "p_retailprice"], 1.5), 6, "distance"))
 
 
 @query("""SELECT key_q, key, round(d, 6) AS distance, rank FROM (SELECT a.p_partkey AS key_q, b.p_partkey AS key, greatest(abs(a.p_size - b.p_size), abs(a.p_retailprice - b.p_retailprice)) AS d,

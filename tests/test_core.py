@@ -141,6 +141,22 @@ def test_edges_of_small_tables(spark):
         dependence.radius_join(far, far, "w", ["a"], 0)
 
 
+def test_radius_join_meets_vectors_once(spark, monkeypatch):
+    monkeypatch.setattr(dependence, "KEYS", 4)
+    monkeypatch.setattr(dependence, "LISTS", 20)
+    rows = [(i, float(i % 5), 0.5 * (i % 3)) for i in range(60)] + [(100 + i, 2.0, 9.0) for i in range(30)]
+    rows += [(200, None, 1.0), (201, float("nan"), 1.0), (202, float("inf"), 1.0), (203, float("inf"), 1.0), (None, 1.0, 1.0), (3, 1.0, 0.5)]
+    df = spark.createDataFrame(rows, "k long, a double, b double")
+    pairs = dependence.radius_pairs(df, df, "k", ["a", "b"], 1.1)
+    lists = pairs.select("keys").distinct().collect()
+    assert 16 < len(lists) < 91 and pairs.count() < 1500  # 15 vectors, one of them with 30 rows in lists of few
+    whole = [r for r in rows if r[0] is not None and r[1] is not None and abs(r[1]) < 1e9]
+    far = lambda p, q: math.hypot(p[1] - q[1], p[2] - q[2])
+    want = sorted((p[0], q[0], round(far(p, q), 9)) for p in whole for q in whole if p[0] != q[0] and far(p, q) <= 1.1)
+    got = sorted((r["key_q"], r["key"], round(r["distance"], 9)) for r in dependence.radius_join(df, df, "k", ["a", "b"], 1.1).collect())
+    assert got == want
+
+
 def test_structures(spark):
     rng = np.random.default_rng(2)
     a = rng.integers(0, 2, 2000)
