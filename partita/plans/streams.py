@@ -190,7 +190,8 @@ def h1_stream_forest(t: Tables) -> DataFrame:
     rows.repartitionByRange(3, "o_orderkey").write.parquet(path)
     stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
     structure = forest.Structure({"a": 2, "b": 2}, {"b": "a"}, {"big": "a", "o_orderstatus": "b", "late": "b", "o_orderpriority": forest.ALONE})
-    prior = forest.forest_prior(parameters.class_prior(rows, 1, (), DOMAINS), structure)
+    known, weight = forest.counted(rows, (), DOMAINS)
+    prior = forest.forest_prior(parameters.class_prior(known, 1, (), DOMAINS, weight=weight), structure)
     state = updates.StateTable(shared_path(t.spark, "forest-state"))
     updates.run_stream(stream, updates.updater(state, prior, forest.forest_start(prior, parameters.np.random.default_rng(0)), (), DOMAINS, steps=6), shared_path(t.spark, "at"))
     return t.spark.read.parquet(f"{state.path}/batch_id=*").select("batch_id", "elbo", "predictive")

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partita.operators.forest import Forest, forest_divergences, forest_e_step, forest_m_step
+from partita.operators.forest import Forest, counted, forest_divergences, forest_e_step, forest_m_step
 from partita.operators.parameters import LatentClass, _columns, _log_rho, e_step, held, m_step, parameter_divergences
 from partita.operators.scoring import forest_log_likelihood, row_log_likelihood
 
@@ -56,12 +56,12 @@ def _steps(model: LatentClass | Forest) -> tuple[Callable, Callable, Callable]:
     return (forest_e_step, forest_m_step, forest_divergences) if isinstance(model, Forest) else (e_step, m_step, parameter_divergences)
 
 
-def update(batch: DataFrame, prior: LatentClass | Forest, start: LatentClass | Forest, numeric: Sequence[str], domains: Mapping[str, Sequence[str]], steps: int = 20, threshold: float = 0.01, fixed: Mapping[str, object] | None = None) -> LatentClass | Forest:
-    """The posterior of one batch under a prior, from a start, by passes over the batch. fixed: parameters of attributes that are held."""
+def update(batch: DataFrame, prior: LatentClass | Forest, start: LatentClass | Forest, numeric: Sequence[str], domains: Mapping[str, Sequence[str]], steps: int = 20, threshold: float = 0.01, fixed: Mapping[str, object] | None = None, weight: str | None = None) -> LatentClass | Forest:
+    """The posterior of one batch under a prior, from a start, by passes over the batch. fixed: parameters of attributes that are held; weight: the column of a batch that is counted()."""
     expect, maximise, apart = _steps(prior)
     prior, now, past = held(replace(prior), fixed), held(replace(start), fixed), -math.inf
     for _ in range(steps):
-        stats = expect(batch, [now], numeric, domains)[0]
+        stats = expect(batch, [now], numeric, domains, weight)[0]
         elbo = stats["bound"] - sum(apart(now, prior).values())
         gain, past = elbo - past, elbo
         now = held(maximise(stats, prior), fixed)
@@ -129,11 +129,11 @@ def updater(state: StateTable, prior: LatentClass | Forest, start: LatentClass |
     prior, start = held(replace(prior), fixed), held(replace(start), fixed)
     sizes = node_sizes(prior)
 
-    def drifted(batch: DataFrame, last: LatentClass | Forest) -> tuple[LatentClass | Forest, dict[str, float]]:
+    def drifted(batch: DataFrame, last: LatentClass | Forest, weight: str | None) -> tuple[LatentClass | Forest, dict[str, float]]:
         w, p0, p1, model = dict.fromkeys(sizes, 0.5), natural(prior), natural(last), last
         for _ in range(10):
             each = np.repeat(list(w.values()), list(sizes.values()))
-            model = update(batch, from_natural((1 - each) * p0 + each * p1, prior), last, numeric, domains, steps, fixed=fixed)
+            model = update(batch, from_natural((1 - each) * p0 + each * p1, prior), last, numeric, domains, steps, fixed=fixed, weight=weight)
             away, near = apart(model, prior), apart(model, last)
             push = {c: away[c] - near[c] for c in sizes}
             if weights == "one":
@@ -151,26 +151,27 @@ def updater(state: StateTable, prior: LatentClass | Forest, start: LatentClass |
         if batch_id in seen:
             return
         last = held(from_natural(np.array(state.newest(spark, seen[-1])["natural"]), prior), fixed) if seen else None
-        batch, found = batch.persist(), None
+        batch, weight = counted(batch, numeric, domains)
+        batch, found, many = batch.persist(), None, F.col(weight) if weight else F.lit(1)
         try:
-            n = batch.count()
+            n = batch.agg(F.sum(many)).first()[0]
             if not n:
                 return
             score = None
             if last:
                 scored = forest_log_likelihood(batch, last.expected(domains)) if isinstance(last, Forest) else row_log_likelihood(batch, last.expected())
-                score = scored.agg(F.sum("log_likelihood")).first()[0]
+                score = scored.agg(F.sum(F.col("log_likelihood") * many)).first()[0]
             if rule == "stochastic":
-                stats = expect(batch, [last or start], numeric, domains)[0]
+                stats = expect(batch, [last or start], numeric, domains, weight)[0]
                 new = natural(maximise(stats, prior)) - natural(prior)
                 rho = rate(len(seen)) if callable(rate) else rate
                 old = natural(last or prior)
                 model, elbo = held(from_natural((1 - rho) * old + rho * (natural(prior) + (total or n) / n * new), prior), fixed), stats["bound"]
             elif rule == "drift" and last is not None:
-                model, found = drifted(batch, last)
+                model, found = drifted(batch, last, weight)
                 elbo = model.elbo
             else:
-                model = update(batch, last or prior, last or start, numeric, domains, steps, fixed=fixed)
+                model = update(batch, last or prior, last or start, numeric, domains, steps, fixed=fixed, weight=weight)
                 elbo = model.elbo
             state.save(spark, batch_id, model, elbo, score, found)
         finally:

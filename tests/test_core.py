@@ -157,6 +157,46 @@ def test_radius_join_meets_vectors_once(spark, monkeypatch):
     assert got == want
 
 
+def test_passes_over_discrete_attributes_read_combinations(spark, monkeypatch):
+    domains = {"a": ["x", "y"], "b": ["x", "y"], "c": ["x", "y", "z"]}
+    rng = np.random.default_rng(3)
+    z = rng.random(3000) < 0.4
+    pick = lambda p, one, other: np.where(rng.random(3000) < np.where(z, p, 1 - p), one, other)
+    a, b, c = pick(0.9, "x", "y"), pick(0.8, "x", "y"), pick(0.7, "z", "y")
+    rows = spark.createDataFrame([(i, None if i % 50 == 0 else str(p), str(q), "other" if i % 70 == 0 else str(r)) for i, (p, q, r) in enumerate(zip(a, b, c))], "k long, a string, b string, c string")
+    one = forest.Structure({"t": 2}, {}, dict.fromkeys(domains, "t"))
+    prior = forest.forest_prior(parameters.class_prior(rows, 1, (), domains), one)
+    start = forest.forest_start(prior, np.random.default_rng(0))
+    by_row = forest.fit_forests(rows, [start], [prior], (), domains, 5)[0]
+    few, weight = forest.counted(rows, (), domains)
+    assert few.count() < 40 and few.agg(F.sum(weight)).first()[0] == 3000
+    by_count = forest.fit_forests(few, [start], [forest.forest_prior(parameters.class_prior(few, 1, (), domains, weight=weight), one)], (), domains, 5, weight=weight)[0]
+    assert by_count.elbo == pytest.approx(by_row.elbo, abs=1e-6)
+    assert forest.pair_dependence(few, (), domains, weight) == pytest.approx(forest.pair_dependence(rows, (), domains))
+    assert search.hill_climb(few, list(domains), weight=weight)[0] == search.hill_climb(rows, list(domains))[0]
+    assert search.hill_climb(few, list(domains), weight=weight)[1] == pytest.approx(search.hill_climb(rows, list(domains))[1])
+
+    seen = []
+    monkeypatch.setattr(forest, "forest_e_step", lambda features, *rest, _f=forest.forest_e_step: (seen.append(features.count()), _f(features, *rest))[1])
+    search.refine_and_rewire(rows, "k", (), domains, rounds=1, alpha=2, screen=2, keep=1, steps=3)
+    search.structural_em(rows, by_row, "k", (), domains, rounds=1, steps=3)
+    search.learn_binary_forest(rows, "k", domains, "labels", rounds=1, steps=3)
+    forest.fit_latent_forest(rows, one, (), domains, 1, 2)
+    assert seen and max(seen) < 40
+    monkeypatch.setattr(updates, "forest_e_step", lambda features, *rest, _f=updates.forest_e_step: (seen.append(features.count()), _f(features, *rest))[1])
+    path = str(spark.conf.get("spark.checkpoint.dir")) + "/counted-state"
+    for rule in ("bayes", "drift", "stochastic"):
+        state = updates.StateTable(f"{path}-{rule}")
+        on_batch = updates.updater(state, prior, start, (), domains, rule, steps=3)
+        on_batch(rows.filter("k < 1500"), 0)
+        on_batch(rows.filter("k >= 1500"), 1)
+        last = state.rows(spark)[-1]
+        model = updates.from_natural(np.array(state.rows(spark)[0]["natural"]), prior)
+        want = scoring.forest_log_likelihood(rows.filter("k >= 1500"), model.expected(domains)).agg(F.sum("log_likelihood")).first()[0]
+        assert last["predictive"] == pytest.approx(want)
+    assert max(seen) < 40
+
+
 def test_structures(spark):
     rng = np.random.default_rng(2)
     a = rng.integers(0, 2, 2000)
