@@ -197,6 +197,24 @@ def test_passes_over_discrete_attributes_read_combinations(spark, monkeypatch):
     assert max(seen) < 40
 
 
+def test_mixtures_estimate_equal_rows_once(spark):
+    rng = np.random.default_rng(5)
+    x = np.round(np.concatenate([rng.multivariate_normal([0, 0, 5], [[1, 0.8, 0], [0.8, 1, 0], [0, 0, 1]], 60), rng.multivariate_normal([4, -4, 1], np.eye(3), 60)]), 2)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x] * 4, "a double, b double, c double")
+    blocks = [["b", "a"], ["c"]]
+    fit = parameters.fit_mixture(df, 2, ["a", "b", "c"], blocks=blocks, candidates=2, steps=6)
+    total = np.zeros(len(x))
+    for w, m, cov in zip(fit["weights"], fit["means"], fit["covariances"], strict=True):
+        gap = x - m
+        total += w * np.exp(-0.5 * (gap @ np.linalg.inv(cov) * gap).sum(axis=1)) / np.sqrt(np.linalg.det(2 * math.pi * cov))
+    assert fit["n"] == 480 and fit["log_likelihood"] == pytest.approx(4 * np.log(total).sum(), abs=1e-6)
+    assert abs(fit["covariances"][:, 0, 1]).max() > 0.3 and not fit["covariances"][:, :2, 2].any()
+    model, groups = (fit["weights"], fit["means"], fit["covariances"]), [np.array([1, 0]), np.array([2])]
+    pairs = parameters._joint_pairs([groups])
+    assert pairs == [(0, 1)]
+    assert np.exp(parameters._quadratic(x, pairs) @ parameters._log_coefficients(model, groups, pairs)).sum(axis=1) == pytest.approx(total)
+
+
 def test_structures(spark):
     rng = np.random.default_rng(2)
     a = rng.integers(0, 2, 2000)
