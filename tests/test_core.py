@@ -215,6 +215,14 @@ def test_mixtures_estimate_equal_rows_once(spark):
     assert np.exp(parameters._quadratic(x, pairs) @ parameters._log_coefficients(model, groups, pairs)).sum(axis=1) == pytest.approx(total)
 
 
+def test_noise_is_drawn_once(spark, monkeypatch):
+    kept, real = {}, dependence.stored
+    monkeypatch.setattr(dependence, "stored", lambda df, label: kept.setdefault(label, real(df, label)))
+    rows = spark.range(60).selectExpr("id", "id % 3 as a", "id % 2 as b")
+    dependence.mutual_info_continuous(rows, "id", "a", "b", jitter=1e-6)
+    assert kept["mi-rows"].count() == 60 and kept["mi-rows"].columns == ["key", "x", "y"]
+
+
 def test_structures(spark):
     rng = np.random.default_rng(2)
     a = rng.integers(0, 2, 2000)
