@@ -24,8 +24,8 @@ FREQUENT, PAD = TOKENS // 2, TOKENS
 LISTED = 1 << 17
 #: Tokens to each side, numbers of a token's embedding, hidden units, tokens of a training step, tokens scored at once.
 WINDOW, EMBED, HIDDEN, STEP, BLOCK = 2, 12, 32, 4096, 16_384
-#: One context of so many is remembered with the words seen in it, by a hash of the context.
-REMEMBERED = 16
+#: One context of so many is remembered with the words seen in it: every one.
+REMEMBERED = 1
 #: Numbers of a slice of the parameters when they travel.
 SLOT = 4096
 
@@ -226,14 +226,14 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
     return Vocabulary(table | {w: (i, 0.0) for w, i in own.items()}, np.log(left))
 
 
-_ENCODED = "rid long, doc_id long, n_tokens long, share double, ids binary, at binary, shares binary, k2 array<long>, k3 array<long>, first array<boolean>, own array<int>"
+_ENCODED = "rid long, doc_id long, n_tokens long, share double, ids binary, shares binary, k2 array<long>, k3 array<long>, first array<boolean>, own array<int>"
 
 
 def encoded(docs: DataFrame, words: Vocabulary) -> DataFrame:
-    """A row per row of docs, stored: a row number, token ids, the sum of log shares, and the remembered contexts.
+    """A row per row of docs, stored: a row number, token ids, the sum of log shares, and the contexts of all tokens.
 
-    k2 is a hash of the words beside a remembered token, k3 of those and the token; first marks the first of equal ones
-    in a text; at and shares are the tokens' places and log shares.
+    k2 is a hash of the words beside a token, k3 of those and the token; first marks the first of equal ones
+    in a text; shares are the tokens' log shares.
     """
     shared = docs.sparkSession.sparkContext.broadcast(words)  # LISTED words at most
 
@@ -247,14 +247,12 @@ def encoded(docs: DataFrame, words: Vocabulary) -> DataFrame:
                 with np.errstate(over="ignore"):
                     edge = np.zeros(1, dtype=np.uint64)
                     k2 = mixed(np.append(edge, h[:-1]) * np.uint64(0x9E3779B97F4A7C15) + np.append(h[1:], edge)) if len(h) else h
-                    at = np.flatnonzero(k2 % np.uint64(REMEMBERED) == 0)
-                    k2 = k2[at]
-                    k3 = mixed(k2 * np.uint64(0xD6E8FEB86659FD93) + h[at])
-                first = np.zeros(len(at), dtype=bool)
+                    k3 = mixed(k2 * np.uint64(0xD6E8FEB86659FD93) + h)
+                first = np.zeros(len(h), dtype=bool)
                 first[np.unique(k3, return_index=True)[1]] = True
                 there, which = np.unique(k2, return_inverse=True)
                 own = np.bincount(which, weights=first, minlength=len(there))[which].astype(np.int32)
-                out.append((rid, doc_id, len(ids), float(share.sum(dtype=np.float64)), ids.tobytes(), at.astype(np.int32).tobytes(), share[at].tobytes(), k2.view(np.int64), k3.view(np.int64), first, own))
+                out.append((rid, doc_id, len(ids), float(share.sum(dtype=np.float64)), ids.tobytes(), share.tobytes(), k2.view(np.int64), k3.view(np.int64), first, own))
                 rid += 1
                 held += len(ids)
                 if held > 500_000:
@@ -324,7 +322,7 @@ def train(texts: DataFrame, network: Network, rounds: int = 2, each: int = 1 <<
 
 
 def network_scores(texts: DataFrame, network: Network) -> DataFrame:
-    """(rid, doc_id, n_tokens, base, k2, k3, first, own, logp): for encoded() rows the network's sum of log-probabilities, and those of remembered tokens."""
+    """(rid, doc_id, n_tokens, base, k2, k3, first, own, logp): for encoded() rows the network's sum of log-probabilities, and those of all tokens."""
     shared = texts.sparkSession.sparkContext.broadcast(network.flat)
 
     def run(batches):
@@ -340,8 +338,7 @@ def network_scores(texts: DataFrame, network: Network) -> DataFrame:
                 sums[at:until] = np.bincount(np.repeat(np.arange(until - at), lengths[at:until]), logp, until - at)
                 ends = np.cumsum(lengths[at:until])
                 for i in range(at, until):
-                    places = np.frombuffer(b["at"].iloc[i], dtype=np.int32) + ends[i - at] - lengths[i]
-                    logs.append((logp[places] + np.frombuffer(b["shares"].iloc[i], dtype=np.float32)).astype(np.float32))
+                    logs.append((logp[ends[i - at] - lengths[i] : ends[i - at]] + np.frombuffer(b["shares"].iloc[i], dtype=np.float32)).astype(np.float32))
                 at = until
             yield pd.DataFrame({"rid": b["rid"], "doc_id": b["doc_id"], "n_tokens": lengths, "base": sums + b["share"].to_numpy(), "k2": b["k2"], "k3": b["k3"], "first": b["first"], "own": b["own"], "logp": logs})
 
@@ -349,7 +346,7 @@ def network_scores(texts: DataFrame, network: Network) -> DataFrame:
 
 
 def memory_gains(scored: DataFrame) -> DataFrame:
-    """(rid, gain): what mixing the remembered contexts into the network's probabilities adds to each row's sum.
+    """(rid, gain): what mixing the contexts of all documents into the network's probabilities adds to each row's sum.
 
     A context's words are counted once a document, over all documents, and all that a document has there itself are taken off again. With
     N occurrences in other documents and T words of theirs in a context, the mix gives N / (N + T) to the share of the token among them; where
@@ -375,7 +372,7 @@ def score(docs: DataFrame, network: Network, texts: DataFrame | None = None) ->
     """(doc_id, n_tokens, log_likelihood, mean_log_likelihood) for every row of docs (doc_id, text).
 
     log_likelihood sums ln p(word | its WINDOW neighbours to each side) over the whole text: the network's probability of
-    the word's id times the word's share of that id, mixed, in remembered contexts, with what other documents have there. Null, empty and blank
+    the word's id times the word's share of that id, mixed with what other documents have there. Null, empty and blank
     texts have 0 tokens, sum 0 and a null mean. Very long texts are read in parts; equal texts have equal scores
     but for rounding. Other columns are ignored; an empty table gives no rows.
     """

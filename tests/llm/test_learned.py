@@ -200,6 +200,14 @@ def test_scores_match_brute_force(spark):
     assert all(abs(got[i] - w) < 1e-3 * max(1, abs(w)) for i, w in enumerate(want))
 
 
+def test_every_context_is_remembered(spark):
+    net = lm_score.start(small(*"abcdefg"))
+    texts = ["a b c d e f g a c e g b d f", "g f e d c b a", "", None, "a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = lm_score.network_scores(lm_score.encoded(docs, net.vocabulary), net).collect()
+    assert {r["doc_id"]: (len(r["k2"]), len(r["logp"])) for r in got} == {i: (len((t or "").split()),) * 2 for i, t in enumerate(texts)}
+
+
 def test_a_text_alone_gains_nothing_from_itself(spark):
     frames = spark.createDataFrame([(1, [10, 10, 20], [1, 2, 3], [True, True, True], [2, 2, 1], [-0.7, -0.7, -0.1])], "rid long, k2 array<long>, k3 array<long>, first array<boolean>, own array<int>, logp array<float>")
     assert lm_score.memory_gains(frames).count() == 0
