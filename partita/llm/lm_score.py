@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from partita.llm.common import mixed, slices, spread_join, stored
+from partita.llm.common import lean, memory_kept, mixed, slices, spread_join, stored
 
 #: Token ids are dealt to CLASSES groups; a token's probability is that of its group times that within the group.
 CLASSES, MEMBERS = 32, 32
@@ -28,6 +29,10 @@ WINDOW, EMBED, HIDDEN, STEP, BLOCK = 2, 12, 32, 4096, 16_384
 REMEMBERED = 1
 #: Numbers of a slice of the parameters when they travel.
 SLOT = 4096
+#: Tokens of a slice of the contexts, and the share of tokens (one in so many) above which a context is reported.
+SLICE, HEAVY = 1 << 21, 1 << 14
+#: Slices are dealt in so many turns, one after the other, each of which needs its share of the disk.
+TURNS = 2
 
 _SHAPES = {
     "embed": (TOKENS + 1, EMBED),
@@ -62,6 +67,27 @@ def word_hash(words: list[bytes]) -> np.ndarray:
     return mixed(np.array([zlib.crc32(w) for w in words], dtype=np.uint64))
 
 
+def _unmixed(h: np.ndarray) -> np.ndarray:
+    """The CRC32 that mixed() made h of: its inverse."""
+    h = h.copy()
+    h ^= h >> np.uint64(31) ^ h >> np.uint64(62)
+    h *= np.uint64(pow(0x94D049BB133111EB, -1, 1 << 64))
+    h ^= h >> np.uint64(27) ^ h >> np.uint64(54)
+    h *= np.uint64(pow(0xBF58476D1CE4E5B9, -1, 1 << 64))
+    h ^= h >> np.uint64(30) ^ h >> np.uint64(60)
+    return h.astype(np.uint32)
+
+
+def _beside(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A hash of the words beside each token, from hashes of the tokens of texts that start at `starts`; 0 stands beside a text's ends."""
+    left, right = np.zeros_like(h), np.zeros_like(h)
+    left[1:], right[:-1] = h[:-1], h[1:]
+    first = starts[starts < len(h)]
+    left[first] = 0
+    right[first[first > 0] - 1] = 0
+    return mixed(left * np.uint64(0x9E3779B97F4A7C15) + right)
+
+
 @dataclass
 class Vocabulary:
     """words: id and log of the share of that id's occurrences, for listed words; rest: log share of any other word of a bucket."""
@@ -76,21 +102,27 @@ class Vocabulary:
         self.shares = np.array([*(v for _, v in self.words.values()), 0], dtype=np.float32)
         self.hashes = word_hash([*self.words, b""])
 
-    def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids, log shares and hashes of the lower-cased words of a text."""
-        ids, shares, hashes, place = [], [], [], self.place
+    def places(self, text: str | None) -> tuple[np.ndarray, list[bytes]]:
+        """Where the lower-cased words of a text are listed (the last place: nowhere), and those that are not."""
+        at, others, place, last = [], [], self.place, len(self.words)
         for part in slices(text or ""):
             words = part.lower().encode("utf-8", "surrogatepass").split()
-            at = np.array([place.get(w, -1) for w in words], dtype=np.int32)
-            i, v, h = self.ids[at], self.shares[at], self.hashes[at]
-            if len(new := np.flatnonzero(at < 0)):
-                others = [words[n] for n in new.tolist()]
-                i[new] = [bucket(w) for w in others]
-                v[new], h[new] = self.rest[i[new] - FREQUENT], word_hash(others)
-            ids.append(i)
-            shares.append(v)
-            hashes.append(h)
-        return np.concatenate(ids), np.concatenate(shares), np.concatenate(hashes)
+            at.append(np.array([place.get(w, last) for w in words], dtype=np.int32))
+            others += [words[n] for n in np.flatnonzero(at[-1] == last).tolist()]
+        return np.concatenate(at), others
+
+    def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, log shares and hashes of the lower-cased words of a text."""
+        at, others = self.places(text)
+        return self.values(at, np.array([bucket(w) for w in others], dtype=np.int16), np.array([zlib.crc32(w) for w in others], dtype=np.uint32))
+
+    def values(self, at: np.ndarray, buckets: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, log shares and hashes of words by their places, of those without one by bucket and CRC32."""
+        i, v, h = self.ids[at], self.shares[at], self.hashes[at]
+        if len(buckets):
+            new = np.flatnonzero(at == len(self.words))
+            i[new], v[new], h[new] = buckets, self.rest[buckets - FREQUENT], mixed(sums.astype(np.uint64))
+        return i, v, h
 
 
 @dataclass
@@ -119,55 +151,57 @@ def windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return flat[at], np.stack([flat[at + o] for o in around], axis=1) if len(at) else np.zeros((0, 2 * WINDOW), np.int32)
 
 
-def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    x = x - x.max(axis=1, keepdims=True)
-    e = np.exp(x)
-    s = e.sum(axis=1, keepdims=True)
-    return e / s, x - np.log(s)
+def _softmax(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Makes the columns of x exponentials of scores and returns the log-probability of each column's row `at`, and each column's sum."""
+    x -= x.max(axis=0)
+    picked = x[at, np.arange(len(at))]
+    np.exp(x, out=x)
+    total = x.sum(axis=0)
+    return picked - np.log(total), total
 
 
 def step(p: dict[str, np.ndarray], target: np.ndarray, context: np.ndarray, grad: dict[str, np.ndarray] | None = None) -> np.ndarray:
-    """Log-probability of each target given its context; with grad, also the gradient of minus their mean."""
+    """Log-probability of each target given its context; with grad, also the gradient of minus their mean.
+
+    Tokens are columns: sums over a few units then run along the rows.
+    """
     n = len(target)
     order = np.argsort((target % CLASSES).astype(np.uint8), kind="stable")  # a group's tokens side by side
-    context = context[order]
+    context = context.take(order, axis=0)
     group, member = target[order] % CLASSES, target[order] // CLASSES
     edges = np.searchsorted(group, np.arange(CLASSES + 1))
+    parts = [(c, slice(edges[c], edges[c + 1])) for c in range(CLASSES)]
     each = np.arange(n)
-    x = p["embed"][context].reshape(n, -1)
-    h = np.tanh(x @ p["mix"] + p["mix_b"])
-    gp, gl = _softmax(h @ p["group"] + p["group_b"])
-    logp = gl[each, group]
+    x = p["embed"].take(context, axis=0).reshape(n, -1)
+    with np.errstate(over="ignore"):  # tanh
+        h = 1 - 2 / (np.exp(2 * (p["mix"].T @ x.T + p["mix_b"][:, None])) + 1)
+    gp, mp = p["group"].T @ h + p["group_b"][:, None], np.empty((MEMBERS, n), dtype=h.dtype)
+    for c, rows in parts:
+        mp[:, rows] = p["member"][c].T @ h[:, rows]
+        mp[:, rows] += p["member_b"][c][:, None]
+    (gl, gs), (ml, ms) = _softmax(gp, group), _softmax(mp, member)
+    out = np.empty_like(gl)
+    out[order] = gl + ml
     if grad is not None:
-        gp[each, group] -= 1
+        gp /= gs
+        mp /= ms
+        gp[group, each] -= 1
+        mp[member, each] -= 1
         gp /= n
-        dh = gp @ p["group"].T
-        grad["group"][...] = h.T @ gp
-        grad["group_b"][...] = gp.sum(axis=0)
-    for c in range(CLASSES):
-        rows = slice(edges[c], edges[c + 1])
-        if edges[c] == edges[c + 1]:
-            if grad is not None:
-                grad["member"][c], grad["member_b"][c] = 0, 0
-            continue
-        mp, ml = _softmax(h[rows] @ p["member"][c] + p["member_b"][c])
-        at = each[: len(mp)], member[rows]
-        logp[rows] += ml[at]
-        if grad is not None:
-            mp[at] -= 1
-            mp /= n
-            dh[rows] += mp @ p["member"][c].T
-            grad["member"][c] = h[rows].T @ mp
-            grad["member_b"][c] = mp.sum(axis=0)
-    out = np.empty_like(logp)
-    out[order] = logp
-    if grad is not None:
+        mp /= n
+        dh = p["group"] @ gp
+        grad["group"][...] = h @ gp.T
+        grad["group_b"][...] = gp.sum(axis=1)
+        for c, rows in parts:
+            dh[:, rows] += p["member"][c] @ mp[:, rows]
+            grad["member"][c] = h[:, rows] @ mp[:, rows].T
+            grad["member_b"][c] = mp[:, rows].sum(axis=1)
         dz = dh * (1 - h * h)
-        grad["mix"][...] = x.T @ dz
-        grad["mix_b"][...] = dz.sum(axis=0)
-        dx = (dz @ p["mix"].T).reshape(-1, EMBED)
-        flat = context.reshape(-1)
-        grad["embed"][...] = np.stack([np.bincount(flat, dx[:, d], TOKENS + 1) for d in range(EMBED)], axis=1)
+        grad["mix"][...] = (dz @ x).T
+        grad["mix_b"][...] = dz.sum(axis=1)
+        dx = (p["mix"] @ dz).reshape(2 * WINDOW, EMBED, n)
+        flat = context.T.ravel()
+        grad["embed"][...] = np.stack([np.bincount(flat, dx[:, d].ravel(), TOKENS + 1) for d in range(EMBED)], axis=1)
     return out
 
 
@@ -226,42 +260,47 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
     return Vocabulary(table | {w: (i, 0.0) for w, i in own.items()}, np.log(left))
 
 
-_ENCODED = "rid long, doc_id long, n_tokens long, share double, ids binary, shares binary, k2 array<long>, k3 array<long>, first array<boolean>, own array<int>"
+_ENCODED = "rid long, doc_id long, n_tokens long, ids binary, places binary, buckets binary, sums binary, heavy array<long>, times array<long>"
 
 
 def encoded(docs: DataFrame, words: Vocabulary) -> DataFrame:
-    """A row per row of docs, stored: a row number, token ids, the sum of log shares, and the contexts of all tokens.
+    """A row per row of docs, stored: a row number, token ids and what gives words their shares and hashes again (`Vocabulary.values`).
 
-    k2 is a hash of the words beside a token, k3 of those and the token; first marks the first of equal ones
-    in a text; shares are the tokens' log shares.
+    places has three bytes a token, first all low ones. heavy and times are contexts of over a HEAVY-th of some hundred thousand tokens and how often
+    they occur there, beside the first of these rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(words)  # LISTED words at most
 
     def run(batches):
         rid = TaskContext.get().partitionId() << 40
+
+        def done(out, hashes):
+            lengths = [len(h) for h in hashes]
+            k2 = np.sort(_beside(np.concatenate(hashes), np.cumsum([0, *lengths[:-1]])))
+            first = np.flatnonzero(np.append(True, k2[1:] != k2[:-1])) if len(k2) else np.zeros(0, dtype=np.int64)
+            many = np.diff(np.append(first, len(k2)))
+            over = many > len(k2) // HEAVY
+            out[0] = (*out[0][:-2], k2[first[over]].view(np.int64), many[over])
+            return pd.DataFrame(out, columns=_NAMES)
+
         for b in batches:
-            out, held = [], 0
+            out, hashes, held = [], [], 0
             for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
-                text = text if isinstance(text, str) else None
-                ids, share, h = shared.value.encode(text)
-                with np.errstate(over="ignore"):
-                    edge = np.zeros(1, dtype=np.uint64)
-                    k2 = mixed(np.append(edge, h[:-1]) * np.uint64(0x9E3779B97F4A7C15) + np.append(h[1:], edge)) if len(h) else h
-                    k3 = mixed(k2 * np.uint64(0xD6E8FEB86659FD93) + h)
-                first = np.zeros(len(h), dtype=bool)
-                first[np.unique(k3, return_index=True)[1]] = True
-                there, which = np.unique(k2, return_inverse=True)
-                own = np.bincount(which, weights=first, minlength=len(there))[which].astype(np.int32)
-                out.append((rid, doc_id, len(ids), float(share.sum(dtype=np.float64)), ids.tobytes(), share.tobytes(), k2.view(np.int64), k3.view(np.int64), first, own))
+                at, others = shared.value.places(text if isinstance(text, str) else None)
+                buckets, sums = np.array([bucket(w) for w in others], dtype=np.int16), np.array([zlib.crc32(w) for w in others], dtype=np.uint32)
+                ids, _, h = shared.value.values(at, buckets, sums)
+                planes = at.astype("<i4").view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes()
+                out.append((rid, doc_id, len(at), ids.tobytes(), planes, buckets.tobytes(), sums.tobytes(), None, None))
+                hashes.append(h)
                 rid += 1
-                held += len(ids)
+                held += len(at)
                 if held > 500_000:
-                    yield pd.DataFrame(out, columns=_NAMES)
-                    out, held = [], 0
+                    yield done(out, hashes)
+                    out, hashes, held = [], [], 0
             if out:
-                yield pd.DataFrame(out, columns=_NAMES)
+                yield done(out, hashes)
 
-    return stored(docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, _ENCODED), "encoded")
+    return stored(docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(lean(run), _ENCODED), "encoded", "zstd")
 
 
 _NAMES = [c.split()[0] for c in _ENCODED.split(", ")]
@@ -279,6 +318,10 @@ def _learner(shared):
     """A function that trains a copy of the shared parameters on a group of token arrays and returns it in slices, times its tokens."""
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        with memory_kept():
+            return learnt(key, g)
+
+    def learnt(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         trainer, held, n = Trainer(shared.value), [], 0
         for ids in g.sort_values("h", kind="stable")["ids"]:
             held.append(np.frombuffer(ids, dtype=np.int16))
@@ -314,35 +357,68 @@ def train(texts: DataFrame, network: Network, rounds: int = 2, each: int = 1 <<
         part = rows.filter(F.pmod("h", F.lit(rounds)) == r)
         copies = part.groupBy("learner").applyInPandas(_learner(shared), "slot int, task int, tokens double, value binary")
         some = _sum_slots(copies, ["slot", "task"], "slot int, task int, tokens double, value binary")
-        slots = sorted(_sum_slots(some, ["slot"], "slot int, tokens double, value binary").collect(), key=lambda x: x["slot"])
+        sums = stored(_sum_slots(some, ["slot"], "slot int, tokens double, value binary"), "parameters")
+        slots = sorted(sums.collect(), key=lambda x: x["slot"])
         if slots:
             flat = np.concatenate([np.frombuffer(s["value"], dtype="<f8") / s["tokens"] for s in slots])
             network = Network(network.vocabulary, flat.astype(np.float32))
     return network
 
 
+def _token_in(k2: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Hashes of contexts with their tokens."""
+    return mixed(k2 * np.uint64(0xD6E8FEB86659FD93) + h)
+
+
+def _chunks(texts, vocabulary: Vocabulary, p: dict[str, np.ndarray], chosen=None):
+    """For frames of encoded() rows (frame, starts, h, k2, chosen places, logp): whole texts, some hundred thousand tokens at a time.
+
+    h and k2 are hashes of the tokens and of the words beside them; logp is the log-probability of the tokens at the chosen places: all, or those
+    where chosen(k2) says so.
+    """
+    for b in texts:
+        lengths, rids, at = b["n_tokens"].to_numpy(), b["rid"].to_numpy(), 0
+        while at < len(b):
+            until = max(at + 1, int(np.searchsorted(np.cumsum(lengths[at:]), 32 * BLOCK)) + at)
+            near = (np.diff(rids[at:until]) > 0) & (rids[at + 1 : until] - rids[at] < 1 << 16)  # row numbers as 16 bits
+            until = at + 1 + int(np.argmin(np.append(near, False)))
+            part = b.iloc[at:until]
+            places = [np.frombuffer(x, dtype=np.uint8).reshape(3, -1).astype(np.int32) for x in part["places"]]
+            places = np.concatenate([x[0] | x[1] << 8 | x[2] << 16 for x in places])
+            buckets, sums = np.frombuffer(b"".join(part["buckets"]), dtype=np.int16), np.frombuffer(b"".join(part["sums"]), dtype=np.uint32)
+            ids, shares, h = vocabulary.values(places, buckets, sums)
+            starts = np.cumsum(lengths[at:until]) - lengths[at:until]
+            k2 = _beside(h, starts)
+            target, context = windows([ids[s : s + n] for s, n in zip(starts, lengths[at:until], strict=True)])
+            mine = np.arange(len(k2))
+            if chosen is not None:
+                mine = np.flatnonzero(chosen(k2))
+                target, context = target[mine], context[mine]
+            logp = np.concatenate([np.zeros(0, dtype=np.float32), *(step(p, target[k : k + BLOCK], context[k : k + BLOCK]) for k in range(0, len(target), BLOCK))])
+            yield part, starts, h, k2, mine, logp + shares[mine]
+            at = until
+
+
 def network_scores(texts: DataFrame, network: Network) -> DataFrame:
-    """(rid, doc_id, n_tokens, base, k2, k3, first, own, logp): for encoded() rows the network's sum of log-probabilities, and those of all tokens."""
-    shared = texts.sparkSession.sparkContext.broadcast(network.flat)
+    """(rid, doc_id, n_tokens, base, k2, k3, first, own, logp): for encoded() rows the sum of the tokens' log-probabilities, and for each token a hash of the
+    words beside it, one of those and the token, whether it is the first of equal ones in the text, how many different ones the text has there, and its
+    log-probability.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(network)
 
     def run(batches):
-        p = _cut(shared.value)
-        for b in batches:
-            ids = [np.frombuffer(x, dtype=np.int16) for x in b["ids"]]
-            lengths = b["n_tokens"].to_numpy()
-            sums, logs, at = np.zeros(len(ids)), [], 0
-            while at < len(ids):  # whole texts, some hundred thousand tokens at a time
-                until = max(at + 1, int(np.searchsorted(np.cumsum(lengths[at:]), 16 * BLOCK)) + at)
-                target, context = windows(ids[at:until])
-                logp = np.concatenate([np.zeros(0), *(step(p, target[k : k + BLOCK], context[k : k + BLOCK]) for k in range(0, len(target), BLOCK))])
-                sums[at:until] = np.bincount(np.repeat(np.arange(until - at), lengths[at:until]), logp, until - at)
-                ends = np.cumsum(lengths[at:until])
-                for i in range(at, until):
-                    logs.append((logp[ends[i - at] - lengths[i] : ends[i - at]] + np.frombuffer(b["shares"].iloc[i], dtype=np.float32)).astype(np.float32))
-                at = until
-            yield pd.DataFrame({"rid": b["rid"], "doc_id": b["doc_id"], "n_tokens": lengths, "base": sums + b["share"].to_numpy(), "k2": b["k2"], "k3": b["k3"], "first": b["first"], "own": b["own"], "logp": logs})
-
-    return texts.mapInPandas(run, "rid long, doc_id long, n_tokens long, base double, k2 array<long>, k3 array<long>, first array<boolean>, own array<int>, logp array<float>")
+        p = _cut(shared.value.flat)
+        for part, starts, h, k2, _, logp in _chunks(batches, shared.value.vocabulary, p):
+            k3, rows, edges = _token_in(k2, h), [], np.append(starts, len(h))
+            for i, j in zip(edges, edges[1:], strict=False):
+                first = np.zeros(j - i, dtype=bool)
+                first[np.unique(k3[i:j], return_index=True)[1]] = True
+                there, which = np.unique(k2[i:j], return_inverse=True)
+                own = np.bincount(which, weights=first, minlength=len(there))[which].astype(np.int32)
+                rows.append((float(logp[i:j].sum(dtype=np.float64)), k2[i:j].view(np.int64), k3[i:j].view(np.int64), first, own, logp[i:j].astype(np.float32)))
+            yield pd.concat([part[["rid", "doc_id", "n_tokens"]].reset_index(drop=True), pd.DataFrame(rows, columns=["base", "k2", "k3", "first", "own", "logp"])], axis=1)
+
+    return texts.mapInPandas(lean(run), "rid long, doc_id long, n_tokens long, base double, k2 array<long>, k3 array<long>, first array<boolean>, own array<int>, logp array<float>")
 
 
 def memory_gains(scored: DataFrame) -> DataFrame:
@@ -352,7 +428,11 @@ def memory_gains(scored: DataFrame) -> DataFrame:
     N occurrences in other documents and T words of theirs in a context, the mix gives N / (N + T) to the share of the token among them; where
     no other document has the context, nothing is gained or lost.
     """
-    places = scored.select("rid", F.inline(F.arrays_zip("k2", "k3", "first", "own", F.col("logp").cast("array<double>").alias("logp"))))
+    return _gains(scored.select("rid", F.inline(F.arrays_zip("k2", "k3", "first", "own", F.col("logp").cast("array<double>").alias("logp")))))
+
+
+def _gains(places: DataFrame) -> DataFrame:
+    """memory_gains() of a row per token."""
     words = places.filter("first").groupBy("k2", "k3").agg(F.count("*").alias("n3"))
     both = words.join(words.groupBy("k2").agg(F.sum("n3").alias("n2"), F.count("*").alias("kinds")), "k2").filter("n2 > 1")
     both = stored(both.withColumn("n", F.col("n3")), "contexts")
@@ -368,6 +448,142 @@ def memory_gains(scored: DataFrame) -> DataFrame:
     return every.groupBy("rid").agg(F.sum(mix - F.col("logp")).alias("gain"))
 
 
+_DEALT = "slice int, rid long, keys binary, words binary, logs binary, docs binary"
+
+
+def _dealt(texts: DataFrame, network: Network, parts: int, turn: int, hot: np.ndarray) -> DataFrame:
+    """Tokens of encoded() rows with their log-probabilities, packed by slices of the contexts' hash: the slices of a turn, without hot contexts.
+
+    A row has 48 bits of the contexts' hashes beside the slice, CRC32 of the words, log-probabilities and the steps of the row numbers, which begin at rid. Rows
+    without words have sums of these tokens by text, with row numbers as keys.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(network)
+
+    def dealt(k2):
+        return ((k2 >> np.uint64(40)) % np.uint64(parts)).astype(np.int32)
+
+    def chosen(k2):
+        mine = dealt(k2) % TURNS == turn
+        return mine & ~np.isin(k2, hot) if len(hot) else mine
+
+    def run(batches):
+        p = _cut(shared.value.flat)
+        for number, (part, starts, h, k2, mine, logp) in enumerate(_chunks(batches, shared.value.vocabulary, p, chosen)):
+            if not len(mine):
+                continue
+            rids = part["rid"].to_numpy()
+            doc = np.repeat(rids - rids[0], part["n_tokens"])[mine]
+            slot = dealt(k2[mine])
+            order = np.argsort(slot.astype(np.uint16) if parts < 1 << 16 else slot, kind="stable")
+            base, there = np.bincount(doc, logp), np.flatnonzero(np.bincount(doc))
+            keys = k2[mine[order]].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+            words, logs, doc = _unmixed(h[mine[order]]), logp[order].astype(np.float32), doc[order]
+            edges = np.searchsorted(slot[order], np.arange(parts + 1))
+            out = [(number % parts, int(rids[0]), (rids[0] + there).tobytes(), None, base[there].tobytes(), None)]
+            for i in np.flatnonzero(np.diff(edges)):
+                rows = slice(edges[i], edges[i + 1])
+                steps = np.diff(doc[rows], prepend=0).astype(np.uint16)
+                out.append((i, int(rids[0]), keys[rows].tobytes(), words[rows].tobytes(), logs[rows].tobytes(), steps.tobytes()))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in _DEALT.split(", ")])
+
+    return texts.mapInPandas(lean(run), _DEALT)
+
+
+def _hot_places(texts: DataFrame, network: Network, hot: np.ndarray) -> DataFrame:
+    """(rid, k2, k3, first, own, logp): a row per token of encoded() rows in one of the hot contexts (sorted), as in network_scores."""
+    shared = texts.sparkSession.sparkContext.broadcast(network)
+
+    def run(batches):
+        p = _cut(shared.value.flat)
+        for part, _, h, k2, mine, logp in _chunks(batches, shared.value.vocabulary, p, lambda k2: np.isin(k2, hot)):
+            rid = np.repeat(part["rid"].to_numpy(), part["n_tokens"])[mine]
+            k2, k3 = k2[mine], _token_in(k2[mine], h[mine])
+            order = np.lexsort((k3, k2, rid))
+            rid, k2, k3 = rid[order], k2[order], k3[order]
+            turn = np.append(True, (rid[1:] != rid[:-1]) | (k2[1:] != k2[:-1]))[: len(rid)]
+            first = turn | np.append(True, k3[1:] != k3[:-1])[: len(rid)]
+            which = np.cumsum(turn) - 1
+            own = np.bincount(which[first])[which] if len(rid) else which
+            yield pd.DataFrame({"rid": rid, "k2": k2.view(np.int64), "k3": k3.view(np.int64), "first": first, "own": own, "logp": logp[order].astype(np.float32)})
+
+    return texts.mapInPandas(lean(run), "rid long, k2 long, k3 long, first boolean, own int, logp double")
+
+
+def _gained(g: pd.DataFrame) -> pd.DataFrame:
+    """(rid, value): what the contexts of a slice add to the sums of texts (see memory_gains), and the sums that came along."""
+    with memory_kept():
+        return _slice_gains(g)
+
+
+def _slice_gains(g: pd.DataFrame) -> pd.DataFrame:
+    summed = g["words"].isna()
+    out = [pd.DataFrame({"rid": np.frombuffer(k, dtype=np.int64), "value": np.frombuffer(v, dtype=np.float64)}) for k, v in zip(g.loc[summed, "keys"], g.loc[summed, "logs"], strict=True)]
+    g = g[~summed]
+    if len(g):
+        packed = np.frombuffer(b"".join(g["keys"]), dtype=np.uint8).reshape(-1, 6)
+        key = np.zeros((len(packed), 8), dtype=np.uint8)
+        key[:, :6] = packed
+        key = key.view("<u8").ravel()
+        rid = np.concatenate([r + np.cumsum(np.frombuffer(d, dtype=np.uint16), dtype=np.int64) for r, d in zip(g["rid"], g["docs"], strict=True)])
+        order = np.argsort(key, kind="stable")  # a text's tokens are side by side, and stay so within a context
+        key, rid = key[order], rid[order]
+        new = np.append(True, key[1:] != key[:-1])
+        turn = new | np.append(True, rid[1:] != rid[:-1])  # a text's tokens in a context begin
+        start = np.flatnonzero(new)
+        live = np.repeat(np.add.reduceat(turn, start, dtype=np.int64) > 1, np.diff(np.append(start, len(key))))
+        order, rid, new, turn = order[live], rid[live], new[live], turn[live]
+        if len(order):
+            context, mine = np.cumsum(new) - 1, np.cumsum(turn) - 1
+            word = np.frombuffer(b"".join(g["words"]), dtype=np.uint32)[order]
+            logp = np.frombuffer(b"".join(g["logs"]), dtype=np.float32)[order].astype(np.float64)
+            both = context.astype(np.uint64) << np.uint64(32) | word
+            by = np.argsort(both, kind="stable")
+            kind = np.append(True, both[by[1:]] != both[by[:-1]])
+            first = kind | np.append(True, mine[by[1:]] != mine[by[:-1]])
+            start = np.flatnonzero(kind)
+            n3 = np.empty(len(by), dtype=np.int64)
+            n3[by] = np.repeat(np.add.reduceat(first, start, dtype=np.int64), np.diff(np.append(start, len(by))))
+            once = by[first]
+            n2, kinds = np.bincount(context[once]), np.bincount(context[by[start]])
+            own, lone = np.bincount(mine[once]), np.bincount(mine[once], n3[once] == 1).astype(np.int64)
+            others = n2[context] - own[mine]
+            weight = others / (others + kinds[context] - lone[mine])
+            gain = np.log((1 - weight) * np.exp(logp) + weight * (n3 - 1) / others) - logp
+            rids, which = np.unique(rid, return_inverse=True)
+            out.append(pd.DataFrame({"rid": rids, "value": np.bincount(which, gain)}))
+    return pd.concat(out) if out else pd.DataFrame({"rid": np.zeros(0, dtype=np.int64), "value": np.zeros(0)})
+
+
+def _hot_contexts(texts: DataFrame, total: int, most: int) -> np.ndarray:
+    """Contexts of encoded() rows, sorted, among them all with `most` tokens or more (2 / HEAVY of all, if that is more); few more than total / most x 2.
+
+    A context counts in each batch where it is over a HEAVY-th, so it lacks a HEAVY-th of all tokens at most.
+    """
+    least = max(most / 2, total / HEAVY)
+    heavy = texts.filter("heavy is not null").select(F.inline(F.arrays_zip("heavy", "times")))
+    found = heavy.groupBy("heavy").agg(F.sum("times").alias("n")).filter(F.col("n") >= least).collect()
+    return np.sort(np.array([r["heavy"] for r in found], dtype=np.int64).view(np.uint64))
+
+
+def text_scores(texts: DataFrame, network: Network, most: int = 2 * SLICE) -> DataFrame:
+    """(rid, total): for encoded() rows the sum of the log-probabilities of their tokens, mixed with contexts remembered from all texts, stored.
+
+    Tokens meet those of the same context in slices of about SLICE tokens, each packed in 14 bytes, and sums of texts come back, in TURNS turns. Contexts of
+    over `most` tokens would overfill a slice: theirs are counted word by word (see memory_gains).
+    """
+    total = texts.agg(F.sum("n_tokens")).first()[0] or 0
+    hot = _hot_contexts(texts, total, most)
+    parts = TURNS * max(-(-total // (TURNS * SLICE)), int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    every = [
+        stored(_dealt(texts, network, parts, turn, hot).groupBy("slice").applyInPandas(_gained, "rid long, value double").groupBy("rid").agg(F.sum("value").alias("value")), "text-scores")
+        for turn in range(TURNS)
+    ]
+    if len(hot):
+        places = stored(_hot_places(texts, network, hot), "hot-contexts")
+        every += [places.select("rid", F.col("logp").alias("value")), stored(_gains(places), "hot-gains").withColumnRenamed("gain", "value")]
+    return stored(reduce(DataFrame.unionByName, every).groupBy("rid").agg(F.sum("value").alias("total")), "text-scores")
+
+
 def score(docs: DataFrame, network: Network, texts: DataFrame | None = None) -> DataFrame:
     """(doc_id, n_tokens, log_likelihood, mean_log_likelihood) for every row of docs (doc_id, text).
 
@@ -376,9 +592,9 @@ def score(docs: DataFrame, network: Network, texts: DataFrame | None = None) ->
     texts have 0 tokens, sum 0 and a null mean. Very long texts are read in parts; equal texts have equal scores
     but for rounding. Other columns are ignored; an empty table gives no rows.
     """
-    scored = stored(network_scores(encoded(docs, network.vocabulary) if texts is None else texts, network), "network-scores")
-    out = scored.select("rid", "doc_id", "n_tokens", "base").join(memory_gains(scored), "rid", "left")
-    total = F.col("base") + F.coalesce("gain", F.lit(0.0))
+    texts = encoded(docs, network.vocabulary) if texts is None else texts
+    total = F.coalesce("total", F.lit(0.0))
+    out = texts.select("rid", "doc_id", "n_tokens").join(text_scores(texts, network), "rid", "left")
     return out.select("doc_id", "n_tokens", total.alias("log_likelihood"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_likelihood"))
 
 

@@ -219,6 +219,31 @@ def test_a_text_alone_gains_nothing_from_itself(spark):
     assert abs(gains[2] - (np.log(p / 2 + 0.5 * 0.5) - np.log(p))) < 1e-6
 
 
+def test_hot_contexts_are_counted_apart_and_alike(spark):
+    net = lm_score.start(small(*"abcdefg"))
+    rng = random.Random(8)
+    rows = [" ".join(rng.choice(["a", "b", "other", "words"]) for _ in range(n)) for n in (1, 0, 200, 300, 80)] + ["a b a b a b", "q1 a q2 q1 b q2 " * 20]
+    texts = lm_score.encoded(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").coalesce(1), net.vocabulary)
+    hot = lm_score._hot_contexts(texts, 700, 40)
+    assert 0 < len(hot) < 30
+    plain, apart = ({r["rid"]: r["total"] for r in lm_score.text_scores(texts, net, most).collect()} for most in (1 << 40, 40))
+    assert set(plain) == set(apart) and len(plain) == 6 and all(abs(apart[i] - v) < 1e-4 * abs(v) for i, v in plain.items())
+    want = brute_score(rows, net)
+    assert all(abs(plain[i] - want[i]) < 1e-3 * abs(want[i]) for i in plain)
+
+
+def test_a_token_takes_few_bytes_of_disk(spark, docs):
+    words = lm_score.vocabulary(docs)
+    texts = lm_score.encoded(docs, words)
+    n = texts.selectExpr("sum(n_tokens) n").first()["n"]
+    conf, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(texts.inputFiles()[0]).getParent()
+    assert path.getFileSystem(conf).getContentSummary(path).getLength() < 6 * n  # 26 with two hashes of its context
+    each = lm_score._dealt(texts, lm_score.start(words), 8, 1, np.zeros(0, dtype=np.uint64))
+    packed = each.selectExpr("sum(octet_length(keys) + octet_length(words) + octet_length(logs) + octet_length(docs)) n").first()["n"]
+    assert packed < 16 / lm_score.TURNS * 1.1 * n
+
+
 def test_partitions_change_nothing_and_words_are_learnt(spark, docs):
     words = lm_score.vocabulary(docs)
     means = []
