@@ -1,9 +1,12 @@
 import random
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from partita.llm import line_dedup as L
+from partita.llm.common import stored
 
 
 #: SimHash blocks alone, over lines of five words or more.
@@ -201,3 +204,20 @@ def test_every_exact_copy_goes(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     kept = [n for r in L.dedup_lines(docs).select("text").distinct().collect() if r["text"] for n in L.normalised_lines(r["text"]) if n]
     assert len(kept) == len(set(kept))
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def held():
+        files = disk.getAllFiles()
+        return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_") and name.endswith(".data")}
+
+    before, setting = held(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    table = stored(spark.range(100_000).groupBy((F.col("id") % 9973).alias("k")).agg(F.count("*").alias("n")), "counts")
+    for _ in range(50):  # they go in the background
+        if not (left := held() - before):
+            break
+        time.sleep(0.2)
+    assert not left and table.agg(F.sum("n")).first()[0] == 100_000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == setting
