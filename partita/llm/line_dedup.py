@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partita.llm.common import bit_counts, fingerprints, group_numbers, lean, mixed, pairs_by_offset, spread_join, stored, whole_groups
+from partita.llm.edits import edits_within
 from partita.llm.graph import connected_components
 from partita.llm.hamming import RADIUS, buckets, owned
 
@@ -29,7 +30,8 @@ _DOWN = np.concatenate(([np.uint64(1)], np.full(_CHUNK, np.uint64(pow(int(_BASE)
 def normalised_lines(text: str) -> list[bytes]:
     """The lines of a text, lower-cased, without marks, digits as 0, words one space apart."""
     raw = text.lower().encode("utf-8", "surrogatepass").translate(_FORM, _DROP)
-    return [b" ".join(line.split()) for line in raw.split(b"\n")]
+    lines = raw.split(b"\n")
+    return [b" ".join(x.split()) if b"  " in x or x[:1] == b" " or x[-1:] == b" " else x for x in lines]
 
 
 def _fuzzy(line: bytes, min_words: int, min_chars: int | None) -> bool:
@@ -117,20 +119,19 @@ def _least_hashes(block: bytes, n: int, bins: int) -> tuple[np.ndarray, np.ndarr
 
     The second serves bins that stay empty (only lines that have such are computed).
     """
-    b = np.frombuffer(block + b"\n" * _GRAM, dtype=np.uint8)
+    padded = block + b"\n" * _GRAM
+    b = np.frombuffer(padded, dtype=np.uint8)
     m = len(b) - _GRAM + 1
-    grams = np.zeros(m, dtype=np.uint64)
-    for j in range(_GRAM):
-        grams |= b[j : m + j].astype(np.uint64) << np.uint64(8 * j)
-    ends = np.append(0, np.cumsum(b == 10))
-    inside = ends[_GRAM:] == ends[:m]
-    owner, h = ends[:m][inside], mixed(grams[inside])
+    ends = np.flatnonzero(b[: len(block) + 1] == 10)
+    inside = np.ones(m, dtype=bool)
+    for j in range(_GRAM):  # an n-gram that begins there reaches over the line's end
+        inside[np.maximum(ends - j, 0)] = False
+    owner = np.repeat(np.arange(n), np.maximum(np.diff(ends, prepend=-1) - _GRAM, 0))
+    h = mixed(np.ndarray(m, dtype="<u8", buffer=padded, strides=(1,))[inside])
     least, other = np.full((n, bins), _NONE), np.full((n, bins), _NONE)
-    key = (owner.astype(np.uint64) * np.uint64(bins) + (h >> np.uint64(40)) % np.uint64(bins)) << np.uint64(36) | h & np.uint64((1 << 36) - 1)
-    key.sort()
-    slot = (key >> np.uint64(36)).astype(np.int64)
-    first = np.flatnonzero(np.append(True, slot[1:] != slot[:-1])) if len(slot) else slot
-    least.reshape(-1)[slot[first]] = key[first] & np.uint64((1 << 36) - 1)
+    part = (h >> np.uint64(40)).astype(np.uint32)
+    part -= part // np.uint32(bins) * np.uint32(bins)
+    np.minimum.at(least.reshape(-1), owner * bins + part, h & np.uint64((1 << 36) - 1))
     short = (least == _NONE).any(axis=1)[owner]
     h, owner = h[short], owner[short]
     if len(h):
@@ -277,29 +278,38 @@ def edit_similar(a: bytes, b: bytes, least: float) -> bool:
         return True
     if any(_grams_apart(x, y, q) > 2 * q * most for q in (3, 4)):
         return False
-    if len(s) > len(t):
-        s, t = t, s
-    peq: dict[str, int] = {}
-    for i, c in enumerate(s):
-        peq[c] = peq.get(c, 0) | 1 << i
-    full, last, score = (1 << len(s)) - 1, 1 << (len(s) - 1), len(s)
-    up, down = full, 0
-    for j, c in enumerate(t):
-        eq = peq.get(c, 0)
-        over = eq | down
-        eq |= (((eq & up) + up) ^ up)
-        h_up = down | (~(eq | up) & full)
-        h_down = up & eq
-        if h_up & last:
-            score += 1
-        elif h_down & last:
-            score -= 1
-        h_up = (h_up << 1 | 1) & full
-        up = ((h_down << 1) & full) | (~(over | h_up) & full)
-        down = h_up & over
-        if score - (len(t) - 1 - j) > most:
-            return False
-    return score <= most
+    return bool(edits_within([x], [y], [most])[0])
+
+
+#: Pairs, and rows of whole buckets, that wait for a joint decision; lines of more letters are decided pair by pair, where bounds save more.
+_WAITING, _ROOM, _LONG = 65_536, 40_000, 4096
+#: Distances within a bucket after which the pairs so far are decided all the same: what neighbours join needs no further comparison.
+_SOON = (1, 3, 8, 32, 128)
+
+
+def _gathered(frames):
+    """Frames of lines (norm) put together until they have _ROOM rows or 32 MB."""
+    held, rows, size = [], 0, 0
+    for b in frames:
+        held.append(b)
+        rows, size = rows + len(b), size + int(b["norm"].map(len).sum())
+        if rows >= _ROOM or size >= 32 << 20:
+            yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
+            held, rows, size = [], 0, 0
+    if held:
+        yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
+
+
+def _same_ends(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two letter sequences without what they begin and end with alike, where that is a quarter of them at least (else as they are)."""
+    n = min(len(x), len(y))
+    if not n or (x[0] != y[0] and x[-1] != y[-1]):
+        return x, y
+    off = np.flatnonzero(x[:n] != y[:n])
+    head = int(off[0]) if len(off) else n
+    off = np.flatnonzero(x[len(x) - n + head :] != y[len(y) - n + head :])
+    tail = n - head - 1 - int(off[-1]) if len(off) else n - head
+    return (x[head : len(x) - tail], y[head : len(y) - tail]) if 4 * (head + tail) >= n else (x, y)
 
 
 def _band_columns(bands: int) -> list[str]:
@@ -335,13 +345,12 @@ def line_table(docs: DataFrame, min_words: int = 5, min_chars: int | None = 20,
                 return pd.DataFrame(frame)
 
             for doc_id, text_hash, text in zip(b["doc_id"], b["text_hash"], b["text"], strict=True):
-                for k, line in enumerate(normalised_lines(text)):
-                    if line and (min_chars is not None or _fuzzy(line, min_words, None)):
-                        ids.append(None if pd.isna(doc_id) else int(doc_id))
-                        hashes.append(text_hash)
-                        at.append(k)
-                        lines.append(line)
-                        held += len(line)
+                mine = [(k, x) for k, x in enumerate(normalised_lines(text)) if x and (min_chars is not None or _fuzzy(x, min_words, None))]
+                ids += [None if pd.isna(doc_id) else int(doc_id)] * len(mine)
+                hashes += [text_hash] * len(mine)
+                at += [k for k, _ in mine]
+                lines += [x for _, x in mine]
+                held += sum(len(x) for _, x in mine)
                 if held > 8_000_000:
                     yield out()
                     ids, hashes, at, lines, held = [], [], [], [], 0
@@ -386,16 +395,15 @@ def _texts_of(docs: DataFrame, candidates: DataFrame, min_words: int, min_chars:
         bitmap = np.frombuffer(shared.value, dtype=np.uint8) if shared else None
         for b in batches:
             found: dict[bytes, bytes] = {}
-            for text in b["text"]:
-                lines = [x for x in normalised_lines(text) if _fuzzy(x, min_words, min_chars)]
-                if not lines:
-                    continue
+            texts = b["text"].to_numpy()
+            for k in range(0, len(texts), 256):
+                lines = [x for text in texts[k : k + 256] for x in normalised_lines(text) if _fuzzy(x, min_words, min_chars)]
                 digests = [xxhash.xxh3_128_digest(x) for x in lines]
                 if bitmap is None:
                     found.update(zip(digests, lines, strict=True))
                     continue
                 at = np.frombuffer(b"".join(digests), dtype=np.uint64)[::2] & np.uint64(8 * len(bitmap) - 1)
-                for i in np.flatnonzero(bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1):
+                for i in np.flatnonzero(bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).tolist():
                     found[digests[i]] = lines[i]
             ids = np.frombuffer(b"".join(found), dtype=np.int64).reshape(-1, 2)
             yield pd.DataFrame({"h1": ids[:, 0], "h2": ids[:, 1], "norm": list(found.values())})
@@ -404,15 +412,6 @@ def _texts_of(docs: DataFrame, candidates: DataFrame, min_words: int, min_chars:
     return texts.groupBy("h1", "h2").agg(F.first("norm").alias("norm")).join(candidates, ["h1", "h2"])
 
 
-def _near_pairs(fps: np.ndarray, radius: int):
-    """(rows, columns) of index pairs within the radius, in blocks of rows."""
-    x = fps.astype(np.int64).view(np.uint64)
-    for at in range(0, len(x), 256):
-        rows, cols = np.nonzero(np.bitwise_count(x[at : at + 256, None] ^ x[None, at:]) <= radius)
-        keep = rows < cols
-        yield rows[keep] + at, cols[keep] + at
-
-
 _BUCKET = ["key", "part_a", "part_b"]
 
 
@@ -421,24 +420,33 @@ def _in_order(rows: DataFrame) -> DataFrame:
     return rows.repartition(*_BUCKET).sortWithinPartitions(*_BUCKET)
 
 
+def _hashed(keys: DataFrame) -> DataFrame:
+    """keys (few columns, a row per key), to be looked up partition by partition: the rows they are joined with, of lines or whole texts, need no sort."""
+    return keys.hint("shuffle_hash")
+
+
 def block_candidates(each: DataFrame, radius: int) -> DataFrame:
-    """Rows of each (h1, h2, fp, ...; distinct lines) whose fingerprint, by pigeonhole blocks, has another within the radius, or another line has."""
+    """(h1, h2) of each (h1, h2, fp, ...; distinct lines) whose fingerprint, by pigeonhole blocks, has another within the radius, or another line has."""
     marks = stored(each.filter("fp is not null").groupBy("fp").agg((F.count("*") > 1).alias("twice")), "line-marks")
 
     def mates(batches):
-        for b in batches:
-            out = []
-            for v in b["fps"]:
-                v = np.asarray(v)
-                for i, j in _near_pairs(v, radius):
-                    out += [v[i], v[j]]
-            yield pd.DataFrame({"fp": np.unique(np.concatenate(out)) if out else np.array([], dtype=np.int64)})
-
-    # comparing a bucket's numbers costs less than dealing them out again until there are some thousands
-    dealt = buckets(marks.select("fp"), 2048, 2048).groupBy(*_BUCKET).agg(F.collect_list("fp").alias("fps"))
-    lively = dealt.filter(F.size("fps") > 1).select("fps").mapInPandas(lean(mates), "fp long")
+        frames = [x for x in batches if len(x)]
+        if not frames:
+            return
+        x, bucket = (np.concatenate([b[c].to_numpy() for b in frames]) for c in ("fp", "bucket"))
+        order = np.argsort(bucket)
+        x, bucket = x[order].view(np.uint64), bucket[order]
+        found = np.zeros(len(x), dtype=bool)
+        for i, j in pairs_by_offset(bucket):
+            hit = np.bitwise_count(x[i] ^ x[j]) <= radius
+            found[i[hit]] = found[j[hit]] = True
+        yield pd.DataFrame({"fp": np.unique(x[found]).view(np.int64)})
+
+    # comparing a bucket's numbers costs less than dealing them out again until there are some thousands; a task sorts its numbers itself
+    dealt = buckets(marks.select("fp"), 2048, 2048).repartition(*_BUCKET).select("fp", F.xxhash64(*_BUCKET).alias("bucket"))
+    lively = dealt.mapInPandas(lean(mates), "fp long")
     lively = lively.unionByName(marks.filter("twice").select("fp")).distinct()
-    return stored(each.join(lively, "fp", "left_semi"), "block-candidates")
+    return stored(each.select("h1", "h2", "fp").join(_hashed(lively), "fp", "left_semi").select("h1", "h2"), "block-candidates")
 
 
 def band_candidates(each: DataFrame, bands: int, most: int = 256) -> DataFrame:
@@ -450,7 +458,7 @@ def band_candidates(each: DataFrame, bands: int, most: int = 256) -> DataFrame:
     rows = each.filter("fp is not null").select("h1", "s0", "s1", keys)
     live = rows.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").select("key", F.ceil(F.col("_n") / most).cast("int").alias("_shards"))
     met = (
-        rows.join(live, "key")
+        rows.join(_hashed(live), "key")
         .withColumn("shard", F.pmod(F.hash("h1"), F.col("_shards")))
         .select("key", "h1", "s0", "s1", "shard", F.explode(F.sequence(F.lit(0), F.col("_shards") - 1)).alias("_o"))
         .select("key", F.least("shard", "_o").alias("part_a"), F.greatest("shard", "_o").alias("part_b"), "shard", "h1", "s0", "s1")
@@ -480,7 +488,7 @@ def verified_links(rows: DataFrame, bands: int, radius: int, least: float) -> Da
     names = [f"k{i}" for i in range(bands)]
 
     def run(batches):
-        for b in whole_groups(batches, _BUCKET):
+        for b in _gathered(whole_groups(batches, _BUCKET)):
             group = group_numbers(b, _BUCKET)
             b = b.iloc[np.lexsort((b["norm"].map(len), group))]  # lines of a length side by side: most links are found early
             shard, alone = b["shard"].to_numpy(), (~b["band"] | (b["part_a"] == b["part_b"])).to_numpy()
@@ -488,9 +496,42 @@ def verified_links(rows: DataFrame, bands: int, radius: int, least: float) -> Da
             ids, k = np.stack([b["h1"], b["h2"]], axis=1), b[names].to_numpy()
             if bands:
                 s0, s1 = b["s0"].to_numpy(), b["s1"].to_numpy()
+            texts = [x.decode("utf-8", "surrogatepass") for x in norm]
+            size = np.fromiter(map(len, texts), dtype=np.int64, count=len(b))
+            letters: dict[int, np.ndarray] = {}
             label, edge = np.arange(len(b)), np.searchsorted(group, np.arange(group[-1] + 2)) if len(b) else None
             links: list[tuple[int, int]] = []
-            for i, j in pairs_by_offset(group):
+            waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+            def of(p: int) -> np.ndarray:
+                if p not in letters:
+                    letters[p] = np.frombuffer(texts[p].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+                return letters[p]
+
+            def decide() -> None:
+                """Links of the waiting pairs that nothing joins yet."""
+                i, j = (np.concatenate(x) for x in zip(*waiting, strict=True))
+                waiting.clear()
+                longest = np.maximum(size[i], size[j])
+                most = ((1 - least) * longest + 1e-9).astype(np.int64)
+                open_ = (label[i] != label[j]) & (np.abs(size[i] - size[j]) <= most)
+                now = np.flatnonzero(open_ & (longest <= _LONG))
+                ends = [_same_ends(of(p), of(q)) for p, q in zip(i[now].tolist(), j[now].tolist(), strict=True)]
+                alike = now[edits_within([x for x, _ in ends], [y for _, y in ends], most[now])] if len(now) else now
+                for p, q in zip(i[alike].tolist(), j[alike].tolist(), strict=True):
+                    join(p, q)
+                late = np.flatnonzero(open_ & (longest > _LONG))
+                for p, q in zip(i[late].tolist(), j[late].tolist(), strict=True):
+                    if label[p] != label[q] and edit_similar(norm[p], norm[q], least):
+                        join(p, q)
+
+            def join(p: int, q: int) -> None:
+                if label[p] != label[q]:
+                    part = label[edge[group[p]] : edge[group[p] + 1]]
+                    part[part == label[q]] = label[p]
+                    links.append((p, q))
+
+            for d, (i, j) in enumerate(pairs_by_offset(group), 1):
                 new = (label[i] != label[j]) & (alone[i] | (shard[i] != shard[j]))
                 i, j = i[new], j[new]
                 common = k[i] == k[j]
@@ -505,11 +546,12 @@ def verified_links(rows: DataFrame, bands: int, radius: int, least: float) -> Da
                 if bands:  # pairs of a common band with a like sketch are compared there
                     mine = mine[~(shared[mine] & _alike(s0, s1, i[mine], j[mine], bands))]
                 keep[mine] = owned(key[i[mine]], apart[mine])
-                for p, q in zip(i[keep].tolist(), j[keep].tolist(), strict=True):
-                    if label[p] != label[q] and edit_similar(norm[p], norm[q], least):
-                        part = label[edge[group[p]] : edge[group[p] + 1]]
-                        part[part == label[q]] = label[p]
-                        links.append((p, q))
+                if keep.any():
+                    waiting.append((i[keep], j[keep]))
+                if waiting and (d in _SOON or sum(len(x) for x, _ in waiting) >= _WAITING):
+                    decide()
+            if waiting:
+                decide()
             ends = np.array(links, dtype=np.int64).reshape(-1, 2)
             yield pd.DataFrame(np.hstack([ids[ends[:, 0]], ids[ends[:, 1]]]), columns=["a1", "a2", "b1", "b2"])
 
@@ -524,14 +566,12 @@ def similar_lines(docs: DataFrame, each: DataFrame, radius: int = RADIUS, least:
     letter n-grams share a band and have a like sketch. Candidates are found by numbers alone; only their texts move.
     """
     names = ["h1", "h2", "fp", *_band_columns(bands)]
-    blocks = block_candidates(each.select(names), radius)
+    blocks = block_candidates(each, radius)
     found = band_candidates(each, bands) if bands else None
-    lines = blocks
-    if bands:
-        more = each.filter("fp is not null").select(names).join(found.select("h1").distinct(), "h1", "left_semi")
-        lines = stored(blocks.unionByName(more).dropDuplicates(["h1", "h2"]), "candidate-lines")
+    some = blocks.select("h1").unionByName(found.select("h1")) if bands else blocks.select("h1")
+    lines = stored(each.filter("fp is not null").select(names).join(_hashed(some.distinct()), "h1", "left_semi"), "candidate-lines")
     full = stored(_texts_of(docs, lines, min_words, min_chars), "candidate-texts")
-    rows = buckets(full.join(blocks.select("h1", "h2"), ["h1", "h2"], "left_semi"), 256, 256)
+    rows = buckets(full.join(_hashed(blocks), ["h1", "h2"], "left_semi"), 256, 256)
     rows = rows.withColumns({"shard": F.lit(0), "band": F.lit(False)})
     if bands:
         rows = rows.unionByName(found.join(full, "h1").withColumn("band", F.lit(True)))
@@ -546,7 +586,7 @@ def line_decisions(docs: DataFrame, radius: int = RADIUS, least: float = 0.8, mi
     links = similar_lines(docs, each, radius, least, min_words, bands, min_chars)
     roots = stored(connected_components(links), "line-roots")
     ends = roots.select("node.h1", "node.h2", F.col("root.h1").alias("r1"), F.col("root.h2").alias("r2"))
-    classed = each.select("h1", "h2", "n").join(ends, ["h1", "h2"], "left").filter("n > 1 or r1 is not null")
+    classed = each.select("h1", "h2", "n").join(_hashed(ends), ["h1", "h2"], "left").filter("n > 1 or r1 is not null")
     classed = stored(classed.select("h1", "h2", "n", F.coalesce("r1", "h1").alias("r1"), F.coalesce("r2", "h2").alias("r2")), "line-classes")
     total = classed.agg(F.sum("n")).first()[0] or 0
     seen = F.struct("doc_id", "text_hash", "line")
@@ -569,7 +609,7 @@ def dedup_lines(docs: DataFrame, radius: int = RADIUS, least: float = 0.8, min_w
     n_lines or removed_lines are replaced. An empty table gives no rows.
     """
     gone = line_decisions(docs, radius, least, min_words, bands, min_chars).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("gone").alias("_gone"))
-    d, g = docs.drop("n_lines", "removed_lines").alias("d"), gone.alias("g")  # aliases keep input columns of any name apart
+    d, g = docs.drop("n_lines", "removed_lines").alias("d"), _hashed(gone).alias("g")  # aliases keep input columns of any name apart
     joined = d.join(g, F.col("d.doc_id").cast("long").eqNullSafe(F.col("g._id")) & (F.xxhash64("d.text") == F.col("g._hash")), "left")
     parts, lost = F.split("d.text", "\n", -1), F.col("g._gone")
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(lost, i)), "\n")
